@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langmix, packing, quality
+from . import bpe, langmix, packing, quality, warc, webp
 from .common import crc_mod, table
 
 
@@ -30,6 +30,19 @@ def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "languages")
 
 
+def op9_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.media_column(table(spark, sf_dir, "documents")).drop("media", "samples")
+
+
+def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    folder = warc.new_folder(spark)
+    captures = warc.write(pages, folder)
+    directory = warc.build_index(captures, folder)
+    found = warc.look_up(pages.select(warc.url_key(F.col("url")).alias("url_key")), directory, folder)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
