@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langmix, packing, quality, warc, webp
+from . import bottomk, bpe, langmix, packing, quality, spans, warc, webp
 from .common import crc_mod, table
 
 
@@ -18,6 +18,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_bottom_k_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottomk.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,11 @@ def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "languages")
 
 
+def op8_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spans.strip_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_sw_gone").alias("n_removed"), "text")
+
+
 def op9_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.media_column(table(spark, sf_dir, "documents")).drop("media", "samples")
 
