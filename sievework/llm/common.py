@@ -29,6 +29,7 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: the lineage ends there and survives lost executors."""
     path = f"{scratch_dir(df.sparkSession)}/sievework-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # what only the written plan used, its shuffle files among it, can go now
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
