@@ -40,12 +40,15 @@ _CHUNK = 2 << 20
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     """For x > 0; small x are moved up by the recurrence first."""
     x = np.asarray(x, np.float64)
-    shift, y = np.zeros_like(x), x.copy()
-    for _ in range(8):
-        low = y < 8
-        shift[low] += np.log(y[low])
-        y[low] += 1
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) - shift
+    low = x < 8
+    y = np.where(low, x + 8, x)
+    out = (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3)
+    z = x[low]
+    rise = z.copy()
+    for i in range(1, 8):
+        rise *= z + i
+    out[low] -= np.log(rise)
+    return out
 
 
 def _estimate(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -92,13 +95,21 @@ def _levels(key: np.ndarray, n: np.ndarray, lowest: int):
     """For each of the 8 decisions: the bit and the node of each gram; nodes from DEPTH up to ``lowest`` context bytes as
     (place of each gram's node, n0, n1, weight), deepest first, and those of ``lowest`` with their weighted logs."""
     byte = key & 255
+    ordered = []
+    for depth in range(DEPTH, lowest - 1, -1):
+        whole = ((key >> (8 * (DEPTH - depth + 1))) << 8) | byte
+        order = np.argsort(whole, kind="stable")
+        ordered.append((order, whole[order], n[order]))
     for k in range(8):
         bit, prefix = (byte >> (7 - k)) & 1, (1 << k) | (byte >> (8 - k))
         path, above, within = [], None, None
-        for depth in range(DEPTH, lowest - 1, -1):
-            ids, place = np.unique(((key >> (8 * (DEPTH - depth + 1))) << 8) | prefix, return_inverse=True)
-            n1 = np.bincount(place, n * bit, len(ids))
-            n0 = np.bincount(place, n * (1 - bit), len(ids))
+        for order, whole, times in ordered:  # in this order the nodes of every decision lie together
+            ids = (whole >> 8 << 8) | (1 << k) | ((whole & 255) >> (8 - k))
+            first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+            ones = np.add.reduceat(times * ((whole >> (7 - k)) & 1), first)
+            n0, n1, ids = np.add.reduceat(times, first) - ones, ones, ids[first]
+            place = np.empty(len(order), np.int64)
+            place[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
             if above is None:
                 logs, weight = _estimate(n0, n1), np.ones(len(ids))
             else:
@@ -242,7 +253,8 @@ def score(df: DataFrame, training: Column, key: str = "doc_id", text: str = "tex
         total = np.zeros(len(texts))
         for first, part in _chunks(texts):
             found, begin = grams(part)
-            total[first : first + len(part)] = np.add.reduceat(value[np.searchsorted(ids, found)], begin)
+            found, place = np.unique(found, return_inverse=True)
+            total[first : first + len(part)] = np.add.reduceat(value[np.searchsorted(ids, found)][place], begin)
         tokens, hits, base = [], [], []
         for t in texts:
             c = np.fromiter(map(count.__getitem__, words := t.split()), np.float64, len(words))
