@@ -138,6 +138,8 @@ def clean(df: DataFrame, text: str = "text", chars: str = "n_chars") -> DataFram
     """
     names = df.columns
     held = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_sw_row"), F.col(f"`{text}`").alias("_sw_text"))
-    kept = measured(held, "_sw_text").filter("kept")
-    made = {text: F.col("kept_text"), chars: F.length("kept_text").cast("long")}
+    # the generator keeps the optimizer from copying the measures' expressions into the filter, once for each use
+    judged = measured(held, "_sw_text").select("_sw_row", F.explode(F.array(F.struct("kept", "kept_text"))).alias("_sw_v"))
+    kept = judged.filter("_sw_v.kept")
+    made = {text: F.col("_sw_v.kept_text"), chars: F.length("_sw_v.kept_text").cast("long")}
     return kept.select(*[made.get(c, F.col("_sw_row").getField(c)).alias(c) for c in names])
