@@ -174,7 +174,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     reps = classes.select("rep")
     kept = signed.filter("n_shingles > 0").join(reps, F.col("key") == F.col("rep"), "left_semi").dropDuplicates(["key"])
     index = kept.select(F.col("key").alias("rep"), F.col("n_shingles").alias("n"), F.posexplode("sketch").alias("rank", "value"))
-    lists = index.groupBy("value").agg(F.count("*").alias("members")).filter("members > 1")
+    lists = materialise(index.groupBy("value").agg(F.count("*").alias("members")).filter("members > 1"))
     long, short = lists.filter(F.col("members") > LIST), lists.filter(F.col("members") <= LIST).select("value")
     # long lists are few: at most INDEX / LIST of the classes; each class learns which of its values stand in them
     known = index.join(long.select("value", F.lit(True).alias("long")), "value", "left")

@@ -30,7 +30,7 @@ DEPTH = 5
 #: Subtrees of this many context bytes lie in one bucket; shallower nodes are few and shared.
 SPLIT = 3
 BLOCK_BYTES = 48 << 20
-LEAST_BLOCKS = 24
+LEAST_BLOCKS = 8
 BUCKET_GRAMS = 400_000
 #: No UTF-8 text holds this byte: it stands before the first byte and is the end.
 _EDGE = 255
