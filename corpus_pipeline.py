@@ -19,11 +19,7 @@ MIN_LANGUAGE_SHARE = 0.4
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts that are null or without letters, and those where no language has a clear share."""
     model = langmix.learn(docs.filter(crc_mod(F.col("doc_id"), 3) != 1))
-    names = docs.columns
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text")
-    found = langmix.predict(held, model, key="row", text="text")
-    clear = (F.col("lang_pred") != langmix.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SHARE)
-    return found.filter(clear).select(*[F.col("row").getField(c).alias(c) for c in names])
+    return langmix.clear_only(docs, model, MIN_LANGUAGE_SHARE)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -38,7 +37,7 @@ LIST = 32
 #: A class is crowded unless this many of its JUDGED smallest values stand in short lists (or over a third of a whole small set).
 JUDGED, AT_EASE = 20, 10
 #: Values of a crowded class whose long lists it enters.
-ENTERED = 12
+ENTERED = 10
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 400_000
 #: The union-sketch estimate that a pair must reach to be verified.
 ESTIMATE = 0.4
@@ -47,7 +46,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -158,12 +157,11 @@ def _crowded_links(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFra
     met = dealt.withColumn("mine", mine).select("rep", "value", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"), "mine")
     met = met.select("rep", "value", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
 
-    def task(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rep")
-        links = forest(group["rep"].to_numpy(), [np.frombuffer(s, np.int64) for s in group["shingles"]], percent)
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+    def task(group: pa.Table) -> pa.Table:
+        links = forest(group.column("rep").to_numpy(), [np.frombuffer(s.as_buffer(), np.int64) for s in group.column("shingles")], percent)
+        return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return met.join(sets, "rep").groupBy("value", "i", "j").applyInPandas(task, "a long, b long").distinct()
+    return met.join(sets, "rep").groupBy("value", "i", "j").applyInArrow(task, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:

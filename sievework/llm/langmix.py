@@ -129,26 +129,29 @@ def mixture(grams: np.ndarray, table: np.ndarray) -> np.ndarray:
     return out
 
 
+def _judged(texts: list[str | None], names: list[str], logs: np.ndarray) -> tuple[list[str], list[float], list[list[dict]]]:
+    best, points, sets = [], [], []
+    for t in texts:
+        grams = trigrams(t) if t and names else ()
+        if not len(grams):
+            best.append(UNDETERMINED), points.append(0.0), sets.append([])
+            continue
+        share = mixture(grams, logs)
+        top = int(np.argmax(share))
+        best.append(names[top])
+        points.append(float((share[top] * len(grams) + 0.5) / (len(grams) + 0.5 * len(names))))
+        sets.append([{"lang": names[i], "share": float(share[i])} for i in np.argsort(-share, kind="stable") if share[i] > 0])
+    return best, points, sets
+
+
 def predict(df: DataFrame, model: tuple[list[str], np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: the key, lang_pred, score and the selected languages with their proportions."""
     names, table = model
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(table)
+    shared = df.sparkSession.sparkContext.broadcast(table)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = shared.value
         for batch in batches:
-            best, points, sets = [], [], []
-            for t in batch.column(1).to_pylist():
-                grams = trigrams(t) if t and names else ()
-                if not len(grams):
-                    best.append(UNDETERMINED), points.append(0.0), sets.append([])
-                    continue
-                share = mixture(grams, logs)
-                top = int(np.argmax(share))
-                best.append(names[top])
-                points.append(float((share[top] * len(grams) + 0.5) / (len(grams) + 0.5 * len(names))))
-                sets.append([{"lang": names[i], "share": float(share[i])} for i in np.argsort(-share, kind="stable") if share[i] > 0])
+            best, points, sets = _judged(batch.column(1).to_pylist(), names, shared.value)
             yield pa.record_batch(
                 [batch.column(0), pa.array(best, pa.string()), pa.array(points, pa.float64()), pa.array(sets, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))],
                 names=["key", "lang_pred", "score", "languages"])
@@ -156,3 +159,19 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], key: str = "doc_
     own = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("t"))
     kind = own.schema["key"].dataType.simpleString()
     return own.mapInArrow(score, f"key {kind}, lang_pred string, score double, languages array<struct<lang:string,share:double>>").withColumnRenamed("key", key)
+
+
+def clear_only(df: DataFrame, model: tuple[list[str], np.ndarray], least: float, text: str = "text") -> DataFrame:
+    """The rows of df whose text has a language with a score of ``least`` or more; every column stays as it is."""
+    names, table = model
+    shared = df.sparkSession.sparkContext.broadcast(table)
+    at = df.columns.index(text)
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                best, points, _ = _judged(part.column(at).to_pylist(), names, shared.value)
+                yield part.filter(pa.array([b != UNDETERMINED and p >= least for b, p in zip(best, points, strict=True)], pa.bool_()))
+
+    return df.mapInArrow(chosen, df.schema)

@@ -35,7 +35,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
         ends = word.rstrip(_QUOTES)[-1:] in (b".", b"!", b"?") or not (h >> 8) % 5
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = (h & ~1) | ends
         return h
