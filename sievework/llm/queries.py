@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottomk, bpe, ctw, langmix, packing, quality, spans, warc, webp, wrappers
+from . import bottomk, bpe, ctw, langmix, oracles, packing, quality, spans, warc, webp, wrappers
 from .common import crc_mod, table
 
 
@@ -67,4 +67,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLES)
