@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from .functions import column, rules
 from .functions import scalars as S
 from .functions.dialect import CHECK, SPARK, Dialect
-from .operators import documents, listing, maintenance
+from .operators import documents, gates, listing, maintenance
 from .plans import postings as P
+from .plans import resumes as R
 
 SEARCH = listing.Search(query="data engineer")
 CUTOFF = "2001-07-02 00:00:00"
@@ -377,6 +378,97 @@ def keyword_score(spark, sf):
     return P.postings(spark, sf).select("id", F.round(F.lit(100) * F.size(hits) / 4).cast("long").alias("score"))
 
 
+# a draft against its original
+_OLD, _NEW_LINES = f"({R.sql(CHECK, 0)})", f"({R.sql(CHECK, 1)})"
+
+
+def _carried(source: str) -> str:
+    down = "partition by doc_id order by line_no rows between unbounded preceding and current row"
+    return f"""(select *, last_value(case when regexp_matches(trim(line), '{gates.ROLE}') then trim(line) end ignore nulls) over (partition by doc_id, part order by line_no rows between unbounded preceding and current row) as role
+from (select *, {_HEADER} as is_header, last_value(case when {_HEADER} then trim(line) end ignore nulls) over ({down}) as section, sum(case when {_HEADER} then 1 else 0 end) over ({down}) as part from {source}))"""
+
+
+def _in(values) -> str:
+    return ", ".join(CHECK.text(v) for v in values)
+
+
+_FIRST = r"regexp_replace(lower(list_extract(string_split_regex(regexp_replace(trim(line), '^[•–-]\s*', ''), '\s+'), 1)), '[^a-z]', '', 'g')"
+
+
+@query("doc_past_tense", rf"""select doc_id, line_no, trim(line) as line from {_carried(_OLD)} where not is_header and contains(section, 'EXPERIENCE') and regexp_matches(role, '(?i)\bpresent\b') and not regexp_matches(trim(line), '{gates.ROLE}')
+and regexp_matches(trim(line), '^[•–-]\s+') and {_FIRST} <> '' and {_FIRST} not in ({_in(rules.PAST_IDENTICAL)}) and ({_FIRST} in ({_in(rules.IRREGULAR_PAST)}) or {_FIRST} like '%ed')""")
+def doc_past_tense(spark, sf):
+    return gates.past_tense_in_current_role(R.lines(spark, sf, 0))
+
+
+_BULLETS = rf"(select doc_id, line_no, regexp_replace(trim(line), '^-\s+', '') as bullet from {_carried(_NEW_LINES)} where not is_header and contains(section, 'EXPERIENCE') and regexp_matches(trim(line), '^-\s+'))"
+
+
+@query("doc_experience_bullets", f"select * from {_BULLETS}")
+def doc_experience_bullets(spark, sf):
+    return gates.experience_bullets(R.lines(spark, sf, 1))
+
+
+@query("doc_cert_dashes", rf"""select doc_id, line_no, case when not is_header and regexp_matches(line, '[—–]|--') and (coalesce(contains(section, 'CERTIF'), false) or (regexp_matches(line, '{gates.CERT_WORD}') and regexp_matches(line, '{gates.CERT_LEVEL}')))
+then regexp_replace(line, '\s*(?:[—–]|--)\s*', ' - ', 'g') else line end as line from {_carried(_NEW_LINES)}""")
+def doc_cert_dashes(spark, sf):
+    return gates.cert_dashes(R.lines(spark, sf, 1))
+
+
+def _sections(source: str) -> str:
+    name = r"regexp_replace(t, '\s+', ' ', 'g')"
+    chain = " ".join(f"when regexp_matches({name}, '{p}') then '{title}'" for p, title in gates.SECTION_ALIASES)
+    return rf"""(select doc_id, line_no, case {chain} else {name} end as section from (select *, sum(case when t <> '' then 1 else 0 end) over (partition by doc_id order by line_no rows between unbounded preceding and current row) as seen
+from (select *, regexp_replace(trim(line), '[:：]\s*$', '') as t from {source})) where t <> '' and seen > 3 and length(t) <= 40 and regexp_matches(t, '^[A-Z][A-Z\s&/]*$') and len(string_split_regex(t, '\s+')) <= 4)"""
+
+
+@query("doc_sections", f"select * from {_sections(_OLD)}")
+def doc_sections(spark, sf):
+    return gates.section_headers(R.lines(spark, sf, 0))
+
+
+@query("doc_invented_sections", f"select doc_id, section from {_sections(_NEW_LINES)} except select doc_id, section from {_sections(_OLD)}")
+def doc_invented_sections(spark, sf):
+    return gates.invented_sections(R.lines(spark, sf, 1), R.lines(spark, sf, 0))
+
+
+@query("doc_stray_prose", rf"""select doc_id, line_no, trim(line) as line from (select *, max(case when regexp_matches(trim(line), {CHECK.text(rules.RESUME_SECTION)}) then line_no end) over (partition by doc_id) as last from {_NEW_LINES})
+where line_no > last and length(trim(line)) >= 120 and not regexp_matches(trim(line), '^[-•*]') and (regexp_matches(trim(line), '(?i)^note\s*:') or regexp_matches(trim(line), '\b(?:I|I''m|I''ve|my|me)\b'))""")
+def doc_stray_prose(spark, sf):
+    return gates.stray_prose(R.lines(spark, sf, 1))
+
+
+@query("doc_dropped_environment", rf"select doc_id, line_no, trim(line) as line from {_OLD} o where regexp_matches(trim(line), '(?i)^Environment\s*:') and not exists (select 1 from {_NEW_LINES} n where n.doc_id = o.doc_id and contains(lower(n.line), lower(substring(trim(o.line), 1, 40))))")
+def doc_dropped_environment(spark, sf):
+    return gates.dropped_environment(R.lines(spark, sf, 1), R.lines(spark, sf, 0))
+
+
+@query("doc_merged_bullets", rf"select doc_id, line_no, substring(trim(line), 1, 140) as line from {_NEW_LINES} where regexp_matches(line, '[a-z0-9][.)]\s*[•▪]\s*[A-Z]')")
+def doc_merged_bullets(spark, sf):
+    return gates.merged_bullets(R.lines(spark, sf, 1))
+
+
+@query("doc_invented_bullets", f"""with b as (select doc_id, line_no, bullet, unnest({S.content_words(CHECK, 'bullet')}) as word from {_BULLETS}), k as (select distinct doc_id, unnest({S.content_words(CHECK, 'line')}) as word from {_OLD} where line_no < 6)
+select b.doc_id, line_no, bullet, count(*) as words, count(k.word) as hits from b left join k on b.doc_id = k.doc_id and b.word = k.word group by b.doc_id, line_no, bullet having count(*) >= 4 and count(k.word) < 0.4 * count(*)""")
+def doc_invented_bullets(spark, sf):
+    return gates.invented_bullets(R.lines(spark, sf, 1), R.lines(spark, sf, 0).filter("line_no < 6"))
+
+
+@query("doc_bullet_loss", r"""with c as (select doc_id, v, count(*) filter (where length(t) >= 40 and not regexp_matches(t, '^[A-Z][A-Z\s&/:]*$') and not regexp_matches(t, '(?i)^Environment\s*:') and regexp_matches(t, '\s')) as n
+from (select doc_id, 0 as v, regexp_replace(trim(line), '^[-•*▪]\s*', '') as t from OLD union all select doc_id, 1, regexp_replace(trim(line), '^[-•*▪]\s*', '') from NEW) group by doc_id, v)
+select o.doc_id, o.n as before, n.n as after from c o join c n on o.doc_id = n.doc_id where o.v = 0 and n.v = 1 and o.n >= 8 and n.n < o.n * 0.75""".replace("OLD", _OLD).replace("NEW", _NEW_LINES))
+def doc_bullet_loss(spark, sf):
+    def counts(version: int, name: str) -> DataFrame:
+        whole = R.lines(spark, sf, version).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
+        return documents.bullet_counts(whole).withColumnRenamed("bullets", name)
+
+    both = counts(0, "before").join(counts(1, "after"), "doc_id")
+    return both.filter("before >= 8 and after < before * 0.75").select("doc_id", F.col("before").cast("long").alias("before"), F.col("after").cast("long").alias("after"))
+
+
+_both("looks_us", lambda d: {"looks_us": f"({d.match(S.or_empty('lower(location)'), r'\b(?:usa|u\.?s\.?a\.?|united\s+states)\b')} or {d.match(S.or_empty('lower(location)'), '(^|,\s*|\s)(?:' + '|'.join(c for _, c in rules.STATES) + ')(\s*,|\s*$)')})"})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
