@@ -278,3 +278,15 @@ GENERIC_WORDS = (
 #: Fixed value.  Section titles.
 RESUME_SECTION = r"^(SUMMARY|PROFESSIONAL SUMMARY|OBJECTIVE|SKILLS|TECHNICAL SKILLS|TECHNICAL PROFICIENCY|CORE COMPETENCIES|EXPERIENCE|PROFESSIONAL EXPERIENCE|WORK EXPERIENCE|EMPLOYMENT|PROJECTS|KEY PROJECTS|NOTABLE PROJECTS|EDUCATION|CERTIFICATIONS|CERTIFICATIONS & LICENSES|LICENSES|PUBLICATIONS|AWARDS|VOLUNTEER EXPERIENCE|LANGUAGES|INTERESTS)\s*$"
 
+#: Fixed values.  Signs that an employer sponsors.
+SPONSOR_SIGNS = (
+    r"\bwill\s+sponsor\b",
+    r"\bvisa\s+sponsorship\s+(is\s+)?(available|offered|provided)\b",
+    r"\b(offer|offers|offering|provide|provides|providing)\s+(visa\s+)?sponsorship\b",
+    r"\bh-?1b\s+sponsor",
+    r"\bsponsorship\s+(is\s+)?available\b",
+    r"\bwe\s+sponsor\b",
+    r"\bsponsorship\s+(is\s+)?provided\b",
+    r"\bopen\s+to\s+sponsorship\b",
+    r"\bimmigration\s+sponsorship\b",
+)

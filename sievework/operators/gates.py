@@ -23,7 +23,9 @@ SECTION_ALIASES = (
 CERT_WORD = r"(?i)\b(?:certified|certificate|certification|credential|aws|azure|gcp|google\s+cloud|databricks|comptia|cissp|pmp|scrum|snowflake|kubernetes|terraform|oracle|salesforce|tableau)\b"
 CERT_LEVEL = r"(?i)\b(?:associate|professional|expert|specialty|foundational|practitioner|fundamentals|advanced|architect|master)\b"
 ROLE = r"\s\|\s[^|]*\|\s"
-_DOWN = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+
+def _down():
+    return Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def _trimmed() -> Column:
@@ -33,7 +35,7 @@ def _trimmed() -> Column:
 def carried(lines: DataFrame) -> DataFrame:
     """section, the last title at or above; role, the last role line at or above within it."""
     head = header_of(F.col("line"))
-    out = lines.withColumn("is_header", head).withColumn("section", F.last(F.when(head, _trimmed()), True).over(_DOWN)).withColumn("part", F.sum(head.cast("int")).over(_DOWN))
+    out = lines.withColumn("is_header", head).withColumn("section", F.last(F.when(head, _trimmed()), True).over(_down())).withColumn("part", F.sum(head.cast("int")).over(_down()))
     in_part = Window.partitionBy("doc_id", "part").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     return out.withColumn("role", F.last(F.when(_trimmed().rlike(ROLE), _trimmed()), True).over(in_part))
 
@@ -66,7 +68,7 @@ def cert_dashes(lines: DataFrame) -> DataFrame:
 def section_headers(lines: DataFrame) -> DataFrame:
     """Short lines of capitals after the third line with text, by their canonical titles."""
     t = F.regexp_replace(_trimmed(), r"[:：]\s*$", "")
-    rows = lines.withColumn("t", t).withColumn("seen", F.sum((F.col("t") != "").cast("int")).over(_DOWN))
+    rows = lines.withColumn("t", t).withColumn("seen", F.sum((F.col("t") != "").cast("int")).over(_down()))
     rows = rows.filter((F.col("t") != "") & (F.col("seen") > 3) & (F.length("t") <= 40) & F.col("t").rlike(r"^[A-Z][A-Z\s&/]*$") & (F.size(F.split("t", r"\s+")) <= 4))
     name = F.regexp_replace("t", r"\s+", " ")
     chain = None

@@ -466,7 +466,9 @@ def doc_bullet_loss(spark, sf):
     return both.filter("before >= 8 and after < before * 0.75").select("doc_id", F.col("before").cast("long").alias("before"), F.col("after").cast("long").alias("after"))
 
 
-_both("looks_us", lambda d: {"looks_us": f"({d.match(S.or_empty('lower(location)'), r'\b(?:usa|u\.?s\.?a\.?|united\s+states)\b')} or {d.match(S.or_empty('lower(location)'), '(^|,\s*|\s)(?:' + '|'.join(c for _, c in rules.STATES) + ')(\s*,|\s*$)')})"})
+_US_FORMS = (r"\b(?:usa|u\.?s\.?a\.?|united\s+states)\b", r"(^|,\s*|\s)(?:" + "|".join(c for _, c in rules.STATES) + r")(\s*,|\s*$)")
+_both("looks_us", lambda d: {"looks_us": d.any_match("lower(coalesce(location, ''))", _US_FORMS)})
+_both("sponsor_badge", lambda d: {"badge": f"({d.any_match(S.normalised(d, 'body'), rules.SPONSOR_SIGNS)} and not {S.disqualified(d, 'body')})", "mentions": d.match("lower(body)", "sponsor")})
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
