@@ -175,7 +175,8 @@ def look_up(keys: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
     """
     spark = keys.sparkSession
     wanted = keys.select("url_key").distinct()
-    if directory.count() <= MAX_DIRECTORY:
+    blocks = directory.count()
+    if blocks <= MAX_DIRECTORY:
         entries = sorted((r.first_key, r.last_key, r.file, r.start, r.length) for r in directory.collect())
         shared = spark.sparkContext.broadcast(entries)
 
@@ -195,7 +196,8 @@ def look_up(keys: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
         wide = directory.filter(head(F.col("first_key")) != head(F.col("last_key"))).select("file", "start", "length", "first_key", "last_key")
         hits = within.select("url_key", "file", "start", "length").unionByName(
             wanted.join(wide, F.col("url_key").between(F.col("first_key"), F.col("last_key"))).select("url_key", "file", "start", "length")).distinct()
-    by_block = hits.groupBy("file", "start", "length").agg(F.collect_set("url_key").alias("keys"))
+    # few bytes name many records to read, so the number of tasks follows the blocks, not the bytes
+    by_block = hits.repartition(blocks_for(blocks, 4), "file", "start", "length").groupBy("file", "start", "length").agg(F.collect_set("url_key").alias("keys"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = _files(folder)
