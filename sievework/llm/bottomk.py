@@ -3,16 +3,16 @@
 A document's set holds the hashes of its distinct five-word shingles; its sketch is the INDEX smallest.  Documents of
 equal sets form one class, and its smallest id stands for it.  Each retained value has an inverted list of classes:
 
-* Lists of up to LIST classes pair their members.  The values two classes share, with their ranks, give the estimate
-  of the union sketch; pairs far below the threshold go, the others are verified on the full sets.
-* A class most of whose values stand in longer lists is *crowded*.  Crowded classes meet within each long list in
-  blocks of bounded size: a task takes two blocks with their full sets, counts every intersection exactly, and gives
-  back the links that join its members, never all pairs.  A pair with one class that is not crowded shares values in
-  short lists and was found there.
+* Lists of up to LIST classes pair their members.  The union sketch of a pair is estimated on both whole sketches, the
+  values of longer lists among them; pairs far below the threshold go, the others are verified on the full sets.
+* A class is *crowded* when its values in longer lists alone could reach the estimate.  Crowded classes meet within
+  each long list in blocks of bounded size: a task takes two blocks with their full sets, counts every intersection
+  exactly, and gives back the links that join its members, never all pairs.  Where one class of a pair is not crowded,
+  a pair that reaches the estimate shares more values than that class has in long lists, so one in a short list.
 
-Links are those with 100 * intersection >= percent * union.  Shared values are missed with a probability of about
-0.25^10 for a pair just at the threshold, less above; every reported link is verified.  Components are the smallest
-ids reachable over links.
+Links are those with 100 * intersection >= percent * union.  A pair just at the threshold shares none of the ten
+smallest values of its union with a probability of about 0.25^10, and its estimate falls short with one of about 1e-5;
+both are less above.  Every reported link is verified.  Components are the smallest ids reachable over links.
 
 Null text and text without words: an empty set, linked with nothing, kept.  Fewer than five words are one shingle.
 Repeated rows of one id are one document; each row gets its result.  Only the key and the text are read.
@@ -34,8 +34,6 @@ WIDTH = 5
 PERCENT = 75
 INDEX = 32
 LIST = 32
-#: A class is crowded unless this many of its JUDGED smallest values stand in short lists (or over a third of a whole small set).
-JUDGED, AT_EASE = 20, 10
 #: Values of a crowded class whose long lists it enters.
 ENTERED = 10
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 400_000
@@ -178,19 +176,26 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     known = index.join(long.select("value", F.lit(True).alias("long")), "value", "left")
     by_class = known.groupBy("rep").agg(
         F.first("n").alias("n"),
-        F.sort_array(F.collect_list(F.when(F.col("long"), F.col("value")))).alias("values"),
-        F.sort_array(F.collect_list(F.when(F.col("long").isNull(), F.col("value")))).alias("quiet"),
-        F.sum(F.when(F.col("long").isNull() & (F.col("rank") < JUDGED), 1).otherwise(0)).alias("at_ease"))
-    easy = (F.col("at_ease") >= AT_EASE) | ((F.col("n") <= INDEX) & (3 * F.size("quiet") > F.col("n")))
-    by_class = materialise(by_class.withColumn("crowded", ~easy))
-
-    ranked = by_class.filter(F.size("quiet") > 0).select("rep", "n", F.size("quiet").alias("k"), F.posexplode("quiet").alias("rank", "value")).join(short, "value")
-    a = ranked.select("value", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("k").alias("ak"), F.col("rank").alias("ar"))
-    b = ranked.select("value", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("k").alias("bk"), F.col("rank").alias("br"))
+        F.sort_array(F.collect_list("value")).alias("sketch"),
+        F.sort_array(F.collect_list(F.when(F.col("long"), F.col("value")))).alias("values"))
+    # the union sketch of a linked pair has at least this many values: the smaller set has percent of the larger at least
+    least = F.least(F.lit(INDEX), F.col("n") * percent / 100)
+    by_class = materialise(by_class.withColumn("crowded", (F.size("values") > 0) & (F.size("values") >= ESTIMATE * least)))
+
+    ranked = by_class.select("rep", "n", "values", F.size("sketch").alias("k"), F.size("values").alias("l"), F.posexplode("sketch").alias("rank", "value"))
+    ranked = ranked.filter(~F.array_contains("values", F.col("value"))).drop("values").join(short, "value")
+    a = ranked.select("value", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("k").alias("ak"), F.col("l").alias("al"), F.col("rank").alias("ar"))
+    b = ranked.select("value", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("k").alias("bk"), F.col("l").alias("bl"), F.col("rank").alias("br"))
     fits = (F.col("a") < F.col("b")) & (100 * F.least("an", "bn") >= percent * F.greatest("an", "bn"))
-    shared = a.join(b, "value").filter(fits).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("ar", "br"))).alias("at"), F.least(F.first("ak"), F.first("bk")).alias("k"))
-    in_union = F.expr("size(filter(at, (x, i) -> x.ar + x.br - i < k))")
-    pairs = materialise(shared.filter(in_union >= ESTIMATE * F.col("k")).select("a", "b"))
+    shared = a.join(b, "value").filter(fits).groupBy("a", "b").agg(
+        F.sort_array(F.collect_list(F.struct("ar", "br"))).alias("at"), F.least(F.first("ak"), F.first("bk")).alias("k"), F.least(F.first("al"), F.first("bl")).alias("l"))
+    # without long values on one side the short ones are all; else they and the long ones it could share bound the estimate
+    in_union = F.expr("if(l = 0, size(filter(at, (x, i) -> x.ar + x.br - i < k)), size(at) + l)")
+    likely = materialise(shared.filter(in_union >= ESTIMATE * F.col("k")).select("a", "b", "k", (F.col("l") > 0).alias("open")))
+    sketches = by_class.filter(F.size("values") > 0).select("rep", "sketch")
+    opened = likely.filter("open").join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("y")), "b")
+    whole = F.expr("size(array_intersect(array_intersect(x, y), slice(array_sort(array_union(x, y)), 1, k)))")
+    pairs = materialise(likely.filter("not open").select("a", "b").unionByName(opened.filter(whole >= ESTIMATE * F.col("k")).select("a", "b")))
     crowded = by_class.filter("crowded").select("rep", "n", "values")
 
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(crowded.select("rep")).distinct()

@@ -122,6 +122,23 @@ def test_near_duplicates_equal_brute_force(spark, docs, edges, nothing):
     assert bottomk.near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_share_a_passage_with_many_documents(spark):
+    rnd = random.Random(11)
+    some = lambda n: [f"p{rnd.randrange(10**7)}" for _ in range(n)]
+    rows = []
+    for passage, own in ((100, 60), (110, 44), (120, 30), (130, 20)):
+        shared = some(passage)
+        for _ in range(50):
+            # two copies of one text and its passage, each with words of its own: 0.75 to 0.80 of the union is shared
+            common = shared + some(own)
+            edits = rnd.randrange(len(common) * 125 // 1000, len(common) * 160 // 1000 + 1)
+            rows += [(len(rows) + i, " ".join(common + some(edits))) for i in range(2)]
+    got = bottomk.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want, _ = brute_components(rows)
+    assert sum(want[k] != k for k in want) > 100
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101), (5, 5)]
     got = dict(map(tuple, components.components(spark.createDataFrame(links, "a long, b long")).collect()))
