@@ -168,6 +168,26 @@ def test_planted_passage_goes(spark):
     assert passage in out[1] and len(out[3].split()) == 150 and len(out[2].split()) < 150
 
 
+def test_every_passage_of_51_words_holds_a_span(spark):
+    rnd = random.Random(17)
+    some = lambda n, kinds: " ".join(f"u{rnd.randrange(kinds)}" for _ in range(n))
+    rows, passages = [], []
+    for i in range(600):
+        passages.append(some(51, (1, 2, 3, 10, 50, 10**6)[i % 6]))
+        rows += [(2 * i, f"{some(40, 10**9)} {passages[-1]} {some(20, 10**9)}"), (2 * i + 1, f"{some(25, 10**9)} {passages[-1]} {some(33, 10**9)}")]
+    out = {r.doc_id: r.text for r in spans.strip_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, passage in enumerate(passages):
+        codes = [set(spans.spans(t)[0].tolist()) for _, t in rows[2 * i : 2 * i + 2]]
+        assert codes[0] & codes[1]
+        assert passage not in out[2 * i + 1]
+
+
+@pytest.mark.parametrize("word", ["a", "b", "c", "d", "e", "f"])
+def test_whole_copies_of_few_words_go(spark, word):
+    df = spark.createDataFrame([(1, f"{word} " * 16), (2, f"{word} " * 16)], "doc_id long, text string")
+    assert {r.doc_id: r.text.split() for r in spans.strip_repeats(df).collect()} == {1: [word] * 16, 2: []}
+
+
 def test_packing(spark, docs, edges, nothing):
     both = docs.select("doc_id", "text", "source").union(edges.select(F.col("doc_id") + 10**6, "text", "source"))
     rows = packing.pack_documents(both, 300).collect()
