@@ -5,7 +5,8 @@ repeated group.  Wrappers of one host are aligned pair by pair: children that ma
 has become optional, runs become repeated groups, and the texts below become text slots with their sums of characters
 and link characters.  The merged wrapper then says which slots are the article: regions of navigation, notices,
 adverts, forms and comments go by their tags, names and link share, and where the host marks an article or main
-region only that is read.
+region only that is read.  Each page is aligned with the wrapper once more, and its blocks share the verdict of the slot
+they fall into: siblings of one key in two slots are judged apart.
 
 Aligning is associative up to the order of optional parts, so tasks merge what they read, salted groups merge the
 partial wrappers of a host, and one small merge ends it; a host with a third of all pages needs nothing else.
@@ -131,8 +132,16 @@ def learned(node: Node) -> list:
     return [node.key, 1, 0, chars, links, _folded(children)]
 
 
-def _folded(children: list) -> list:
-    """Runs of equal groups of one to three neighbours become one repeated group each."""
+def _merged(a: list, b: list) -> list:
+    return _one_page(aligned(a, b))
+
+
+def _repeated(c: list) -> list:
+    return [*c[:2], 1, *c[3:]]
+
+
+def _folded(children: list, merged=_merged, repeated=_repeated) -> list:
+    """Runs of equal groups of one to three neighbours become one repeated group each; a child's key comes first in it."""
     for period in range(1, PERIOD + 1):
         out: list = []
         at = 0
@@ -142,10 +151,10 @@ def _folded(children: list) -> list:
             end = at + period
             if len(group) == period and (period == 1 or len(set(keys)) > 1):
                 while [c[0] for c in children[end : end + period]] == keys:
-                    group = [_one_page(aligned(a, b)) for a, b in zip(group, children[end : end + period], strict=True)]
+                    group = [merged(a, b) for a, b in zip(group, children[end : end + period], strict=True)]
                     end += period
             if end > at + period:
-                out += [[*c[:2], 1, *c[3:]] for c in group]
+                out += [repeated(c) for c in group]
                 at = end
             else:
                 out.append(children[at])
@@ -158,27 +167,33 @@ def _one_page(w: list) -> list:
     return [w[0], 1, *w[2:5], [_one_page(c) for c in w[5]]]
 
 
+def _paired(ka: list, kb: list) -> list:
+    """The places of a longest common subsequence in order, (i, j); those of one side only have None for the other."""
+    if ka == kb:
+        return [(i, i) for i in range(len(ka))]
+    longest = [[0] * (len(kb) + 1) for _ in range(len(ka) + 1)]
+    for i in range(len(ka) - 1, -1, -1):
+        for j in range(len(kb) - 1, -1, -1):
+            longest[i][j] = longest[i + 1][j + 1] + 1 if ka[i] == kb[j] else max(longest[i + 1][j], longest[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(ka) or j < len(kb):
+        if i < len(ka) and j < len(kb) and ka[i] == kb[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif j == len(kb) or i < len(ka) and longest[i + 1][j] >= longest[i][j + 1]:
+            out.append((i, None))
+            i += 1
+        else:
+            out.append((None, j))
+            j += 1
+    return out
+
+
 def aligned(a: list, b: list) -> list:
     """The wrapper that covers both; parts of one side only have fewer pages than what holds them: they are optional."""
     ka, kb = [c[0] for c in a[5]], [c[0] for c in b[5]]
-    if ka == kb:
-        children = [aligned(x, y) for x, y in zip(a[5], b[5], strict=True)]
-    else:
-        longest = [[0] * (len(kb) + 1) for _ in range(len(ka) + 1)]
-        for i in range(len(ka) - 1, -1, -1):
-            for j in range(len(kb) - 1, -1, -1):
-                longest[i][j] = longest[i + 1][j + 1] + 1 if ka[i] == kb[j] else max(longest[i + 1][j], longest[i][j + 1])
-        children, i, j = [], 0, 0
-        while i < len(ka) or j < len(kb):
-            if i < len(ka) and j < len(kb) and ka[i] == kb[j]:
-                children.append(aligned(a[5][i], b[5][j]))
-                i, j = i + 1, j + 1
-            elif j == len(kb) or i < len(ka) and longest[i + 1][j] >= longest[i][j + 1]:
-                children.append(a[5][i])
-                i += 1
-            else:
-                children.append(b[5][j])
-                j += 1
+    children = [b[5][j] if i is None else a[5][i] if j is None else aligned(a[5][i], b[5][j]) for i, j in _paired(ka, kb)]
+    if ka != kb:
         children = _folded_wrapper(children)
     return [a[0], a[1] + b[1], a[2] | b[2], a[3] + b[3], a[4] + b[4], children]
 
@@ -220,40 +235,38 @@ def _mass(w: list) -> tuple[int, int]:
     return chars, links
 
 
-def rules(w: list) -> tuple[frozenset, frozenset]:
-    """Paths of the wrapper that are dropped with all below, and paths of article or main regions."""
-    dropped, regions = set(), set()
+def slots(w: list, inside: bool = False, top: bool = True) -> list:
+    """The wrapper with its verdicts: [key, dropped with all below, an article or main region, slots below]."""
+    if not top and _drops(w, inside):
+        return [w[0], True, False, []]
+    tag, _, names = w[0].partition(" ")
+    region = not inside and (tag in ("article", "main") or "main" in names.split(" ") and tag != "body") and _mass(w)[0] > 0
+    return [w[0], False, region, [slots(c, inside or region, False) for c in w[5]]]
 
-    def walk(node: list, path: tuple, inside: bool) -> None:
-        path = (*path, node[0])
-        if path[1:] and _drops(node, inside):
-            dropped.add(path)
-            return
-        tag, _, names = node[0].partition(" ")
-        if not inside and (tag in ("article", "main") or "main" in names.split(" ") and tag != "body") and _mass(node)[0]:
-            regions.add(path)
-            inside = True
-        for c in node[5]:
-            walk(c, path, inside)
 
-    walk(w, (), False)
-    return frozenset(dropped), frozenset(regions)
+def placed(node: Node, slot: list, found: dict) -> dict:
+    """The slot of each block of the page in sight and not dropped, by the block's id()."""
+    found[id(node)] = slot
+    if slot[1]:
+        return found
+    blocks = [[p.key, [p]] for p in node.parts if isinstance(p, Node) and not p.hidden]
+    groups = _folded(blocks, lambda a, b: [a[0], a[1] + b[1]], lambda c: c)
+    for i, j in _paired([s[0] for s in slot[3]], [g[0] for g in groups]):
+        for block in groups[j][1] if i is not None and j is not None else ():
+            placed(block, slot[3][i], found)
+    return found
 
 
-def article(root: Node, dropped: frozenset, regions: frozenset) -> str:
+def article(root: Node, wrapper: list) -> str:
     """The blocks of the regions (of the whole page where it has none of them), each with single spaces, one a line."""
-
-    def has(node: Node, path: tuple) -> bool:
-        path = (*path, node.key)
-        return path in regions or any(has(p, path) for p in node.parts if isinstance(p, Node) and not p.hidden)
-
+    verdicts = placed(root, wrapper, {})
     blocks: list[str] = []
 
-    def walk(node: Node, path: tuple, inside: bool) -> None:
-        path = (*path, node.key)
-        if node.hidden or path in dropped:
+    def walk(node: Node, inside: bool) -> None:
+        _, dropped, region, _ = verdicts.get(id(node), wrapper)
+        if node.hidden or dropped:
             return
-        inside = inside or path in regions
+        inside = inside or region
         run: list[str] = []
 
         def flush() -> None:
@@ -265,12 +278,12 @@ def article(root: Node, dropped: frozenset, regions: frozenset) -> str:
         for part in node.parts:
             if isinstance(part, Node):
                 flush()
-                walk(part, path, inside)
+                walk(part, inside)
             elif inside:
                 run.append(part[0])
         flush()
 
-    walk(root, (), not (regions and has(root, ())))
+    walk(root, not any(s[2] for s in verdicts.values()))
     return "\n".join(blocks)
 
 
@@ -317,15 +330,15 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     joined = own.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host").select("key", "url", "html", "host", "wrapper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[frozenset, frozenset]] = {}
+        known: dict[str, list] = {}
         for batch in batches:
             texts = []
             for page, host, wrapper in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 if host not in known:
                     if len(known) >= HELD_HOSTS:
                         known.clear()
-                    known[host] = rules(json.loads(wrapper))
-                texts.append(article(tree(page or ""), *known[host]))
+                    known[host] = slots(json.loads(wrapper))
+                texts.append(article(tree(page or ""), known[host]))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["key", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, f"key {kind.simpleString()}, url string, text string, n_chars long").withColumnRenamed("key", key)

@@ -299,6 +299,17 @@ def test_wrapper(spark):
     assert "(<p> #TEXT </p>)+" in wrappers.expression(wrappers.learned(wrappers.tree("<p>a<p>b<p>c")))
 
 
+@pytest.mark.parametrize(("body", "want"), [
+    ("<article><p><a href=1>By the same author</a></p><h2>H{0}</h2><p>First text {0}.</p><div>Middle {0}.</div><p>Last text {0}.</p></article>", "H{0}\nFirst text {0}.\nMiddle {0}.\nLast text {0}."),
+    ("<div><a href=1>home</a> <a href=2>shop</a></div><h1>H{0}</h1><div>The article {0}.</div>", "H{0}\nThe article {0}."),
+    ("<article><ul><li><a href=1>related</a><li><a href=2>more</a></ul><p>Text {0}.</p><ul><li>own {0}<li>list</ul></article>", "Text {0}.\nown {0}\nlist"),
+])
+def test_wrapper_judges_slots_apart(spark, body, want):
+    rows = [(i, "http://h.example.org/x", f"<html><body>{body.format(i)}</body></html>") for i in range(5)]
+    out = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in out} == {i: want.format(i) for i in range(5)}
+
+
 def encode_fully(pixels, cache_bits=4, tile=2):
     """Writes every feature of the format: predictor, cross colour, subtract green, two entropy groups, references, cache."""
     height, width = pixels.shape
