@@ -46,6 +46,10 @@ _NAMED = re.compile(
     r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription"
     r"|share|sharing|social|sidebar|widget|related|recommend(?:ed|ations)?|breadcrumbs?|menu|nav(?:bar|igation)?|comments?|disqus|replies|respond|footer|masthead|site-header|page-header|login|signup|search|pagination|pager|toolbar|skip|tags|byline-links|copyright|disclaimer)(?:$|[-_\s\d])",
     re.I)
+#: Names that say what a text is about, not what the block is.
+_TOPIC = re.compile(r"(?:tag|category)-", re.I)
+#: Stands in the key of a block that goes by one of its names.
+DROPS = "!"
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
@@ -60,14 +64,19 @@ class Node:
 
 
 def _named(tag: str, raw: str) -> tuple[str, bool]:
-    """The key of a tag (with its class, id and role, but for names with digits), and whether it is out of sight."""
+    """The key of a tag, and whether it is out of sight.
+
+    The key takes the first names of class, id and role without digits, so that it is alike on all pages of a host, then
+    the mark DROPS where any of all its names is one of those that are dropped, and "main" where any name is that.
+    """
     if not raw.strip():
         return tag, False
     found = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTRIBUTE.findall(raw)}
-    names = [n for k in ("class", "id", "role") for n in found.get(k, "").split()[:3]]
-    names = [n for n in names if not re.search(r"\d", n)]
+    every = [found.get(k, "").split() for k in ("class", "id", "role")]
+    names = [n for some in every for n in some[:3] if not re.search(r"\d", n)]
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I) is not None
-    return " ".join([tag, *names])[:80], hidden
+    marks = [DROPS] * any(_NAMED.search(n) and not _TOPIC.match(n) for some in every for n in some) + ["main"] * any("main" in some for some in every)
+    return " ".join([" ".join([tag, *(n for n in names if n not in (DROPS, "main"))])[:80].rstrip(), *marks]), hidden
 
 
 def tree(html: str) -> Node:
@@ -221,7 +230,7 @@ def _drops(w: list, inside: bool) -> bool:
     tag, _, names = w[0].partition(" ")
     if tag in _DROPPED or tag == "header" and not inside:
         return True
-    if names and tag not in ("body", "html", "main") and any(_NAMED.search(n) for n in names.split(" ")):
+    if tag not in ("body", "html", "main") and DROPS in names.split(" "):
         return True
     chars, links = _mass(w)
     return tag in ("ul", "ol", "div", "section", "table", "p") and links > 0.6 * chars and links / max(1, w[1]) > 0

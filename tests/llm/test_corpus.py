@@ -310,6 +310,22 @@ def test_wrapper_judges_slots_apart(spark, body, want):
     assert {r.page_id: r.text for r in out} == {i: want.format(i) for i in range(5)}
 
 
+@pytest.mark.parametrize("names", [
+    "class='ad-300x250'", "class='sidebar2'", "class='widget-3'", "id='comments-17'", "class='col box wide advert'", f"class='{'x' * 60} {'y' * 30} share'", "class='a b c d e' id=post role=x class2=y data-z='1' id='newsletter-9'",
+])
+def test_wrapper_reads_every_name(spark, names):
+    rows = [(i, "http://h.example.org/x", f"<body><div class='col box wide text'><p>Text {i}</p></div><div {names}><p>Not text {i}</p></div><div class='one two three main'><p>More {i}</p></div></body>") for i in range(4)]
+    out = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in out} == {i: f"More {i}" for i in range(4)}
+    rows = [(i, u, h.replace("three main", "three")) for i, u, h in rows]
+    out = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in out} == {i: f"Text {i}\nMore {i}" for i in range(4)}
+
+
+def test_wrapper_keeps_articles_about_adverts():
+    assert wrappers.tree("<article class='post type-post status-publish tag-ads category-social'>x").parts[0].key == "article post type-post status-publish"
+
+
 def encode_fully(pixels, cache_bits=4, tile=2):
     """Writes every feature of the format: predictor, cross colour, subtract green, two entropy groups, references, cache."""
     height, width = pixels.shape
