@@ -28,9 +28,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that of the smallest id."""
+    """One document of each near-duplicate group stays, that of the smallest id; rows of null id are in no group and stay."""
     kept = bottomk.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_sw_key"))
-    return docs.join(kept.distinct(), docs["doc_id"] == F.col("_sw_key"), "left_semi")
+    named = docs.join(kept.distinct(), docs["doc_id"] == F.col("_sw_key"), "left_semi")
+    return named.unionByName(docs.filter("doc_id is null"))
 
 
 def span_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

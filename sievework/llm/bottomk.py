@@ -15,7 +15,8 @@ smallest values of its union with a probability of about 0.25^10, and its estima
 both are less above.  Every reported link is verified.  Components are the smallest ids reachable over links.
 
 Null text and text without words: an empty set, linked with nothing, kept.  Fewer than five words are one shingle.
-Repeated rows of one id are one document; each row gets its result.  Only the key and the text are read.
+Repeated rows of one id are one document; each row gets its result.  Rows of null id link with nothing: they are kept,
+and their component is null.  Only the key and the text are read.
 """
 from __future__ import annotations
 
@@ -203,5 +204,5 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     links = _verified(pairs, sets, percent).unionByName(_crowded_links(crowded, sets, percent))
     found = components(links)
     out = member.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "key")
-    return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), (F.col("key") == component).alias("kept"))
+    component = F.when(F.col("key").isNotNull(), F.coalesce("component", "rep", "key"))
+    return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))

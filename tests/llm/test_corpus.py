@@ -139,6 +139,17 @@ def test_near_duplicates_share_a_passage_with_many_documents(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_near_duplicates_keep_null_ids(spark):
+    import corpus_pipeline
+
+    rows = [(5, "a b c d e f g", "en", "s", 13), (None, "a b c d e f g", "en", "s", 13), (None, "own words", None, "s", 9), (6, "a b c d e f g", "en", "t", 13), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in bottomk.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(5, 3, 5, True), (6, 3, 5, False), (None, 3, None, True), (None, 1, None, True), (None, 0, None, True)], key=str)
+    left = corpus_pipeline.near_dedup(spark, df, SF)
+    assert left.columns == df.columns and sorted(map(tuple, left.collect()), key=str) == sorted([r for r in rows if r[0] != 6], key=str)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101), (5, 5)]
     got = dict(map(tuple, components.components(spark.createDataFrame(links, "a long, b long")).collect()))
