@@ -28,7 +28,7 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: the lineage ends there and survives lost executors."""
     path = f"{scratch_dir(df.sparkSession)}/sievework-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     df.sparkSession.sparkContext._jvm.System.gc()  # what only the written plan used, its shuffle files among it, can go now
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -45,3 +45,11 @@ def crc_mod(col: Column, mod: int) -> Column:
 
 def blocks_for(total: int, per_block: int) -> int:
     return max(1, -(-int(total or 0) // per_block))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -5,10 +5,12 @@ bytes, and the weighted probability of the whole training text, mixed over all t
 Krichevsky-Trofimov estimates of their nodes, gives each node its weight.  A text's score is the log10 probability of
 its lower-cased (A-Z) bytes and its end under those weights; contexts that training never reached end the path.
 
-The counts are of all grams (DEPTH + 1 bytes) of the training texts.  They are gathered by blocks of documents, summed
-over the blocks, and weighted in buckets that hold whole subtrees of three bytes, so no task sees more than a part of
-the tree.  Only nodes of at most two context bytes meet in the driver: 65,793 contexts of 255 decisions at most,
-whatever the corpus.  Each block then gets back the values of its own grams and words by a join, and scores its texts.
+The counts are of all grams (DEPTH + 1 bytes) of the training texts.  They are gathered by blocks of documents as the
+scan reads them, without a shuffle of texts; summed over the blocks; and weighted in buckets that hold whole subtrees of
+three bytes, so no task sees more than a part of the tree.  Only nodes of at most two context bytes meet in the driver,
+and are broadcast: 65,793 contexts of 255 decisions at most, 24 bytes each, whatever the corpus.  Each block then gets
+back the values of its own grams and words by a join, and scores its texts.  A block is cut by bytes; a single text
+longer than that is a block of its own and is read in slices, so a task holds about one block's bytes and grams.
 
 Null text is empty: one token, the end, and its probability.  Rows of one id each get their own, equal result.
 Without training rows every estimate is 1/2 and the base is 0.  Only the key and the text are read.
@@ -17,24 +19,26 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import ascii_lower, blocks_for, materialise
 
 DEPTH = 5
 #: Subtrees of this many context bytes lie in one bucket; shallower nodes are few and shared.
 SPLIT = 3
-BLOCK_BYTES = 48 << 20
-LEAST_BLOCKS = 8
+BLOCK_BYTES = 32 << 20
 BUCKET_GRAMS = 400_000
 #: No UTF-8 text holds this byte: it stands before the first byte and is the end.
 _EDGE = 255
-_CHUNK = 2 << 20
+_CHUNK = 1 << 20
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -62,28 +66,30 @@ def _weigh(n0, n1, below):
     return np.logaddexp(own, below) - math.log(2), 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The gram at each byte and end of the texts, the nearest context byte first, the byte itself last; and where each
-    text's begin."""
+def grams(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Slices of the grams at each byte and end of the texts, the nearest context byte first, the byte itself last; and
+    which text each stands in.  A slice begins at a text or inside one that is longer than a slice."""
     edge = bytes([_EDGE])
-    flat = np.frombuffer(b"".join([edge * DEPTH + t + edge for t in texts]), np.uint8).astype(np.int64)
-    key = np.zeros(max(0, len(flat) - DEPTH), np.int64)
-    for d in range(1, DEPTH + 1):
-        key = (key << 8) | flat[DEPTH - d : len(flat) - d]
-    key = (key << 8) | flat[DEPTH:]
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    begin = np.cumsum(sizes + DEPTH) - sizes - DEPTH
-    own = np.ones(len(key), bool)
-    for d in range(DEPTH):  # grams at the edges before all texts but the first
-        own[begin[1:] - DEPTH + d] = False
-    return key[own], np.cumsum(sizes) - sizes
-
-
-def _chunks(texts: list[bytes]):
+    for first, part in _chunks(texts):
+        flat = np.frombuffer(b"".join([edge * DEPTH + t + edge for t in part]), np.uint8)
+        ends = np.cumsum([len(t) + 1 + DEPTH for t in part])
+        for low in range(DEPTH, len(flat), _CHUNK):
+            high = min(low + _CHUNK, len(flat))
+            key = np.zeros(high - low, np.int64)
+            for d in range(1, DEPTH + 1):
+                key = (key << 8) | flat[low - d : high - d]
+            key = (key << 8) | flat[low:high]
+            at = np.arange(low, high)
+            owner = np.searchsorted(ends, at, "right")
+            own = at - (ends - [len(t) + 1 for t in part])[owner] >= 0  # not the edges before a text
+            yield key[own], owner[own] + first
+
+
+def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
     """(first, texts) of bounded sizes, a single longer text aside."""
-    at = first = size = 0
+    first = size = 0
     for at, t in enumerate(texts):
-        if size and size + len(t) > _CHUNK:
+        if size and size + len(t) > _CHUNK // 2:
             yield first, texts[first:at]
             first, size = at, 0
         size += len(t) + 1
@@ -91,6 +97,60 @@ def _chunks(texts: list[bytes]):
         yield first, texts[first:]
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about half a chunk of text."""
+    size = np.cumsum(pa.compute.binary_length(batch.column(2)).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + _CHUNK // 2, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+class _Known(dict):
+    """word: its count; a block's counts come in the order in which its words first occur."""
+
+    def __init__(self, counts: np.ndarray):
+        super().__init__()
+        self._counts = counts
+
+    def __missing__(self, word: bytes) -> float:
+        self[word] = c = float(self._counts[len(self)])
+        return c
+
+
+class _Block:
+    """The grams and words of the texts of one block, with how often they teach."""
+
+    def __init__(self):
+        self.size, self.seen, self.times, self.words = 0, [], [], Counter()
+
+    def add(self, texts: list[bytes], teaches: list[bool]) -> None:
+        for teach in (True, False):
+            for key, _ in grams([t for t, x in zip(texts, teaches, strict=True) if x == teach]):
+                found, n = np.unique(key, return_counts=True)
+                self.seen.append(found)
+                self.times.append(n if teach else np.zeros(len(n), np.int64))
+        if len(self.seen) >= 12:
+            self._merge()
+        for t, teach in zip(texts, teaches, strict=True):
+            self.size += len(t) + 1
+            self.words.update(t.split() if teach else dict.fromkeys(t.split(), 0))
+
+    def _merge(self) -> None:
+        merged, place = np.unique(np.concatenate(self.seen), return_inverse=True)
+        self.times = [np.bincount(place, np.concatenate(self.times), len(merged)).astype(np.int64)]
+        self.seen = [merged]
+
+    def rows(self) -> Iterator[dict]:
+        """Grams, and words under the numbers -1, -2, ... in the order of their first occurrence."""
+        if self.seen:
+            self._merge()
+            yield {"gram": pa.array(self.seen[0]), "n": pa.array(self.times[0])}
+        if self.words:
+            yield {"gram": pa.array(-1 - np.arange(len(self.words))), "word": pa.array(list(self.words), pa.binary()), "n": pa.array(list(self.words.values()), pa.int64())}
+
+
 def _levels(key: np.ndarray, n: np.ndarray, lowest: int):
     """For each of the 8 decisions: the bit and the node of each gram; nodes from DEPTH up to ``lowest`` context bytes as
     (place of each gram's node, n0, n1, weight), deepest first, and those of ``lowest`` with their weighted logs."""
@@ -195,77 +255,79 @@ def score(df: DataFrame, training: Column, key: str = "doc_id", text: str = "tex
     ``training`` says which rows teach.  The base is a unigram model of words with one added count.
     """
     own = df.select(F.col(f"`{key}`").alias("key"), F.coalesce(training, F.lit(False)).alias("training"), ascii_lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))).cast("binary").alias("t"))
-    facts = own.agg(F.sum(F.octet_length("t")).alias("size"), F.count_if("training").alias("ends")).first()
-    blocks = max(LEAST_BLOCKS, blocks_for(facts.size, BLOCK_BYTES))
-    own = own.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-
-    def gather(table: pa.Table) -> pa.Table:
-        texts, teaches = table.column("t").to_pylist(), table.column("training").to_pylist()
-        words: Counter = Counter()
-        seen, times = [], []
-        for teach in (True, False):
-            chosen = [t for t, x in zip(texts, teaches, strict=True) if x == teach]
-            for _, part in _chunks(chosen):
-                found, n = np.unique(grams(part)[0], return_counts=True)
-                seen.append(found)
-                times.append(n if teach else np.zeros(len(n), np.int64))
-                if len(seen) >= 16:
-                    merged, place = np.unique(np.concatenate(seen), return_inverse=True)
-                    times = [np.bincount(place, np.concatenate(times), len(merged)).astype(np.int64)]
-                    seen = [merged]
-            for t in chosen:
-                if teach:
-                    words.update(t.split())
-                else:
-                    words.update(dict.fromkeys(t.split(), 0))
-        merged, place = np.unique(np.concatenate(seen), return_inverse=True)
-        n = np.bincount(place, np.concatenate(times), len(merged)).astype(np.int64)
-        listed = list(words)
-        return pa.table({
-            "block": pa.array(np.full(len(merged) + len(listed), table.column("block")[0].as_py(), np.int32)),
-            "gram": pa.concat_arrays([pa.array(merged), pa.nulls(len(listed), pa.int64())]),
-            "word": pa.concat_arrays([pa.nulls(len(merged), pa.binary()), pa.array(listed, pa.binary())]),
-            "n": pa.concat_arrays([pa.array(n), pa.array([words[w] for w in listed], pa.int64())]),
-        })
-
-    found = materialise(own.select("block", "training", "t").groupBy("block").applyInArrow(gather, "block int, gram long, word binary, n long"))
-    of_grams, of_words = found.filter("gram is not null"), found.filter("word is not null")
+    kind = own.schema["key"].dataType
+    stored = pa.schema([
+        ("block", pa.int64()), ("part", pa.int64()), ("keys", pa.list_(to_arrow_type(kind))), ("teaches", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("texts", pa.binary()),
+        ("gram", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, parts = TaskContext.get().partitionId() << 32, _Block(), 0
+
+        def batch_of(columns: dict) -> pa.RecordBatch:
+            rows = len(next(iter(columns.values())))
+            columns["block"] = pa.array(np.full(rows, number, np.int64))
+            return pa.record_batch([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(rows, f.type) for f in stored], schema=stored)
+
+        for batch in batches:
+            for part in _slices(batch):
+                texts, teaches = part.column(2).to_pylist(), part.column(1).to_pylist()
+                held.add(texts, teaches)
+                whole = pa.array([0, len(texts)], pa.int32())
+                listed = [pa.ListArray.from_arrays(whole, c) for c in (pa.concat_arrays([part.column(0)]), pa.array(teaches, pa.bool_()), pa.array(map(len, texts), pa.int64()))]
+                packed = pa.array([pa.compress(b"".join(texts), "zstd", asbytes=True)], pa.binary())
+                yield batch_of(dict(zip(("part", "keys", "teaches", "sizes", "texts"), (pa.array([parts], pa.int64()), *listed, packed), strict=True)))
+                parts += 1
+                if held.size >= BLOCK_BYTES:
+                    yield from map(batch_of, held.rows())
+                    number, held = number + 1, _Block()
+        yield from map(batch_of, held.rows())
+
+    kinds = f"block long, part long, keys array<{kind.simpleString()}>, teaches array<boolean>, sizes array<long>, texts binary, gram long, word binary, n long"
+    found = materialise(own.mapInArrow(gather, kinds))
+    of_docs, of_grams, of_words = found.filter("texts is not null"), found.filter("gram >= 0"), found.filter("word is not null")
     totals = materialise(of_grams.groupBy("gram").agg(F.sum("n").alias("n")))
     valued = gram_values(totals)
     counts = of_words.groupBy("word").agg(F.sum("n").alias("c"))
     sums = counts.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    ends = facts.ends
+    ends = of_docs.agg(F.sum(F.size(F.filter("teaches", lambda x: x)))).first()[0] or 0
     all_tokens = (sums.n or 0) + ends
     distinct = (sums.v or 0) + (1 if ends else 0)
     down = math.log10(all_tokens + distinct + 1)
-    back = of_grams.join(valued, "gram").select("block", "gram", "value", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("c"))
-    back = back.unionByName(of_words.join(counts, "word").select("block", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("double").alias("value"), "word", "c"))
-    back = materialise(back)
+    back = of_grams.select("block", "gram").join(valued, "gram").select("block", "gram", "value")
+    back = back.unionByName(of_words.select("block", "gram", "word").join(counts, "word").select("block", "gram", F.col("c").cast("double").alias("value")))
 
     def scored(docs: pa.Table, known: pa.Table) -> pa.Table:
-        texts = docs.column("t").to_pylist()
-        rows = known.filter(pa.compute.is_valid(known.column("gram")))
-        ids, value = rows.column("gram").to_numpy(), rows.column("value").to_numpy()
-        order = np.argsort(ids)
-        ids, value = ids[order], value[order]
-        rows = known.filter(pa.compute.is_valid(known.column("word")))
-        count = dict(zip(rows.column("word").to_pylist(), rows.column("c").to_pylist(), strict=True))
-        total = np.zeros(len(texts))
-        for first, part in _chunks(texts):
-            found, begin = grams(part)
-            found, place = np.unique(found, return_inverse=True)
-            total[first : first + len(part)] = np.add.reduceat(value[np.searchsorted(ids, found)][place], begin)
-        tokens, hits, base = [], [], []
-        for t in texts:
-            c = np.fromiter(map(count.__getitem__, words := t.split()), np.float64, len(words))
-            tokens.append(len(words) + 1)
-            hits.append(int((c > 0).sum()) + (ends > 0))
-            base.append(float(np.log10(c + 1).sum()) + math.log10(ends + 1) - down * (len(words) + 1))
-        size = np.array([len(t) + 1 for t in texts])
-        return pa.table({
-            "key": docs.column("key"), "training": docs.column("training"), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(hits, pa.int64()),
-            "train_tokens": pa.array([all_tokens] * len(texts), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(total), "bits_per_byte": pa.array(-total * math.log2(10) / size)})
-
-    kind = own.schema["key"].dataType.simpleString()
-    out = own.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(scored, f"key {kind}, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+        order = np.argsort(ids := known.column("gram").to_numpy())
+        ids, value = ids[order], known.column("value").to_numpy()[order]
+        words = int(np.searchsorted(ids, 0))
+        count = _Known(value[:words][::-1])
+        ids, value = ids[words:], value[words:]
+        del order, known
+        done = []
+        for row in docs.sort_by("part").to_batches(max_chunksize=1):
+            sizes = row.column("sizes")[0].values.to_numpy()
+            joined = pa.decompress(row.column("texts")[0].as_buffer(), int(sizes.sum()), "zstd", asbytes=True)
+            ends_at = np.cumsum(sizes).tolist()
+            texts = [joined[a:b] for a, b in zip([0, *ends_at], ends_at, strict=False)]
+            total = np.zeros(len(texts))
+            for taught in (True, False):  # the slices of grams() as gather made them
+                chosen = [i for i, x in enumerate(row.column("teaches")[0].as_py()) if x == taught]
+                part = np.zeros(len(chosen))
+                for found, owner in grams([texts[i] for i in chosen]):
+                    found, place = np.unique(found, return_inverse=True)
+                    part += np.bincount(owner, value[np.searchsorted(ids, found)][place], len(chosen))
+                total[chosen] = part
+            tokens, hits, base = [], [], []
+            for t in texts:
+                c = np.fromiter(map(count.__getitem__, t.split()), np.float64)
+                tokens.append(len(c) + 1)
+                hits.append(int((c > 0).sum()) + (ends > 0))
+                base.append(float(np.log10(c + 1).sum()) + math.log10(ends + 1) - down * (len(c) + 1))
+            done.append(pa.table({
+                "key": row.column("keys")[0].values, "training": row.column("teaches")[0].values, "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(hits, pa.int64()),
+                "train_tokens": pa.array([all_tokens] * len(texts), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(total), "bits_per_byte": pa.array(-total * math.log2(10) / (sizes + 1))}))
+        return pa.concat_tables(done)
+
+    docs = of_docs.select(F.col("block").alias("block"), "part", "keys", "teaches", "sizes", "texts")
+    out = docs.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(scored, f"key {kind.simpleString()}, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
     return out.withColumnRenamed("key", key)

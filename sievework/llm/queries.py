@@ -46,7 +46,7 @@ def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spans.strip_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("_sw_gone").alias("n_removed"), "text")
+    return out.select("doc_id", "n_removed", "text")
 
 
 def op9_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,20 +156,121 @@ def test_components(spark):
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100, 102: 100}
 
 
+def brute_parts(text):
+    """[(sentence, [words])], by the rules of the docstring, word by word."""
+    import xxhash
+
+    out, number = [], 0
+    for line in (text or "").split("\n"):
+        sentence = []
+        found = [w.encode().lower() for w in words(line)]
+        for i, w in enumerate(found):
+            sentence.append(w)
+            if i == len(found) - 1 or re.search(rb"[.!?][\"')\]]*$", w):
+                cuts = {len(sentence)}
+                if len(sentence) > 8:
+                    order = [(xxhash.xxh3_64_intdigest(x) >> 24, -k) for k, x in enumerate(sentence)]
+                    cuts |= {1 - min(order[k : k + 8])[1] for k in range(len(sentence) - 7)}
+                cuts = [0, *sorted(cuts)]
+                out += [(number, sentence[a:b]) for a, b in zip(cuts, cuts[1:])]
+                number, sentence = number + 1, []
+    return out
+
+
+def brute_spans(listed):
+    """{(first part, part after the last): words}"""
+    out = {}
+    run = lambda a, b: [w for _, x in listed[a:b] for w in x]
+    for a in range(len(listed)):
+        for b in range(a + 3, len(listed) + 1):
+            if len(run(a, b)) >= 16:
+                out[a, b] = tuple(run(a, b))
+                break
+    if len(listed) < 3:
+        return {(0, len(listed)): tuple(run(0, len(listed)))} if len(run(0, len(listed))) >= 16 else {}
+    for a in range(len(listed) - 3, -1, -1):
+        if len(run(a, len(listed))) >= 16:
+            out[a, len(listed)] = tuple(run(a, len(listed)))
+            break
+    return out
+
+
+def brute_strip(rows):
+    """{row number: (words left, removals)} for (id, text) rows."""
+    known, out = {}, {}
+    for i, (k, t) in enumerate(rows):
+        if k is not None:
+            for run in brute_spans(brute_parts(t)).values():
+                known.setdefault(run, set()).add(k)
+    for i, (k, t) in enumerate(rows):
+        listed = brute_parts(t)
+        covered, own = set(), set()
+        for (a, b), run in sorted(brute_spans(listed).items()):
+            if run in own or (k is not None and min(known[run]) < k):
+                covered |= set(range(a, b))
+            own.add(run)
+        of = {}
+        for j, (n, _) in enumerate(listed):
+            of.setdefault(n, []).append(j)
+        whole = [n for n, js in of.items() if set(js) <= covered]
+        gone = {j for n in whole for j in of[n]}
+        lone = {j for n, js in of.items() if n not in whole and sum(len(listed[j][1]) for j in js) > 60 for j in js if j in covered}
+        j = 0
+        while j < len(listed):
+            run = []
+            while j in covered:
+                run.append(j)
+                j += 1
+            if run and not set(run) & (gone | lone):
+                lone |= set(run)
+            j += 1
+        out[i] = ([w for j, (_, x) in enumerate(listed) if j not in gone | lone for w in x], len(whole) + len(lone))
+    return out
+
+
+def check_spans(spark, rows, kind="long"):
+    numbered = [(i, k, t) for i, (k, t) in enumerate(rows)]
+    df = spark.createDataFrame(numbered, f"row long, doc_id {kind}, text string").repartition(3)
+    got = spans.strip_repeats(df).collect()
+    want = brute_strip(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        assert ([w.encode().lower() for w in words(r.text)], r.n_removed) == want[r.row], r.row
+        if not r.n_removed:
+            assert r.text == rows[r.row][1]
+    return want
+
+
 def test_spans_equal_brute_force(spark, docs, edges, nothing):
-    both = docs.unionByName(edges.filter("doc_id > 4").select(F.col("doc_id") + 10**6, "text", "lang", "source", "n_chars").toDF(*docs.columns))
-    out = {r.doc_id: r for r in spans.strip_repeats(both).collect()}
-    seen = set()
-    for r in sorted(both.collect(), key=lambda r: r.doc_id):
-        code, at, _ = spans.spans(r.text)
-        places = [int(p) for c, p in zip(code.tolist(), at) if c in seen]
-        seen.update(code.tolist())
-        assert out[r.doc_id].text == spans.without(r.text, spans.removal(r.text, places))
-    got = spans.strip_repeats(edges)
-    assert got.columns == [*edges.columns, "_sw_gone"] and got.count() == edges.count()
+    rows = [(r.doc_id, r.text) for r in docs.filter("length(text) < 6000").collect()] + [(10**6 + r.doc_id, r.text) for r in edges.filter("length(text) < 6000").collect()]
+    rnd = random.Random(5)
+    some = lambda n, kinds, marks: " ".join(f"v{rnd.randrange(kinds)}" + rnd.choice(marks) for _ in range(n))
+    for marks in (("", "", "", "", "", "."), ("",) * 24 + (".",), ("",), ("", "", ".", "\n")):
+        passage = some(60, 10**6, marks)
+        rows += [(2 * 10**6 + len(rows), f"{some(rnd.randrange(50), 10**6, marks)} {passage} {some(rnd.randrange(40), 10**6, marks)}") for _ in range(4)]
+        rows += [(2 * 10**6 + len(rows), some(200, 3, marks)), (None, passage), (None, f"{passage} {passage}"), (2 * 10**6, passage)]
+    want = check_spans(spark, rows)
+    assert sum(n > 0 for _, n in want.values()) > 30
+    check_spans(spark, [(k if k is None else f"id {k:09d}", t) for k, t in rows if k is None or k >= 10**6], "string")
+    clashing = edges.withColumns({"n_removed": F.lit(1), "key": F.lit(2), "parts": F.lit(3), "span": F.lit(4)})
+    got = spans.strip_repeats(clashing)
+    assert set(got.columns) == set(clashing.columns) and got.count() == edges.count()
     assert spans.strip_repeats(nothing).count() == 0
 
 
+def test_sentences_go_whole(spark):
+    """In prose with marks nothing is cut inside a sentence."""
+    rnd = random.Random(9)
+    sentence = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(rnd.randrange(6, 30))) + "."
+    shared = [sentence() for _ in range(6)]
+    rows = [(i, " ".join([*(own := [sentence() for _ in range(5)])[:3], *shared, *own[3:]])) for i in range(20)]
+    out = {r.doc_id: r for r in spans.strip_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        kept = [x for x in re.split(r"(?<=\.) ", t) if x not in re.split(r"(?<=\.) ", out[i].text)]
+        assert set(re.split(r"(?<=\.) ", out[i].text)) <= set(re.split(r"(?<=\.) ", t))
+        assert set(kept) <= set(shared) and (not kept) == (i == 0) and (i == 0 or len(kept) >= 5)
+
+
 def test_planted_passage_goes(spark):
     rnd = random.Random(3)
     some = lambda n: " ".join(f"v{rnd.randrange(10**6)}" for _ in range(n))
@@ -179,16 +280,20 @@ def test_planted_passage_goes(spark):
     assert passage in out[1] and len(out[3].split()) == 150 and len(out[2].split()) < 150
 
 
-def test_every_passage_of_51_words_holds_a_span(spark):
+def test_every_passage_of_47_words_holds_a_span(spark):
     rnd = random.Random(17)
-    some = lambda n, kinds: " ".join(f"u{rnd.randrange(kinds)}" for _ in range(n))
+    some = lambda n, kinds, marks: " ".join(f"u{rnd.randrange(kinds)}" + "." * (rnd.random() < marks) for _ in range(n))
     rows, passages = [], []
-    for i in range(600):
-        passages.append(some(51, (1, 2, 3, 10, 50, 10**6)[i % 6]))
-        rows += [(2 * i, f"{some(40, 10**9)} {passages[-1]} {some(20, 10**9)}"), (2 * i + 1, f"{some(25, 10**9)} {passages[-1]} {some(33, 10**9)}")]
+    for i in range(900):
+        marks = (0, 0.02, 0.05, 0.1, 0.3)[i % 5]
+        passages.append(some(47, (1, 2, 3, 10, 50, 10**6)[i % 6], marks))
+        rows += [(2 * i, f"{some(40, 10**9, marks)} {passages[-1]} {some(20, 10**9, marks)}"), (2 * i + 1, f"{some(25, 10**9, marks)} {passages[-1]} {some(33, 10**9, marks)}")]
     out = {r.doc_id: r.text for r in spans.strip_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, passage in enumerate(passages):
-        codes = [set(spans.spans(t)[0].tolist()) for _, t in rows[2 * i : 2 * i + 2]]
+        codes = []
+        for _, t in rows[2 * i : 2 * i + 2]:
+            h, starts, ends, _ = spans.parts(t)
+            codes.append(set(spans.spans(h, starts, ends)[0].tolist()))
         assert codes[0] & codes[1]
         assert passage not in out[2 * i + 1]
 
