@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import bottomk, langmix, packing, quality, spans
-from sievework.llm.common import crc_mod, materialise
+from sievework.llm.common import crc_mod, fresh, materialise
 
 #: A document whose first language holds less of it than this is rejected.
 MIN_LANGUAGE_SHARE = 0.4
@@ -29,14 +29,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, that of the smallest id; rows of null id are in no group and stay."""
-    kept = bottomk.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_sw_key"))
-    named = docs.join(kept.distinct(), docs["doc_id"] == F.col("_sw_key"), "left_semi")
+    its_key = fresh(docs, "key")
+    kept = bottomk.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias(its_key))
+    named = docs.join(kept.distinct(), docs["doc_id"] == F.col(its_key), "left_semi")
     return named.unionByName(docs.filter("doc_id is null"))
 
 
 def span_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sentences of repeated spans leave all documents but the first; a document left without text goes."""
-    return spans.strip_repeats(docs).filter(F.length(F.trim("text")) > 0).drop("_sw_gone")
+    lost = fresh(docs, "n_removed")
+    return spans.strip_repeats(docs, removed=lost).filter(F.length(F.trim("text")) > 0).drop(lost)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
