@@ -12,12 +12,16 @@ and are broadcast: 65,793 contexts of 255 decisions at most, 24 bytes each, what
 back the values of its own grams and words by a join, and scores its texts.  A block is cut by bytes; a single text
 longer than that is a block of its own and is read in slices, so a task holds about one block's bytes and grams.
 
+Grams and words travel as packed lists, one for each block and slot; a slot is a hash of the gram or word alone, so a
+frequent one weighs no more than one entry for each block, and the slots grow in number with the bytes of all texts.
+
 Null text is empty: one token, the end, and its probability.  Rows of one id each get their own, equal result.
 Without training rows every estimate is 1/2 and the base is 0.  Only the key and the text are read.
 """
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,6 +40,8 @@ DEPTH = 5
 SPLIT = 3
 BLOCK_BYTES = 32 << 20
 BUCKET_GRAMS = 400_000
+#: The bytes of text whose grams or words meet in one slot.
+SLOT_BYTES = 48 << 20
 #: No UTF-8 text holds this byte: it stands before the first byte and is the end.
 _EDGE = 255
 _CHUNK = 1 << 20
@@ -142,13 +148,42 @@ class _Block:
         self.times = [np.bincount(place, np.concatenate(self.times), len(merged)).astype(np.int64)]
         self.seen = [merged]
 
-    def rows(self) -> Iterator[dict]:
-        """Grams, and words under the numbers -1, -2, ... in the order of their first occurrence."""
+    def lists(self, slots: int) -> Iterator[dict]:
+        """The sorted grams, and the words by their numbers in the order of first occurrence, as one list for each slot."""
         if self.seen:
             self._merge()
-            yield {"gram": pa.array(self.seen[0]), "n": pa.array(self.times[0])}
-        if self.words:
-            yield {"gram": pa.array(-1 - np.arange(len(self.words))), "word": pa.array(list(self.words), pa.binary()), "n": pa.array(list(self.words.values()), pa.int64())}
+            for slot, at in _by_slot(_slot_of(self.seen[0], slots), slots):
+                yield {"slot": slot, "word": False, "ids": _pack(np.diff(self.seen[0][at], prepend=0)), "n": _pack(self.times[0][at])}
+        words = list(self.words)
+        times = np.fromiter(self.words.values(), np.int64, len(words))
+        hashes = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
+        for slot, at in _by_slot(_slot_of(hashes, slots), slots):
+            said = pa.compress(b"\n".join([words[i] for i in at.tolist()]), "zstd", asbytes=True)
+            yield {"slot": slot, "word": True, "ids": _pack(np.diff(at, prepend=0)), "n": _pack(times[at]), "said": said, "said_bytes": sum(len(words[i]) + 1 for i in at.tolist()) - 1}
+
+
+def _slot_of(ids: np.ndarray, slots: int) -> np.ndarray:
+    mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(32)) % np.uint64(slots)).astype(np.int64)
+
+
+def _by_slot(slot: np.ndarray, slots: int) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(slot, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(slot[order])) + 1):
+        if len(part):
+            yield int(slot[part[0]]), part
+
+
+def _pack(a: np.ndarray) -> bytes:
+    """Eight-byte values as byte planes, compressed; the size comes first."""
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8).T)
+    return len(a).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def _unpack(data: bytes, kind=np.int64) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 8 * size, "zstd"), np.uint8).reshape(8, size)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
 def _levels(key: np.ndarray, n: np.ndarray, lowest: int):
@@ -228,8 +263,8 @@ def _sorted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return key[order], n[order].astype(np.float64)
 
 
-def gram_values(totals: DataFrame) -> DataFrame:
-    """totals: gram, n (training occurrences, 0 allowed).  gram, value: the log10 probability of its byte in its context."""
+def gram_values(totals: DataFrame, slots: int) -> DataFrame:
+    """totals: gram, n (training occurrences, 0 allowed).  slot, gram, value: the log10 probability of its byte in its context."""
     bucketed = _buckets(totals)
     top = totals.sparkSession.sparkContext.broadcast(_top(bucketed))
 
@@ -244,9 +279,9 @@ def gram_values(totals: DataFrame) -> DataFrame:
                 place = np.searchsorted(ids, ((key >> (8 * (DEPTH - up + 1))) << 8) | prefix)
                 p = _mixed(p, bit, n0[place], n1[place], weight[place])
             total += np.log10(np.where(np.isnan(p), 0.5, p))
-        return pa.table([key, total], names=["gram", "value"])
+        return pa.table([_slot_of(key, slots), key, total], names=["slot", "gram", "value"])
 
-    return bucketed.groupBy("bucket").applyInArrow(values, "gram long, value double")
+    return bucketed.groupBy("bucket").applyInArrow(values, "slot long, gram long, value double")
 
 
 def score(df: DataFrame, training: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -256,53 +291,86 @@ def score(df: DataFrame, training: Column, key: str = "doc_id", text: str = "tex
     """
     own = df.select(F.col(f"`{key}`").alias("key"), F.coalesce(training, F.lit(False)).alias("training"), ascii_lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))).cast("binary").alias("t"))
     kind = own.schema["key"].dataType
+    slots = blocks_for(own.agg(F.sum(F.octet_length("t"))).first()[0], SLOT_BYTES)
+    listed = {"block": pa.int64(), "slot": pa.int64(), "word": pa.bool_(), "ids": pa.binary(), "n": pa.binary(), "said": pa.binary(), "said_bytes": pa.int64()}
     stored = pa.schema([
-        ("block", pa.int64()), ("part", pa.int64()), ("keys", pa.list_(to_arrow_type(kind))), ("teaches", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("texts", pa.binary()),
-        ("gram", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
+        *listed.items(), ("part", pa.int64()), ("keys", pa.list_(to_arrow_type(kind))), ("teaches", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("texts", pa.binary())])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, parts = TaskContext.get().partitionId() << 32, _Block(), 0
 
-        def batch_of(columns: dict) -> pa.RecordBatch:
-            rows = len(next(iter(columns.values())))
-            columns["block"] = pa.array(np.full(rows, number, np.int64))
-            return pa.record_batch([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(rows, f.type) for f in stored], schema=stored)
+        def row(columns: dict) -> pa.RecordBatch:
+            return pa.record_batch([columns.get(f.name, pa.nulls(1, f.type)) for f in stored], schema=stored)
+
+        def lists() -> Iterator[pa.RecordBatch]:
+            for x in held.lists(slots):
+                yield row({k: pa.array([v], listed[k]) for k, v in {**x, "block": number}.items()})
 
         for batch in batches:
             for part in _slices(batch):
                 texts, teaches = part.column(2).to_pylist(), part.column(1).to_pylist()
                 held.add(texts, teaches)
                 whole = pa.array([0, len(texts)], pa.int32())
-                listed = [pa.ListArray.from_arrays(whole, c) for c in (pa.concat_arrays([part.column(0)]), pa.array(teaches, pa.bool_()), pa.array(map(len, texts), pa.int64()))]
+                lengths, taught, keys = (pa.ListArray.from_arrays(whole, c) for c in (pa.array(map(len, texts), pa.int64()), pa.array(teaches, pa.bool_()), pa.concat_arrays([part.column(0)])))
                 packed = pa.array([pa.compress(b"".join(texts), "zstd", asbytes=True)], pa.binary())
-                yield batch_of(dict(zip(("part", "keys", "teaches", "sizes", "texts"), (pa.array([parts], pa.int64()), *listed, packed), strict=True)))
+                yield row({"block": pa.array([number], pa.int64()), "part": pa.array([parts], pa.int64()), "keys": keys, "teaches": taught, "sizes": lengths, "texts": packed})
                 parts += 1
                 if held.size >= BLOCK_BYTES:
-                    yield from map(batch_of, held.rows())
+                    yield from lists()
                     number, held = number + 1, _Block()
-        yield from map(batch_of, held.rows())
+        yield from lists()
 
-    kinds = f"block long, part long, keys array<{kind.simpleString()}>, teaches array<boolean>, sizes array<long>, texts binary, gram long, word binary, n long"
+    kinds = "block long, slot long, word boolean, ids binary, n binary, said binary, said_bytes long, part long, " + f"keys array<{kind.simpleString()}>, teaches array<boolean>, sizes array<long>, texts binary"
     found = materialise(own.mapInArrow(gather, kinds))
-    of_docs, of_grams, of_words = found.filter("texts is not null"), found.filter("gram >= 0"), found.filter("word is not null")
-    totals = materialise(of_grams.groupBy("gram").agg(F.sum("n").alias("n")))
-    valued = gram_values(totals)
-    counts = of_words.groupBy("word").agg(F.sum("n").alias("c"))
-    sums = counts.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    of_docs, of_grams, of_words = found.filter("texts is not null"), found.filter("not word"), found.filter("word")
+
+    def summed(table: pa.Table) -> pa.Table:
+        ids = np.concatenate([np.cumsum(_unpack(x)) for x in table.column("ids").to_pylist()])
+        key, place = np.unique(ids, return_inverse=True)
+        times = np.concatenate([_unpack(x) for x in table.column("n").to_pylist()])
+        return pa.table([key, np.bincount(place, times, len(key)).astype(np.int64)], names=["gram", "n"])
+
+    totals = materialise(of_grams.select("slot", "ids", "n").groupBy("slot").applyInArrow(summed, "gram long, n long"))
+
+    def valued(lists: pa.Table, known: pa.Table) -> pa.Table:
+        order = np.argsort(ids := known.column("gram").to_numpy())
+        ids, value = ids[order], known.column("value").to_numpy()[order]
+        out = [_pack(value[np.searchsorted(ids, np.cumsum(_unpack(x.as_py())))]) for x in lists.column("ids")]
+        return pa.table([lists.column("block"), lists.column("word"), lists.column("ids"), pa.array(out, pa.binary())], names=["block", "word", "ids", "values"])
+
+    def counted(lists: pa.Table) -> pa.Table:
+        said = [pa.decompress(x, size, "zstd", asbytes=True).split(b"\n") for x, size in zip(lists.column("said").to_pylist(), lists.column("said_bytes").to_pylist(), strict=True)]
+        total: dict[bytes, int] = {}
+        for words, n in zip(said, lists.column("n").to_pylist(), strict=True):
+            for w, times in zip(words, _unpack(n).tolist(), strict=True):
+                total[w] = total.get(w, 0) + times
+        out = [_pack(np.fromiter(map(total.__getitem__, words), np.float64, len(words))) for words in said]
+        rest = [0] * (len(out) - 1)
+        return pa.table({
+            "block": lists.column("block"), "word": lists.column("word"), "ids": lists.column("ids"), "values": pa.array(out, pa.binary()),
+            "all": pa.array([sum(total.values()), *rest], pa.int64()), "distinct": pa.array([sum(c > 0 for c in total.values()), *rest], pa.int64())})
+
+    answer = "block long, word boolean, ids binary, values binary"
+    words_back = materialise(of_words.select("slot", "block", "word", "ids", "n", "said", "said_bytes").groupBy("slot").applyInArrow(counted, f"{answer}, all long, distinct long"))
+    sums = words_back.agg(F.sum("all").alias("n"), F.sum("distinct").alias("v")).first()
     ends = of_docs.agg(F.sum(F.size(F.filter("teaches", lambda x: x)))).first()[0] or 0
     all_tokens = (sums.n or 0) + ends
     distinct = (sums.v or 0) + (1 if ends else 0)
     down = math.log10(all_tokens + distinct + 1)
-    back = of_grams.select("block", "gram").join(valued, "gram").select("block", "gram", "value")
-    back = back.unionByName(of_words.select("block", "gram", "word").join(counts, "word").select("block", "gram", F.col("c").cast("double").alias("value")))
+    values = gram_values(totals, slots)
+    back = of_grams.select("slot", "block", "word", "ids").groupBy("slot").cogroup(values.groupBy("slot")).applyInArrow(valued, answer)
+    back = back.unionByName(words_back.select("block", "word", "ids", "values"))
 
     def scored(docs: pa.Table, known: pa.Table) -> pa.Table:
-        order = np.argsort(ids := known.column("gram").to_numpy())
-        ids, value = ids[order], known.column("value").to_numpy()[order]
-        words = int(np.searchsorted(ids, 0))
-        count = _Known(value[:words][::-1])
-        ids, value = ids[words:], value[words:]
-        del order, known
+        of = {}
+        for word in (False, True):
+            rows = known.filter(pa.compute.equal(known.column("word"), word))
+            ids = np.concatenate([np.empty(0, np.int64), *(np.cumsum(_unpack(x)) for x in rows.column("ids").to_pylist())])
+            value = np.concatenate([np.empty(0), *(_unpack(x, np.float64) for x in rows.column("values").to_pylist())])
+            order = np.argsort(ids)
+            of[word] = ids[order], value[order]
+        (ids, value), count = of[False], _Known(of[True][1])
+        del order, known, rows, of
         done = []
         for row in docs.sort_by("part").to_batches(max_chunksize=1):
             sizes = row.column("sizes")[0].values.to_numpy()
@@ -328,6 +396,6 @@ def score(df: DataFrame, training: Column, key: str = "doc_id", text: str = "tex
                 "train_tokens": pa.array([all_tokens] * len(texts), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(total), "bits_per_byte": pa.array(-total * math.log2(10) / (sizes + 1))}))
         return pa.concat_tables(done)
 
-    docs = of_docs.select(F.col("block").alias("block"), "part", "keys", "teaches", "sizes", "texts")
+    docs = of_docs.select("block", "part", "keys", "teaches", "sizes", "texts")
     out = docs.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(scored, f"key {kind.simpleString()}, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
     return out.withColumnRenamed("key", key)

@@ -167,11 +167,12 @@ def _occurrences(df: DataFrame, key: str, text: str) -> DataFrame:
 def repeated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, spans: the spans of each document that occur in one of a smaller id, none where only its own repeat.
 
-    The occurrences are made once.  Whether a span repeats comes from partial minima and maxima; only then do the
-    occurrences meet the first ids of repeated spans, in a join that Spark can split at a hot span.
+    The occurrences are made once.  Whether a span repeats comes from partial minima and counts; only then do the
+    occurrences meet the first ids of repeated spans, in a join that Spark can split at a hot span.  A count stands for the
+    largest id in the first step: it takes less room in the shuffle, and rows of equal ids fall out in the join.
     """
     found = materialise(_occurrences(df, key, text))
-    first = found.filter("span is not null").groupBy("span", "proof").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last").select("span", "proof", "first")
+    first = found.filter("span is not null").groupBy("span", "proof").agg(F.min("key").alias("first"), F.count("*").alias("times")).filter("times > 1").select("span", "proof", "first")
     later = found.join(first, ["span", "proof"]).filter("key > first").select("key", "span")
     return later.unionByName(found.filter("span is null").select("key", "span")).groupBy("key").agg(F.collect_set("span").alias("spans"))
 
