@@ -442,6 +442,77 @@ def test_wrapper_keeps_articles_about_adverts():
     assert wrappers.tree("<article class='post type-post status-publish tag-ads category-social'>x").parts[0].key == "article post type-post status-publish"
 
 
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+
+
+def test_wrapper_tells_the_template_from_the_article(spark):
+    """What only the other pages of a host can tell: the one-page wrapper keeps the sentence that all pages have."""
+    page = lambda i: f"<body><article><h1>Head {i}</h1><p>Story {i} of the day.</p><p>Middle {i}.</p><div>Send us your own story today.</div><section><p>End {i}.</p></section></article></body>"
+    rows = [(i, "http://h.example.org/x", page(i)) for i in range(12)]
+    want = {i: f"Head {i}\nStory {i} of the day.\nMiddle {i}.\nEnd {i}." for i in range(12)}
+    assert extracted(spark, rows) == want
+    alone = wrappers.article(wrappers.tree(page(3)), wrappers.slots(wrappers.learned(wrappers.tree(page(3)))))
+    assert alone == "Head 3\nStory 3 of the day.\nMiddle 3.\nSend us your own story today.\nEnd 3."
+    # copies of one page, and few different pages, are no template
+    assert extracted(spark, [(i, "http://h.example.org/x", page(3)) for i in range(12)]) == {i: alone for i in range(12)}
+    limit, wrappers.BROADCAST_BYTES = wrappers.BROADCAST_BYTES, 0
+    try:
+        assert extracted(spark, rows) == want
+    finally:
+        wrappers.BROADCAST_BYTES = limit
+
+
+def test_wrapper_stands_odd_pages(spark):
+    import time
+
+    odd = [
+        "<div>" * 1200 + "deep" + "</div>" * 1200, "<div>" * 1200 + "<nav>menu</nav><p class='share'>no</p>said", "<a " * 8000, "<p " * 8000 + "<", "x<a href=\"y>open quote</a> z", "a < b <> c <3 d",
+        "".join(f"<div class='k{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}'>t{i}</div>" for i in range(20_000)), "</div>" * 9000 + "<p>late", "<ul>" + "<li>x<ul>" * 3000, "<!--" * 5000, "<script>" * 3000, "word " * 200_000,
+    ]
+    began = time.time()
+    got = extracted(spark, [(i, "http://h.example.org/x", h) for i, h in enumerate(odd)] + [(100 + i, f"http://h{i}.example.org/x", h) for i, h in enumerate(odd)])
+    assert time.time() - began < 60
+    for base in (0, 100):
+        assert got[base] == "deep" and got[base + 1] == "said"
+        assert got[base + 5] == "a < b <> c <3 d" and got[base + 7] == "late" and len(got[base + 11].split()) == 200_000
+        assert got[base + 6].split() == [f"t{i}" for i in range(20_000)]
+    assert got[104] == "xopen quote z"
+
+
+def brute_wrapper(pages):
+    """The blocks that all pages of a host have in common, in order, by trying every subsequence of the first page."""
+    import itertools
+
+    keys = [[p.key for p in wrappers.tree(h).parts] for h in pages]
+
+    def holds(some, whole):
+        rest = iter(whole)
+        return all(k in rest for k in some)
+
+    for size in range(len(keys[0]), -1, -1):
+        for some in itertools.combinations(keys[0], size):
+            if all(holds(some, k) for k in keys):
+                return list(some)
+
+
+def test_wrapper_equals_brute_force_on_small_hosts():
+    """An optional block between any two required ones: what all pages share is required, all else optional, in the pages' order."""
+    rnd = random.Random(21)
+    for _ in range(60):
+        names = ["h1", "div", "p", "ul", "section", "table", "h2"]
+        pages = ["".join(f"<{n}>x{rnd.random()}</{n}>" for i, n in enumerate(names) if i % 2 == 0 or rnd.random() < 0.6) for _ in range(4)]
+        whole = None
+        for h in pages:
+            own = wrappers.learned(wrappers.tree(h))
+            whole = own if whole is None else wrappers.aligned(whole, own)
+        required = [c[0] for c in whole[wrappers.BELOW] if c[wrappers.SEEN] == 4]
+        assert required == brute_wrapper(pages)
+        for h in pages:
+            own = [p.key for p in wrappers.tree(h).parts]
+            assert [k for k in (c[0] for c in whole[wrappers.BELOW]) if k in own] == own
+
+
 def encode_fully(pixels, cache_bits=4, tile=2):
     """Writes every feature of the format: predictor, cross colour, subtract green, two entropy groups, references, cache."""
     height, width = pixels.shape
