@@ -16,7 +16,7 @@ both are less above.  Every reported link is verified.  Components are the small
 
 Null text and text without words: an empty set, linked with nothing, kept.  Fewer than five words are one shingle.
 Repeated rows of one id are one document; each row gets its result.  Rows of null id link with nothing: they are kept,
-and their component is null.  Only the key and the text are read.
+and their component is null.  Keys are whole numbers; others raise a TypeError.  Only the key and the text are read.
 """
 from __future__ import annotations
 
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import long_key, materialise
 from .components import components
 
 WIDTH = 5
@@ -82,7 +82,7 @@ def signatures(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int64()))],
                 names=["key", "n_shingles", "print", "sketch"])
 
-    own = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("t"))
+    own = df.select(long_key(df, key).alias("key"), F.col(f"`{text}`").alias("t"))
     return own.mapInArrow(run, "key long, n_shingles long, print binary, sketch array<long>")
 
 
@@ -93,7 +93,7 @@ def full_sets(df: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFram
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["rep", "shingles"])
 
-    own = df.select(F.col(f"`{key}`").cast("long").alias("rep"), F.col(f"`{text}`").alias("t"))
+    own = df.select(long_key(df, key).alias("rep"), F.col(f"`{text}`").alias("t"))
     return own.join(wanted, "rep", "left_semi").mapInArrow(run, "rep long, shingles binary").dropDuplicates(["rep"])
 
 

@@ -17,8 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; where it names none (tests), a new temporary one becomes the checkpoint folder."""
+    """The shared folder the cluster names; in local mode without one (tests), a new temporary one becomes the checkpoint
+    folder.  Elsewhere a missing name is an error: a folder of one machine would lose data."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not named:
         named = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
         spark.sparkContext.setCheckpointDir(named)
@@ -53,3 +56,11 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def long_key(df: DataFrame, key: str) -> Column:
+    """The key as a long; keys that are not whole numbers are an error before any work."""
+    kind = df.schema[key].dataType
+    if kind.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{key} must be a whole number, not {kind.simpleString()}")
+    return F.col(f"`{key}`").cast("long")

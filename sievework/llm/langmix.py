@@ -5,11 +5,12 @@ proportions come from expectation-maximisation over its trigrams; languages then
 first, while the penalised likelihood (half a log of the trigrams per further language) improves.
 
 Rows without text or label teach nothing.  A text that is null or has no letter gets ``und`` and score 0; so does
-every text where no labelled row exists.  Equal texts get equal results; ties go to the language that sorts first.
-Only the columns named by the arguments are read.
+every text where no labelled row exists.  More than MAX_LANGUAGES labels raise a ValueError.  Equal texts get equal
+results; ties go to the language that sorts first.  Only the columns named by the arguments are read.
 """
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,24 +25,26 @@ UNDETERMINED = "und"
 _STEPS = 25
 
 
-def _folded() -> np.ndarray:
-    """Code points below 0x10000: letters and marks stay, all else becomes a space."""
-    fold = np.arange(0x10000, dtype=np.uint32)
-    for i in range(0x10000):
-        if not (0xD800 <= i < 0xE000) and not chr(i).isalpha():
-            fold[i] = 32
-    return fold
+def _folded() -> tuple[np.ndarray, np.ndarray]:
+    """For every code point: itself if it is a letter or mark (marks join letters, as in many scripts), else a space; and
+    whether it is a letter."""
+    kinds = [unicodedata.category(chr(i))[0] for i in range(0x110000)]
+    kept = np.array([k in "LM" for k in kinds])
+    return np.where(kept, np.arange(0x110000, dtype=np.uint32), np.uint32(32)), np.array([k == "L" for k in kinds])
 
 
-_FOLD: list[np.ndarray] = []
+_FOLD: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def trigrams(text: str) -> np.ndarray:
     """The hashed letter trigrams of a whole text, each word bounded by one space; empty if it has no letter."""
     if not _FOLD:
         _FOLD.append(_folded())
+    fold, letter = _FOLD[0]
     points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    points = np.where(points < 0x10000, _FOLD[0][points & 0xFFFF], points)
+    if not letter[points].any():
+        return np.empty(0, np.int64)
+    points = fold[points]
     space = points == 32
     keep = np.ones(len(points), bool)
     keep[1:] = ~(space[1:] & space[:-1])

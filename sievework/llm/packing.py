@@ -87,5 +87,11 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_IT
     return whole.unionByName(packed)
 
 
-def pack_documents(df: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    return pack(items_of(df, key, text, source), capacity).withColumnRenamed("key", key)
+def pack_documents(df: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", source: str = "source", clusters: DataFrame | None = None) -> DataFrame:
+    """``clusters`` (the key, component_id: what near_duplicates gives) makes near copies share a cluster; without it equal
+    word sequences do."""
+    items = items_of(df, key, text, source)
+    if clusters is not None:
+        near = clusters.select(F.col(f"`{key}`").alias("key"), F.col("component_id").alias("near")).dropDuplicates(["key"])
+        items = items.join(near, "key", "left").withColumn("cluster", F.coalesce("near", "cluster")).drop("near")
+    return pack(items, capacity).withColumnRenamed("key", key)

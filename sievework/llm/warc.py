@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks_for, materialise, scratch_dir
+from .common import blocks_for, long_key, materialise, scratch_dir
 
 ARCHIVE_BYTES = 64 << 20
 BLOCK_LINES = 3000
@@ -101,7 +101,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, key: str = "page_id
 
     Payloads of fewer than ``min_bytes`` bytes never become revisits.
     """
-    own = pages.select(F.col(f"`{key}`").cast("long").alias("page_id"), F.col(f"`{url}`").alias("url"), F.coalesce(F.col(f"`{html}`"), F.lit("")).cast("binary").alias("payload"))
+    own = pages.select(long_key(pages, key).alias("page_id"), F.col(f"`{url}`").alias("url"), F.coalesce(F.col(f"`{html}`"), F.lit("")).cast("binary").alias("payload"))
     own = own.withColumn("sha1", F.sha1("payload"))
     ids = own.filter(F.octet_length("payload") >= min_bytes).select("page_id", "sha1")
     first = ids.groupBy("sha1").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).filter("first < last").drop("last")

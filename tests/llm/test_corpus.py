@@ -329,6 +329,76 @@ def test_best_fit_takes_the_tightest_compatible_bin():
     assert bins == [0, 1, 1, 0] and at == [0, 0, 5, 6]
 
 
+def test_best_fit_equals_trying_every_bin():
+    rnd = random.Random(4)
+    for _ in range(200):
+        items = sorted(((rnd.randrange(1, 60), rnd.choice("abcd"), rnd.randrange(8)) for _ in range(40)), reverse=True)
+        room, inside, want = [], [], []
+        for size, source, cluster in items:
+            fits = [b for b in range(len(room)) if room[b] >= size and not any(s == source or c == cluster for s, c in inside[b])]
+            best = min(fits, key=lambda b: (room[b], b), default=len(room))
+            if best == len(room):
+                room.append(60), inside.append([])
+            room[best] -= size
+            inside[best].append((source, cluster))
+            want.append(best)
+        assert packing.best_fit(*map(list, zip(*items)), 60)[0] == want
+
+
+def test_packing_keeps_near_copies_apart(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{base} x{i}" if i < 6 else f"own{i} text", f"s{i}") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    near = packing.pack_documents(df, 400, clusters=bottomk.near_duplicates(df)).collect()
+    assert len(near) == 12 and len({r.bin_id for r in near if r.doc_id < 6}) == 6
+    assert len({r.bin_id for r in packing.pack_documents(df, 400).collect()}) < 6
+
+
+def test_language_letters(spark):
+    rows = [(1, "😀🎉 🚀"), (2, "𐐀𐐁𐐂 𐐃𐐄"), (3, "12 ́̂ 34"), (4, "हिन्दी भाषा"), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = langmix.learn(df.filter("doc_id in (2, 4)").withColumn("lang", F.when(F.col("doc_id") == 2, "dsrt").otherwise("hi")))
+    assert {r.doc_id: r.lang_pred for r in langmix.predict(df, model).collect()} == {1: "und", 2: "dsrt", 3: "und", 4: "hi", 5: "und"}
+    assert len(langmix.trigrams("हिन्दी")) == 6  # marks belong to their word
+    with pytest.raises(TypeError):
+        bottomk.near_duplicates(df.withColumn("doc_id", F.lit("x")))
+
+
+def brute_mixture(text, model):
+    """The proportions of the best penalised set of languages, trying every set, with many small steps."""
+    import itertools
+    import math
+
+    names, table = model
+    grams = langmix.trigrams(text).tolist()
+    best = None
+    for size in range(1, len(names) + 1):
+        for chosen in itertools.combinations(range(len(names)), size):
+            share = {k: 1 / size for k in chosen}
+            for _ in range(300):
+                new = dict.fromkeys(chosen, 0.0)
+                for g in grams:
+                    part = {k: share[k] * math.exp(table[k][g]) for k in chosen}
+                    for k in chosen:
+                        new[k] += part[k] / sum(part.values()) / len(grams)
+                share = new
+            fit = sum(math.log(sum(share[k] * math.exp(table[k][g]) for k in chosen)) for g in grams) - 0.5 * size * math.log(len(grams) + 1)
+            if best is None or fit > best[0]:
+                best = fit, {names[k]: share[k] for k in chosen}
+    return best[1]
+
+
+def test_language_equals_trying_every_set(spark, docs):
+    model = langmix.learn(docs)
+    texts = [r.text[:250] for r in docs.filter("lang is not null and length(text) > 250").orderBy("doc_id").limit(6).collect()]
+    texts += [texts[0][:120] + " " + texts[1][:120]]
+    got = langmix.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in got:
+        want = brute_mixture(texts[r.doc_id], model)
+        assert {x.lang for x in r.languages} == set(want)
+        assert all(abs(x.share - want[x.lang]) < 0.05 for x in r.languages)
+
+
 def test_language(spark, edges, nothing):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = queries.op7_language_mixture(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang", "n_chars"), "doc_id").filter("held_out and n_chars > 100")
