@@ -88,6 +88,29 @@ class Dialect:
     def days(self, n: str | int) -> str:
         return f"(interval '1' day * ({n}))"
 
+    def string(self, x: str) -> str:
+        return f"cast({x} as {'string' if self.spark else 'varchar'})"
+
+    def seconds(self, then: str, now: str) -> str:
+        """From one time to another."""
+        return f"timestampdiff(second, {then}, {now})" if self.spark else f"date_diff('second', {then}, {now})"
+
+    def number_of(self, digits: str, base: int) -> str:
+        if self.spark:
+            return f"cast(conv({digits}, {base}, 10) as bigint)"
+        return f"cast(concat('0x', {digits}) as bigint)" if base == 16 else f"cast({digits} as bigint)"
+
+    def pieces(self, x: str, pattern: str) -> str:
+        """The place (from 1) and size of every match, from the texts between them."""
+        hits = self.groups(x, pattern)
+        if self.spark:
+            rests = f"split({x}, {self.text(pattern)}, -1)"
+            before = f"aggregate(slice({rests}, 1, i + 1), 0, (n, r) -> n + length(r)) + aggregate(slice({hits}, 1, i), 0, (n, r) -> n + length(r))"
+            return f"transform({hits}, (h, i) -> named_struct('pos', 1 + {before}, 'wide', length(h)))"
+        rests = f"string_split_regex({x}, {self.text(pattern)})"
+        before = f"coalesce(list_sum(list_transform(list_slice({rests}, 1, i), lambda r: length(r))), 0) + coalesce(list_sum(list_transform(list_slice({hits}, 1, i - 1), lambda r: length(r))), 0)"
+        return f"list_transform({hits}, lambda h, i: {{'pos': 1 + {before}, 'wide': length(h)}})"
+
     def code_point(self, number: str, base: int) -> str:
         """The character of a number written in base 10 or 16."""
         if self.spark:

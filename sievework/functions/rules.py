@@ -290,3 +290,84 @@ SPONSOR_SIGNS = (
     r"\bopen\s+to\s+sponsorship\b",
     r"\bimmigration\s+sponsorship\b",
 )
+
+#: Fixed values.  Places and phrases that stand for the US.
+US_PLACES = (
+    "united states", "u.s.a", "usa", "u.s.", "us only", "remote - us", "remote, us", "remote (us", "remote us", "us remote", "anywhere in the us",
+    "nationwide", "puerto rico", "alabama", "alaska", "arizona", "arkansas", "california", "colorado", "connecticut", "delaware", "florida",
+    "georgia", "hawaii", "idaho", "illinois", "indiana", "iowa", "kansas", "kentucky", "louisiana", "maine", "maryland", "massachusetts", "michigan",
+    "minnesota", "mississippi", "missouri", "montana", "nebraska", "nevada", "new hampshire", "new jersey", "new mexico", "new york",
+    "north carolina", "north dakota", "ohio", "oklahoma", "oregon", "pennsylvania", "rhode island", "south carolina", "south dakota", "tennessee",
+    "texas", "utah", "vermont", "virginia", "washington", "west virginia", "wisconsin", "wyoming", "district of columbia", "washington dc",
+    "washington d.c", "san francisco", "los angeles", "san diego", "san jose", "chicago", "seattle", "boston", "austin", "denver", "atlanta", "miami",
+    "houston", "dallas", "phoenix", "philadelphia", "detroit", "minneapolis", "portland", "charlotte", "nashville", "pittsburgh", "baltimore",
+    "st. louis", "salt lake city", "kansas city", "las vegas", "san antonio", "columbus", "indianapolis", "raleigh", "orlando", "tampa", "sacramento",
+    "cincinnati", "cleveland", "milwaukee", "new orleans", "oklahoma city", "albuquerque", "tucson", "omaha", "boulder", "palo alto", "mountain view",
+    "sunnyvale", "santa clara", "menlo park", "cupertino", "redmond", "bellevue", "brooklyn", "manhattan", "arlington va", "nyc", "new york city",
+    "sf bay", "dc metro", "d.c.", "bronx", "queens ny", "staten island", "el segundo", "greensboro", "midland", "odessa", "san angelo",
+    "fayetteville", "temple tx", "waco", "abilene", "amarillo", "lubbock", "wichita falls", "tyler tx", "beaumont", "killeen", "cornell university",
+    "nyu", "new york university", "harvard", "stanford", "mit ", "yale", "princeton university", "columbia university", "duke university", "ucla",
+    "usc ", "berkeley", "parish", "sierra vista", "flagstaff", "kingman", "yuma", "casa grande", "bullhead city", "prescott", "lake havasu", "sedona",
+    "tempe", "glendale az", "peoria az", "surprise az", "goodyear", "maricopa", "san tan valley", "oro valley", "marana", "buckeye", "avondale",
+    "apache junction", "bay area", "silicon valley", "socal", "norcal", "tri-state", "midwest", "new england", "east coast", "west coast",
+    "pacific northwest", "south florida", "southern california", "northern california", "greater boston", "greater seattle", "dmv area", "bay-area",
+    "fort lauderdale", "boca raton", "san luis obispo", "delray beach", "peabody", "roslyn", "new canaan", "darien", "greenwich", "ardmore",
+    "cambridge", "modesto", "merced", "flushing", "jersey city", "newark", "hoboken", "stamford", "hartford", "providence", "albany", "buffalo",
+    "rochester", "syracuse", "richmond", "norfolk", "virginia beach", "charleston", "savannah", "jacksonville", "st. petersburg", "fort myers",
+    "naples fl", "sarasota", "gainesville", "birmingham", "montgomery", "huntsville", "memphis", "knoxville", "chattanooga", "louisville",
+    "lexington", "columbia", "greenville", "asheville", "durham", "chapel hill", "wilmington", "des moines", "madison", "green bay", "ann arbor",
+    "grand rapids", "lansing", "toledo", "akron", "dayton", "fort wayne", "south bend", "peoria", "springfield", "wichita", "tulsa", "little rock",
+    "shreveport", "baton rouge", "mobile", "jackson ms", "boise", "spokane", "tacoma", "eugene", "reno", "fresno", "bakersfield", "stockton",
+    "irvine", "pasadena", "santa monica", "long beach", "anaheim", "riverside", "oakland", "berkeley", "santa barbara", "ventura", "carlsbad",
+    "scottsdale", "mesa", "chandler", "colorado springs", "fort collins", "provo", "ogden", "anchorage", "honolulu", "el paso", "laredo",
+    "corpus christi", "arlington tx", "plano", "frisco", "irving", "fort worth", "round rock", "allen tx", "mclean", "reston", "herndon", "bethesda",
+    "rockville", "annapolis", "wilmington de", "princeton", "trenton", "allentown", "harrisburg", "scranton", "white plains", "yonkers",
+    "stamford ct", "norwalk",
+)
+
+#: Fixed values.  Places and phrases that stand for abroad, in the order of look-up.
+FOREIGN_PLACES = (
+    "emea", "apac", "latam", "anz", "international", "united kingdom", "england", "scotland", "wales", "canada", "india", "singapore", "ireland",
+    "germany", "australia", "france", "netherlands", "spain", "italy", "portugal", "sweden", "norway", "denmark", "finland", "switzerland", "belgium",
+    "austria", "poland", "romania", "ukraine", "czech", "hungary", "greece", "turkey", "israel", "japan", "china", "korea", "taiwan", "hong kong",
+    "thailand", "vietnam", "malaysia", "indonesia", "philippines", "pakistan", "bangladesh", "sri lanka", "new zealand", "south africa", "nigeria",
+    "kenya", "egypt", "brazil", "mexico", "argentina", "chile", "colombia", "peru", "uruguay", "united arab emirates", "saudi arabia", "qatar",
+    "morocco", "london", "manchester", "edinburgh", "glasgow", "dublin", "belfast", "toronto", "vancouver", "montreal", "calgary", "ottawa",
+    "bangalore", "bengaluru", "hyderabad", "chennai", "mumbai", "pune", "gurgaon", "gurugram", "noida", "kolkata", "ahmedabad", "new delhi", "berlin",
+    "munich", "frankfurt", "hamburg", "cologne", "stuttgart", "sydney", "melbourne", "brisbane", "perth", "amsterdam", "rotterdam", "madrid",
+    "barcelona", "lisbon", "porto", "stockholm", "copenhagen", "oslo", "helsinki", "zurich", "geneva", "brussels", "prague", "warsaw", "krakow",
+    "budapest", "bucharest", "istanbul", "dubai", "abu dhabi", "riyadh", "doha", "cairo", "lagos", "nairobi", "tel aviv", "tokyo", "osaka",
+    "shanghai", "beijing", "shenzhen", "seoul", "taipei", "bangkok", "jakarta", "manila", "kuala lumpur", "sao paulo", "buenos aires", "santiago",
+    "bogota", "auckland", "wellington", "vienna", "europe", "asia", "africa", "oceania", "latin america", "paris", "milan", "rome", "naples", "turin",
+    "florence", "venice", "sofia", "bulgaria", "serbia", "belgrade", "croatia", "zagreb", "slovakia", "slovenia", "lithuania", "latvia", "estonia",
+    "monterrey", "guadalajara", "fortaleza", "curitiba", "brasilia", "recife", "porto alegre", "belo horizonte", "medellin", "lima", "quito",
+    "caracas", "panama", "costa rica", "guatemala", "montevideo", "asuncion", "la paz", "santo domingo", "san salvador", "tegucigalpa", "remoto",
+    "hibrido", "teletrabajo", "anywhere in europe", "anywhere in the world", "worldwide", "global remote", "remote global", "marseille", "lyon",
+    "nice, france", "bordeaux", "toulouse", "valencia", "seville", "malaga", "bilbao", "antwerp", "ghent", "utrecht", "eindhoven", "the hague",
+    "gothenburg", "malmo", "aarhus", "bergen", "tampere", "basel", "bern", "lausanne", "graz", "salzburg", "katowice", "wroclaw", "gdansk", "poznan",
+    "brno", "ostrava", "cluj", "timisoara", "iasi", "thessaloniki", "ankara", "izmir", "jerusalem", "haifa", "beirut", "amman", "kuwait", "bahrain",
+    "muscat", "karachi", "lahore", "islamabad", "dhaka", "colombo", "kathmandu", "hanoi", "ho chi minh", "da nang", "cebu", "davao", "surabaya",
+    "bandung", "penang", "johor", "christchurch", "hamilton", "accra", "kampala", "dar es salaam", "addis ababa", "casablanca", "tunis", "algiers",
+    "durban", "cape town", "johannesburg", "pretoria", "middle east", "remote international",
+)
+
+#: Fixed values.  Ordinary phrases that hold a flag word, by label.
+BENIGN_PHRASES = {
+    "citizen": ("citizen engagement", "citizen experience", "citizen services", "citizen-facing", "citizen data scientist", "citizens of the world", "good corporate citizen"),
+    "clearance": (
+        "regulatory clearance", "fda clearance", "510(k)", "customs clearance", "line clearance", "inventory clearance", "clearance sale", "creepage",
+        "clearance to see clients", "background check", "clearance risk"),
+    "defense agency": ("astronaut training", "space center", "nasa attractions", "near nasa"),
+}
+#: Labels whose flags equal-opportunity sentences raise as well.
+EEO_PRONE = ("citizen", "federal (agency)")
+
+#: Fixed values.  What a refusal to sponsor sounds like; words of other restrictions; words of a requirement; any mention.
+NEGATIVE_SPONSOR = (
+    r"\bnot\b.{0,40}\bsponsor", r"\bno\b.{0,30}\bsponsor", r"\bcannot\b.{0,30}\bsponsor", r"\bunable\b.{0,30}\bsponsor", r"\bwithout\b.{0,30}\bsponsor",
+    r"\bineligible\b.{0,30}\bsponsor", r"\bnever\b.{0,30}\bsponsor", r"\bdo not\b.{0,30}\bsponsor", r"\bdoes not\b.{0,30}\bsponsor", r"\bwill not\b.{0,30}\bsponsor",
+    r"\bunavailable\b.{0,30}\bsponsor", r"\bsponsor\w*\b.{0,40}\b(unavailable|not available|not offered|not provided|is not|are not)\b",
+)
+OTHER_HINTS = (r"\bcitizen", r"\bclearance", r"\bgreen card", r"\bsecurity\s+clearance", r"\bts\/sci")
+REQUIREMENT = r"\b(required|must be|must have|only|requires)\b"
+SPONSOR_MENTION = r"\b(sponsor(ship|ed|ing)?|work authoriz|work authoris|h-?1b|green card|permanent resident|u\.?s\.? citizen|security clearance|export[- ]control|itar|employment eligibility)\b"

@@ -13,18 +13,6 @@ SPACE_RE = "[\\s   ]+"
 DASHES = "-–—"
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
-#: Places that stand for the US or for abroad beside the fixed lists; callers may give their own.
-US_PLACES = (
-    "san francisco", "los angeles", "san diego", "san jose", "chicago", "seattle", "boston", "austin", "denver", "atlanta", "miami", "houston", "dallas", "phoenix",
-    "philadelphia", "detroit", "minneapolis", "portland", "charlotte", "nashville", "pittsburgh", "baltimore", "salt lake city", "las vegas", "nyc", "brooklyn",
-    "cambridge", "allentown", "bay area", "silicon valley", "midwest", "new england", "east coast", "west coast", "reston", "mclean", "palo alto", "boulder",
-)
-FOREIGN_PLACES = (
-    "london", "manchester", "edinburgh", "glasgow", "dublin", "toronto", "vancouver", "montreal", "bengaluru", "bangalore", "hyderabad", "mumbai", "munich", "berlin",
-    "hamburg", "paris", "madrid", "barcelona", "lisbon", "amsterdam", "stockholm", "copenhagen", "oslo", "helsinki", "zurich", "geneva", "vienna", "brussels", "prague",
-    "warsaw", "krakow", "budapest", "bucharest", "istanbul", "dubai", "cairo", "tel aviv", "tokyo", "shanghai", "beijing", "seoul", "taipei", "bangkok", "jakarta",
-    "manila", "kuala lumpur", "sao paulo", "buenos aires", "santiago", "bogota", "auckland", "sydney", "melbourne", "brisbane", "venice", "rome", "milan",
-)
 
 
 def or_empty(x: str) -> str:
@@ -32,13 +20,15 @@ def or_empty(x: str) -> str:
 
 
 def strip_html(d: Dialect, x: str, numeric: bool = True) -> str:
-    """Entities to characters, tags to spaces, white space to single spaces."""
+    """Entities to characters, tags to spaces, white space to single spaces.  A number that is no code point stays as it is."""
     out = or_empty(x)
     if numeric:
         for pattern, base in (("&#[xX]([0-9a-fA-F]{1,6});", 16), ("&#([0-9]{1,7});", 10)):
             head = 3 if base == 16 else 2
             digits = f"substring(e, {head + 1}, length(e) - {head + 1})"
-            out = d.folded(d.distinct(d.groups(out, pattern)), out, "a", "e", f"replace(a, e, {d.code_point(digits, base)})")
+            number = d.number_of(digits, base)
+            known = f"{number} <= 1114111 and not {number} between 55296 and 57343"
+            out = d.folded(d.distinct(d.groups(out, pattern)), out, "a", "e", f"case when {known} then replace(a, e, {d.code_point(digits, base)}) else a end")
     for entity, by in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'")):
         out = f"replace({out}, {d.text(entity)}, {d.text(by)})"
     return f"trim({d.sub(d.sub(out, '<[^>]*>', ' '), SPACE_RE, ' ')})"
@@ -170,17 +160,17 @@ def unaccented(d: Dialect, x: str) -> str:
     return f"translate({x}, '{ACCENTED}', '{PLAIN}')"
 
 
-def location_kind(d: Dialect, location: str, us_places=US_PLACES, foreign_places=FOREIGN_PLACES) -> str:
+def location_kind(d: Dialect, location: str, us_places=rules.US_PLACES, foreign_places=rules.FOREIGN_PLACES) -> str:
     """us, weak-us, foreign, ambiguous or unknown, by the first sign that holds."""
     low = "low"
     bare_us = d.match(low, r"(^|[^a-z])u\.?s\.?a?([^a-z]|$)")
     zone = f"{d.match(low, r'\b(?:est|edt|cst|cdt|mst|mdt|pst|pdt|eastern|central|mountain|pacific)\s*(?:time|timezone|tz)?\b')} and {d.match(low, r'\b(?:remote|home|anywhere|wfh)\b')}"
+    east = "latin\\s+america|middle\\s+east|"
     regions = "eu|uk|apac|emea|latam|anz|europe|asia|africa|india|brazil|canada|mexico|ireland|germany|france|spain|italy|poland|ukraine|australia|singapore|japan|china|philippines|united\\s+kingdom"
-    abroad = (*rules.FOREIGN_COUNTRIES, *foreign_places)
     separate = ", ".join(d.text(x) for x in rules.SHARED_CITY_NAMES)
     codes = "|".join(code for _, code in rules.STATES)
     vague = r"^(?:\s|remote|hybrid|on-?site|in-?office|flexible|anywhere|various|multiple|locations?|office|offices|home|based|work|from|field|travel|tbd|n/?a|other|and|or|the|any|all|several|different|[0-9]+|[" + "–—,;:.()/|+&-])+$"
-    city = first_word(d, low, abroad)
+    city = first_word(d, low, foreign_places)
     names = "|".join(rf"\b{name.lower()}\b" for name, _ in rules.STATES) + rf"|(?:^|,\s*|\s)(?:{codes})(?:\s*,|\s*$)"
     kind = (
         f"case when {or_empty(location)} = '' then 'unknown' "
@@ -190,7 +180,7 @@ def location_kind(d: Dialect, location: str, us_places=US_PLACES, foreign_places
         f"when coalesce(city, '') <> '' and not (city in ({separate})) then 'foreign' "
         f"when {d.match(f'lower({or_empty(location)})', names)} then 'weak-us' "
         f"when {d.match(low, rf',\s*(?:{codes})([\s,;|]|$)')} then 'weak-us' "
-        f"when not {d.match(low, r'\bparish\b')} and ({d.match(low, rf'\bremote\b[\s{DASHES[1:]},()/|-]*\b(?:{regions})\b')} or {d.match(low, rf'\b(?:{regions})\b[\s,/|()-]*remote\b')} or city is not null) then 'foreign' "
+        f"when not {d.match(low, r'\bparish\b')} and ({d.match(low, rf'\bremote\b[\s{DASHES[1:]},()/|-]*\b(?:{east}{regions})\b')} or {d.match(low, rf'\b(?:{regions})\b[\s,/|()-]*remote\b')} or city is not null) then 'foreign' "
         f"when {d.match(low, r'(^|[^0-9])[0-9]{5}(-[0-9]{4})?([^0-9]|$)')} and {d.match(low, '[a-z]')} then 'us' "
         f"when {d.match(low, vague)} then 'ambiguous' else 'unknown' end")
     return d.let(unaccented(d, f"lower({or_empty(location)})"), "low", d.let(city, "city", kind))
@@ -208,7 +198,7 @@ def salary(d: Dialect, text: str, which: int) -> str:
         rf"\$\s?{amount}\s?{dash}\s?\$?\s?{amount}", rf"{amount}\s?{dash}\s?{amount}\s?(?:USD|usd)\b",
         rf"\$\s?([0-9]{{2,3}})[kK]\s?{dash}\s?\$?\s?([0-9]{{2,3}})[kK]\b", rf"\$\s?{amount}\s+to\s+\$?\s?{amount}",
     )
-    pay = r"(?i)\b(?:salary|compensation|pay range|base pay|annual salary|base salary|total compensation|salary range|per year)\b|/\s?year\b"
+    pay = r"(?i)\b(?:salary|compensation|pay range|base pay|annual salary|base salary|total compensation|salary range|/\s?year|per year)\b"
     other = r"(?i)\b(?:raised|funding|valuation|revenue|series [a-e]|investment|market size|arr|assets under management|aum)\b"
     parts = []
     for i, shape in enumerate(shapes):
@@ -246,11 +236,30 @@ def snippet(d: Dialect, x: str, at: str, length: str, pad: int = 55) -> str:
     return f"concat(case when {at} - {pad} > 1 then '…' else '' end, {inner}, case when {at} + {length} + {pad} - 1 < length({x}) then '…' else '' end)"
 
 
+def _free_mentions(d: Dialect, low: str, pattern: str, label: str) -> str:
+    """The places (from 1) of the mentions of a flag that stand in no equal-opportunity sentence and no ordinary phrase."""
+    inner = d.mapped(d.pieces(low, pattern), "m", "m")
+    before = f"substring({low}, cast(greatest(1, m.pos - 400) as int), cast(m.pos - greatest(1, m.pos - 400) as int))"
+    after = f"substring({low}, cast(m.pos + m.wide as int), 400)"
+    sentence = f"concat({d.sub(before, '(?s)^.*[.;•' + chr(10) + ']', '')}, substring({low}, cast(m.pos as int), cast(m.wide as int)), {d.sub(after, '(?s)[.;•' + chr(10) + '].*$', '')})"
+    has = lambda where, phrases: "(" + " or ".join(f"contains({where}, {d.text(p)})" for p in phrases) + ")"
+    around = f"substring({low}, cast(greatest(1, m.pos - 60) as int), cast(m.pos + m.wide + 60 - greatest(1, m.pos - 60) as int))"
+    tests = [f"not {has('s', rules.EEO_PHRASES)}"]
+    if label in rules.BENIGN_PHRASES:
+        tests.append(f"not {has(around, rules.BENIGN_PHRASES[label])}")
+    return d.filtered(inner, "m", d.let(sentence, "s", " and ".join(tests)))
+
+
 def red_flags(d: Dialect, text: str) -> str:
-    """The labels of the first three audit flags outside equal-opportunity sentences, in rule order."""
+    """The labels of the first three audit flags, in rule order; those that boilerplate raises as well need one mention
+    outside of it."""
     low = f"lower({or_empty(text)})"
-    eeo = d.match(low, "|".join(re.escape(p).replace("\\ ", " ").replace("\\-", "-") for p in rules.EEO_PHRASES))
-    tests = [f"case when {d.match(low, p)}" + (f" and not {eeo}" if label in ("citizen", "federal (agency)") else "") + f" then {d.text(label)} end" for label, p in rules.RED_FLAGS]
+    tests = []
+    for label, p in rules.RED_FLAGS:
+        hit = d.match(low, p)
+        if label in rules.EEO_PRONE or label in rules.BENIGN_PHRASES:
+            hit += f" and {d.size(_free_mentions(d, low, p, label))} > 0"
+        tests.append(f"case when {hit} then {d.text(label)} end")
     found = d.filtered(d.array(tests), "f", "f is not null")
     return f"slice({found}, 1, 3)" if d.spark else f"list_slice({found}, 1, 3)"
 
@@ -309,32 +318,54 @@ def salary_label(d: Dialect, low: str, high: str) -> str:
 
 
 def years_label(d: Dialect, low: str, high: str) -> str:
-    s = lambda x: f"cast({x} as string)" if d.spark else f"cast({x} as varchar)"
-    return f"case when {low} is null then null when {high} is not null then concat({s(low)}, '–', {s(high)}, ' yrs') else concat({s(low)}, '+ yrs') end"
+    return f"case when {low} is null then null when coalesce({high}, 0) <> 0 then concat({d.string(low)}, '–', {d.string(high)}, ' yrs exp') else concat({d.string(low)}, '+ yrs exp') end"
 
 
-def age_label(d: Dialect, days: str) -> str:
-    s = lambda x: f"cast({x} as string)" if d.spark else f"cast({x} as varchar)"
-    return f"case when {days} is null then '' when {days} <= 0 then 'Today' when {days} = 1 then 'Yesterday' when {days} < 7 then concat({s(days)}, ' days ago') when {days} < 30 then concat({s(f'cast(floor({days} / 7) as bigint)')}, 'w ago') else concat({s(f'cast(floor({days} / 30) as bigint)')}, 'mo ago') end"
+def age_label(d: Dialect, then: str, now: str) -> str:
+    """By whole days that have passed, not by dates."""
+    days = f"cast(floor({d.seconds(then, now)} / 86400.0) as bigint)"
+    parts = lambda n: d.string(f"cast(floor({days} / {n}.0) as bigint)")
+    return (
+        f"case when {then} is null then '' when {days} <= 0 then 'Today' when {days} = 1 then 'Yesterday' when {days} < 7 then concat({d.string(days)}, 'd ago') "
+        f"when {days} < 30 then concat({parts(7)}, 'w ago') else concat({parts(30)}, 'mo ago') end")
 
 
-def age_bucket(days: str) -> str:
-    return f"case when {days} is null then 'no date' when {days} <= 7 then '0-7d' when {days} <= 30 then '8-30d' when {days} <= 90 then '31-90d' when {days} <= 365 then '91-365d' else 'over 1y' end"
+def age_bucket(d: Dialect, then: str, now: str) -> str:
+    """By the exact time that has passed."""
+    days = f"({d.seconds(then, now)} / 86400.0)"
+    return f"case when {then} is null then 'no date' when {days} <= 7 then '0-7d' when {days} <= 30 then '8-30d' when {days} <= 90 then '31-90d' when {days} <= 365 then '91-365d' else 'over 1y' end"
 
 
 def short_location(d: Dialect, x: str) -> str:
-    parts = d.split(or_empty(x), r"\s*[;|]\s*")
-    first = f"element_at({parts}, 1)" if d.spark else f"list_extract({parts}, 1)"
-    return f"case when {d.size(parts)} > 1 then concat({first}, ' +', cast({d.size(parts)} - 1 as {'string' if d.spark else 'varchar'})) else {first} end"
+    """The first of several places and how many more there are; commas are followed by a space."""
+    spaced = d.sub(or_empty(x), r",(\S)", ", $1" if d.spark else r", \1")
+    parts = d.filtered(d.mapped(d.split("spaced", ";"), "p", "trim(p)"), "p", "p <> ''")
+    label = f"case when {d.size('parts')} <= 1 then spaced else concat({d.first('parts')}, ' +', {d.string(f'{d.size('parts')} - 1')}, ' more') end"
+    return f"case when {or_empty(x)} = '' then 'United States' else {d.let(spaced, 'spaced', d.let(parts, 'parts', label))} end"
 
 
 def title_stem(d: Dialect, x: str) -> str:
-    out = d.sub(f"lower({or_empty(x)})", r"\([^)]*\)", " ")
-    out = d.sub(out, r"[#/" + DASHES[1:] + r"-]\s*[0-9].*$", " ")
-    out = d.sub(out, r"\b(?:senior|sr|junior|jr|lead|staff|principal|entry|level|associate|i|ii|iii|iv)\b", " ")
+    out = d.sub(f"lower({or_empty(x)})", r"\(.*?\)", " ")
+    out = d.sub(out, r"[#-]\s*[0-9]+.*$", " ")
+    out = d.sub(out, r"\b(senior|sr\.?|junior|jr\.?|staff|lead|principal|associate|assistant|head of|director of|vp|vice president|manager of|i{1,3}|iv|[0-9]+)\b", " ")
     return f"trim({d.sub(d.sub(out, '[^a-z& ]', ' '), r'\s+', ' ')})"
 
 
+def sponsor_phrase(d: Dialect, x: str) -> str:
+    """The normalised text around the first sponsor word: from 50 characters before it to 35 after its start."""
+    norm = normalised(d, x)
+    around = "case when p = 0 then substring(n, 1, 34) else substring(n, cast(greatest(1, p - 50) as int), cast(p + 35 - greatest(1, p - 50) as int)) end"
+    return d.let(norm, "n", d.let("instr(n, 'sponsor')", "p", f"trim({around})"))
+
+
+def phrase_signature(d: Dialect, x: str) -> str:
+    return f"substring(trim({d.sub(d.sub(sponsor_phrase(d, x), '[^a-z ]', ''), r'\s+', ' ')}), 1, 55)"
+
+
+def refuses_sponsor(d: Dialect, x: str) -> str:
+    return d.any_match(f"lower({or_empty(x)})", rules.NEGATIVE_SPONSOR)
+
+
 def cache_key(d: Dialect, a: str, b: str) -> str:
     return f"sha2(concat({or_empty(a)}, decode(unhex('00'), 'UTF-8'), {or_empty(b)}), 256)" if d.spark else f"sha256(concat({or_empty(a)}, chr(0), {or_empty(b)}))"
 

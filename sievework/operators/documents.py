@@ -12,10 +12,10 @@ def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.col(key), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
-def header_of(line: Column) -> Column:
+def header_of(line: Column, most: int = 40) -> Column:
     """A short line of capitals is a section's title."""
     t = F.trim(line)
-    return t.rlike(r"^[A-Z][A-Z &/]{2,40}$") & (F.size(F.split(t, " ")) <= 4)
+    return t.rlike(rf"^[A-Z][A-Z &/]{{2,{most}}}$") & (F.size(F.split(t, " ")) <= 4)
 
 
 def with_section(rows: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -29,11 +29,22 @@ def dashed(rows: DataFrame) -> DataFrame:
 
 
 def kinds(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """section, bullet, role, skill, title (a plain line right above a role) or text."""
+    """header (before the first section, never by the first line), section, bullet, role, skill, title (a plain line right
+    above a role) or text, for each line of a resume."""
     t = F.trim("line")
-    own = F.when(t.rlike(rules.RESUME_SECTION), "section").when(t.rlike(r"^[•*-]\s+"), "bullet").when(t.rlike(r"\s\|\s[^|]*\|\s"), "role").when(t.rlike(r"^[A-Z][A-Za-z &/]{2,40}:\s+\S"), "skill").otherwise("text")
-    return rows.withColumn("own", own).withColumn(
-        "kind", F.when((F.col("own") == "text") & (F.lead("own").over(Window.partitionBy(key).orderBy("line_no")) == "role"), "title").otherwise(F.col("own"))).drop("own")
+    words = lambda x: F.size(F.split(x, r"\s+"))
+    dated = F.contains(t, F.lit("Present")) | t.rlike(r"\b(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\b|\b(19|20)\d{2}\b")
+    piped = F.contains(t, F.lit(" | "))
+    label = F.trim(F.substring_index(t, ":", 1))
+    skill = t.rlike(r"^[A-Za-z][A-Za-z /&+-]{1,48}:\s+.+$") & ~piped & ~t.rlike(r"https?:|www\.|@") & (words(label) <= 6)
+    plain = (t != "") & (F.length(t) <= 32) & ~t.rlike(r"[.,;:|]") & (words(t) <= 4) & (t == F.upper(t)) & t.rlike("[A-Z]")
+    own = F.when(t.rlike(rules.RESUME_SECTION), "section").when(t.rlike("^[•–-]"), "bullet").when(piped & dated, "role").when(skill, "skill").when(plain, "section").otherwise("text")
+    whole = Window.partitionBy(key)
+    out = rows.withColumn("own", own).withColumns({
+        "following": F.lead("own").over(whole.orderBy("line_no")), "body": F.min(F.when((F.col("own") == "section") & (F.col("line_no") > 0), F.col("line_no"))).over(whole)})
+    title = (F.col("own") == "text") & (t != "") & (F.col("following") == "role")
+    kind = F.when(F.col("body").isNull() | (F.col("line_no") < F.col("body")), "header").when(title, "title").otherwise(F.col("own"))
+    return out.withColumn("kind", kind).drop("own", "following", "body")
 
 
 def bullet_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

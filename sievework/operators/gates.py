@@ -32,9 +32,10 @@ def _trimmed() -> Column:
     return F.trim("line")
 
 
-def carried(lines: DataFrame) -> DataFrame:
-    """section, the last title at or above; role, the last role line at or above within it."""
-    head = header_of(F.col("line"))
+def carried(lines: DataFrame, most: int = 40) -> DataFrame:
+    """section, the last title (of ``most`` characters after its first) at or above; role, the last role line at or above
+    within it."""
+    head = header_of(F.col("line"), most)
     out = lines.withColumn("is_header", head).withColumn("section", F.last(F.when(head, _trimmed()), True).over(_down())).withColumn("part", F.sum(head.cast("int")).over(_down()))
     in_part = Window.partitionBy("doc_id", "part").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     return out.withColumn("role", F.last(F.when(_trimmed().rlike(ROLE), _trimmed()), True).over(in_part))
@@ -54,7 +55,7 @@ def past_tense_in_current_role(lines: DataFrame) -> DataFrame:
 
 def experience_bullets(lines: DataFrame) -> DataFrame:
     t = _trimmed()
-    return carried(lines).filter(~F.col("is_header") & F.col("section").contains("EXPERIENCE") & t.rlike(r"^-\s+")).select("doc_id", "line_no", F.regexp_replace(t, r"^-\s+", "").alias("bullet"))
+    return carried(lines, 30).filter(~F.col("is_header") & F.col("section").contains("EXPERIENCE") & t.rlike(r"^-\s+")).select("doc_id", "line_no", F.regexp_replace(t, r"^-\s+", "").alias("bullet"))
 
 
 def cert_dashes(lines: DataFrame) -> DataFrame:

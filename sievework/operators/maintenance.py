@@ -48,21 +48,5 @@ def null_out(jobs: DataFrame, columns: list[str], limit: int) -> DataFrame:
     return jobs.withColumns({c: F.when(F.col(c) <= limit, F.col(c)) for c in columns})
 
 
-def applications(events: DataFrame) -> DataFrame:
-    """One row for each user and job from an ordered log: the first event inserts, later ones update.
-
-    A status never goes back from applied to opened by a later open; the first time of applying stays.
-    """
-    return events.groupBy("user_id", "job_id").agg(
-        F.when(F.max(F.when(F.col("status") == "applied", 1)) == 1, "applied").otherwise("opened").alias("status"),
-        F.min("ts").alias("applied_at"), F.max("ts").alias("updated_at"), F.count("*").alias("events"))
-
-
-def retry_verdicts(first: DataFrame, second: DataFrame) -> DataFrame:
-    """slug, ok and status of two attempts to live, recovered, dead (not found twice) or unreachable."""
-    both = first.join(second.select("slug", F.col("ok").alias("ok2"), F.col("status").alias("status2")), "slug", "left")
-    return both.withColumn("verdict", F.when("ok", "live").when(F.coalesce("ok2", F.lit(False)), "recovered").when((F.col("status") == 404) & (F.col("status2") == 404), "dead").otherwise("unreachable"))
-
-
 def hide_applied(jobs: DataFrame, log: DataFrame) -> DataFrame:
     return jobs.join(log.filter("status = 'applied'").select(F.col("job_id").alias("id")), "id", "left_anti")

@@ -16,12 +16,17 @@ LINES = (
     "- Wrote the loader.• Designed the schema of all tables for reporting use", "A plain line of text — with a dash",
 )
 SIZE = 30
+#: Stands in drafts only.
+ADDED = "- Negotiated 45 percent lower freight prices with overseas carriers"
 
 
 def sql(d: Dialect, version: int, orders: str = "orders") -> str:
     shift = ("0", "(o_orderkey % 4) * 3")[version]
     key = f"cast(floor(o_orderkey / {SIZE}) as bigint)"
-    return f"select {key} as doc_id, cast(o_orderkey % {SIZE} as bigint) as line_no, {d.pick(LINES, f'(o_orderkey % {SIZE} + {key} * 5 + {shift}) % {len(LINES)} + 1')} as line from {orders}"
+    line = d.pick(LINES, f'(o_orderkey % {SIZE} + {key} * 5 + {shift}) % {len(LINES)} + 1')
+    if version:
+        line = f"case when o_orderkey % 13 = 5 then {d.text(ADDED)} else {line} end"
+    return f"select {key} as doc_id, cast(o_orderkey % {SIZE} as bigint) as line_no, {line} as line from {orders}"
 
 
 def lines(spark: SparkSession, sf_dir: str, version: int) -> DataFrame:

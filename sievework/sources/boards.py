@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import column, scalars
+
 GREENHOUSE = "id BIGINT, title STRING, location STRUCT<name: STRING>, content STRING, absolute_url STRING, company_name STRING, first_published STRING, updated_at STRING"
 ASHBY = (
     "id STRING, title STRING, isListed BOOLEAN, publishedAt STRING, location STRING, secondaryLocations ARRAY<STRUCT<location: STRING>>, descriptionPlain STRING, "
@@ -49,7 +51,7 @@ def from_greenhouse(rows: DataFrame) -> DataFrame:
     return rows.select(
         F.col("id").cast("string").alias("id"), "title", or_default(F.col("company_name"), title_case(F.col("slug"))).alias("company"), "slug",
         or_default(F.col("location.name"), F.lit("United States")).alias("location"), F.col("content").alias("body"), first_time("first_published", "updated_at").alias("posted_at"),
-        F.col("absolute_url").alias("apply_url"), F.lit("greenhouse").alias("ats"))
+        F.coalesce("absolute_url", F.lit("")).alias("apply_url"), F.contains(F.lower(F.coalesce("location.name", F.lit(""))), F.lit("remote")).alias("is_remote"), F.lit("greenhouse").alias("ats"))
 
 
 def from_ashby(rows: DataFrame) -> DataFrame:
@@ -57,17 +59,29 @@ def from_ashby(rows: DataFrame) -> DataFrame:
     places = F.filter(F.concat(F.array("location"), F.coalesce(F.col("secondaryLocations.location"), F.array().cast("array<string>"))), lambda x: F.coalesce(x, F.lit("")) != "")
     return rows.filter(~F.coalesce(F.col("isListed") == F.lit(False), F.lit(False))).select(
         F.concat(F.lit("ashby_"), "id").alias("id"), "title", title_case(F.col("slug")).alias("company"), "slug", F.array_join(places, ", ").alias("location"),
-        F.coalesce("descriptionPlain", "descriptionHtml").alias("body"), first_time("publishedAt").alias("posted_at"), F.coalesce("applyUrl", "jobUrl").alias("apply_url"), F.lit("ashby").alias("ats"))
+        F.coalesce("descriptionPlain", "descriptionHtml").alias("body"), first_time("publishedAt").alias("posted_at"), F.coalesce(F.nullif("applyUrl", F.lit("")), "jobUrl", F.lit("")).alias("apply_url"),
+        (F.coalesce("isRemote", F.lit(False)) | F.contains(F.lower(F.array_join(places, ", ")), F.lit("remote"))).alias("is_remote"), F.lit("ashby").alias("ats"))
 
 
 def from_smart(rows: DataFrame, details: DataFrame) -> DataFrame:
     """List rows joined with their details; a row whose detail failed has none and stays out."""
     city, region = F.trim("location.city"), F.trim("location.region")
     place = F.when(F.lower(city) == F.lower(region), city).otherwise(F.concat_ws(", ", F.nullif(city, F.lit("")), F.nullif(region, F.lit(""))))
-    text = F.array_join(F.filter(F.transform(F.map_values("jobAd.sections"), lambda s: s["text"]), lambda t: F.coalesce(t, F.lit("")) != ""), "\n")
-    return rows.filter(F.lower("location.country") == "us").join(details, "id").select(
-        F.concat(F.lit("sr_"), "id").alias("id"), F.col("name").alias("title"), title_case(F.col("slug")).alias("company"), "slug", place.alias("location"), text.alias("body"),
-        first_time("releasedDate").alias("posted_at"), F.col("applyUrl").alias("apply_url"), F.lit("smartrecruiters").alias("ats"))
+    joined = F.array_join(F.transform(F.map_values("jobAd.sections"), lambda s: F.coalesce(s["text"], F.lit(""))), "\n")
+    remote = F.coalesce("location.remote", F.lit(False)) | F.coalesce(F.col("name").rlike(r"(?i)\bremote\b"), F.lit(False))
+    out = rows.filter(F.lower("location.country") == "us").join(details, "id").withColumns({"place": place, "text": joined}).withColumn("body", column(scalars.strip_html, "text"))
+    own_type = column(scalars.work_type, "place", "body")
+    return out.select(
+        F.concat(F.lit("sr_"), "id").alias("id"), F.col("name").alias("title"), title_case(F.col("slug")).alias("company"), "slug", F.col("place").alias("location"), "body",
+        first_time("releasedDate").alias("posted_at"), F.coalesce(F.nullif("applyUrl", F.lit("")), F.concat(F.lit("https://jobs.smartrecruiters.com/"), "slug", F.lit("/"), "id")).alias("apply_url"),
+        (remote | F.contains(F.lower("place"), F.lit("remote"))).alias("is_remote"), F.when(F.coalesce("location.hybrid", F.lit(False)), "Hybrid").when(remote, "Remote US").otherwise(own_type).alias("work_type"),
+        F.lit("smartrecruiters").alias("ats"))
+
+
+def us_gate(ats, location, country, kind):
+    """Whether a posting counts as one in the US: a blank place passes for one source only, another gives the country too."""
+    us = kind.isin("us", "weak-us", "ambiguous")
+    return F.when(ats == "greenhouse", (location == "") | us).when(ats == "ashby", (location != "") & us).otherwise(us & (F.lower(country) == "us"))
 
 
 def all_sources(*parts: DataFrame) -> DataFrame:

@@ -94,3 +94,129 @@ def test_streaming_deduplication(spark, tmp_path):
     q = changes.deduplicated(stream, ["event_id"], "ts").writeStream.format("memory").queryName("once").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination(120)
     assert spark.table("once").count() == 2
+
+
+# Cases with results known from the rules themselves, not from a twin.
+@pytest.mark.parametrize(("text", "expected"), [
+    ("We may not be able to support future H-1B sponsorship", True), ("We cannot support visa sponsorship", True), ("We are happy to offer visa sponsorship", False),
+    ("We proudly support H-1B sponsorship", False), ("does not support Internet Explorer", False), ("not eligible for immigration sponsorship", True), ("must be a U.S. citizen", True), ("A clean posting.", False),
+])
+def test_disqualifier(spark, text, expected):
+    assert spark.createDataFrame([(text,)], "t string").select(column(S.disqualified, "t")).first()[0] is expected
+
+
+LOCATIONS = [
+    ("", "unknown", None), ("(Remote EU)", "foreign", None), ("Remote EU", "foreign", None), ("Remote UK", "foreign", None), ("Remote - EMEA", "foreign", None), ("Remote (US)", "us", None), ("Remote, US", "us", None),
+    ("Remote Austin, TX", "us", "Texas"), ("Remote", "ambiguous", None), ("Eugene, OR", "us", "Oregon"), ("Westport, CT", "weak-us", "Connecticut"), ("London, United Kingdom", "foreign", None),
+    ("Cambridge, UK", "foreign", None), ("Brisbane, CA", "weak-us", "California"), ("Venice, CA", "weak-us", "California"), ("Munich, DE", "foreign", "Delaware"), ("Paris", "foreign", None), ("75009, Paris", "foreign", None),
+    ("Sydney Or Melbourne", "foreign", None), ("São Paulo", "foreign", None), ("Zürich", "foreign", None), ("Caddo Parish", "us", None), ("San Francisco (USA), Freiburg (Germany)", "us", None),
+    ("Charleston, West Virginia", "us", "Virginia"), ("Washington, District of Columbia", "us", "Washington"), ("WFMY-TV Studio", "us", None), ("Remote (Eastern Time)", "us", None), ("Middletown 06457", "us", None),
+    ("Allentown", "us", None), ("Hybrid", "ambiguous", None), ("Multiple locations", "ambiguous", None), ("Kokomo, IN", "weak-us", "Indiana"), ("Allen, TX; Remote", "weak-us", None), ("Marysville, MI 48040", "weak-us", None),
+    ("Smallville", "unknown", None), ("Akron", "us", None), ("Reno", "us", None), ("Orlando", "us", None), ("Raleigh", "us", None), ("Cologne", "foreign", None), ("Lyon", "foreign", None), ("Perth", "foreign", None),
+]
+
+
+def test_locations(spark):
+    rows = spark.createDataFrame([(x,) for x, _, _ in LOCATIONS], "l string").select("l", column(S.location_kind, "l"), column(S.state_of, "l")).collect()
+    assert [tuple(r) for r in rows] == LOCATIONS
+
+
+TITLES = [
+    ("Data Engineer", "Tech", False, "Mid"), ("Senior Data Engineer", "Tech", False, "Senior"), ("Senior DataOps Engineer", "Other", False, "Senior"), ("Legal Systems Engineer", "Tech", False, "Mid"),
+    ("SNF Clinical Sales Director", "Sales & Marketing", False, "Director"), ("Registered Nurse - Night Shift", "Healthcare", True, "Mid"), ("Nurse Recruiter", "Healthcare", False, "Mid"), ("Marketing Attorney", "Legal", True, "Mid"),
+    ("Territory Sales Representative - Cardiology Physician Partnership", "Sales & Marketing", False, "Mid"), ("Civil Engineer I", "Engineering & Science", False, "Entry"), ("Research Associate Intern", "Engineering & Science", False, "Internship"),
+    ("Preschool Teacher", "Education", True, "Mid"), ("HVAC Service Technician", "Skilled trades", True, "Mid"), ("Warehouse Associate", "Skilled trades", False, "Entry"), ("Staff Accountant", "Finance & Accounting", False, "Staff"),
+    ("Talent Acquisition Partner", "HR & Operations", False, "Mid"), ("Customer Success Lead, Pharmacy", "Healthcare", False, "Senior"), ("Principal Consultant", "Other", False, "Director"), ("Chief of Staff", "Other", False, "Staff"),
+    ("Paralegal (Contract)", "Legal", False, "Mid"), ("Nursery Technician", "Other", False, "Mid"), ("Registered NurseSenior Living Visits", "Other", True, "Mid"), ("Frontend Developer 1", "Tech", False, "Entry"),
+]
+
+
+def test_titles(spark):
+    rows = spark.createDataFrame([(x[0],) for x in TITLES], "t string").select("t", column(S.category, "t"), column(S.licence, "t"), column(S.experience_level, "t")).collect()
+    assert [tuple(r) for r in rows] == TITLES
+
+
+@pytest.mark.parametrize(("text", "pay", "years"), [
+    ("Base salary $120,000 - $150,000 per year. 3-5 years of experience.", (120000, 150000), (3, 5)), ("Pay range $90k – $110k. 7+ years experience.", (90000, 110000), (7, None)),
+    ("We raised $100,000 - $200,000 in funding. Founded 10+ years ago.", (None, None), (None, None)), ("Compensation 80,000 - 95,000 USD. At least 2 years working in retail.", (80000, 95000), (2, None)),
+    ("Ages 18-55 years welcome.", (None, None), (None, None)), ("Salary $150,000 to $120,000.", (None, None), (None, None)), ("$100,000 - $120,000 / year, money we raised", (None, None), (None, None)),
+    ("$100,000 - $120,000/year, money we raised", (100000, 120000), (None, None)),
+])
+def test_extraction(spark, text, pay, years):
+    r = spark.createDataFrame([(text,)], "t string").select(column(S.salary, "t", 1), column(S.salary, "t", 2), column(S.years, "t", 1), column(S.years, "t", 2)).first()
+    assert (r[0], r[1]) == pay and (r[2], r[3]) == years
+
+
+def test_tiers(spark):
+    titles = {"Data Engineer": 4, "Senior Data Engineer": 3, "Data Platform Engineer": 2, "Senior DataOps Engineer": 1, "Analytics Engineer": 0, "Data Engineering Manager": 1}
+    rows = spark.createDataFrame([(t,) for t in titles], "t string").select("t", column(S.tier, "t", "data engineer")).collect()
+    assert dict(map(tuple, rows)) == titles
+
+
+@pytest.mark.parametrize(("text", "flags"), [
+    ("We hire regardless of citizenship.", []), ("We hire regardless of citizenship. This role requires U.S. citizenship.", ["citizen"]), ("Better citizen experience for all.", []), ("Regulatory clearance of devices" + " and so on" * 9 + "; a clearance is needed.", ["clearance"]),
+    ("Green card holders with public trust and a polygraph and 22 CFR.", ["green card", "polygraph", "public trust"]), (None, []),
+])
+def test_red_flags(spark, text, flags):
+    assert spark.createDataFrame([(text,)], "t string").select(column(S.red_flags, "t")).first()[0] == flags
+
+
+def test_labels(spark):
+    df = spark.sql("""select * from values ('Austin,TX', 3, 5, timestamp_ntz '2001-07-31 13:00:00'), ('A; B ;C', 3, 0, timestamp_ntz '2001-07-30 11:00:00'), ('', null, 1, timestamp_ntz '2001-07-20 00:00:00'), (null, 2, null, timestamp_ntz '2001-05-01 00:00:00') t(l, a, b, w)""")
+    now = "timestamp_ntz '2001-08-01 12:00:00'"
+    got = df.select(column(S.short_location, "l"), column(S.years_label, "a", "b"), column(S.age_label, "w", now)).collect()
+    assert [tuple(r) for r in got] == [("Austin, TX", "3–5 yrs exp", "Today"), ("A +2 more", "3+ yrs exp", "2d ago"), ("United States", None, "1w ago"), ("United States", "2+ yrs exp", "3mo ago")]
+    stems = spark.createDataFrame([("Senior Data Engineer (Remote) - 1234 X",), ("Director of Sales, West",), ("VP I/O #12",)], "t string").select(column(S.title_stem, "t")).collect()
+    assert [r[0] for r in stems] == ["data engineer", "sales west", "o"]
+
+
+def test_numeric_entities_beyond_the_code_space_stay(spark):
+    got = spark.createDataFrame([("a&#x110000;b",), ("&#9999999;",), ("&#xD800;c",), ("&#128512;",)], "h string").select(column(S.strip_html, "h")).collect()
+    assert [r[0] for r in got] == ["a&#x110000;b", "&#9999999;", "&#xD800;c", "😀"]
+
+
+def test_application_fold(spark):
+    from sievework.operators import tracker
+
+    rows = [
+        (1, 1, 1, "T", "C", "r1", True, 1, 2), (1, 1, 2, "", None, None, False, 3, 4), (1, 1, 3, "First", "Co", "r3", False, 5, 6), (1, 1, 4, "", "", "r4", True, None, 8), (1, 1, 5, "Last", None, None, False, 9, 9),
+        (2, 1, 1, "Only", "", None, False, 1, 1), (3, 1, 1, "Looked", "", "r", True, 1, 1),
+    ]
+    df = spark.createDataFrame(rows, "user_id int, job_id int, seq int, title string, company string, resume string, attach_only boolean, score_before int, score_after int").selectExpr("*", "timestamp_seconds(seq) as ts")
+    out = tracker.folded_applications(df).collect()
+    assert [(r.user_id, r.title, r.company, r.resume, r.optimized, r.resume_was_sent, r.score_before, r.score_after) for r in out] == [(1, "First", "Co", "r4", True, True, None, 8)]
+    direct = {r.user_id: r for r in tracker.folded_applications(df, track_direct=True).collect()}
+    assert set(direct) == {1, 2} and direct[1].title == "Last" and not direct[2].resume_was_sent and direct[2].resume is None
+
+
+@pytest.mark.parametrize(("text", "months"), [
+    ("EXPERIENCE\nA | Jan 2020 - Dec 2020\nB | 03/2019 – Present\nEDUCATION:\nBS | 2010 - 2014", 12 + 30), ("WORK EXPERIENCE:\nA | 2018 - 2019", 24), ("EDUCATION\nBS | 2018 - 2022", None), ("EXPERIENCE\nnone", None), ("EXPERIENCE\nX Mar 2021 - Jan 2021", None),
+])
+def test_experience_months(spark, text, months):
+    from pyspark.sql import functions as F
+
+    from sievework.operators import drafts
+
+    assert spark.createDataFrame([(text,)], "t string").select(drafts.experience_months(F.col("t"), 2021, 8)).first()[0] == months
+
+
+def test_summary_and_codes(spark):
+    from pyspark.sql import functions as F
+
+    from sievework.operators import drafts
+
+    old = "NAME\nSUMMARY\nBuilds large pipelines. Known for steady work!\nSKILLS\nSQL, VMCE"
+    new = "NAME\nPROFESSIONAL SUMMARY:\nBuilds large pipelines.\nSKILLS\nSQL, VMCE, VMCSE, DP-203.• Designed it\nCERTIFICATIONS\nCKAD"
+    both = spark.createDataFrame([(1, old, new)], "doc_id int, original string, draft string")
+    assert [tuple(r) for r in drafts.summary_drift(both).collect()] == [(1, 2, 1, "cut")]
+    codes = drafts.stray_certs(F.col("original"), F.col("draft"))
+    assert both.select(codes).first()[0] == ["VMCSE", "DP-203"]
+    fixed = both.select(drafts.repaired(F.lit("It has VMCE, VMCSE, SQL."), F.array(F.lit("VMCSE")))).first()[0]
+    assert fixed == "It has VMCE, SQL."
+    assert both.select(drafts.repaired(F.lit("Did it.• Then that"), F.array().cast("array<string>"))).first()[0] == "Did it.\n• Then that"
+
+
+@pytest.mark.parametrize("name", sorted(core.ORACLES))
+def test_queries_return_rows(spark, name):
+    if name != "truncate":
+        assert not core.QUERIES[name](spark, SF).isEmpty()
