@@ -383,9 +383,7 @@ def employment_breakdown(spark, sf):
 
 @query("verdict_companies", f"select verdict, company, n from (select verdict, company, count(*) as n, row_number() over (partition by verdict order by count(*) desc, company) as place from (select company, {Q.verdict(CHECK)} as verdict from {_P}) group by verdict, company) where place <= 5")
 def verdict_companies(spark, sf):
-    from .functions.dialect import SPARK
-
-    counts = P.postings(spark, sf).select("company", F.expr(Q.verdict(SPARK)).alias("verdict")).groupBy("verdict", "company").agg(F.count("*").alias("n"))
+    counts = Q.judged(spark, sf).groupBy("verdict", "company").agg(F.count("*").alias("n"))
     return counts.withColumn("place", F.row_number().over(Window.partitionBy("verdict").orderBy(F.desc("n"), "company"))).filter("place <= 5").drop("place")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
+from .literals import required
+
 
 class Dialect:
     """Writes the few things that differ: literals, regular expressions, arrays."""
@@ -25,7 +27,18 @@ class Dialect:
         return f"regexp_matches({x}, {self.text(pattern)})"
 
     def any_match(self, x: str, patterns: Iterable[str]) -> str:
-        """One alternation instead of a chain of tests."""
+        """One alternation instead of a chain of tests.  A long list is split by the literals its patterns cannot match
+        without: only those whose literals stand in the text are tried."""
+        patterns = list(patterns)
+        if self.spark and len(patterns) > 8 and not any("(?i" in p for p in patterns):
+            groups: dict = {}
+            for p in patterns:
+                groups.setdefault(required(p), []).append(p)
+            tests = []
+            for needs, some in groups.items():
+                tried = self.match("gated", "|".join(f"(?:{p})" for p in some))
+                tests.append(tried if needs is None else f"(({' or '.join(f'contains(gated, {self.text(x)})' for x in sorted(needs))}) and {tried})")
+            return self.let(x, "gated", "(" + " or ".join(tests) + ")")
         plain, ahead = [p for p in patterns if self.spark or "(?!" not in p], [p for p in patterns if not self.spark and "(?!" in p]
         return "(" + " or ".join([self.match(x, "|".join(f"(?:{p})" for p in plain)), *[self.match(x, p) for p in ahead]]) + ")"
 

@@ -60,7 +60,7 @@ def disqualified(d: Dialect, x: str) -> str:
 
 def disqualifier(d: Dialect, norm: str) -> str:
     """The number (from 1) of the first rule that holds on normalised text, else 0."""
-    return "case " + " ".join(f"when {d.match(norm, p)} then {i}" for i, p in enumerate(rules.DISQUALIFIERS, 1)) + " else 0 end"
+    return d.let(norm, "norm", "case " + " ".join(f"when {d.match('norm', p)} then {i}" for i, p in enumerate(rules.DISQUALIFIERS, 1)) + " else 0 end")
 
 
 def window(x: str, at: str, length: str, before: int, after: int) -> str:
@@ -94,8 +94,8 @@ def padded_title(d: Dialect, x: str) -> str:
 
 
 def category(d: Dialect, title: str) -> str:
-    t = padded_title(d, title)
-    return f"case when {or_empty(title)} = '' then 'Other' " + " ".join(f"when {d.match(t, p)} then {d.text(c)}" for p, c in rules.CATEGORY_RULES) + " else 'Other' end"
+    chain = " ".join(f"when {d.match('padded', p)} then {d.text(c)}" for p, c in rules.CATEGORY_RULES)
+    return d.let(padded_title(d, title), "padded", f"case when {or_empty(title)} = '' then 'Other' {chain} else 'Other' end")
 
 
 def licence(d: Dialect, title: str) -> str:
@@ -150,10 +150,9 @@ def first_word(d: Dialect, x: str, terms) -> str:
 
 
 def state_of(d: Dialect, location: str) -> str:
-    low = f"lower({or_empty(location)})"
-    names = " ".join(f"when {d.match(low, rf'\b{name.lower()}\b')} then '{name}'" for name, _ in rules.STATES)
-    codes = " ".join(f"when {d.match(low, rf'(^|,\s*|\s){code}(\s*,|\s*$)')} then '{name}'" for name, code in sorted(rules.STATES, key=lambda s: (s[1] == 'dc', s[0])))
-    return f"case {names} {codes} end"
+    names = " ".join(f"when {d.match('place', rf'\b{name.lower()}\b')} then '{name}'" for name, _ in rules.STATES)
+    codes = " ".join(f"when {d.match('place', rf'(^|,\s*|\s){code}(\s*,|\s*$)')} then '{name}'" for name, code in sorted(rules.STATES, key=lambda s: (s[1] == 'dc', s[0])))
+    return d.let(f"lower({or_empty(location)})", "place", f"case {names} {codes} end")
 
 
 def unaccented(d: Dialect, x: str) -> str:

@@ -25,34 +25,61 @@ def _jobs(d: Dialect) -> dict[str, str]:
     }
 
 
+def per_value(df: DataFrame, name: str, made: dict[str, str]) -> DataFrame:
+    """df with columns that depend on one of its own, worked out once for each different value of it.
+
+    Titles and places repeat: their values are few beside the rows.  The join is left to the optimizer, which broadcasts
+    the values where they are small.
+    """
+    values = df.select(name).distinct().withColumns({k: F.expr(v) for k, v in made.items()}).withColumnRenamed(name, "_value")
+    return df.join(values, F.col(name).eqNullSafe(F.col("_value")), "left").drop("_value")
+
+
+#: The columns of jobs that a title or a place alone decides.
+_BY = {"title": ("field", "needs_license", "experience_level"), "location": ("state",)}
+
+
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings with everything extracted."""
-    return P.postings(spark, sf_dir).withColumns({k: F.expr(v) for k, v in _jobs(SPARK).items()})
+    made, out = _jobs(SPARK), P.postings(spark, sf_dir)
+    for name, columns in _BY.items():
+        out = per_value(out, name, {c: made.pop(c) for c in columns})
+    return out.withColumns({k: F.expr(v) for k, v in made.items()})
 
 
 _POSTINGS = f"({P.sql(CHECK)})"
 _JOBS = f"(select *, {', '.join(f'{v} as {k}' for k, v in _jobs(CHECK).items())} from {_POSTINGS})"
 
 
-def verdict(d: Dialect) -> str:
+def verdict(d: Dialect, kind: str = "") -> str:
     """The first gate that stops a posting: age, place, disqualifier, contract; else passed."""
-    kind = S.location_kind(d, "location")
+    kind = kind or S.location_kind(d, "location")
     return (
         f"case when posted_at < {d.time(P.NOW)} - {d.days(1500)} then 'old' when not ({kind} in ('us', 'weak-us', 'ambiguous')) and location <> '' then 'non_us' "
         f"when {S.disqualified(d, 'body')} then 'disqualified' when {S.contract(d, 'body', 'title')} then 'contract' else 'passed' end")
 
 
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings with their verdict; the kind of a place is worked out once for each place."""
+    rows = per_value(P.postings(spark, sf_dir), "location", {"kind": S.location_kind(SPARK, "location")})
+    return rows.withColumn("verdict", F.expr(verdict(SPARK, "kind")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _both(name: str, made: Callable[[Dialect], dict[str, str]], source: str = "postings", keep: tuple[str, ...] = ("id",), where: Callable[[Dialect], str] | None = None, group: bool = False) -> None:
-    """A projection (or its counts) written once: columns by name, over one source."""
+def _both(name: str, made: Callable[[Dialect], dict[str, str]], source: str = "postings", keep: tuple[str, ...] = ("id",), where: Callable[[Dialect], str] | None = None, group: bool = False, per: str = "") -> None:
+    """A projection (or its counts) written once: columns by name, over one source; ``per`` names the one column they need,
+    so that they are made once for each of its values."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = {"postings": P.postings, "jobs": jobs}[source](spark, sf_dir) if source in ("postings", "jobs") else spark.read.parquet(f"{sf_dir}/{source}.parquet")
         if where is not None:
             df = df.filter(F.expr(where(SPARK)))
-        df = df.select(*keep, *[F.expr(v).alias(k) for k, v in made(SPARK).items()])
+        if per:
+            df = per_value(df.select(*keep, per), per, made(SPARK)).select(*keep, *made(SPARK))
+        else:
+            df = df.select(*keep, *[F.expr(v).alias(k) for k, v in made(SPARK).items()])
         return df.groupBy(*made(SPARK)).agg(F.count("*").alias("n")) if group else df
 
     names = list(made(CHECK))
@@ -73,18 +100,26 @@ def query(name: str, oracle: str | None = None):
 
 
 # gates and classification
-_both("ingest_funnel", lambda d: {"verdict": verdict(d)}, keep=(), group=True)
-_both("posting_verdict", lambda d: {"verdict": verdict(d)})
+@query("ingest_funnel", f"select verdict, count(*) as n from (select {verdict(CHECK)} as verdict from {_POSTINGS}) group by verdict")
+def ingest_funnel(spark, sf):
+    return judged(spark, sf).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@query("posting_verdict", f"select id, {verdict(CHECK)} as verdict from {_POSTINGS}")
+def posting_verdict(spark, sf):
+    return judged(spark, sf).select("id", "verdict")
+
+
 _both("age_gate", lambda d: {"kept": f"(posted_at is null or posted_at >= {d.time(CUTOFF)})", "kept_dated": f"coalesce(posted_at >= {d.time(CUTOFF)}, false)"})
-_both("location_kind", lambda d: {"kind": S.location_kind(d, "location")})
-_both("is_us", lambda d: {"is_us": f"({S.location_kind(d, 'location')} in ('us', 'weak-us', 'ambiguous'))"})
-_both("state_extract", lambda d: {"state": S.state_of(d, "location")})
+_both("location_kind", lambda d: {"kind": S.location_kind(d, "location")}, per="location")
+_both("is_us", lambda d: {"is_us": f"({S.location_kind(d, 'location')} in ('us', 'weak-us', 'ambiguous'))"}, per="location")
+_both("state_extract", lambda d: {"state": S.state_of(d, "location")}, per="location")
 _both("disqualified", lambda d: {"disqualified": S.disqualified(d, "body")})
 _both("disqualifier_rule", lambda d: {"rule": S.disqualifier(d, S.normalised(d, "body"))})
 _both("contract_flag", lambda d: {"contract": S.contract(d, "body", "title")})
-_both("category_counts", lambda d: {"field": S.category(d, "title")}, keep=(), group=True)
-_both("license_flag", lambda d: {"needs_license": S.licence(d, "title")})
-_both("experience_level", lambda d: {"level": S.experience_level(d, "title")})
+_both("category_counts", lambda d: {"field": S.category(d, "title")}, keep=(), group=True, per="title")
+_both("license_flag", lambda d: {"needs_license": S.licence(d, "title")}, per="title")
+_both("experience_level", lambda d: {"level": S.experience_level(d, "title")}, per="title")
 _both("work_type", lambda d: {"work_type": S.work_type(d, "location", "body")})
 _both("salary_extract", lambda d: {"salary_min": S.salary(d, "body", 1), "salary_max": S.salary(d, "body", 2)})
 _both("years_extract", lambda d: {"years_min": S.years(d, "body", 1), "years_max": S.years(d, "body", 2)})
@@ -102,7 +137,7 @@ _both("decode_entities", lambda d: {"decoded": S.decode_entities(d, "html")}, so
 _both("escape_html", lambda d: {"escaped": S.escape_html(d, "text")}, source="benchmark", keep=("item_id",))
 _both("looks_like_resume", lambda d: {"signs": S.resume_signs(d, "text"), "is_resume": f"{S.resume_signs(d, 'text')} >= 2"}, source="documents", keep=("doc_id",))
 _both("assess_extraction", lambda d: {"status": S.extraction_status(d, "text")}, source="documents", keep=(), group=True)
-_both("title_histogram", lambda d: {"stem": S.title_stem(d, "title")}, keep=(), group=True)
+_both("title_histogram", lambda d: {"stem": S.title_stem(d, "title")}, keep=(), group=True, per="title")
 _both("cache_key", lambda d: {"cache_key": S.cache_key(d, "text", "lang")}, source="documents", keep=("doc_id",))
 _both("content_words", lambda d: {"words": d.size(S.content_words(d, "text"))}, source="documents", keep=("doc_id",))
 _both("skill_filter", lambda d: {"kept": S.keep_skill(d, "p_brand"), "type_kept": S.keep_skill(d, "upper(substring(p_name, 1, 5))")}, source="part", keep=("p_partkey",))
@@ -112,10 +147,10 @@ _both("format_salary", lambda d: {"label": S.salary_label(d, "salary_min", "sala
 _both("format_years", lambda d: {"label": S.years_label(d, "years_min", "years_max")}, source="jobs")
 _both("time_ago", lambda d: {"label": S.age_label(d, "posted_at", d.time(P.NOW))})
 _both("age_buckets", lambda d: {"bucket": S.age_bucket(d, "posted_at", d.time(P.NOW))}, keep=(), group=True)
-_both("short_location", lambda d: {"label": S.short_location(d, "location")})
+_both("short_location", lambda d: {"label": S.short_location(d, "location")}, per="location")
 # listing predicates
 _both("any_word_match", lambda d: {"found": S.found_by(d, "data nurse", "title", "company")})
-_both("rank_tier", lambda d: {"tier": S.tier(d, "title", SEARCH.query), "score": S.score(d, "title", SEARCH.query)})
+_both("rank_tier", lambda d: {"tier": S.tier(d, "title", SEARCH.query), "score": S.score(d, "title", SEARCH.query)}, per="title")
 _both("dq_missing", lambda d: {"no_url": "coalesce(apply_url, '') = ''", "no_place": "coalesce(location, '') = ''", "no_date": "posted_at is null"}, keep=(), group=True)
 _both("url_shape", lambda d: {"odd_url": f"not coalesce({d.match('apply_url', '^https://')}, false)"}, keep=(), group=True)
 
@@ -463,7 +498,7 @@ def doc_bullet_loss(spark, sf):
 
 
 _US_FORMS = (r"\b(?:usa|u\.?s\.?a\.?|united\s+states)\b", r"(^|,\s*|\s)(?:" + "|".join(c for _, c in rules.STATES) + r")(\s*,|\s*$)")
-_both("looks_us", lambda d: {"looks_us": d.any_match("lower(coalesce(location, ''))", _US_FORMS)})
+_both("looks_us", lambda d: {"looks_us": d.any_match("lower(coalesce(location, ''))", _US_FORMS)}, per="location")
 _both("sponsor_badge", lambda d: {"badge": f"({d.any_match(S.normalised(d, 'body'), rules.SPONSOR_SIGNS)} and not {S.disqualified(d, 'body')})", "mentions": d.match("lower(body)", "sponsor")})
 
 
