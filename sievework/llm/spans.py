@@ -8,7 +8,7 @@ parts from one on with SPAN_PARTS parts and SPAN_WORDS words: short sentences ar
 three sentences or more there; the shortest run that ends a text is a span too.  The first part that is sure in a passage begins within its first 15 words, a span ends
 within 24 more, and parts are sure up to its last 8: every passage of 47 words holds a whole span wherever it stands.
 
-Spans are hashed (96 bits of two independent sums over their lower-cased (A-Z) words) and joined over all documents.
+Spans are hashed (88 bits of two independent sums over their lower-cased (A-Z) words) and joined over all documents.
 A span is repeated where it occurred before: in a document of a smaller id, or earlier in the same document.  What
 goes is whole sentences: those that repeated spans cover from end to end.  Two cases have no such sentence and lose
 the covered parts themselves: sentences of more than LONGEST words, which no prose has, and a repeated run that covers
@@ -124,7 +124,7 @@ def spans(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarr
         code = (sums[end] - sums[first]) * up[first] + (end - first).astype(np.uint64)
         code = (code ^ (code >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         codes.append(code ^ (code >> np.uint64(29)))
-    return codes[0].view(np.int64), (codes[1] >> np.uint64(32)).astype(np.uint32).view(np.int32), at, to + 1
+    return codes[0].view(np.int64), (codes[1] >> np.uint64(40)).astype(np.int32), at, to + 1
 
 
 def _occurrences(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -167,13 +167,15 @@ def _occurrences(df: DataFrame, key: str, text: str) -> DataFrame:
 def repeated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, spans: the spans of each document that occur in one of a smaller id, none where only its own repeat.
 
-    The occurrences are made once.  Whether a span repeats comes from partial minima and counts; only then do the
-    occurrences meet the first ids of repeated spans, in a join that Spark can split at a hot span.  A count stands for the
-    largest id in the first step: it takes less room in the shuffle, and rows of equal ids fall out in the join.
+    The occurrences are made once.  Whether a span repeats comes from partial counts; only then do the occurrences meet the
+    repeated spans, in a join that Spark can split at a hot span, and the few that are left meet the first id of theirs.
     """
     found = materialise(_occurrences(df, key, text))
-    first = found.filter("span is not null").groupBy("span", "proof").agg(F.min("key").alias("first"), F.count("*").alias("times")).filter("times > 1").select("span", "proof", "first")
-    later = found.join(first, ["span", "proof"]).filter("key > first").select("key", "span")
+    same = ["span", "proof"]
+    times = found.filter("span is not null").groupBy(*same).agg(F.count("*").alias("times")).filter("times > 1").select(*same)
+    again = materialise(found.join(times, same))
+    first = again.groupBy(*same).agg(F.min("key").alias("first"))
+    later = again.join(first, same).filter("key > first").select("key", "span")
     return later.unionByName(found.filter("span is null").select("key", "span")).groupBy("key").agg(F.collect_set("span").alias("spans"))
 
 
