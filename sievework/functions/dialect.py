@@ -34,14 +34,16 @@ class Dialect:
             groups: dict = {}
             for p in patterns:
                 groups.setdefault(required(p), []).append(p)
-            tests = []
-            for needs, some in groups.items():
-                tried = self.match("gated", "|".join(f"(?:{p})" for p in some))
-                tests.append(tried if needs is None else f"(({' or '.join(f'contains(gated, {self.text(x)})' for x in sorted(needs))}) and {tried})")
+            tests = [self.gated("gated", needs, "|".join(f"(?:{p})" for p in some)) for needs, some in groups.items()]
             return self.let(x, "gated", "(" + " or ".join(tests) + ")")
         plain, ahead = [p for p in patterns if self.spark or "(?!" not in p], [p for p in patterns if not self.spark and "(?!" in p]
         return "(" + " or ".join([self.match(x, "|".join(f"(?:{p})" for p in plain)), *[self.match(x, p) for p in ahead]]) + ")"
 
+    def gated(self, x: str, needs: Iterable[str] | None, pattern: str) -> str:
+        """A match that is tried only where one of the literals it needs stands."""
+        tried = self.match(x, pattern)
+        return tried if needs is None or not self.spark else f"(({' or '.join(f'contains({x}, {self.text(n)})' for n in sorted(needs))}) and {tried})"
+
     def sub(self, x: str, pattern: str, by: str) -> str:
         return f"regexp_replace({x}, {self.text(pattern)}, {self.text(by)}" + (")" if self.spark else ", 'g')")
 

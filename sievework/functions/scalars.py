@@ -8,6 +8,7 @@ import re
 
 from . import rules
 from .dialect import Dialect
+from .literals import required
 
 SPACE_RE = "[\\s   ]+"
 DASHES = "-–—"
@@ -60,7 +61,7 @@ def disqualified(d: Dialect, x: str) -> str:
 
 def disqualifier(d: Dialect, norm: str) -> str:
     """The number (from 1) of the first rule that holds on normalised text, else 0."""
-    return d.let(norm, "norm", "case " + " ".join(f"when {d.match('norm', p)} then {i}" for i, p in enumerate(rules.DISQUALIFIERS, 1)) + " else 0 end")
+    return d.let(norm, "norm", "case " + " ".join(f"when {d.gated('norm', required(p), p)} then {i}" for i, p in enumerate(rules.DISQUALIFIERS, 1)) + " else 0 end")
 
 
 def window(x: str, at: str, length: str, before: int, after: int) -> str:
