@@ -1,8 +1,9 @@
 """Lossless WebP as a media column: bytes become pixel arrays, images of one chunk each, and come back exactly.
 
 The decoder reads prefix codes, back-references, the colour cache and entropy groups, and inverts the predictor,
-cross-colour, subtract-green and palette transforms.  Where a code gives every symbol the same length and the other
-channels are constant, the pixels are unpacked as one array instead of symbol by symbol; the result is the same.
+cross-colour, subtract-green and palette transforms.  The encoder writes palette images with back-references and prefix
+codes of varying length, or codes of fixed length where those take no more bits.  Two forms are read faster than the
+general one, with the same result: codes of fixed length as one array, and images of one varying channel as bytes.
 
 Null text is the empty text, stored as 64 zero bytes.  A payload beyond 1 MiB becomes several images, one after
 another.  Equal texts give equal media.  Only the key and the text are read from the input.
@@ -10,7 +11,6 @@ another.  Equal texts give equal media.  Only the key and the text are read from
 from __future__ import annotations
 
 import hashlib
-import heapq
 import struct
 import zlib
 from collections.abc import Iterator
@@ -66,29 +66,38 @@ class Code:
         if used[0][0] == self.most:
             self.flat, self.symbols = self.most, np.array([s for _, s in used], np.int64)
         self._used = used
-        self._table: list | None = None
+        self._table: list[int] | None = None
+
+    def table(self) -> list[int]:
+        """16 * symbol + length for each value of the next bits; a lone symbol takes none."""
+        if self.single is not None:
+            return [self.single << 4]
+        if self._table is None:
+            n, s = np.array(self._used).T
+            self._table = np.repeat(s << 4 | n, 1 << (self.most - n))[_mirrored(self.most)].tolist()
+        return self._table
 
     def next(self, bits: Bits) -> int:
         if self.single is not None:
             return self.single
-        if self._table is None:
-            self._table = [None] * (1 << self.most)
-            code, last = 0, self._used[0][0]
-            for n, s in self._used:
-                code <<= n - last
-                last = n
-                for k in range(_mirror(code, n), 1 << self.most, 1 << n):
-                    self._table[k] = (s, n)
-                code += 1
-        symbol, n = self._table[bits.peek(self.most)]
-        bits.read(n)
-        return symbol
+        found = self.table()[bits.peek(self.most)]
+        bits.read(found & 15)
+        return found >> 4
 
 
 def _mirror(value: int, n: int) -> int:
     return int(f"{value:0{n}b}"[::-1], 2)
 
 
+@cache
+def _mirrored(n: int) -> np.ndarray:
+    """The n-bit numbers with their bits in reverse."""
+    out = np.zeros(1, np.int64)
+    for _ in range(n):
+        out = np.concatenate([out * 2, out * 2 + 1])
+    return out
+
+
 def _read_code(bits: Bits, size: int) -> Code:
     lengths = [0] * size
     if bits.read(1):
@@ -126,6 +135,56 @@ def _prefixed(bits: Bits, code: int) -> int:
     return ((2 + (code & 1)) << extra) + bits.read(extra) + 1
 
 
+def _back(value: int, width: int) -> int:
+    """The pixels that a distance value goes back: the first 120 name near pixels."""
+    if value > 120:
+        return value - 120
+    x, y = _NEAR[value - 1]
+    return max(1, x + y * width)
+
+
+def _one_channel(bits: Bits, total: int, width: int, green: Code, distance: Code) -> np.ndarray:
+    """The green values of an image whose other channels take no bits."""
+    first = bits.at >> 3
+    raw = np.frombuffer(bits.data, np.uint8)[first:].astype(np.uint32)
+    window = memoryview(raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24)  # the 32 bits from each byte on
+    near, far = green.table(), distance.table()
+    near_mask, far_mask = len(near) - 1, len(far) - 1
+    out, at = bytearray(), bits.at & 7
+    append = out.append
+    try:
+        while len(out) < total:
+            found = near[window[at >> 3] >> (at & 7) & near_mask]
+            at += found & 15
+            s = found >> 4
+            if s < 256:
+                append(s)
+                continue
+            length = s - 255
+            if length > 4:
+                extra = (s - 258) >> 1
+                length = ((2 + (s & 1)) << extra) + (window[at >> 3] >> (at & 7) & ((1 << extra) - 1)) + 1
+                at += extra
+            found = far[window[at >> 3] >> (at & 7) & far_mask]
+            at += found & 15
+            s = found >> 4
+            value = s + 1
+            if s > 3:
+                extra = (s - 2) >> 1
+                value = ((2 + (s & 1)) << extra) + (window[at >> 3] >> (at & 7) & ((1 << extra) - 1)) + 1
+                at += extra
+            back = value - 120 if value > 120 else _back(value, width)
+            place = len(out) - back
+            if place < 0 or len(out) + length > total:
+                raise ValueError("a back-reference beyond the image")
+            out += out[place : place + length] if back >= length else (out[place:] * (length // back + 1))[:length]
+    except IndexError:
+        raise ValueError("the bit stream is cut short") from None
+    bits.at = 8 * first + at
+    bits.read(0)
+    return np.frombuffer(bytes(out), np.uint8)
+
+
 def _image(bits: Bits, width: int, height: int, whole: bool) -> np.ndarray:
     """One entropy-coded image as an array of 32-bit ARGB values; only a whole image can have entropy groups."""
     cache_bits = bits.read(4) if bits.read(1) else 0
@@ -154,6 +213,7 @@ def _image(bits: Bits, width: int, height: int, whole: bool) -> np.ndarray:
             value = np.packbits(fields, axis=1)[:, 0] >> (8 - k) if k <= 8 else fields @ (1 << np.arange(k - 1, -1, -1))
             bits.at += total * k
             return np.uint32(rest) | (green.symbols[value].astype(np.uint32) << np.uint32(8))
+        return np.uint32(rest) | (_one_channel(bits, total, width, green, distance).astype(np.uint32) << np.uint32(8))
     out = [0] * total
     cache = [0] * (1 << cache_bits)
     shift = 32 - cache_bits
@@ -168,12 +228,7 @@ def _image(bits: Bits, width: int, height: int, whole: bool) -> np.ndarray:
             made = [(alpha.next(bits) << 24) | (r << 16) | (s << 8) | b]
         elif s < 280:
             length = _prefixed(bits, s - 256)
-            back = _prefixed(bits, distance.next(bits))
-            if back > 120:
-                back -= 120
-            else:
-                x, y = _NEAR[back - 1]
-                back = max(1, x + y * width)
+            back = _back(_prefixed(bits, distance.next(bits)), width)
             if back > at or at + length > total:
                 raise ValueError("a back-reference beyond the image")
             made = (out[at - back : at] * (length // back + 1))[:length]
@@ -336,16 +391,27 @@ def code_lengths(counts: list[int], most: int = 15) -> list[int]:
     """Lengths of an optimal prefix code; rare symbols count as more until no length is beyond ``most``."""
     floor = 1
     while True:
-        heap = [(max(c, floor), i, (i,)) for i, c in enumerate(counts) if c]
+        leaves = sorted((max(c, floor), s) for s, c in enumerate(counts) if c)
+        n = len(leaves)
+        # nodes by weight: the leaves, then the joined ones in the order they were made
+        weight, parent = [c for c, _ in leaves], [0] * (2 * n - 1)
+        leaf, joined = 0, n
+        for made in range(n, 2 * n - 1):
+            total = 0
+            for _ in range(2):
+                if leaf < n and (joined == made or weight[leaf] <= weight[joined]):
+                    least, leaf = leaf, leaf + 1
+                else:
+                    least, joined = joined, joined + 1
+                parent[least] = made
+                total += weight[least]
+            weight.append(total)
+        depth = [0] * (2 * n - 1)
+        for node in range(2 * n - 3, -1, -1):
+            depth[node] = depth[parent[node]] + 1
         lengths = [0] * len(counts)
-        if len(heap) == 1:
-            lengths[heap[0][1]] = 1
-        heapq.heapify(heap)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for i in a[2] + b[2]:
-                lengths[i] += 1
-            heapq.heappush(heap, (a[0] + b[0], a[1], a[2] + b[2]))
+        for (_, s), d in zip(leaves, depth):
+            lengths[s] = d or 1
         if max(lengths) <= most:
             return lengths
         floor = 2 * floor + 1
@@ -438,6 +504,102 @@ def put_flat_image(w: Writer, green: np.ndarray, whole: bool, alpha: int = 255)
         w.array(np.unpackbits(green.astype(np.uint8)[:, None], axis=1)[:, 8 - k :].reshape(-1))
 
 
+#: Matches are of this many pixels at least, and of 4,096 at most by the format.
+MATCH, _LONGEST = 4, 4096
+
+
+def _matches(green: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and distances of the back-references: greedy, to the last place that began with the same pixels.
+
+    A match goes on while its neighbours' last places lie equally far back, and then pixel by pixel.
+    """
+    n, wide = len(green), green.astype(np.uint32)
+    keys = wide[:-3] | wide[1:-2] << 8 | wide[2:-1] << 16 | wide[3:] << 24
+    order = np.argsort(keys, kind="stable")
+    sorted_keys = keys[order]
+    again = np.flatnonzero(sorted_keys[1:] == sorted_keys[:-1])
+    back = np.zeros(len(keys), np.int64)
+    back[order[again + 1]] = order[again + 1] - order[again]
+    bounds = np.append(np.flatnonzero(back[1:] != back[:-1]) + 1, len(keys))
+    ends = np.repeat(bounds, np.diff(bounds, prepend=0)).tolist()
+    back, raw = back.tolist(), green.tobytes()
+    starts, lengths, distances = [], [], []
+    at, last = 0, len(back)
+    while at < last:
+        far = back[at]
+        if not far:
+            at = ends[at]
+            continue
+        most = min(at + _LONGEST, n)
+        end = min(ends[at] + MATCH - 1, most)
+        while end < most and raw[end] == raw[end - far]:
+            end += 1
+        starts.append(at)
+        lengths.append(end - at)
+        distances.append(far)
+        at = end
+    return np.array(starts, np.int64), np.array(lengths, np.int64), np.array(distances, np.int64)
+
+
+def _prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix codes, extra bits and their number, of lengths or distance values."""
+    v = value - 1
+    high = np.frexp(v.astype(np.float64))[1].astype(np.int64) - 1
+    extra = np.maximum(high - 1, 0)
+    code = np.where(v < 2, v, 2 * high + ((v >> extra) & 1))
+    return code, v & ((1 << extra) - 1), extra
+
+
+def _coded(counts: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Lengths of a prefix code, and by symbol its bits and the bits' number."""
+    lengths = code_lengths(counts.tolist(), 11)
+    bits, sizes = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+    for s, (code, n) in _canonical(lengths).items():
+        bits[s], sizes[s] = code, n
+    return lengths, bits, sizes
+
+
+def put_image(w: Writer, green: np.ndarray) -> None:
+    """A whole image whose red and blue are 0, with back-references; of codes of fixed length where those take no more bits."""
+    flat = len(green) * max(1, int(green.max()).bit_length())
+    if flat <= 512:  # the descriptions of the codes alone take about as many
+        return put_flat_image(w, green, True)
+    starts, lengths, distances = _matches(green)
+    code, extra, n_extra = _prefix(lengths)
+    far, far_extra, n_far = _prefix(distances + 120)
+    symbol = green.astype(np.int64)
+    symbol[starts] = 256 + code
+    inside = np.zeros(len(green) + 1, np.int64)
+    inside[starts + 1] += 1  # matches share no pixel, but one may begin where another ends
+    inside[starts + lengths] -= 1
+    kept = np.cumsum(inside[:-1]) == 0
+    kept[starts] = True
+    tokens = np.flatnonzero(kept)
+    symbol = symbol[tokens]
+    own, own_bits, own_sizes = _coded(np.bincount(symbol, minlength=280))
+    far_lengths, far_bits, far_sizes = _coded(np.bincount(far, minlength=40)) if len(far) else ([1] + [0] * 39, None, None)
+    # four fields a token: its code, and for a match the length's extra bits, the distance's code and its extra bits
+    value, size = np.zeros((len(tokens), 4), np.int64), np.zeros((len(tokens), 4), np.int64)
+    value[:, 0], size[:, 0] = own_bits[symbol], own_sizes[symbol]
+    if len(far):
+        rows = np.flatnonzero(symbol >= 256)
+        value[rows, 1:] = np.stack([extra, far_bits[far], far_extra], 1)
+        size[rows, 1:] = np.stack([n_extra, far_sizes[far], n_far], 1)
+    head = Writer()
+    head.put(0, 2)
+    put_code(head, own)
+    for one in (0, 0, 255):
+        put_code(head, [int(i == one) for i in range(256)])
+    put_code(head, far_lengths)
+    if head.n + int(size.sum()) >= flat:
+        return put_flat_image(w, green, True)
+    w.put(head.held, head.n)
+    value, size = value.reshape(-1), size.reshape(-1)
+    value, size = value[size > 0], size[size > 0]
+    began = np.cumsum(size) - size
+    w.array(((np.repeat(value, size) >> (np.arange(int(size.sum())) - np.repeat(began, size))) & 1).astype(np.uint8))
+
+
 def riff(w: Writer) -> bytes:
     body = w.bytes()
     padded = body + bytes(len(body) % 2)
@@ -469,7 +631,7 @@ def encode_samples(samples: np.ndarray) -> bytes:
         padded = np.zeros((height, -(-width >> share) << share), np.uint8)
         padded[:, :width] = index
         index = (padded.reshape(height, -1, 1 << share) << (np.arange(1 << share) * each).astype(np.uint8)).sum(2).astype(np.uint8)
-    put_flat_image(w, index.reshape(-1), True)
+    put_image(w, index.reshape(-1).astype(np.uint8))
     return riff(w)
 
 

@@ -673,12 +673,67 @@ def test_webp_decodes_every_feature():
         webp.decode(data[:40] + bytes(0))
 
 
-@pytest.mark.parametrize("raw", [b"", b"a" * 64, b"ab" * 40, bytes(range(256)) * 3, b"abcde" * 77, bytes(64 * 16385)])
+@pytest.mark.parametrize("raw", [b"", b"a" * 64, b"ab" * 40, bytes(range(256)) * 3, b"abcde" * 77, bytes(64 * 16385), b"no one knows the way home; " * 60_000, np.random.default_rng(3).bytes(64 * 900), np.random.default_rng(4).bytes(640) * 2])
 def test_webp_round_trip(raw):
     payload = raw + bytes(-len(raw) % 64 if raw else 64)
     assert webp.samples_of(webp.pixel_arrays(webp.store(payload))).tobytes() == payload
 
 
+def test_webp_reads_back_references_and_prefix_codes_of_texts(docs, monkeypatch):
+    """The fast loop against one symbol at a time, on the stored forms of all texts; both kinds of symbols stand there."""
+    payloads = [r.text.encode() for r in docs.filter("length(text) > 300").select("text").collect()]
+    payloads = [p + bytes(-len(p) % 64) for p in payloads]
+    stored = [webp.store(p) for p in payloads]
+    seen = Counter()
+
+    def one_by_one(bits, total, width, green, distance):
+        out = []
+        while len(out) < total:
+            s = green.next(bits)
+            seen[s < 256, green.flat > 0] += 1
+            if s < 256:
+                out.append(s)
+                continue
+            length, back = webp._prefixed(bits, s - 256), webp._prefixed(bits, distance.next(bits))
+            if back <= 120:
+                x, y = webp._NEAR[back - 1]
+            back = back - 120 if back > 120 else max(1, x + y * width)
+            for _ in range(length):
+                out.append(out[-back])
+        return np.array(out, np.uint8)
+
+    fast = [webp.samples_of(webp.pixel_arrays(m)).tobytes() for m in stored]
+    monkeypatch.setattr(webp, "_one_channel", one_by_one)
+    assert fast == [webp.samples_of(webp.pixel_arrays(m)).tobytes() for m in stored] == payloads
+    assert seen[True, False] > 1000 and seen[False, False] > 1000
+    assert sum(map(len, stored)) < 0.6 * sum(map(len, payloads))
+
+
+def test_webp_cut_stream_raises():
+    media = webp.store((b"a line that comes again and again, " * 30 + np.random.default_rng(1).bytes(100))[:1088])
+    for n in range(30, len(media) - 2, 7):
+        with pytest.raises(ValueError):
+            webp.decode(media[:n])
+
+
+def test_code_lengths_are_optimal_and_bounded():
+    import heapq
+
+    rnd = random.Random(2)
+    for n in (1, 2, 3, 17, 90):
+        counts = [rnd.choice((0, 1, 2, 9, 400)) for _ in range(n)] + [3]
+        heap, cost = [c for c in counts if c], 0
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            two = heapq.heappop(heap) + heapq.heappop(heap)
+            cost += two
+            heapq.heappush(heap, two)
+        lengths = webp.code_lengths(counts)
+        assert sum(c * k for c, k in zip(counts, lengths)) == (cost or sum(counts)) and all((k > 0) == (c > 0) for c, k in zip(counts, lengths))
+    steep = webp.code_lengths([2**k for k in range(30)], 11)
+    assert max(steep) <= 11 and sum(2.0 ** -k for k in steep) == 1
+
+
 def test_media_column(edges, nothing):
     import zlib
 
