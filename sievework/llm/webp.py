@@ -80,8 +80,8 @@ class Code:
     def next(self, bits: Bits) -> int:
         if self.single is not None:
             return self.single
-        found = self.table()[bits.peek(self.most)]
-        bits.read(found & 15)
+        found = (self._table or self.table())[bits.peek(self.most)]
+        bits.at += found & 15
         return found >> 4
 
 
@@ -145,44 +145,51 @@ def _back(value: int, width: int) -> int:
 
 def _one_channel(bits: Bits, total: int, width: int, green: Code, distance: Code) -> np.ndarray:
     """The green values of an image whose other channels take no bits."""
-    first = bits.at >> 3
-    raw = np.frombuffer(bits.data, np.uint8)[first:].astype(np.uint32)
-    window = memoryview(raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24)  # the 32 bits from each byte on
     near, far = green.table(), distance.table()
     near_mask, far_mask = len(near) - 1, len(far) - 1
-    out, at = bytearray(), bits.at & 7
+    data, place = bits.data, bits.at >> 3
+    held, left = int.from_bytes(data[place : place + 24], "little") >> (bits.at & 7), 192 - (bits.at & 7)
+    place += 24
+    out = bytearray()
     append = out.append
-    try:
-        while len(out) < total:
-            found = near[window[at >> 3] >> (at & 7) & near_mask]
-            at += found & 15
-            s = found >> 4
-            if s < 256:
-                append(s)
-                continue
-            length = s - 255
-            if length > 4:
-                extra = (s - 258) >> 1
-                length = ((2 + (s & 1)) << extra) + (window[at >> 3] >> (at & 7) & ((1 << extra) - 1)) + 1
-                at += extra
-            found = far[window[at >> 3] >> (at & 7) & far_mask]
-            at += found & 15
-            s = found >> 4
-            value = s + 1
-            if s > 3:
-                extra = (s - 2) >> 1
-                value = ((2 + (s & 1)) << extra) + (window[at >> 3] >> (at & 7) & ((1 << extra) - 1)) + 1
-                at += extra
-            back = value - 120 if value > 120 else _back(value, width)
-            place = len(out) - back
-            if place < 0 or len(out) + length > total:
-                raise ValueError("a back-reference beyond the image")
-            out += out[place : place + length] if back >= length else (out[place:] * (length // back + 1))[:length]
-    except IndexError:
-        raise ValueError("the bit stream is cut short") from None
-    bits.at = 8 * first + at
-    bits.read(0)
-    return np.frombuffer(bytes(out), np.uint8)
+    while len(out) < total:
+        if left < 64:  # a token takes 15 + 10 + 15 + 18 bits at most; zeros stand beyond the end
+            held |= int.from_bytes(data[place : place + 24], "little") << left
+            place += 24
+            left += 192
+        found = near[held & near_mask]
+        n = found & 15
+        held >>= n
+        left -= n
+        s = found >> 4
+        if s < 256:
+            append(s)
+            continue
+        length = s - 255
+        if length > 4:
+            n = (s - 258) >> 1
+            length = ((2 + (s & 1)) << n) + (held & ((1 << n) - 1)) + 1
+            held >>= n
+            left -= n
+        found = far[held & far_mask]
+        n = found & 15
+        held >>= n
+        left -= n
+        s = found >> 4
+        back = s + 1
+        if s > 3:
+            n = (s - 2) >> 1
+            back = ((2 + (s & 1)) << n) + (held & ((1 << n) - 1)) + 1
+            held >>= n
+            left -= n
+        back = back - 120 if back > 120 else _back(back, width)
+        start = len(out) - back
+        if start < 0 or len(out) + length > total:
+            raise ValueError("a back-reference beyond the image")
+        out += out[start : start + length] if back >= length else (out[start:] * (length // back + 1))[:length]
+    bits.at = 8 * place - left
+    bits.read(0)  # raises beyond the end
+    return np.frombuffer(out, np.uint8)
 
 
 def _image(bits: Bits, width: int, height: int, whole: bool) -> np.ndarray:
@@ -493,6 +500,15 @@ def _flat_codes(k: int, most: int | None, alpha: int) -> tuple[int, int]:
     return w.held, w.n
 
 
+@cache
+def _lone_codes(*values: int) -> tuple[int, int]:
+    """Codes of one symbol each."""
+    w = Writer()
+    for value in values:
+        put_code(w, [int(i == value) for i in range(256)])
+    return w.held, w.n
+
+
 def put_flat_image(w: Writer, green: np.ndarray, whole: bool, alpha: int = 255) -> None:
     """An image whose red and blue are 0: every green value takes the bits of the largest."""
     w.put(0, 2 if whole else 1)
@@ -509,11 +525,9 @@ MATCH, _LONGEST = 4, 4096
 
 
 def _matches(green: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, lengths and distances of the back-references: greedy, to the last place that began with the same pixels.
-
-    A match goes on while its neighbours' last places lie equally far back, and then pixel by pixel.
-    """
-    n, wide = len(green), green.astype(np.uint32)
+    """Starts, lengths and distances of the back-references: greedy, to the last place that began with the same pixels,
+    going on while its neighbours' last places lie equally far back."""
+    wide = green.astype(np.uint32)
     keys = wide[:-3] | wide[1:-2] << 8 | wide[2:-1] << 16 | wide[3:] << 24
     order = np.argsort(keys, kind="stable")
     sorted_keys = keys[order]
@@ -521,24 +535,16 @@ def _matches(green: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     back = np.zeros(len(keys), np.int64)
     back[order[again + 1]] = order[again + 1] - order[again]
     bounds = np.append(np.flatnonzero(back[1:] != back[:-1]) + 1, len(keys))
-    ends = np.repeat(bounds, np.diff(bounds, prepend=0)).tolist()
-    back, raw = back.tolist(), green.tobytes()
-    starts, lengths, distances = [], [], []
-    at, last = 0, len(back)
+    here = np.arange(len(keys))
+    length = np.where(back > 0, np.minimum(np.repeat(bounds, np.diff(bounds, prepend=0)) - here + MATCH - 1, _LONGEST), 0)
+    following = (here + np.maximum(length, 1)).tolist()
+    steps, at, last = [], 0, len(keys)
     while at < last:
-        far = back[at]
-        if not far:
-            at = ends[at]
-            continue
-        most = min(at + _LONGEST, n)
-        end = min(ends[at] + MATCH - 1, most)
-        while end < most and raw[end] == raw[end - far]:
-            end += 1
-        starts.append(at)
-        lengths.append(end - at)
-        distances.append(far)
-        at = end
-    return np.array(starts, np.int64), np.array(lengths, np.int64), np.array(distances, np.int64)
+        steps.append(at)
+        at = following[at]
+    steps = np.array(steps)
+    starts = steps[back[steps] > 0]
+    return starts, length[starts], back[starts]
 
 
 def _prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -588,8 +594,7 @@ def put_image(w: Writer, green: np.ndarray) -> None:
     head = Writer()
     head.put(0, 2)
     put_code(head, own)
-    for one in (0, 0, 255):
-        put_code(head, [int(i == one) for i in range(256)])
+    head.put(*_lone_codes(0, 0, 255))
     put_code(head, far_lengths)
     if head.n + int(size.sum()) >= flat:
         return put_flat_image(w, green, True)
