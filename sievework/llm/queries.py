@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottomk, bpe, centroids, ctw, langmix, oracles, packing, quality, simhash, spans, warc, webp, wrappers
+from . import bottomk, bpe, centroids, ctw, langmix, oracles, packing, quality, simhash, spans, trie, warc, webp, wrappers
 from .common import crc_mod, table
 
 
@@ -66,6 +66,10 @@ def op11_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_patricia_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_partial_distance_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
