@@ -197,36 +197,6 @@ def merged_slugs(spark, sf):
     return P.postings(spark, sf).select("slug").distinct().unionAll(_verdicts(spark, sf).filter("verdict = 'live'").select("slug")).groupBy("slug").agg(F.count("*").alias("times"))
 
 
-# sources: the postings as their boards would send them, read back by schema
-def _landed(df: DataFrame, schema: str, made: str) -> DataFrame:
-    return df.select("slug", F.from_json(F.expr(f"to_json({made})"), schema).alias("r")).select("slug", "r.*")
-
-
-@query("source_greenhouse", f"""select substring(id, 5) as id, title, upper(substring(slug, 1, 1)) || substring(slug, 2) as company, coalesce(nullif(trim(location), ''), 'United States') as location, posted_at, coalesce(apply_url, '') as apply_url,
-contains(lower(location), 'remote') as is_remote, 'greenhouse' as ats from {_P} where ats = 'greenhouse'""")
-def source_greenhouse(spark, sf):
-    rows = P.postings(spark, sf).filter("ats = 'greenhouse'")
-    made = "named_struct('id', cast(substring(id, 5) as bigint), 'title', title, 'location', named_struct('name', location), 'content', body, 'absolute_url', apply_url, 'company_name', ' ', 'first_published', '', 'updated_at', date_format(posted_at, \"yyyy-MM-dd'T'HH:mm:ss\"))"
-    return boards.from_greenhouse(_landed(rows, boards.GREENHOUSE, made)).select("id", "title", "company", "location", F.col("posted_at").cast("timestamp_ntz").alias("posted_at"), "apply_url", "is_remote", "ats")
-
-
-@query("source_ashby", f"""select 'ashby_' || id as id, title, upper(substring(slug, 1, 1)) || substring(slug, 2) as company, case when location = '' then 'Remote, US' else location || ', Remote, US' end as location, posted_at, true as is_remote, 'ashby' as ats
-from {_P} where ats = 'ashby' and not coalesce(closed, false)""")
-def source_ashby(spark, sf):
-    rows = P.postings(spark, sf).filter("ats = 'ashby'")
-    made = "named_struct('id', id, 'title', title, 'isListed', not closed, 'publishedAt', date_format(posted_at, \"yyyy-MM-dd'T'HH:mm:ss\"), 'location', location, 'secondaryLocations', array(named_struct('location', 'Remote, US')), 'descriptionPlain', body, 'applyUrl', apply_url)"
-    return boards.from_ashby(_landed(rows, boards.ASHBY, made)).select("id", "title", "company", "location", F.col("posted_at").cast("timestamp_ntz").alias("posted_at"), "is_remote", "ats")
-
-
-@query("source_smart", f"""select 'sr_' || id as id, title, case when n % 4 = 0 then 'Austin' else 'Austin, TX' end as location, case when n % 6 = 1 then 'Hybrid' when n % 5 = 0 or regexp_matches(title, '(?i)\\bremote\\b') then 'Remote US' else 'Onsite' end as work_type, 'Part one. Part two.' as body
-from (select *, cast(substring(id, 5) as bigint) as n from {_P} where ats = 'smartrecruiters') where n % 8 <> 3 and n % 9 <> 4""")
-def source_smart(spark, sf):
-    rows = P.postings(spark, sf).filter("ats = 'smartrecruiters'").withColumn("n", F.expr("cast(substring(id, 5) as bigint)"))
-    made = "named_struct('id', id, 'name', title, 'releasedDate', '2001-01-01T00:00:00', 'location', named_struct('city', 'Austin', 'region', if(n % 4 = 0, 'AUSTIN', 'TX'), 'country', if(n % 8 = 3, 'ca', 'us'), 'remote', n % 5 = 0, 'hybrid', n % 6 = 1))"
-    details = rows.filter("n % 9 <> 4").select("id", F.lit(None).cast("string").alias("applyUrl"), F.expr("named_struct('sections', map('jobDescription', named_struct('text', '<p>Part one.</p>'), 'qualifications', named_struct('text', ''), 'additionalInformation', named_struct('text', 'Part&#32;two.')))").alias("jobAd"))
-    return boards.from_smart(_landed(rows, boards.SMART, made), details).select("id", "title", "location", "work_type", "body")
-
-
 @query("source_gates", f"""select ats, count(*) as n, count(*) filter (where kept) as kept from (select ats, case ats when 'greenhouse' then location = '' or us when 'ashby' then location <> '' and us else us and n % 2 = 0 end as kept
 from (select ats, location, cast(substring(id, 5) as bigint) as n, {S.location_kind(CHECK, 'location')} in ('us', 'weak-us', 'ambiguous') as us from {_P})) group by ats""")
 def source_gates(spark, sf):
@@ -361,9 +331,9 @@ def detail_over_list(spark, sf):
     return rows.select("id", "title", "location").join(detail, "id", "left").select("id", F.coalesce("d.title", "title").alias("title"), F.col("d.body").alias("body"), "location")
 
 
-@query("description_head", "select page_id, substring(html, 1, 500) as head from pages")
+@query("description_head", f"select page_id, substring({S.strip_html(CHECK, 'html')}, 1, 500) as head from pages")
 def description_head(spark, sf):
-    return _table(spark, sf, "pages").select("page_id", F.substring("html", 1, 500).alias("head"))
+    return _table(spark, sf, "pages").select("page_id", F.substring(column(S.strip_html, "html"), 1, 500).alias("head"))
 
 
 @query("keyword_in_context", f"""select id, case when p > 0 then regexp_replace(substring(body, greatest(1, p - 40), p + length(w) + 120 - greatest(1, p - 40)), '\\s+', ' ', 'g') end as context from (select id, body, w, case when w <> '' then instr(body, w) else 0 end as p
@@ -381,12 +351,6 @@ def employment_breakdown(spark, sf):
     return P.postings(spark, sf).select(column(S.employment_type, "body").alias("employment_type")).groupBy("employment_type").agg(F.count("*").alias("n"))
 
 
-@query("verdict_companies", f"select verdict, company, n from (select verdict, company, count(*) as n, row_number() over (partition by verdict order by count(*) desc, company) as place from (select company, {Q.verdict(CHECK)} as verdict from {_P}) group by verdict, company) where place <= 5")
-def verdict_companies(spark, sf):
-    counts = Q.judged(spark, sf).groupBy("verdict", "company").agg(F.count("*").alias("n"))
-    return counts.withColumn("place", F.row_number().over(Window.partitionBy("verdict").orderBy(F.desc("n"), "company"))).filter("place <= 5").drop("place")
-
-
 @query("projections", f"select ats, count(*) as jobs, count(distinct slug) as boards, cast(floor(count(*) * 585.0 / count(distinct slug) + 0.5) as bigint) as projected from {_P} group by ats")
 def projections(spark, sf):
     out = P.postings(spark, sf).groupBy("ats").agg(F.count("*").alias("jobs"), F.count_distinct("slug").alias("boards"))

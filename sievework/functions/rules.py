@@ -371,3 +371,87 @@ NEGATIVE_SPONSOR = (
 OTHER_HINTS = (r"\bcitizen", r"\bclearance", r"\bgreen card", r"\bsecurity\s+clearance", r"\bts\/sci")
 REQUIREMENT = r"\b(required|must be|must have|only|requires)\b"
 SPONSOR_MENTION = r"\b(sponsor(ship|ed|ing)?|work authoriz|work authoris|h-?1b|green card|permanent resident|u\.?s\.? citizen|security clearance|export[- ]control|itar|employment eligibility)\b"
+
+#: Fixed values.  The older taxonomy of titles: a category and the texts of which a padded lower-case title holds one.
+TITLE_KEYWORDS = (
+    ("Software / Data / IT", (
+        "software", "developer", "engineer, back", "backend", "back-end", "frontend", "front-end",
+        "full stack", "fullstack", "data engineer", "data scientist", "data analyst", "machine learning",
+        " ml ", "ai engineer", "devops", "sre", "site reliability", "cloud", "security engineer",
+        "qa engineer", "test engineer", "mobile engineer", "ios engineer", "android engineer",
+        "platform engineer", "infrastructure engineer", "systems engineer", "network engineer",
+        "database", "analytics engineer", "business intelligence", "programmer", "architect",
+        "technical program", "product manager", "ux ", "ui ", "designer", "computer",
+    )),
+    ("Other engineering / science", (
+        "mechanical", "electrical", "civil", "chemical engineer", "aerospace", "manufacturing engineer",
+        "process engineer", "quality engineer", "industrial engineer", "hardware", "firmware",
+        "research scientist", "biologist", "chemist", "physicist", "laboratory", "r&d",
+        "structural", "materials", "optical", "rf engineer", "validation engineer",
+    )),
+    ("Healthcare / clinical", (
+        "nurse", " rn ", "rn -", "rn,", "lpn", "physician", "medical assistant", "clinical",
+        "therapist", "hospice", "patient", "caregiver", "veterinar", "dental", "pharmac",
+        "radiolog", "surgical tech", "phlebotom", "behavioral health", "social worker",
+        "home health", "nursing", "health aide", "counselor",
+    )),
+    ("Sales / marketing / CS", (
+        "sales", "account executive", "account manager", "business development", "marketing",
+        "customer success", "customer support", "brand", "growth", "partnerships", "seo",
+        "content", "social media", "communications", "public relations", "demand generation",
+    )),
+    ("Finance / accounting / legal", (
+        "accountant", "accounting", "finance", "financial", "controller", "auditor", "audit",
+        "tax ", "treasury", "payroll", "underwrit", "actuar", "legal", "attorney", "paralegal",
+        "compliance", "investment", "portfolio",
+    )),
+    ("HR / admin / operations", (
+        "human resources", " hr ", "recruit", "talent", "people operations", "administrative",
+        "office manager", "executive assistant", "coordinator", "operations", "warehouse",
+        "logistics", "supply chain", "facilities", "driver", "technician", "maintenance",
+        "production", "assembler", "shift", "store manager", "retail", "cashier", "server",
+        "cook", "janitor", "custodian", "security officer", "teacher", "instructor",
+    )),
+)
+
+#: Fixed values.  The older industries of a text: a name and its whole words, in order of precedence.
+INDUSTRY_KEYWORDS = (
+    ("Financial Services", ("bank", "banking", "lending", "loans", "treasury", "liquidity", "payments", "fintech", "financial services", "fund administrator", "asset management", "investment", "capital markets")),
+    ("Healthcare", ("patient", "clinical", "healthcare", "hospital", "medical", "therapy", "pharma", "pharmaceutical")),
+    ("Consulting", ("consulting", "consultancy", "advisory services", "client engagements")),
+    ("Defense & Government", ("defense", "military", "national security", "department of defense", "government contract")),
+    ("Education", ("education", "university", "academy", "students", "curriculum", "learning platform")),
+    ("Energy & Manufacturing", ("battery", "energy storage", "manufacturing", "supply chain", "recycling", "clean energy")),
+    ("Insurance", ("insurance", "underwriting", "claims", "policyholder")),
+    ("Retail & E-commerce", ("retail", "e-commerce", "ecommerce", "marketplace", "shopping", "merchandise")),
+    ("Technology / SaaS", ("software", "saas", "cloud platform", "data engineering", "artificial intelligence", "machine learning", "mobile app", "text-to-speech")),
+)
+
+#: Fixed values.  Whole words that hint at a foreign place, in order.
+FOREIGN_HINTS = (
+    "canada", "united kingdom", "india", "germany", "france", "ireland", "australia", "singapore",
+    "netherlands", "spain", "portugal", "sweden", "norway", "denmark", "finland", "switzerland",
+    "belgium", "austria", "poland", "romania", "ukraine", "turkey", "israel", "united arab emirates",
+    "saudi arabia", "egypt", "nigeria", "kenya", "south africa", "argentina", "chile", "colombia",
+    "brazil", "mexico", "japan", "china", "south korea", "taiwan", "hong kong", "thailand", "vietnam",
+    "malaysia", "indonesia", "philippines", "pakistan", "bangladesh", "sri lanka", "new zealand",
+    "london", "manchester", "edinburgh", "glasgow", "dublin", "toronto", "vancouver", "montreal",
+    "calgary", "ottawa", "edmonton", "winnipeg", "bengaluru", "bangalore", "hyderabad", "chennai",
+    "mumbai", "pune", "gurgaon", "gurugram", "noida", "kolkata", "ahmedabad", "new delhi", "munich",
+    "frankfurt", "hamburg", "cologne", "stuttgart", "dusseldorf", "sydney", "melbourne", "brisbane",
+    "perth", "adelaide", "amsterdam", "rotterdam", "madrid", "barcelona", "lisbon", "porto", "stockholm",
+    "gothenburg", "copenhagen", "oslo", "helsinki", "zurich", "geneva", "brussels", "prague", "warsaw",
+    "krakow", "budapest", "bucharest", "istanbul", "dubai", "abu dhabi", "riyadh", "doha", "cairo",
+    "lagos", "nairobi", "tel aviv", "tokyo", "osaka", "shanghai", "beijing", "shenzhen", "guangzhou",
+    "hangzhou", "seoul", "taipei", "bangkok", "jakarta", "manila", "kuala lumpur", "sao paulo",
+    "buenos aires", "santiago", "bogota", "montevideo", "auckland", "wellington",
+)
+
+#: Fixed values.  A remote place abroad.
+REMOTE_ABROAD = r"\bremote\b[\s\-–—,()\/|]*\b(eu|uk|apac|emea|latam|anz|europe|asia|africa|india|brazil|canada|mexico|ireland|germany|france|spain|italy|poland|ukraine|australia|singapore|japan|china|philippines|latin\s+america|middle\s+east|united\s+kingdom)\b"
+
+#: Fixed values.  The older contract filter: the title, part-time work and what excuses it, weaker signs and what excuses them, a position.
+OLD_CONTRACT_TITLE = r"(?i)\([^)]*\bcontracts?\b[^)]*\)"
+OLD_PART_TIME, OLD_FULL_TIME = r"\bpart[\s-]?time\b", r"\bfull[\s-]?time\b"
+OLD_TEMPORARY, OLD_PERMANENT = r"\b(contractors?|temporary|temp position|fixed[\s-]?term)\b", r"\bpermanent\b"
+OLD_CONTRACT_ROLE = r"\bcontract\s+(position|role|basis|engagement|assignment)\b"

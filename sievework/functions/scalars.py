@@ -5,15 +5,31 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 
-from . import rules
+from . import keywords, rules
 from .dialect import Dialect
 from .literals import required
 
 SPACE_RE = "[\\s   ]+"
 DASHES = "-–—"
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: White space of any kind at the ends of a text.
+ENDS = r"^[\s\x0b\x{a0}\x{feff}]+|[\s\x0b\x{a0}\x{feff}]+$"
+MARKS = "[\u0300-\u036f]+"
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Every character whose canonical decomposition, without marks, is one other character; and that character."""
+    pairs = []
+    for code in range(0xC0, sys.maxunicode + 1):
+        parts = unicodedata.normalize("NFD", chr(code))
+        if parts != chr(code) and len(bare := re.sub(MARKS, "", parts)) == 1:
+            pairs.append((chr(code), bare))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+ACCENTED, PLAIN = _plain_letters()
 
 
 def or_empty(x: str) -> str:
@@ -134,11 +150,18 @@ def _words_in(d: Dialect, x: str, terms) -> str:
     near = lambda place: d.match(f"substring({x}, {place}, 1)", "[a-z0-9]")
     at = f"instr({x}, t)"
     whole = f"not ({at} > 1 and {near(f'{at} - 1')}) and not {near(f'{at} + length(t)')}"
-    return d.filtered(d.array(map(d.text, terms)), "t", f"{at} > 0 and ({inner} or ({whole}))")
+    listed = d.array(map(d.text, terms))
+    if not d.spark:
+        return d.filtered(listed, "t", f"{at} > 0 and ({inner} or ({whole}))")
+    # one pass over the text finds the few terms that stand in it; only those are looked at
+    hits = ", ".join(f"regexp_extract_all({x}, {d.text(f'(?=({p}))')}, 1)" for p in keywords.layers(tuple(terms)))
+    return f"filter(array_distinct(concat({hits})), t -> {inner} or ({whole}))"
 
 
 def _loosely(d: Dialect, x: str, terms) -> str:
-    """One alternation rules most texts out before the terms are tried."""
+    """One pass rules most texts out before the terms are tried."""
+    if d.spark:
+        return "(" + " or ".join(d.match(x, p) for p in keywords.layers(tuple(terms))) + ")"
     return d.match(x, "|".join(re.escape(t).replace("\\ ", " ").replace("\\-", "-") for t in terms))
 
 
@@ -147,7 +170,12 @@ def has_any_word(d: Dialect, x: str, terms) -> str:
 
 
 def first_word(d: Dialect, x: str, terms) -> str:
-    return f"case when {_loosely(d, x, terms)} then {d.first(_words_in(d, x, terms))} end"
+    """The first term in list order that x has as a whole word; null without one."""
+    words = _words_in(d, x, terms)
+    if d.spark:
+        listed = d.array(map(d.text, terms))
+        words = f"array_sort({words}, (a, b) -> int(array_position({listed}, a) - array_position({listed}, b)))"
+    return f"case when {_loosely(d, x, terms)} then {d.first(words)} end"
 
 
 def state_of(d: Dialect, location: str) -> str:
@@ -157,7 +185,14 @@ def state_of(d: Dialect, location: str) -> str:
 
 
 def unaccented(d: Dialect, x: str) -> str:
-    return f"translate({x}, '{ACCENTED}', '{PLAIN}')"
+    """Letters without their marks, whether these are part of the letter or follow it.  Characters that come apart into
+    several (Hangul syllables) stay whole."""
+    return d.sub(f"translate({x}, {d.text(ACCENTED)}, {d.text(PLAIN)})", MARKS, "")
+
+
+def stripped(d: Dialect, x: str) -> str:
+    """x without white space of any kind at its ends."""
+    return d.sub(or_empty(x), ENDS, "")
 
 
 def location_kind(d: Dialect, location: str, us_places=rules.US_PLACES, foreign_places=rules.FOREIGN_PLACES) -> str:
@@ -276,7 +311,7 @@ def resume_signs(d: Dialect, text: str) -> str:
 
 
 def extraction_status(d: Dialect, text: str, least: int = 200) -> str:
-    x = f"trim({or_empty(text)})"
+    x = stripped(d, text)
     return f"case when length({x}) = 0 then 'empty' when length({x}) < {least} then 'short' when {resume_signs(d, text)} < 2 then 'not_resume' else 'ok' end"
 
 
@@ -372,7 +407,7 @@ def cache_key(d: Dialect, a: str, b: str) -> str:
 
 def keep_skill(d: Dialect, x: str) -> str:
     """False for credentials; products and plain skills stay."""
-    s = f"trim({or_empty(x)})"
+    s = stripped(d, x)
     bare = f"upper({d.sub(s, r'[-\s]', '')})"
     safe = ", ".join(d.text(c) for c in rules.SAFE_CODES)
     exams = "PMP|CISSP|CISA|CISM|CCNA|CCNP|CCIE|CEH|CSM|CAPM|ITIL|PRINCE2|SAFE|OSCP|RHCE|RHCSA|MCSE|MCSA|VCP|VCAP|CKA|CKAD|CKS"

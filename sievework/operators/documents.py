@@ -4,7 +4,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import rules
+from ..functions import rules, scalars
+
+
+def stripped(x: Column) -> Column:
+    """x without white space of any kind at its ends."""
+    return F.regexp_replace(x, scalars.ENDS, "")
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -14,28 +19,28 @@ def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 def header_of(line: Column, most: int = 40) -> Column:
     """A short line of capitals is a section's title."""
-    t = F.trim(line)
+    t = stripped(line)
     return t.rlike(rf"^[A-Z][A-Z &/]{{2,{most}}}$") & (F.size(F.split(t, " ")) <= 4)
 
 
 def with_section(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """Each line with the last section title at or above it."""
     carried = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("section", F.last(F.when(header_of(F.col("line")), F.trim("line")), ignorenulls=True).over(carried))
+    return rows.withColumn("section", F.last(F.when(header_of(F.col("line")), stripped(F.col("line"))), ignorenulls=True).over(carried))
 
 
 def dashed(rows: DataFrame) -> DataFrame:
-    return rows.filter(F.col("line").rlike("[—–]|--")).withColumn("line", F.trim("line"))
+    return rows.filter(F.col("line").rlike("[—–]|--")).withColumn("line", stripped(F.col("line")))
 
 
 def kinds(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """header (before the first section, never by the first line), section, bullet, role, skill, title (a plain line right
     above a role) or text, for each line of a resume."""
-    t = F.trim("line")
+    t = stripped(F.col("line"))
     words = lambda x: F.size(F.split(x, r"\s+"))
     dated = F.contains(t, F.lit("Present")) | t.rlike(r"\b(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\b|\b(19|20)\d{2}\b")
     piped = F.contains(t, F.lit(" | "))
-    label = F.trim(F.substring_index(t, ":", 1))
+    label = stripped(F.substring_index(t, ":", 1))
     skill = t.rlike(r"^[A-Za-z][A-Za-z /&+-]{1,48}:\s+.+$") & ~piped & ~t.rlike(r"https?:|www\.|@") & (words(label) <= 6)
     plain = (t != "") & (F.length(t) <= 32) & ~t.rlike(r"[.,;:|]") & (words(t) <= 4) & (t == F.upper(t)) & t.rlike("[A-Z]")
     own = F.when(t.rlike(rules.RESUME_SECTION), "section").when(t.rlike("^[•–-]"), "bullet").when(piped & dated, "role").when(skill, "skill").when(plain, "section").otherwise("text")
@@ -49,7 +54,7 @@ def kinds(rows: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def bullet_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Lines long enough to be a real point, without titles and environment lines."""
-    bare = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(F.trim(x), r"^[•*▪-]\s*", ""))
+    bare = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(stripped(x), r"^[•*▪-]\s*", ""))
     real = F.filter(bare, lambda x: (F.length(x) >= 40) & ~x.rlike(r"^[A-Z][A-Z\s&/:]*$") & ~x.rlike(r"(?i)^Environment\s*:") & x.rlike(r"\s"))
     return docs.select(key, F.size(real).alias("bullets"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from . import gates
+from .documents import stripped
 
 #: Fixed values.  The patterns of dates, section lines, credential codes and line kinds.
 _MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
@@ -50,18 +51,14 @@ def experience_months(text: Column, year: int, month: int) -> Column:
     return F.when((start > 0) & (F.size(kept) > 0), F.aggregate(kept, F.lit(0), lambda a, m: a + m))
 
 
-def _stripped(x: Column) -> Column:
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
-
-
 def summary_sentences(text: Column) -> Column:
     """The sentences of more than 15 characters below the summary's title; null without one or without text there."""
     title = F.regexp_extract(text, SUMMARY_LINE, 0)
     has = F.regexp_instr(text, F.lit(SUMMARY_LINE)) > 0
     after = F.substr(text, F.position(title, text) + F.length(title))
     end = F.regexp_instr(after, F.lit(TITLE_LINE))
-    body = _stripped(F.when(end == 0, after).otherwise(F.substr(after, F.lit(1), end - 1)))
-    sentences = F.filter(F.transform(F.split(body, r"(?<=[.!?])\s+"), _stripped), lambda s: F.length(s) > 15)
+    body = stripped(F.when(end == 0, after).otherwise(F.substr(after, F.lit(1), end - 1)))
+    sentences = F.filter(F.transform(F.split(body, r"(?<=[.!?])\s+"), stripped), lambda s: F.length(s) > 15)
     return F.when(has & (body != ""), sentences)
 
 
@@ -112,4 +109,4 @@ def tidied(text: Column) -> Column:
     out = F.regexp_replace(F.coalesce(text, F.lit("")), PAGE_MARKER, "")
     for pattern, by in (("\r\n", "\n"), (" ", " "), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n")):
         out = F.regexp_replace(out, pattern, by)
-    return _stripped(out)
+    return stripped(out)

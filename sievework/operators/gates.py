@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import column, rules, scalars
-from .documents import header_of
+from .documents import header_of, stripped
 
 #: Fixed values.  (pattern, canonical title) of sections.
 SECTION_ALIASES = (
@@ -29,7 +29,7 @@ def _down():
 
 
 def _trimmed() -> Column:
-    return F.trim("line")
+    return stripped(F.col("line"))
 
 
 def carried(lines: DataFrame, most: int = 40) -> DataFrame:
@@ -42,7 +42,7 @@ def carried(lines: DataFrame, most: int = 40) -> DataFrame:
 
 
 def opens_past(bullet: Column) -> Column:
-    word = F.regexp_replace(F.lower(F.element_at(F.split(F.regexp_replace(F.trim(bullet), r"^[•–-]\s*", ""), r"\s+"), 1)), "[^a-z]", "")
+    word = F.regexp_replace(F.lower(F.element_at(F.split(F.regexp_replace(stripped(bullet), r"^[•–-]\s*", ""), r"\s+"), 1)), "[^a-z]", "")
     return (word != "") & ~word.isin(*rules.PAST_IDENTICAL) & (word.isin(*rules.IRREGULAR_PAST) | word.endswith("ed"))
 
 

@@ -19,7 +19,7 @@ LOCATIONS = (
     "", "(Remote EU)", "Remote UK", "Remote - EMEA", "Remote (US)", "Remote, US", "Remote Austin, TX", "Remote", "Eugene, OR", "Westport, CT", "London, United Kingdom", "Cambridge, UK",
     "Brisbane, CA", "Venice, CA", "Munich, DE", "Paris", "75009, Paris", "Sydney Or Melbourne", "São Paulo", "Zürich", "Caddo Parish", "San Francisco (USA), Freiburg (Germany)",
     "Charleston, West Virginia", "Washington, District of Columbia", "WFMY-TV Studio", "Remote (Eastern Time)", "Middletown 06457", "Allentown", "Hybrid", "Multiple locations",
-    "Kokomo, IN", "Allen, TX; Remote", "Marysville, MI 48040", "Smallville", "New York, NY | Boston, MA",
+    "Kokomo, IN", "Allen, TX; Remote", "Marysville, MI 48040", "Smallville", "New York, NY | Boston, MA", "Gdańsk", "İstanbul", "Sa\u0303o Paulo", "Kraków or Montréal",
 )
 BODIES = (
     "We cannot support visa sponsorship for this role.", "We are happy to offer visa sponsorship.", "Our product does not support Internet Explorer.", "Applicants are not eligible for immigration sponsorship.",

@@ -20,8 +20,8 @@ CUTOFF = "2001-07-02 00:00:00"
 def _jobs(d: Dialect) -> dict[str, str]:
     return {
         "field": S.category(d, "title"), "needs_license": S.licence(d, "title"), "experience_level": S.experience_level(d, "title"),
-        "work_type": S.work_type(d, "location", "body"), "state": S.state_of(d, "location"), "salary_min": S.salary(d, "body", 1), "salary_max": S.salary(d, "body", 2),
-        "years_min": S.years(d, "body", 1), "years_max": S.years(d, "body", 2),
+        "work_type": S.work_type(d, "location", "plain"), "state": S.state_of(d, "location"), "salary_min": S.salary(d, "plain", 1), "salary_max": S.salary(d, "plain", 2),
+        "years_min": S.years(d, "plain", 1), "years_max": S.years(d, "plain", 2),
     }
 
 
@@ -44,25 +44,11 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     made, out = _jobs(SPARK), P.postings(spark, sf_dir)
     for name, columns in _BY.items():
         out = per_value(out, name, {c: made.pop(c) for c in columns})
-    return out.withColumns({k: F.expr(v) for k, v in made.items()})
+    return out.withColumn("plain", column(S.strip_html, "body")).withColumns({k: F.expr(v) for k, v in made.items()})
 
 
 _POSTINGS = f"({P.sql(CHECK)})"
-_JOBS = f"(select *, {', '.join(f'{v} as {k}' for k, v in _jobs(CHECK).items())} from {_POSTINGS})"
-
-
-def verdict(d: Dialect, kind: str = "") -> str:
-    """The first gate that stops a posting: age, place, disqualifier, contract; else passed."""
-    kind = kind or S.location_kind(d, "location")
-    return (
-        f"case when posted_at < {d.time(P.NOW)} - {d.days(1500)} then 'old' when not ({kind} in ('us', 'weak-us', 'ambiguous')) and location <> '' then 'non_us' "
-        f"when {S.disqualified(d, 'body')} then 'disqualified' when {S.contract(d, 'body', 'title')} then 'contract' else 'passed' end")
-
-
-def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Postings with their verdict; the kind of a place is worked out once for each place."""
-    rows = per_value(P.postings(spark, sf_dir), "location", {"kind": S.location_kind(SPARK, "location")})
-    return rows.withColumn("verdict", F.expr(verdict(SPARK, "kind")))
+_JOBS = f"(select *, {', '.join(f'{v} as {k}' for k, v in _jobs(CHECK).items())} from (select *, {S.strip_html(CHECK, 'body')} as plain from {_POSTINGS}))"
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,29 +86,21 @@ def query(name: str, oracle: str | None = None):
 
 
 # gates and classification
-@query("ingest_funnel", f"select verdict, count(*) as n from (select {verdict(CHECK)} as verdict from {_POSTINGS}) group by verdict")
-def ingest_funnel(spark, sf):
-    return judged(spark, sf).groupBy("verdict").agg(F.count("*").alias("n"))
-
-
-@query("posting_verdict", f"select id, {verdict(CHECK)} as verdict from {_POSTINGS}")
-def posting_verdict(spark, sf):
-    return judged(spark, sf).select("id", "verdict")
-
-
 _both("age_gate", lambda d: {"kept": f"(posted_at is null or posted_at >= {d.time(CUTOFF)})", "kept_dated": f"coalesce(posted_at >= {d.time(CUTOFF)}, false)"})
 _both("location_kind", lambda d: {"kind": S.location_kind(d, "location")}, per="location")
 _both("is_us", lambda d: {"is_us": f"({S.location_kind(d, 'location')} in ('us', 'weak-us', 'ambiguous'))"}, per="location")
 _both("state_extract", lambda d: {"state": S.state_of(d, "location")}, per="location")
-_both("disqualified", lambda d: {"disqualified": S.disqualified(d, "body")})
-_both("disqualifier_rule", lambda d: {"rule": S.disqualifier(d, S.normalised(d, "body"))})
-_both("contract_flag", lambda d: {"contract": S.contract(d, "body", "title")})
+_plain = lambda d: S.strip_html(d, "body")
+_said = lambda d: f"concat(coalesce(title, ''), ' ', {_plain(d)})"
+_both("disqualified", lambda d: {"disqualified": S.disqualified(d, _said(d))})
+_both("disqualifier_rule", lambda d: {"rule": S.disqualifier(d, S.normalised(d, _said(d)))})
+_both("contract_flag", lambda d: {"contract": d.let(_plain(d), "plain", S.contract(d, "plain", "title"))})
 _both("category_counts", lambda d: {"field": S.category(d, "title")}, keep=(), group=True, per="title")
 _both("license_flag", lambda d: {"needs_license": S.licence(d, "title")}, per="title")
 _both("experience_level", lambda d: {"level": S.experience_level(d, "title")}, per="title")
-_both("work_type", lambda d: {"work_type": S.work_type(d, "location", "body")})
-_both("salary_extract", lambda d: {"salary_min": S.salary(d, "body", 1), "salary_max": S.salary(d, "body", 2)})
-_both("years_extract", lambda d: {"years_min": S.years(d, "body", 1), "years_max": S.years(d, "body", 2)})
+_both("work_type", lambda d: {"work_type": S.work_type(d, "location", _plain(d))})
+_both("salary_extract", lambda d: {f"salary_{n}": d.let(_plain(d), "plain", S.salary(d, "plain", i)) for i, n in ((1, "min"), (2, "max"))})
+_both("years_extract", lambda d: {f"years_{n}": d.let(_plain(d), "plain", S.years(d, "plain", i)) for i, n in ((1, "min"), (2, "max"))})
 _both("employment_type", lambda d: {"employment_type": S.employment_type(d, "body")})
 _both("experience_breakdown", lambda d: {"experience_level": "experience_level"}, source="jobs", keep=(), group=True)
 _both("work_type_breakdown", lambda d: {"work_type": "work_type"}, source="jobs", keep=(), group=True)
@@ -259,9 +237,9 @@ def null_outliers(spark, sf):
     return maintenance.null_out(jobs(spark, sf), ["years_min", "years_max"], 5).select("id", "years_min", "years_max")
 
 
-@query("delete_disqualified", f"select id from {_POSTINGS} where not {S.disqualified(CHECK, 'body')}")
+@query("delete_disqualified", f"select id from {_POSTINGS} where not {S.disqualified(CHECK, _said(CHECK))}")
 def delete_disqualified(spark, sf):
-    return P.postings(spark, sf).filter(~column(S.disqualified, "body")).select("id")
+    return P.postings(spark, sf).filter(~F.expr(S.disqualified(SPARK, _said(SPARK)))).select("id")
 
 
 _APPS = "(select distinct concat('job_', cast(o_orderkey as varchar)) as job_id from orders where o_orderpriority = '1-URGENT')"
@@ -281,19 +259,6 @@ def left_join_apps(spark, sf):
     return P.postings(spark, sf).join(_applied(spark, sf), F.col("id") == F.col("job_id"), "left").select("id", F.col("job_id").isNotNull().alias("applied"))
 
 
-@query("union_sources", " union all ".join(f"select '{s}' as source, id, title from {_POSTINGS} where ats = '{s}'" for s in ("greenhouse", "ashby", "smartrecruiters")))
-def union_sources(spark, sf):
-    """The union of one table by its own column is a filter: one scan."""
-    kinds = ("greenhouse", "ashby", "smartrecruiters")
-    return P.postings(spark, sf).filter(F.col("ats").isin(*kinds)).select(F.col("ats").alias("source"), "id", "title")
-
-
-@query("display_name_join", "select c_custkey, coalesce(nullif(trim(n_name), ''), 'unknown') as nation from customer left join nation on c_nationkey + c_custkey % 3 = n_nationkey")
-def display_name_join(spark, sf):
-    names = spark.read.parquet(f"{sf}/nation.parquet")  # left to the optimizer: it broadcasts what its statistics prove small
-    return spark.read.parquet(f"{sf}/customer.parquet").join(names, F.col("c_nationkey") + F.col("c_custkey") % 3 == F.col("n_nationkey"), "left").select("c_custkey", F.expr("coalesce(nullif(trim(n_name), ''), 'unknown')").alias("nation"))
-
-
 @query("slug_except", f"select distinct slug from {_POSTINGS} except select concat('co', cast(s_suppkey * 2 as varchar)) from supplier")
 def slug_except(spark, sf):
     known = spark.read.parquet(f"{sf}/supplier.parquet").select(F.concat(F.lit("co"), (F.col("s_suppkey") * 2).cast("string")).alias("slug"))
@@ -364,7 +329,8 @@ def drop_reasons(spark, sf):
 
 # documents
 _LINES = "(select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents)"
-_HEADER = "(regexp_matches(trim(line), '^[A-Z][A-Z &/]{2,40}$') and len(string_split(trim(line), ' ')) <= 4)"
+_T = f"regexp_replace(line, '{S.ENDS}', '', 'g')"
+_HEADER = f"(regexp_matches({_T}, '^[A-Z][A-Z &/]{{2,40}}$') and len(string_split({_T}, ' ')) <= 4)"
 _SHORT_HEADER = _HEADER.replace("{2,40}", "{2,30}")
 
 
@@ -372,25 +338,25 @@ def _docs(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
-@query("doc_dashes", f"select doc_id, line_no, trim(line) as line from ({R.sql(CHECK, 1)}) where regexp_matches(line, '[—–]|--')")
+@query("doc_dashes", f"select doc_id, line_no, {_T} as line from ({R.sql(CHECK, 1)}) where regexp_matches(line, '[—–]|--')")
 def doc_dashes(spark, sf):
     return documents.dashed(R.lines(spark, sf, 1))
 
 
-@query("doc_carry_section", f"select doc_id, line_no, last_value(case when {_HEADER} then trim(line) end ignore nulls) over (partition by doc_id order by line_no rows between unbounded preceding and current row) as section from {_LINES}")
+@query("doc_carry_section", f"select doc_id, line_no, last_value(case when {_HEADER} then {_T} end ignore nulls) over (partition by doc_id order by line_no rows between unbounded preceding and current row) as section from {_LINES}")
 def doc_carry_section(spark, sf):
     return documents.with_section(documents.lines(_docs(spark, sf))).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "section")
 
 
 @query("doc_title_lookahead", rf"""with k as (select doc_id, line_no, t, case when regexp_matches(t, {CHECK.text(rules.RESUME_SECTION)}) then 'section' when regexp_matches(t, '^[•–-]') then 'bullet' when contains(t, ' | ') and (contains(t, 'Present') or regexp_matches(t, '\b(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\b|\b(19|20)\d{{2}}\b')) then 'role'
-when regexp_matches(t, '^[A-Za-z][A-Za-z /&+-]{{1,48}}:\s+.+$') and not contains(t, ' | ') and not regexp_matches(t, 'https?:|www\.|@') and len(string_split_regex(trim(string_split(t, ':')[1]), '\s+')) <= 6 then 'skill'
-when t <> '' and length(t) <= 32 and not regexp_matches(t, '[.,;:|]') and len(string_split_regex(t, '\s+')) <= 4 and t = upper(t) and regexp_matches(t, '[A-Z]') then 'section' else 'text' end as own from (select doc_id, line_no, trim(line) as t from ({R.sql(CHECK, 1)})))
+when regexp_matches(t, '^[A-Za-z][A-Za-z /&+-]{{1,48}}:\s+.+$') and not contains(t, ' | ') and not regexp_matches(t, 'https?:|www\.|@') and len(string_split_regex(regexp_replace(string_split(t, ':')[1], '{S.ENDS}', '', 'g'), '\s+')) <= 6 then 'skill'
+when t <> '' and length(t) <= 32 and not regexp_matches(t, '[.,;:|]') and len(string_split_regex(t, '\s+')) <= 4 and t = upper(t) and regexp_matches(t, '[A-Z]') then 'section' else 'text' end as own from (select doc_id, line_no, {_T} as t from ({R.sql(CHECK, 1)})))
 select doc_id, line_no, case when line_no < coalesce(body, 1000000) then 'header' when own = 'text' and t <> '' and following = 'role' then 'title' else own end as kind from (select *, lead(own) over (partition by doc_id order by line_no) as following, min(case when own = 'section' and line_no > 0 then line_no end) over (partition by doc_id) as body from k)""")
 def doc_title_lookahead(spark, sf):
     return documents.kinds(R.lines(spark, sf, 1)).select("doc_id", "line_no", "kind")
 
 
-@query("doc_bullet_count", r"""select doc_id, cast(len(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(trim(x), '^[-•*▪]\s*', '')), lambda x: length(x) >= 40 and not regexp_matches(x, '^[A-Z][A-Z\s&/:]*$') and not regexp_matches(x, '(?i)^Environment\s*:') and regexp_matches(x, '\s'))) as bigint) as bullets from documents""")
+@query("doc_bullet_count", r"""select doc_id, cast(len(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(x, 'ENDS', '', 'g'), '^[-•*▪]\s*', '')), lambda x: length(x) >= 40 and not regexp_matches(x, '^[A-Z][A-Z\s&/:]*$') and not regexp_matches(x, '(?i)^Environment\s*:') and regexp_matches(x, '\s'))) as bigint) as bullets from documents""".replace("ENDS", S.ENDS))
 def doc_bullet_count(spark, sf):
     return documents.bullet_counts(_docs(spark, sf)).withColumn("bullets", F.col("bullets").cast("long"))
 
@@ -415,24 +381,24 @@ _OLD, _NEW_LINES = f"({R.sql(CHECK, 0)})", f"({R.sql(CHECK, 1)})"
 
 def _carried(source: str, header: str = _HEADER) -> str:
     down = "partition by doc_id order by line_no rows between unbounded preceding and current row"
-    return f"""(select *, last_value(case when regexp_matches(trim(line), '{gates.ROLE}') then trim(line) end ignore nulls) over (partition by doc_id, part order by line_no rows between unbounded preceding and current row) as role
-from (select *, {header} as is_header, last_value(case when {header} then trim(line) end ignore nulls) over ({down}) as section, sum(case when {header} then 1 else 0 end) over ({down}) as part from {source}))"""
+    return f"""(select *, last_value(case when regexp_matches({_T}, '{gates.ROLE}') then {_T} end ignore nulls) over (partition by doc_id, part order by line_no rows between unbounded preceding and current row) as role
+from (select *, {header} as is_header, last_value(case when {header} then {_T} end ignore nulls) over ({down}) as section, sum(case when {header} then 1 else 0 end) over ({down}) as part from {source}))"""
 
 
 def _in(values) -> str:
     return ", ".join(CHECK.text(v) for v in values)
 
 
-_FIRST = r"regexp_replace(lower(list_extract(string_split_regex(regexp_replace(trim(line), '^[•–-]\s*', ''), '\s+'), 1)), '[^a-z]', '', 'g')"
+_FIRST = rf"regexp_replace(lower(list_extract(string_split_regex(regexp_replace({_T}, '^[•–-]\s*', ''), '\s+'), 1)), '[^a-z]', '', 'g')"
 
 
-@query("doc_past_tense", rf"""select doc_id, line_no, trim(line) as line from {_carried(_OLD)} where not is_header and contains(section, 'EXPERIENCE') and regexp_matches(role, '(?i)\bpresent\b') and not regexp_matches(trim(line), '{gates.ROLE}')
-and regexp_matches(trim(line), '^[•–-]\s+') and {_FIRST} <> '' and {_FIRST} not in ({_in(rules.PAST_IDENTICAL)}) and ({_FIRST} in ({_in(rules.IRREGULAR_PAST)}) or {_FIRST} like '%ed')""")
+@query("doc_past_tense", rf"""select doc_id, line_no, {_T} as line from {_carried(_OLD)} where not is_header and contains(section, 'EXPERIENCE') and regexp_matches(role, '(?i)\bpresent\b') and not regexp_matches({_T}, '{gates.ROLE}')
+and regexp_matches({_T}, '^[•–-]\s+') and {_FIRST} <> '' and {_FIRST} not in ({_in(rules.PAST_IDENTICAL)}) and ({_FIRST} in ({_in(rules.IRREGULAR_PAST)}) or {_FIRST} like '%ed')""")
 def doc_past_tense(spark, sf):
     return gates.past_tense_in_current_role(R.lines(spark, sf, 0))
 
 
-_BULLETS = rf"(select doc_id, line_no, regexp_replace(trim(line), '^-\s+', '') as bullet from {_carried(_NEW_LINES, _SHORT_HEADER)} where not is_header and contains(section, 'EXPERIENCE') and regexp_matches(trim(line), '^-\s+'))"
+_BULLETS = rf"(select doc_id, line_no, regexp_replace({_T}, '^-\s+', '') as bullet from {_carried(_NEW_LINES, _SHORT_HEADER)} where not is_header and contains(section, 'EXPERIENCE') and regexp_matches({_T}, '^-\s+'))"
 
 
 @query("doc_experience_bullets", f"select * from {_BULLETS}")
@@ -450,7 +416,7 @@ def _sections(source: str) -> str:
     name = r"regexp_replace(t, '\s+', ' ', 'g')"
     chain = " ".join(f"when regexp_matches({name}, '{p}') then '{title}'" for p, title in gates.SECTION_ALIASES)
     return rf"""(select doc_id, line_no, case {chain} else {name} end as section from (select *, sum(case when t <> '' then 1 else 0 end) over (partition by doc_id order by line_no rows between unbounded preceding and current row) as seen
-from (select *, regexp_replace(trim(line), '[:：]\s*$', '') as t from {source})) where t <> '' and seen > 3 and length(t) <= 40 and regexp_matches(t, '^[A-Z][A-Z\s&/]*$') and len(string_split_regex(t, '\s+')) <= 4)"""
+from (select *, regexp_replace({_T}, '[:：]\s*$', '') as t from {source})) where t <> '' and seen > 3 and length(t) <= 40 and regexp_matches(t, '^[A-Z][A-Z\s&/]*$') and len(string_split_regex(t, '\s+')) <= 4)"""
 
 
 @query("doc_sections", f"select * from {_sections(_OLD)}")
@@ -463,18 +429,18 @@ def doc_invented_sections(spark, sf):
     return gates.invented_sections(R.lines(spark, sf, 1), R.lines(spark, sf, 0))
 
 
-@query("doc_stray_prose", rf"""select doc_id, line_no, trim(line) as line from (select *, max(case when regexp_matches(trim(line), {CHECK.text(rules.RESUME_SECTION)}) then line_no end) over (partition by doc_id) as last from {_NEW_LINES})
-where line_no > last and length(trim(line)) >= 120 and not regexp_matches(trim(line), '^[-•*]') and (regexp_matches(trim(line), '(?i)^note\s*:') or regexp_matches(trim(line), '\b(?:I|I''m|I''ve|my|me)\b'))""")
+@query("doc_stray_prose", rf"""select doc_id, line_no, {_T} as line from (select *, max(case when regexp_matches({_T}, {CHECK.text(rules.RESUME_SECTION)}) then line_no end) over (partition by doc_id) as last from {_NEW_LINES})
+where line_no > last and length({_T}) >= 120 and not regexp_matches({_T}, '^[-•*]') and (regexp_matches({_T}, '(?i)^note\s*:') or regexp_matches({_T}, '\b(?:I|I''m|I''ve|my|me)\b'))""")
 def doc_stray_prose(spark, sf):
     return gates.stray_prose(R.lines(spark, sf, 1))
 
 
-@query("doc_dropped_environment", rf"select doc_id, line_no, trim(line) as line from {_OLD} o where regexp_matches(trim(line), '(?i)^Environment\s*:') and not exists (select 1 from {_NEW_LINES} n where n.doc_id = o.doc_id and contains(lower(n.line), lower(substring(trim(o.line), 1, 40))))")
+@query("doc_dropped_environment", rf"select doc_id, line_no, {_T} as line from {_OLD} o where regexp_matches({_T}, '(?i)^Environment\s*:') and not exists (select 1 from {_NEW_LINES} n where n.doc_id = o.doc_id and contains(lower(n.line), lower(substring({_T.replace('line', 'o.line')}, 1, 40))))")
 def doc_dropped_environment(spark, sf):
     return gates.dropped_environment(R.lines(spark, sf, 1), R.lines(spark, sf, 0))
 
 
-@query("doc_merged_bullets", rf"select doc_id, line_no, substring(trim(line), 1, 140) as line from {_NEW_LINES} where regexp_matches(line, '[a-z0-9][.)]\s*[•▪]\s*[A-Z]')")
+@query("doc_merged_bullets", rf"select doc_id, line_no, substring({_T}, 1, 140) as line from {_NEW_LINES} where regexp_matches(line, '[a-z0-9][.)]\s*[•▪]\s*[A-Z]')")
 def doc_merged_bullets(spark, sf):
     return gates.merged_bullets(R.lines(spark, sf, 1))
 
@@ -486,8 +452,8 @@ def doc_invented_bullets(spark, sf):
 
 
 @query("doc_bullet_loss", r"""with c as (select doc_id, v, count(*) filter (where length(t) >= 40 and not regexp_matches(t, '^[A-Z][A-Z\s&/:]*$') and not regexp_matches(t, '(?i)^Environment\s*:') and regexp_matches(t, '\s')) as n
-from (select doc_id, 0 as v, regexp_replace(trim(line), '^[-•*▪]\s*', '') as t from OLD union all select doc_id, 1, regexp_replace(trim(line), '^[-•*▪]\s*', '') from NEW) group by doc_id, v)
-select o.doc_id, o.n as before, n.n as after from c o join c n on o.doc_id = n.doc_id where o.v = 0 and n.v = 1 and o.n >= 8 and n.n < o.n * 0.75""".replace("OLD", _OLD).replace("NEW", _NEW_LINES))
+from (select doc_id, 0 as v, regexp_replace({_T}, '^[-•*▪]\s*', '') as t from OLD union all select doc_id, 1, regexp_replace({_T}, '^[-•*▪]\s*', '') from NEW) group by doc_id, v)
+select o.doc_id, o.n as before, n.n as after from c o join c n on o.doc_id = n.doc_id where o.v = 0 and n.v = 1 and o.n >= 8 and n.n < o.n * 0.75""".replace("{_T}", _T).replace("OLD", _OLD).replace("NEW", _NEW_LINES))
 def doc_bullet_loss(spark, sf):
     def counts(version: int, name: str) -> DataFrame:
         whole = R.lines(spark, sf, version).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
@@ -510,4 +476,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-from . import catalogue  # noqa: E402,F401  registers its queries
+from . import audits, catalogue, intake  # noqa: E402,F401  register their queries
