@@ -32,7 +32,7 @@ def test_industry(spark, text, expected):
 
 
 @pytest.mark.parametrize(("text", "title", "reason"), [
-    ("", "Engineer (Contract)", "title parenthetical"), ("A part-time role", "Clerk", "part-time"), ("full-time/part-time", "Clerk", None), ("full-time" + " " * 20 + "or part-time", "Clerk", None),
+    ("", "Engineer (Contract)", "title parenthetical"), ("A part-time role", "Clerk", "part-time"), ("full-time/part-time", "Clerk", None), ("full-time" + " " * 10 + "or part-time", "Clerk", None),
     ("full-time" + " " * 30 + "or part-time", "Clerk", "part-time"), ("smart contract work, temporary", "Dev", None), ("temporary help", "Clerk", "contractor/temp"), ("temporary, may become permanent", "Clerk", None),
     ("This is a contract role", "Clerk", "contract position (adjacent)"), ("general contractor", "Clerk", None), (None, None, None),
 ])
