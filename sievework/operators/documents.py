@@ -52,11 +52,15 @@ def kinds(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     return out.withColumn("kind", kind).drop("own", "following", "body")
 
 
+def is_point(line: Column) -> Column:
+    """Whether a line is long enough to be a real point, and no title or environment line."""
+    x = F.regexp_replace(stripped(line), r"^[•*▪-]\s*", "")
+    return (F.length(x) >= 40) & ~x.rlike(r"^[A-Z][A-Z\s&/:]*$") & ~x.rlike(r"(?i)^Environment\s*:") & x.rlike(r"\s")
+
+
 def bullet_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Lines long enough to be a real point, without titles and environment lines."""
-    bare = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(stripped(x), r"^[•*▪-]\s*", ""))
-    real = F.filter(bare, lambda x: (F.length(x) >= 40) & ~x.rlike(r"^[A-Z][A-Z\s&/:]*$") & ~x.rlike(r"(?i)^Environment\s*:") & x.rlike(r"\s"))
-    return docs.select(key, F.size(real).alias("bullets"))
+    """How many lines of each document are real points."""
+    return docs.select(key, F.size(F.filter(F.split(text, "\n"), is_point)).alias("bullets"))
 
 
 def lifted(docs: DataFrame, sources: DataFrame, size: int = 4, key: str = "doc_id", text: str = "text", source_text: str = "text") -> DataFrame:

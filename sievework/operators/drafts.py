@@ -1,11 +1,13 @@
 """Whole-text checks of a draft against its original: months of work, the summary, credential codes, the joint verdict."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from . import gates
+from . import documents, gates, staging
 from .documents import stripped
 
 #: Fixed values.  The patterns of dates, section lines, credential codes and line kinds.
@@ -85,23 +87,122 @@ def repaired(text: Column, codes: Column) -> Column:
     return F.when(F.size(codes) > 0, tidied).otherwise(split)
 
 
-def verdicts(original: DataFrame, draft: DataFrame, lost: DataFrame) -> DataFrame:
+def facts(lines: DataFrame, mend: bool = False, skills: Sequence[str] = ()) -> DataFrame:
+    """One row a document with all that the gates ask of one version: (doc_id, line_no, line) are dealt by document once, and
+    one window over a document's lines carries sections and roles down.  ``mend`` puts hyphens into certificate lines first.
+
+    text, dashes, past, merged (counts), stray, sections, environment, words (arrays), bullets (line_no, words), points (bullet count).
+    """
+    down = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    t, head, short = stripped(F.col("line")), gates.header_of(F.col("line")), gates.header_of(F.col("line"), 30)
+    bare = F.regexp_replace(t, r"[:：]\s*$", "")
+    rows = lines.select("doc_id", "line_no", "line", t.alias("t"), head.alias("head"), short.alias("short"), bare.alias("bare"), t.rlike(gates.ROLE).alias("is_role"))
+    # a role line of a section; no line is both a title and a role
+    rows = rows.withColumn("part", F.sum(F.col("head").cast("int")).over(down)).withColumns({
+        "section": F.last(F.when(F.col("head"), F.col("t")), True).over(down), "small": F.last(F.when(F.col("short"), F.col("t")), True).over(down),
+        "last_role": F.last(F.when(F.col("is_role"), F.struct("part", "t")), True).over(down), "seen": F.sum((F.col("bare") != "").cast("int")).over(down),
+        "last": F.max(F.when(F.col("t").rlike(rules.RESUME_SECTION), F.col("line_no"))).over(Window.partitionBy("doc_id"))})
+    if mend:
+        rows = rows.withColumn("line", gates.mended(F.col("line"), F.col("head"), F.col("section"))).withColumn("t", stripped(F.col("line")))
+    role = F.when(F.col("last_role.part") == F.col("part"), F.col("last_role.t"))
+    t, line, head = F.col("t"), F.col("line"), F.col("head")
+    past = ~head & F.col("section").contains("EXPERIENCE") & role.rlike(r"(?i)\bpresent\b") & ~t.rlike(gates.ROLE) & t.rlike(r"^[•–-]\s+") & gates.opens_past(t)
+    stray = (F.col("line_no") > F.col("last")) & gates.reads_as_prose(t)
+    titled = (F.col("bare") != "") & (F.col("seen") > 3) & gates.titled(F.col("bare"))
+    bullet = ~F.col("short") & F.col("small").contains("EXPERIENCE") & t.rlike(r"^-\s+")
+    words = gates.work_words(line, skills)
+    point = documents.is_point(line)
+    each = lambda test, value: F.collect_list(F.when(test, value))
+    return rows.groupBy("doc_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"), F.count_if(line.rlike("[—–]|--")).alias("dashes"), F.count_if(past).alias("past"),
+        F.count_if(line.rlike(gates.MERGED)).alias("merged"), F.array_sort(each(stray, F.struct("line_no", "t"))).alias("stray"), F.collect_set(F.when(titled, gates.canonical(F.col("bare")))).alias("sections"),
+        F.array_sort(each(t.rlike(gates.ENVIRONMENT), F.struct("line_no", "t"))).alias("environment"), F.array_distinct(F.flatten(F.collect_list(words))).alias("words"),
+        each(bullet, F.struct("line_no", gates.work_words(F.regexp_replace(t, r"^-\s+", ""), skills).alias("words"))).alias("bullets"), F.count_if(point).alias("points"))
+
+
+def _gates(share: float = 0.4, least: int = 4) -> dict[str, Column]:
+    """The gates by name, on the columns of a draft's facts and of its original's (o_...)."""
+    a, b = F.size(summary_sentences(F.col("o_text"))), F.size(summary_sentences(F.col("text")))
+    known = lambda w: F.size(F.filter(w, lambda x: F.array_contains("o_words", x)))
+    return {
+        "invented": F.exists("bullets", lambda x: (F.size(x["words"]) >= least) & (known(x["words"]) < share * F.size(x["words"]))), "dashes": F.col("dashes") > 0, "past_tense": F.col("past") > 0, "stray": F.size("stray") > 0,
+        "sections": F.size(_new_sections()) > 0, "lost": (F.col("o_points") >= 8) & (F.col("points") < F.col("o_points") * 0.75), "summary": (a >= 2) & (b >= 0) & (a != b),
+        "environment": F.exists("o_environment", lambda e: ~F.contains(F.lower("text"), F.lower(F.substring(e["t"], 1, 40)))), "certs": F.size(stray_certs(F.col("o_text"), F.col("text"))) > 0, "merged": F.col("merged") > 0}
+
+
+def _new_sections() -> Column:
+    return F.array_sort(F.array_except("sections", "o_sections"))
+
+
+def _judged(of_original: DataFrame, draft: DataFrame, skills: Sequence[str]) -> DataFrame:
+    """A draft's facts, its original's (o_...) and failed (an array of names).  A draft without an original fails no gate that compares."""
+    both = facts(draft, True, skills).join(of_original.select("doc_id", *[F.col(c).alias(f"o_{c}") for c in ("text", "sections", "environment", "words", "points")]), "doc_id", "left")
+    named = F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in sorted(_gates().items())])
+    return both.withColumn("failed", F.filter(named, lambda x: x.isNotNull()))
+
+
+def verdicts(original: DataFrame, draft: DataFrame, skills: Sequence[str] = ()) -> DataFrame:
     """doc_id, failed (the names of the gates that fire, in order) and passed, for every draft.
 
-    original, draft: (doc_id, line_no, line); lost: the documents that lost bullets.  Dashes of certificate lines are
-    mended first.  Each gate gives its documents once; one union and one aggregation join them.
+    original, draft: (doc_id, line_no, line); skills: what the candidate confirmed.  Each version is read and dealt by document
+    once, and the two meet by document.
+    """
+    return _judged(facts(original, False, skills), draft, skills).select("doc_id", F.array_join("failed", ",").alias("failed"), (F.size("failed") == 0).alias("passed"))
+
+
+def _without(text: Column, part: Column) -> Column:
+    """text without the first occurrence of a part, and without white space at its ends."""
+    at = F.position(part, text)
+    return stripped(F.when(at > 0, F.concat(F.substr(text, F.lit(1), at - 1), F.substr(text, at + F.length(part)))).otherwise(text))
+
+
+def _without_section(text: Column, title: Column) -> Column:
+    """text without the interval from a section's title to the next title, or to the end."""
+    own = F.regexp_substr(text, F.concat(F.lit(r"(?mi)^[ \t]*\Q"), title, F.lit(r"\E[ \t]*:?[ \t]*$")))
+    at = F.position(own, text)
+    rest = F.substr(text, at + F.length(own))
+    following = F.regexp_instr(rest, F.lit(TITLE_LINE))
+    return F.when(own.isNull(), text).otherwise(stripped(F.concat(F.substr(text, F.lit(1), at - 1), F.when(following > 0, F.substr(rest, following)).otherwise(F.lit("")))))
+
+
+def _repair() -> Column:
+    """A judged draft's text after the repairs that need no writer: prose behind the last section and invented sections go,
+    merged bullets part, credential codes that the original lacks go."""
+    plain = F.aggregate(F.transform("stray", lambda x: x["t"]), F.col("text"), _without)
+    cut = F.aggregate(F.coalesce(_new_sections(), F.array().cast("array<string>")), plain, _without_section)
+    return repaired(cut, F.coalesce(stray_certs(F.col("o_text"), F.col("text")), F.array().cast("array<string>")))
+
+
+#: The gates whose faults a repair can mend.
+REPAIRABLE = ("certs", "merged", "sections", "stray")
+
+
+def repair_round(of_original: DataFrame, drafts: DataFrame, skills: Sequence[str] = ()) -> DataFrame:
+    """drafts: doc_id, text.  doc_id, text (after the repairs), before (as judged, hyphens in certificate lines) and failed (what was judged)."""
+    lines = drafts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    judged = _judged(of_original, lines, skills)
+    mend = F.arrays_overlap("failed", F.array(*[F.lit(x) for x in REPAIRABLE]))
+    return judged.select("doc_id", F.when(mend, _repair()).otherwise(F.col("text")).alias("text"), F.col("text").alias("before"), "failed")
+
+
+def repaired_drafts(original: DataFrame, draft: DataFrame, rounds: int = 4, skills: Sequence[str] = ()) -> DataFrame:
+    """doc_id, text, rounds (that changed it) and failed (what the last judgement still found, joined), for every draft.
+
+    A round judges the drafts that the one before changed and repairs them; it ends when none changes, or after ``rounds``.
+    The state is written to the shared folder after each round, so plans do not grow and a lost executor costs one round.
+    Writers' faults (invented work, tense, lost bullets) stay and are named.
     """
-    new = gates.cert_dashes(draft)
-    both = whole(original).withColumnRenamed("text", "original").join(whole(new).withColumnRenamed("text", "draft"), "doc_id")
-    found = {
-        "invented": gates.invented_bullets(new, original), "dashes": new.filter(F.col("line").rlike("[—–]|--")), "past_tense": gates.past_tense_in_current_role(new), "stray": gates.stray_prose(new),
-        "sections": gates.invented_sections(new, original), "lost": lost, "summary": summary_drift(both), "environment": gates.dropped_environment(new, original),
-        "certs": both.filter(F.size(stray_certs(F.col("original"), F.col("draft"))) > 0), "merged": gates.merged_bullets(new)}
-    rows = draft.select("doc_id", F.lit(None).cast("string").alias("gate")).distinct()
-    for name, df in found.items():
-        rows = rows.unionByName(df.select("doc_id", F.lit(name).alias("gate")).distinct())
-    out = rows.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("gate")), ",").alias("failed"))
-    return out.withColumn("passed", F.col("failed") == "")
+    of_original = staging.written(facts(original, False, skills))
+    open_ = draft.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    done = None
+    for n in range(1, rounds + 2):
+        judged = staging.written(repair_round(of_original, open_, skills).withColumn("changed", F.lit(n <= rounds) & (F.col("text") != F.col("before"))))
+        closed = judged.filter("not changed").select("doc_id", F.col("before").alias("text"), F.lit(n - 1).alias("rounds"), F.array_join("failed", ",").alias("failed"))
+        done = closed if done is None else done.unionByName(closed)
+        open_ = judged.filter("changed").select("doc_id", "text")
+        if n > rounds or open_.isEmpty():
+            break
+    return done
 
 
 def tidied(text: Column) -> Column:
