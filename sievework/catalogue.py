@@ -165,18 +165,6 @@ def probe_shapes(spark, sf):
     return probes.shapes(rows.filter("asked"), list(_SHAPES))
 
 
-@query("backfill_reconcile", f"select field, count(*) as preview, count(*) as written, true as agrees from {_J} group by field")
-def backfill_reconcile(spark, sf):
-    preview = Q.jobs(spark, sf).select("field")
-    written = P.postings(spark, sf).withColumn("field", F.lit(None).cast("string")).withColumn("field", column(S.category, "title"))
-    return probes.reconciled(preview, written, "field")
-
-
-@query("truncate", f"select id from {_P} where false")
-def truncate(spark, sf):
-    return P.postings(spark, sf).select("id").limit(0)
-
-
 @query("key_lookup", f"select id, title from {_P} where id = 'job_7'")
 def key_lookup(spark, sf):
     return P.postings(spark, sf).filter("id = 'job_7'").select("id", "title")
@@ -449,8 +437,3 @@ def skills_longest_first(spark, sf):
     words = F.array_distinct(F.filter(F.split("text", " "), lambda w: w != ""))
     ordered = F.transform(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"])
     return _table(spark, sf, "benchmark").select("item_id", F.array_join(ordered, " ").alias("words"))
-
-
-@query("oversized_uploads", "select page_id, octet_length(encode(html)) as size, octet_length(encode(html)) <= 1500 as taken from pages where regexp_matches(url, '^https?://')")
-def oversized_uploads(spark, sf):
-    return _table(spark, sf, "pages").filter(F.col("url").rlike("^https?://")).select("page_id", F.octet_length("html").cast("long").alias("size"), (F.octet_length("html") <= 1500).alias("taken"))

@@ -14,9 +14,9 @@ LINES = (
     "TECHNICAL SKILLS", "Languages: SQL, Python, Scala", "PROJECTS", "EDUCATION", "B.S. in Mathematics", "CERTIFICATIONS", "AWS Certified Architect — Associate", "Snowflake Core -- Advanced", "",
     "Note: I am happy to say that my work on this document was careful and that I've added everything you asked me to add to it, as you can see above.",
     "- Wrote the loader.• Designed the schema of all tables for reporting use", "A plain line of text — with a dash",
-    "\t- Kept a tab ahead of this bullet and a carriage return behind it\r", "\u00a0PUBLICATIONS\u00a0\t",
+    "Gamma Inc, Engineer (2012 - 2014)", "\t- Kept a tab ahead of this bullet and a carriage return behind it\r", "\u00a0PUBLICATIONS\u00a0\t",
 )
-SIZE = 32
+SIZE = 33
 #: Stands in drafts only.
 ADDED = "- Negotiated 45 percent lower freight prices with overseas carriers"
 

@@ -476,4 +476,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-from . import audits, catalogue, intake  # noqa: E402,F401  register their queries
+from . import audits, catalogue, intake, storage  # noqa: E402,F401  register their queries
