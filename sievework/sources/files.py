@@ -42,6 +42,11 @@ class _Writer(DataSourceWriter):
         self.token = uuid.uuid4().hex
         if self.kind not in KINDS:
             raise ValueError(f"kind must be one of {', '.join(KINDS)}")
+        store, path = _files(self.path)
+        folder, _, name = path.rpartition("/")
+        #: The parts' folder, which readers of the target's folder pass over.
+        self.beside = f"{folder}/_{name}.{self.token}" if folder else f"_{name}.{self.token}"
+        store.create_dir(self.beside, recursive=True)
 
     def _line(self, row) -> str:
         if self.kind == "report":
@@ -51,9 +56,9 @@ class _Writer(DataSourceWriter):
         return json.dumps(row[0] if len(row) == 1 else row.asDict(True), ensure_ascii=False)
 
     def write(self, iterator: Iterator) -> Part:
-        store, path = _files(self.path)
+        store, _ = _files(self.path)
         task = TaskContext.get()
-        name, rows, size, between = f"{path}.{self.token}.{task.partitionId()}.{task.taskAttemptId()}", 0, 0, KINDS[self.kind][1]
+        name, rows, size, between = f"{self.beside}/{task.partitionId()}.{task.taskAttemptId()}", 0, 0, KINDS[self.kind][1]
         with store.open_output_stream(name) as out:
             for row in iterator:
                 data = ((between if rows else "") + self._line(row)).encode()
@@ -64,7 +69,7 @@ class _Writer(DataSourceWriter):
     def commit(self, messages: list) -> None:
         store, path = _files(self.path)
         parts = sorted((m for m in messages if m is not None), key=lambda m: m.number)
-        whole = f"{path}.{self.token}.whole"
+        whole = f"{self.beside}/whole"
         begin, between, end = KINDS[self.kind]
         try:
             if sum(m.size for m in parts) > self.limit:
@@ -87,13 +92,10 @@ class _Writer(DataSourceWriter):
             self.abort(messages)
 
     def abort(self, messages: list) -> None:
-        """Everything of this write beside the target goes, also the parts of tasks that failed or were lost."""
-        from pyarrow import fs
-
-        store, path = _files(self.path)
-        for found in store.get_file_info(fs.FileSelector(path.rpartition("/")[0] or ".", allow_not_found=True)):
-            if found.base_name.startswith(f"{path.rpartition('/')[2]}.{self.token}."):
-                store.delete_file(found.path)
+        """All parts go, also those of tasks that failed or were lost; a task still at work has no folder to write to."""
+        store, _ = _files(self.path)
+        if store.get_file_info(self.beside).type.name != "NotFound":
+            store.delete_dir(self.beside)
 
 
 class OneFile(DataSource):
