@@ -8,7 +8,8 @@ from . import queries as Q
 from .functions import column, rules
 from .functions import scalars as S
 from .functions.dialect import CHECK
-from .operators import drafts, gates, maintenance, probes, tracker
+from .operators import audits as audit_rules
+from .operators import drafts, gates, maintenance, numbering, probes, tracker
 from .plans import postings as P
 from .plans import resumes as R
 from .sources import boards
@@ -146,11 +147,12 @@ def slugs_kept(spark, sf):
 @query("live_check", f"""select id, case when ats = 'ashby' then case when cast(substring(slug, 3) as bigint) % 3 <> 0 then n % 4 = 0 else closed end when n % 7 = 0 then true when n % 7 < 5 then false else closed end as closed
 from (select *, cast(substring(id, 5) as bigint) as n from {_P})""")
 def live_check(spark, sf):
-    rows = P.postings(spark, sf)
-    number = F.expr("cast(substring(id, 5) as bigint)")
-    postings = rows.filter("ats <> 'ashby'").select("id", F.when(number % 7 == 0, 404).when(number % 7 < 5, 200).otherwise(0).alias("status"))
-    answered = rows.select("slug").distinct().withColumn("ok", F.expr("cast(substring(slug, 3) as bigint) % 3 <> 0"))
-    return probes.rechecked(rows, postings, answered, rows.filter("ats = 'ashby'").filter(number % 4 != 0).select("id")).select("id", "closed")
+    """The answers and the boards are tables of their own; each is read once."""
+    number = F.col("o_orderkey")
+    status = F.when(number % 3 == 1, F.when(number % 4 != 0, 200)).when(number % 7 == 0, 404).when(number % 7 < 5, 200).otherwise(0)
+    answers = _table(spark, sf, "orders").select(F.concat(F.lit("job_"), number.cast("string")).alias("id"), status.alias("status")).filter("status is not null")
+    boards_ = _table(spark, sf, "customer").selectExpr("c_custkey % 97 as k").distinct().selectExpr("concat('co', k) as slug", "k % 3 <> 0 as ok")
+    return probes.rechecked(P.postings(spark, sf), answers, boards_).select("id", "closed")
 
 
 _SHAPES = ("boards_api", "boards", "embed", "careers", "job_boards")
@@ -180,9 +182,11 @@ def hashed_sample(spark, sf):
     return _table(spark, sf, "benchmark").select("item_id").orderBy(F.sha2(F.concat(F.col("item_id").cast("string"), F.lit("/seed")), 256), "item_id").limit(10)
 
 
-@query("merged_slugs", f"select slug, count(*) as times from (select distinct slug from {_P} union all select slug from {_VERDICTS} where verdict = 'live') group by slug")
+@query("merged_slugs", f"select slug, row_number() over (order by slug) - 1 as place from (select distinct slug from {_P} union select slug from {_VERDICTS} where verdict = 'live')")
 def merged_slugs(spark, sf):
-    return P.postings(spark, sf).select("slug").distinct().unionAll(_verdicts(spark, sf).filter("verdict = 'live'").select("slug")).groupBy("slug").agg(F.count("*").alias("times"))
+    """The merged list in alphabetic order, each with its place."""
+    slugs = P.postings(spark, sf).select("slug").union(_verdicts(spark, sf).filter("verdict = 'live'").select("slug")).distinct()
+    return numbering.numbered(slugs, [F.asc("slug")], "place")
 
 
 @query("source_gates", f"""select ats, count(*) as n, count(*) filter (where kept) as kept from (select ats, case ats when 'greenhouse' then location = '' or us when 'ashby' then location <> '' and us else us and n % 2 = 0 end as kept
@@ -321,16 +325,20 @@ def split_bullets(spark, sf):
 
 
 _SKILLS = ("python", "spark", "terraform", "docker", "kubernetes", "sql")
+_LANDED = ("python", "terraform", "docker", "kubernetes", "cobol")
 
 
-@query("landed_skills", f"""select doc_id, array_to_string(landed, ',') as landed, cast(floor(100.0 * 2 / 6 + 0.5) as bigint) as before, cast(floor(100.0 * (2 + len(landed)) / 6 + 0.5) as bigint) as after
-from (select doc_id, list_filter(['python', 'terraform', 'docker', 'kubernetes'], lambda k: contains(lower(text), k)) as landed from {_NEW})""")
+@query("landed_skills", f"""with b as (select n.doc_id, list_filter({CHECK.array(map(CHECK.text, _SKILLS))}, lambda k: contains(lower(o.text), k)) as had, lower(n.text) as said from {_NEW} n join {_OLD} o on n.doc_id = o.doc_id),
+c as (select *, list_filter({CHECK.array(map(CHECK.text, _LANDED))}, lambda k: list_contains({CHECK.array(map(CHECK.text, _SKILLS))}, k) and not list_contains(had, k) and contains(said, k)) as landed from b)
+select doc_id, array_to_string(landed, ',') as landed, cast(floor(100.0 * len(had) / 6 + 0.5) as bigint) as before, cast(floor(100.0 * (len(had) + len(landed)) / 6 + 0.5) as bigint) as after from c""")
 def landed_skills(spark, sf):
-    missing = F.array(*[F.lit(k) for k in _SKILLS if k not in ("spark", "sql")])
-    confirmed = F.array_intersect(F.array(*[F.lit(k) for k in ("python", "terraform", "docker", "kubernetes", "cobol")]), missing)
-    rows = drafts.whole(R.lines(spark, sf, 1)).select("doc_id", F.filter(confirmed, lambda k: F.contains(F.lower("text"), k)).alias("landed"))
-    score = lambda n: F.when(F.lit(len(_SKILLS)) > 0, F.floor(F.lit(100.0) * n / len(_SKILLS) + 0.5)).otherwise(0).cast("long")
-    return rows.select("doc_id", F.array_join("landed", ",").alias("landed"), score(F.lit(2)).alias("before"), score(2 + F.size("landed")).alias("after"))
+    """Confirmed skills that the original lacks and the draft has, and the score before and after."""
+    wanted = F.array(*[F.lit(k) for k in _SKILLS])
+    both = _versions(spark, sf).select("doc_id", "original", "draft", F.filter(wanted, lambda k: F.contains(F.lower("original"), k)).alias("had"))
+    confirmed = F.array_intersect(F.array(*[F.lit(k) for k in _LANDED]), F.array_except(wanted, F.col("had")))
+    rows = both.withColumn("landed", F.filter(confirmed, lambda k: F.contains(F.lower("draft"), k)))
+    score = lambda n: F.floor(F.lit(100.0) * n / len(_SKILLS) + 0.5).cast("long")
+    return rows.select("doc_id", F.array_join("landed", ",").alias("landed"), score(F.size("had")).alias("before"), score(F.size("had") + F.size("landed")).alias("after"))
 
 
 _WORDS = ", ".join(CHECK.text(w) for w in (*drafts.BANNED, *drafts.TO_THE_READER))
@@ -382,10 +390,24 @@ def employment_breakdown(spark, sf):
     return P.postings(spark, sf).select(column(S.employment_type, "body").alias("employment_type")).groupBy("employment_type").agg(F.count("*").alias("n"))
 
 
-@query("projections", f"select ats, count(*) as jobs, count(distinct slug) as boards, cast(floor(count(*) * 585.0 / count(distinct slug) + 0.5) as bigint) as projected from {_P} group by ats")
+@query("projections", f"""select ats, boards, jobs, jobs / cast(boards as double) as per_board, cast(floor(jobs * 585.0 / boards + 0.5) as bigint) as projected, cast(floor(ms / cast(jobs as double) + 0.5) as bigint) as detail_ms,
+cast(floor(ms / 1000.0 * (585.0 / boards) / 60 + 0.5) as bigint) as minutes from (select ats, count(*) as jobs, count(distinct slug) as boards, sum(cast(substring(id, 5) as bigint) * 31 % 700 + 100) as ms from {_P} group by ats)""")
 def projections(spark, sf):
-    out = P.postings(spark, sf).groupBy("ats").agg(F.count("*").alias("jobs"), F.count_distinct("slug").alias("boards"))
-    return out.withColumn("projected", F.floor(F.col("jobs") * F.lit(585.0) / F.col("boards") + 0.5).cast("long"))
+    """From the boards sampled to 585 of them: postings, and minutes by the time of one detail call."""
+    rows = P.postings(spark, sf).withColumn("ms", F.expr("cast(substring(id, 5) as bigint) * 31 % 700 + 100"))
+    out = rows.groupBy("ats").agg(F.count("*").alias("jobs"), F.count_distinct("slug").alias("boards"), F.sum("ms").alias("ms"))
+    half_up = lambda x: F.floor(x + F.lit(0.5)).cast("long")
+    return out.select(
+        "ats", "boards", "jobs", (F.col("jobs") / F.col("boards")).alias("per_board"), half_up(F.col("jobs") * F.lit(585.0) / F.col("boards")).alias("projected"), half_up(F.col("ms") / F.col("jobs")).alias("detail_ms"),
+        half_up(F.col("ms") / F.lit(1000.0) * (F.lit(585.0) / F.col("boards")) / 60).alias("minutes"))
+
+
+@query("disqualifier_context")
+def disqualifier_context(spark, sf):
+    """The first rule that stops a posting, its pattern, and the text around what it met."""
+    said = F.concat_ws(" ", "title", column(S.strip_html, "body"))
+    rows = P.postings(spark, sf).select("id", said.alias("said")).select("id", F.expr(audit_rules.disqualifier_hit("said")).alias("hit"))
+    return rows.filter("hit is not null").select("id", "hit.*")
 
 
 # formats and small helpers

@@ -1,12 +1,17 @@
 """What a regular expression cannot match without: literals to look for before it is tried."""
 from __future__ import annotations
 
-from re import _constants as kind
-from re import _parser as parser
+try:  # the parser has no public name; without it no literals are known, and every pattern is tried on every text
+    from re import _constants as kind
+    from re import _parser as parser
+except ImportError:
+    kind = parser = None
 
 
 def required(pattern: str) -> frozenset[str] | None:
     """Literals of which every match holds one; None where there are none of three characters or more."""
+    if parser is None:
+        return None
     best = _of(parser.parse(pattern))
     return best if best and all(len(x) >= 3 for x in best) else None
 

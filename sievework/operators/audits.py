@@ -9,7 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import rules
+from ..functions import rules, scalars
+from ..functions.dialect import SPARK
 from ..functions.keywords import first_hit
 
 CONTEXT = 40
@@ -62,3 +63,11 @@ def foreign_hint(place: Column) -> Column:
     """remote-foreign, or the first hint in list order that stands in the place as a whole word; null without one."""
     low = F.lower(F.coalesce(place, F.lit("")))
     return F.when(low.rlike(rules.REMOTE_ABROAD), "remote-foreign").otherwise(first_hit(low, rules.FOREIGN_HINTS, whole=True)["term"])
+
+
+def disqualifier_hit(name: str) -> str:
+    """SQL of rule (from 1), pattern and context (in the normalised text) of the first rule that holds on a column; null where none does."""
+    d, listed = SPARK, SPARK.array(map(SPARK.text, rules.DISQUALIFIERS))
+    found = d.let("regexp_instr(n, p)", "at", f"named_struct('rule', r, 'pattern', p, 'context', {scalars.snippet(d, 'n', 'at', 'length(regexp_substr(n, p))')})")
+    ruled = d.let(scalars.disqualifier(d, "n"), "r", f"if(r = 0, null, {d.let(f'element_at({listed}, greatest(r, 1))', 'p', found)})")
+    return d.let(scalars.normalised(d, name), "n", ruled)

@@ -205,6 +205,12 @@ def repaired_drafts(original: DataFrame, draft: DataFrame, rounds: int = 4, skil
     return done
 
 
+def keyword_match(words: Column, text: Column) -> tuple[Column, Column, Column]:
+    """matched, total and score: how many keywords a text holds, in percent rounded half up; 0 without keywords."""
+    matched, total = F.size(F.filter(words, lambda w: F.contains(F.lower(text), F.lower(w)))), F.size(words)
+    return matched.alias("matched"), total.alias("total"), F.when(total == 0, 0).otherwise(F.floor(F.lit(100.0) * matched / total + 0.5)).cast("long").alias("score")
+
+
 def tidied(text: Column) -> Column:
     """Text of a binary document without page marks, odd spaces and runs of blank lines."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), PAGE_MARKER, "")

@@ -66,15 +66,18 @@ def totals(jobs: DataFrame, search: Search, now: str) -> DataFrame:
     return matching(jobs, search, now).agg(F.count("*").alias("total")).withColumn("pages", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("total") / PAGE_SIZE)))
 
 
+#: What a card keeps of each of its rows.
+VARIANT = ("id", "location", "apply_url", "state", "work_type", "closed")
+
+
 def folded(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """One card for each title and company (case apart): the first row's fields, all its locations, and their number.
+    """One card for each title and company (case apart): all fields of its first row, its rows' variants in order, and their
+    number.  Cards keep the columns that the order reads, so they can be put in it again.
 
     Meant for a page; over a whole table it is the exact fold, where a card's list is as long as its group.
     """
     key = [F.lower(F.coalesce("title", F.lit(""))), F.lower(F.coalesce("company", F.lit("")))]
-    place = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    numbered = rows.withColumn("place", place).withColumns({"title_key": key[0], "company_key": key[1]})
-    first = lambda c: F.max(F.when(F.col("place") == 1, F.col(c))).alias(c)
-    return numbered.groupBy("title_key", "company_key").agg(
-        first("id"), first("title"), first("company"), F.sort_array(F.collect_list(F.struct("place", "id", "location"))).alias("found"), F.count("*").alias("location_count")
-    ).withColumn("locations", F.transform("found", lambda v: F.struct(v["id"].alias("id"), v["location"].alias("location")))).drop("title_key", "company_key", "found")
+    numbered = rows.withColumns({"_sw_title": key[0], "_sw_company": key[1]}).withColumn("_sw_place", F.row_number().over(Window.partitionBy("_sw_title", "_sw_company").orderBy(*order)))
+    cards = numbered.groupBy("_sw_title", "_sw_company").agg(
+        F.min_by(F.struct(*rows.columns), "_sw_place").alias("first"), F.array_sort(F.collect_list(F.struct("_sw_place", *VARIANT))).alias("found"), F.count("*").alias("location_count"))
+    return cards.select("first.*", "location_count", F.transform("found", lambda v: F.struct(*[v[c].alias(c) for c in VARIANT])).alias("locations"))

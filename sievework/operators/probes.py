@@ -24,18 +24,17 @@ def retry_report(verdicts: DataFrame) -> DataFrame:
     return n.withColumn("rate", rate).withColumn("cause", F.when(F.col("rate") >= THROTTLED, "throttled").when(F.col("dead") > F.col("unreachable"), "dead boards").otherwise("timeouts"))
 
 
-def rechecked(jobs: DataFrame, postings: DataFrame, boards: DataFrame, on_board: DataFrame) -> DataFrame:
+def rechecked(jobs: DataFrame, answers: DataFrame, boards: DataFrame) -> DataFrame:
     """jobs with ``closed`` after a live check.
 
-    postings: id, status, of the sources that answer for one posting: 404 closes it, 200 opens it.  boards: slug, ok, and
-    on_board: id, of the source that answers with a whole board: a posting missing from a board that answered is closed.
-    No answer, or any other status, changes nothing.
+    answers: id, status: of the sources that answer for one posting, 404 closes it and 200 opens it; of the source that answers
+    with a whole board, a row of 200 says that the posting is on it.  boards: slug, ok of that source: a posting missing from a
+    board that answered is closed.  No answer, or any other status, changes nothing.
     """
-    out = jobs.join(postings.select("id", "status"), "id", "left").join(boards.select("slug", F.col("ok").alias("board_ok")), "slug", "left").join(on_board.select("id", F.lit(True).alias("listed")), "id", "left")
+    out = jobs.join(answers.select("id", "status"), "id", "left").join(boards.select("slug", F.col("ok").alias("board_ok")), "slug", "left")
     one = F.when(F.col("status") == 404, True).when(F.col("status") == 200, False)
-    board = F.when(F.col("board_ok"), F.col("listed").isNull())
-    seen = F.when(F.col("ats") == "ashby", board).otherwise(one)
-    return out.withColumn("closed", F.coalesce(seen, "closed")).drop("status", "board_ok", "listed")
+    board = F.when(F.col("board_ok"), ~F.coalesce(F.col("status") == 200, F.lit(False)))
+    return out.withColumn("closed", F.coalesce(F.when(F.col("ats") == "ashby", board).otherwise(one), "closed")).drop("status", "board_ok")
 
 
 def shapes(probes: DataFrame, names: list[str]) -> DataFrame:

@@ -25,14 +25,18 @@ def _jobs(d: Dialect) -> dict[str, str]:
     }
 
 
-def per_value(df: DataFrame, name: str, made: dict[str, str]) -> DataFrame:
-    """df with columns that depend on one of its own, worked out once for each different value of it.
+#: Different values that are classified apart and broadcast.
+MOST_VALUES = 10_000
 
-    Titles and places repeat: their values are few beside the rows.  The join is left to the optimizer, which broadcasts
-    the values where they are small.
-    """
-    values = df.select(name).distinct().withColumns({k: F.expr(v) for k, v in made.items()}).withColumnRenamed(name, "_value")
-    return df.join(values, F.col(name).eqNullSafe(F.col("_value")), "left").drop("_value")
+
+def per_value(df: DataFrame, name: str, made: dict[str, str], most: int = MOST_VALUES) -> DataFrame:
+    """df with columns that depend on one of its own: where that has few different values, worked out once for each of them
+    and broadcast; else in place.  Their number is counted first, over that column alone; df itself is never shuffled."""
+    values = df.select(name).distinct()
+    if values.limit(most + 1).count() > most:
+        return df.withColumns({k: F.expr(v) for k, v in made.items()})
+    values = values.withColumns({k: F.expr(v) for k, v in made.items()}).withColumnRenamed(name, "_value")
+    return df.join(F.broadcast(values), F.col(name).eqNullSafe(F.col("_value")), "left").drop("_value")
 
 
 #: The columns of jobs that a title or a place alone decides.
@@ -44,11 +48,12 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     made, out = _jobs(SPARK), P.postings(spark, sf_dir)
     for name, columns in _BY.items():
         out = per_value(out, name, {c: made.pop(c) for c in columns})
+    out = out.withColumns({"company_slug": F.col("slug"), "is_remote": F.contains(F.lower("location"), F.lit("remote"))})
     return out.withColumn("plain", column(S.strip_html, "body")).withColumns({k: F.expr(v) for k, v in made.items()})
 
 
 _POSTINGS = f"({P.sql(CHECK)})"
-_JOBS = f"(select *, {', '.join(f'{v} as {k}' for k, v in _jobs(CHECK).items())} from (select *, {S.strip_html(CHECK, 'body')} as plain from {_POSTINGS}))"
+_JOBS = f"(select *, {', '.join(f'{v} as {k}' for k, v in _jobs(CHECK).items())} from (select *, {S.strip_html(CHECK, 'body')} as plain, slug as company_slug, contains(lower(location), 'remote') as is_remote from {_POSTINGS}))"
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,7 +150,7 @@ def license_by_category(spark, sf):
 
 
 _OPEN = f"not coalesce(closed, false) and not coalesce(needs_license, false)"
-_CARD = ("id", "title", "company", "location", "apply_url", "posted_at", "work_type", "experience_level", "state", "salary_min", "salary_max", "years_min", "years_max", "closed")
+_CARD = ("id", "title", "company", "company_slug", "location", "is_remote", "apply_url", "posted_at", "work_type", "experience_level", "state", "salary_min", "salary_max", "years_min", "years_max", "closed")
 
 
 @query("listing_recent", f"select {', '.join(_CARD)} from {_JOBS} where {_OPEN} order by posted_at desc nulls last, id limit 20")
@@ -167,13 +172,16 @@ def listing_total_pages(spark, sf):
     return listing.totals(jobs(spark, sf), SEARCH, P.NOW)
 
 
-@query("listing_fold", f"""with p as (select * from ({_FOUND}) {_RANKED} limit 20), q as (select *, row_number() over (partition by lower(title), lower(company) {_RANKED}) as place from p)
-select max(case when place = 1 then id end) as id, max(case when place = 1 then title end) as title, max(case when place = 1 then company end) as company, count(*) as location_count,
-string_agg(id, ',' order by place) as ids from q group by lower(title), lower(company)""")
+@query("listing_fold", f"""with p as (select *, row_number() over ({_RANKED}) as nth from ({_FOUND}) {_RANKED} limit 20), q as (select *, row_number() over (partition by lower(title), lower(company) order by nth) as place from p)
+select max(case when place = 1 then id end) as id, max(case when place = 1 then title end) as title, max(case when place = 1 then company end) as company, max(case when place = 1 then salary_min end) as salary_min, count(*) as location_count,
+string_agg(concat_ws('|', id, location, coalesce(apply_url, '?'), coalesce(state, '?'), work_type, coalesce(cast(closed as varchar), '?')), ',' order by place) as variants, cast(row_number() over (order by min(nth)) as int) as card from q group by lower(title), lower(company)""")
 def listing_fold(spark, sf):
     found, order = listing.ranked(listing.matching(jobs(spark, sf), SEARCH, P.NOW), SEARCH)
-    cards = listing.folded(found.orderBy(*order).limit(20), order)
-    return cards.select("id", "title", "company", "location_count", F.array_join(F.transform("locations", lambda x: x["id"]), ",").alias("ids"))
+    cards = listing.folded(found.orderBy(*order).limit(20), order).orderBy(*order)
+    told = F.array_join(F.transform("locations", lambda x: F.concat_ws("|", *[F.coalesce(x[c].cast("string"), F.lit("?")) for c in listing.VARIANT])), ",")
+    # a page: its cards are numbered as they are read
+    numbered = cards.groupBy().agg(F.collect_list(F.struct("id", "title", "company", "salary_min", "location_count", told.alias("variants"))).alias("c")).select(F.posexplode("c").alias("p", "c"))
+    return numbered.select("c.*", (F.col("p") + 1).alias("card"))
 
 
 @query("time_window", f"select count(*) as n from {_JOBS} where {_OPEN} and posted_at >= timestamp '{P.NOW}' - interval 30 day")
@@ -265,18 +273,28 @@ def slug_except(spark, sf):
     return P.postings(spark, sf).select("slug").distinct().join(known, "slug", "left_anti")
 
 
-_HOSTS = r"https?://([a-z0-9.-]+)"
+#: Fixed values.  A board's name in a link, and what stands there without being one.
+SLUG = r"greenhouse\.io/(?:embed/job_board\?for=)?([a-zA-Z0-9_-]+)"
+NOT_SLUGS = ("embed", "job_board", "jobs", "v1", "boards", "api")
+_LINK = "case doc_id % 4 when 0 then concat(' https://job-boards.greenhouse.io/co', cast(doc_id % 120 as varchar), '/jobs/9 and ') when 1 then concat(chr(10), '(https://boards.greenhouse.io/embed/job_board?for=New_', cast(doc_id % 40 as varchar), ')') when 2 then ' boards-api.greenhouse.io/v1/boards ' else '' end"
 
 
-@query("slug_harvest", f"select distinct host from (select unnest(regexp_extract_all(url, '{_HOSTS}', 1)) as host from pages)")
+@query("slug_harvest", f"""select slug, slug in (select slug from {_POSTINGS}) as known from (select distinct unnest(regexp_extract_all(said, '{SLUG}', 1)) as slug from (select concat(coalesce(text, ''), {_LINK}, coalesce(lang, '')) as said from documents union all
+select concat(coalesce(url, ''), ' ', coalesce(html, '')) from pages)) where lower(slug) not in ({', '.join(f"'{x}'" for x in NOT_SLUGS)})""")
 def slug_harvest(spark, sf):
-    return spark.read.parquet(f"{sf}/pages.parquet").select(F.explode(F.regexp_extract_all("url", F.lit(_HOSTS), F.lit(1))).alias("host")).distinct()
+    """Names of boards in links anywhere in free texts, and whether they are known."""
+    link = F.expr(_LINK.replace("varchar", "string").replace("chr(10)", "char(10)"))
+    said = _docs(spark, sf).select(F.concat(F.coalesce("text", F.lit("")), link, F.coalesce("lang", F.lit(""))).alias("said"))
+    said = said.unionByName(spark.read.parquet(f"{sf}/pages.parquet").select(F.concat_ws(" ", F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))).alias("said")))
+    slugs = said.select(F.explode(F.regexp_extract_all("said", F.lit(SLUG), F.lit(1))).alias("slug")).filter(~F.lower("slug").isin(*NOT_SLUGS)).distinct()
+    known = P.postings(spark, sf).select("slug").distinct().withColumn("known", F.lit(True))
+    return slugs.join(known, "slug", "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
-@query("dup_ids", f"select count(*) as duplicated from (select id from (select id from {_POSTINGS} union all select concat('job_', cast(l_orderkey as varchar)) from (select distinct l_orderkey from lineitem)) group by id having count(*) > 1)")
+@query("dup_ids", "select count(*) as duplicated, coalesce(sum(n), 0)::bigint as rows from (select concat('job_', cast(l_orderkey as varchar)) as id, count(*) as n from lineitem group by 1 having count(*) > 1)")
 def dup_ids(spark, sf):
-    again = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey").distinct().select(F.concat(F.lit("job_"), F.col("l_orderkey").cast("string")).alias("id"))
-    return P.postings(spark, sf).select("id").unionAll(again).groupBy("id").count().filter("count > 1").agg(F.count("*").alias("duplicated"))
+    ids = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.concat(F.lit("job_"), F.col("l_orderkey").cast("string")).alias("id"))
+    return ids.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").agg(F.count("*").alias("duplicated"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("rows"))
 
 
 @query("distinct_companies", f"select count(*) as companies from (select apply_url from {_POSTINGS} group by apply_url)")
@@ -296,10 +314,12 @@ def dq_completeness(spark, sf):
     return jobs(spark, sf).agg(F.count("*").alias("n"), share("salary_min").alias("salary"), share("state").alias("state"), share("years_min").alias("years"), F.count_if(F.col("salary_min") > F.col("salary_max")).alias("odd"))
 
 
-@query("date_spread", f"select ats, count(distinct cast(posted_at as date)) as days, cast(min(cast(posted_at as date)) as varchar) as first_day, cast(max(cast(posted_at as date)) as varchar) as last_day from {_POSTINGS} group by ats")
+@query("date_spread", f"select ats, count(distinct cast(posted_at as date)) as days, cast(min(cast(posted_at as date)) as varchar) as first_day, cast(max(cast(posted_at as date)) as varchar) as last_day, count(distinct cast(posted_at as date)) < 5 as narrow from (select ats, posted_at from {_POSTINGS} union all select 'slow', posted_at from {_POSTINGS} where id in ('job_1', 'job_2', 'job_3')) group by ats")
 def date_spread(spark, sf):
     day = F.to_date("posted_at")
-    return P.postings(spark, sf).groupBy("ats").agg(F.count_distinct(day).alias("days"), F.min(day).cast("string").alias("first_day"), F.max(day).cast("string").alias("last_day"))
+    rows = P.postings(spark, sf).select("ats", "posted_at", F.explode(F.when(F.col("id").isin("job_1", "job_2", "job_3"), F.array("ats", F.lit("slow"))).otherwise(F.array("ats"))).alias("source"))
+    found = rows.groupBy(F.col("source").alias("ats")).agg(F.count_distinct(day).alias("days"), F.min(day).cast("string").alias("first_day"), F.max(day).cast("string").alias("last_day"))
+    return found.withColumn("narrow", F.col("days") < 5)
 
 
 @query("word_histogram", "select word, count(*) as docs from (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) as word from documents) group by word order by docs desc, word limit 150")
@@ -369,10 +389,17 @@ def lifted_4grams(spark, sf):
     return documents.lifted(_docs(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
 
 
-@query("keyword_score", f"select id, cast(floor(100.0 * len(list_filter(['data', 'engineer', 'nurse', 'remote'], lambda k: contains(lower(concat(title, ' ', location)), k))) / 4 + 0.5) as bigint) as score from {_POSTINGS}")
+@query("keyword_score", f"""with p as (select id, cast(floor(cast(substring(id, 5) as bigint) / {R.SIZE}) as bigint) as doc_id, list_distinct({S.content_words(CHECK, "concat(title, ' ', plain)")}) as words from {_JOBS}),
+d as (select doc_id, lower(string_agg(line, chr(10) order by line_no)) as said from ({R.sql(CHECK, 1)}) group by doc_id) select id, cast(len(list_filter(words, lambda w: contains(said, w))) as int) as matched, cast(len(words) as int) as total,
+case when len(words) = 0 then 0 else cast(floor(100.0 * len(list_filter(words, lambda w: contains(said, w))) / len(words) + 0.5) as bigint) end as score from p join d on p.doc_id = d.doc_id""")
 def keyword_score(spark, sf):
-    hits = F.filter(F.array(*[F.lit(k) for k in ("data", "engineer", "nurse", "remote")]), lambda k: F.contains(F.lower(F.concat("title", F.lit(" "), "location")), k))
-    return P.postings(spark, sf).select("id", F.round(F.lit(100) * F.size(hits) / 4).cast("long").alias("score"))
+    """The keywords of each posting, matched in the text of a draft."""
+    from .operators import drafts
+
+    words = F.array_distinct(gates.work_words(F.concat_ws(" ", "title", column(S.strip_html, "body"))))
+    rows = P.postings(spark, sf).select("id", F.floor(F.expr("cast(substring(id, 5) as bigint)") / R.SIZE).alias("doc_id"), words.alias("words"))
+    both = rows.join(drafts.whole(R.lines(spark, sf, 1)), "doc_id")
+    return both.select("id", *drafts.keyword_match(F.col("words"), F.col("text")))
 
 
 # a draft against its original

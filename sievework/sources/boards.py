@@ -24,7 +24,7 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """One trimmed, non-blank value a line."""
-    return spark.read.text(path).select(F.trim("value").alias("value")).filter("value <> ''")
+    return spark.read.text(path).select(F.regexp_replace("value", scalars.ENDS, "").alias("value")).filter("value <> ''")
 
 
 def read_map(spark: SparkSession, path: str) -> DataFrame:

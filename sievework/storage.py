@@ -13,7 +13,7 @@ from .functions.dialect import CHECK, SPARK
 from .operators import drafts, marks, numbering, probes, staging, store
 from .plans import postings as P
 from .plans import resumes as R
-from .sources import files, uploads
+from .sources import boards, files, uploads
 from .streaming import asks
 
 query = Q.query
@@ -79,7 +79,7 @@ def backfill_reconcile(spark, sf):
     return probes.reconciled(preview, kept.read().select("field"), "field")
 
 
-@query("slug_files", f"select slug, verdict from {_VERDICTS} where verdict in ('live', 'dead') union all select slug, 'name' from {_STATUS}")
+@query("slug_files", f"select slug, verdict from {_VERDICTS} where verdict in ('live', 'dead') union all select slug, 'name' from {_STATUS} union all select slug, 'again' from {_VERDICTS} where verdict = 'unreachable'")
 def slug_files(spark, sf):
     """Lists of live and of dead boards as JSON arrays and a map of names as a JSON object, written and read back."""
     folder, out = _new(spark), None
@@ -89,7 +89,9 @@ def slug_files(spark, sf):
         back = spark.read.text(f"{folder}-{verdict}.json", wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("slug"), F.lit(verdict).alias("verdict"))
         out = back if out is None else out.unionByName(back)
     files.save(verdicts.select("slug", F.concat(F.lit("Board "), "slug")).orderBy("slug"), f"{folder}-names.json", "map")
-    named = spark.read.text(f"{folder}-names.json", wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")))
+    named = boards.read_map(spark, f"{folder}-names.json")
+    verdicts.filter("verdict = 'unreachable'").select(F.concat(F.lit(" "), "slug", F.lit("\t\n"))).write.text(f"{folder}-again")
+    out = out.unionByName(boards.read_lines(spark, f"{folder}-again").select(F.col("value").alias("slug"), F.lit("again").alias("verdict")))
     return out.unionByName(named.select(F.col("key").alias("slug"), F.when(F.col("value") == F.concat(F.lit("Board "), "key"), "name").alias("verdict")))
 
 
