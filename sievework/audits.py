@@ -79,13 +79,15 @@ def legacy_contract(spark, sf):
 _LOW = "lower(replace(coalesce(location, ''), 'İ', 'i' || chr(775)))"
 
 
-@query("foreign_hints", f"select id, case when regexp_matches({_LOW}, {CHECK.text(rules.REMOTE_ABROAD)}) then 'remote-foreign' else list_filter({_in(rules.FOREIGN_HINTS)}, lambda w: regexp_matches({_LOW}, concat('\\b', w, '\\b')))[1] end as hint from {_P}")
+_HINTS = f"(select location, case when regexp_matches({_LOW}, {CHECK.text(rules.REMOTE_ABROAD)}) then 'remote-foreign' else list_filter({_in(rules.FOREIGN_HINTS)}, lambda w: regexp_matches({_LOW}, concat('\\b', w, '\\b')))[1] end as hint from (select distinct location from {_P}))"
+
+
+@query("foreign_hints", f"select id, hint from {_P} p join {_HINTS} h on p.location is not distinct from h.location")
 def foreign_hints(spark, sf):
     return P.postings(spark, sf).select("id", audits.foreign_hint(F.col("location")).alias("hint"))
 
 
-@query("foreign_slips", f"""select location, hint, count(*) as n from (select location, case when regexp_matches({_LOW}, {CHECK.text(rules.REMOTE_ABROAD)}) then 'remote-foreign' else list_filter({_in(rules.FOREIGN_HINTS)}, lambda w: regexp_matches({_LOW}, concat('\\b', w, '\\b')))[1] end as hint
-from {_P} where {S.location_kind(CHECK, 'location')} in ('us', 'weak-us', 'ambiguous')) where hint is not null group by location, hint""")
+@query("foreign_slips", f"select p.location, hint, count(*) as n from {_P} p join {_HINTS} h on p.location is not distinct from h.location where hint is not null and {S.location_kind(CHECK, 'p.location')} in ('us', 'weak-us', 'ambiguous') group by p.location, hint")
 def foreign_slips(spark, sf):
     """Places that pass as domestic but hint at another country."""
     rows = P.postings(spark, sf).groupBy("location").agg(F.count("*").alias("n")).withColumn("hint", audits.foreign_hint(F.col("location")))
