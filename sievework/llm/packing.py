@@ -82,7 +82,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_IT
         return pd.DataFrame({"key": group["key"], "piece": group["piece"], "start": group["start"], "n_tokens": group["n_tokens"], "bin_id": [f"{key[0]}-{b}" for b in bins], "bin_start": at})
 
     rest = pieces.filter(F.col("n_tokens") < capacity).withColumn("cluster", F.col("cluster").cast("string"))
-    rest = rest.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    # rows without a key are dealt by what else they have: a constant hash would give all of them to one task
+    dealt = F.when(F.col("key").isNull(), F.xxhash64("source", "cluster", "n_tokens")).otherwise(F.xxhash64("key"))
+    rest = rest.withColumn("shard", F.pmod(dealt, F.lit(shards)))
     packed = rest.groupBy("shard").applyInPandas(shard_bins, f"key {kind}, piece long, start long, n_tokens long, bin_id string, bin_start long")
     return whole.unionByName(packed)
 

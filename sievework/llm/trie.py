@@ -31,7 +31,9 @@ from .common import long_key, materialise
 
 #: A rebuilt conversation takes up to HEADS - 1 turns from the conversation before it that GROUP divides.
 GROUP, HEADS = 5, 9
+#: Characters of joined ids, about, that are hashed as one piece.
 PIECE = 1 << 16
+#: Nodes that are written out together.
 ROWS = 10_000
 ROOT = bytes(16)
 NONE = hashlib.sha256(b"").hexdigest()
@@ -71,14 +73,14 @@ def paths(conversations: DataFrame) -> DataFrame:
     return conversations.mapInArrow(chained, "conv_id long, path array<binary>, sums array<long>, last binary")
 
 
-def endings(members: DataFrame) -> DataFrame:
+def endings(members: DataFrame, piece: int = PIECE) -> DataFrame:
     """members: last, conv_id.  last, conv_id (the smallest), n and the hash of the ids in order, of each path."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, last, ids, size = [], None, [], 0
         for batch in batches:
             for at, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if ids and (at != last or size >= PIECE):
+                if ids and (at != last or size >= piece):
                     out.append((last, ids[0], len(ids), ",".join(map(str, ids))))
                     ids, size = [], 0
                 last = at
@@ -244,10 +246,10 @@ def _merged(parts: DataFrame) -> DataFrame:
     return summed.withColumn("saved", F.col("kept") - (F.col("n_convs") - 1) * F.col("above")).withColumn("ends", F.coalesce("ends", F.lit(NONE))).drop("kept", "above")
 
 
-def trie(conversations: DataFrame) -> DataFrame:
+def trie(conversations: DataFrame, piece: int = PIECE) -> DataFrame:
     """conversations: conv_id, turns (digest, n_bytes).  One row per node of the trie of all of them."""
     chained = materialise(paths(conversations))
-    distinct = endings(chained).join(chained.select("conv_id", "path", "sums"), "conv_id")
+    distinct = endings(chained, piece).join(chained.select("conv_id", "path", "sums"), "conv_id")
     ordered = distinct.repartitionByRange("path").sortWithinPartitions("path").select("path", "sums", "n", "conv_id", "ends")
     made = materialise(ordered.mapInArrow(_patricia, _OUT_DDL))
     own = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), F.col("ends").alias("ends_sha256")]
@@ -261,6 +263,6 @@ def trie(conversations: DataFrame) -> DataFrame:
     return done.unionByName(below).unionByName(top)
 
 
-def prefix_trie(df: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def prefix_trie(df: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", piece: int = PIECE) -> DataFrame:
     """The trie of the rebuilt conversations of a table of turns."""
-    return trie(rebuilt(df, key, turn, role, text))
+    return trie(rebuilt(df, key, turn, role, text), piece)

@@ -29,8 +29,10 @@ from .common import blocks_for, long_key, materialise, scratch_dir
 
 ARCHIVE_BYTES = 64 << 20
 BLOCK_LINES = 3000
-#: Directory entries (one for 3000 captures) that are broadcast; a larger directory is searched by a join on keys.
+#: Directory entries (one for 3000 captures) that are broadcast; of a larger directory the files are, one for FILE_BLOCKS
+#: entries at least and never more than this, and the entries of a file are joined by its name.
 MAX_DIRECTORY = 200_000
+FILE_BLOCKS = 20
 DATE = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -137,7 +139,8 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, key: str = "page_id
 def build_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Write the sorted capture lines in compressed blocks; the directory (first_key, last_key, file, start, length) comes
     back, materialised.  A key's captures go on by page_id, so a key of very many captures fills several blocks."""
-    parts = blocks_for(captures.count(), 20 * block_lines)
+    total = captures.count()
+    parts = blocks_for(total, max(FILE_BLOCKS, blocks_for(total, MAX_DIRECTORY * block_lines)) * block_lines)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = _files(folder)
@@ -168,34 +171,36 @@ def build_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
     return materialise(ranged.mapInArrow(blocks, "first_key string, last_key string, file string, start long, length long"))
 
 
-def look_up(keys: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
+def _covering(wanted: DataFrame, entries: list[tuple], schema: str) -> DataFrame:
+    """url_key and what follows the keys of each entry (first, last, ...) that can hold it, by binary search; the entries, sorted,
+    overlap at their ends only."""
+    shared = wanted.sparkSession.sparkContext.broadcast(sorted(entries))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed = shared.value
+        lasts, firsts = [x[1] for x in listed], [x[0] for x in listed]
+        for batch in batches:
+            rows = [(k, *listed[i][2:]) for k in batch.column(0).to_pylist() for i in range(bisect_left(lasts, k), bisect_right(firsts, k))]
+            if rows:
+                kinds = [pa.string(), *(pa.int64() if isinstance(v, int) else pa.string() for v in rows[0][1:])]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split(" ")[0] for x in schema.split(", ")])
+
+    return wanted.mapInArrow(search, schema)
+
+
+def look_up(keys: DataFrame, directory: DataFrame, folder: str, max_directory: int | None = None) -> DataFrame:
     """keys: url_key.  One row per capture of the keys: url_key, page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Each key leads to the blocks that can hold it; each of those is read once, by one task, with the keys wanted from it.
     """
-    spark = keys.sparkSession
     wanted = keys.select("url_key").distinct()
     blocks = directory.count()
-    if blocks <= MAX_DIRECTORY:
-        entries = sorted((r.first_key, r.last_key, r.file, r.start, r.length) for r in directory.collect())
-        shared = spark.sparkContext.broadcast(entries)
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            listed = shared.value
-            lasts, firsts = [x[1] for x in listed], [x[0] for x in listed]
-            for batch in batches:
-                rows = [(k, *listed[i][2:]) for k in batch.column(0).to_pylist() for i in range(bisect_left(lasts, k), bisect_right(firsts, k))]
-                if rows:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["url_key", "file", "start", "length"])
-
-        hits = wanted.mapInArrow(search, "url_key string, file string, start long, length long")
-    else:  # both sides by the key's first characters; a block of several such heads is listed under each of its two ends
-        head = lambda c: F.substring(c, 1, 12)
-        ends = directory.select("*", F.explode(F.array_distinct(F.array(head(F.col("first_key")), head(F.col("last_key"))))).alias("head"))
-        within = wanted.join(ends, head(wanted["url_key"]) == ends["head"]).filter("url_key between first_key and last_key")
-        wide = directory.filter(head(F.col("first_key")) != head(F.col("last_key"))).select("file", "start", "length", "first_key", "last_key")
-        hits = within.select("url_key", "file", "start", "length").unionByName(
-            wanted.join(wide, F.col("url_key").between(F.col("first_key"), F.col("last_key"))).select("url_key", "file", "start", "length")).distinct()
+    if blocks <= (MAX_DIRECTORY if max_directory is None else max_directory):
+        hits = _covering(wanted, [(r.first_key, r.last_key, r.file, r.start, r.length) for r in directory.collect()], "url_key string, file string, start long, length long")
+    else:  # a third level: the files' ranges are searched, then the few entries of the file
+        files = directory.groupBy("file").agg(F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key")).collect()
+        near = _covering(wanted, [(r.first_key, r.last_key, r.file) for r in files], "url_key string, file string")
+        hits = near.join(directory, "file").filter("url_key between first_key and last_key").select("url_key", "file", "start", "length")
     # few bytes name many records to read, so the number of tasks follows the blocks, not the bytes
     by_block = hits.repartition(blocks_for(blocks, 4), "file", "start", "length").groupBy("file", "start", "length").agg(F.collect_set("url_key").alias("keys"))
 

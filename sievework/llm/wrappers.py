@@ -383,7 +383,7 @@ def _slots(w: list, pages: int, inside: bool, top: bool) -> list:
     if not top:
         chars, links = _mass(w)
         menu = tag in ("ul", "ol", "div", "section", "table", "p") and links > 0.6 * chars and links > 0
-        if _goes(w[KEY], inside) or menu or _template(w, pages):
+        if _goes(w[KEY], inside) or menu or not inside and _template(w, pages):
             return [w[KEY], True, False, [], 0]
     region = not inside and (tag in ("article", "main") or "main" in names.split(" ") and tag != "body") and _mass(w)[0] > 0
     return [w[KEY], False, region, [_slots(c, pages, inside or region, False) for c in w[BELOW]], w[LOOSE]]

@@ -762,6 +762,7 @@ def test_warc(spark):
     limit, warc.MAX_DIRECTORY = warc.MAX_DIRECTORY, 0
     try:
         assert sorted((tuple(r)[1:] for r in warc.look_up(captures, directory, folder).collect()), key=str) == sorted(want, key=str)
+        assert "NestedLoop" not in warc.look_up(captures, directory, folder)._jdf.queryExecution().executedPlan().toString()
     finally:
         warc.MAX_DIRECTORY = limit
     empty = warc.write(pages.limit(0), folder)

@@ -137,17 +137,16 @@ def ordered(rows):
     return sorted(rows, key=lambda r: [(v is not None, v) for v in r])
 
 
-def trie_of(df):
-    return ordered(tuple(r) for r in trie.prefix_trie(df).collect())
+def trie_of(df, **options):
+    return ordered(tuple(r) for r in trie.prefix_trie(df, **options).collect())
 
 
 TURNS = "conv_id long, turn long, role string, text string, path string, part int"
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_trie_equals_brute_force_over_many_ranges(spark, seed, monkeypatch):
+def test_trie_equals_brute_force_over_many_ranges(spark, seed):
     """Ranges as small as a few paths: shared first turns, long shared chains, equal conversations and prefixes of others."""
-    monkeypatch.setattr(trie, "PIECE", 60)
     rng = random.Random(seed)
     rows = []
     for c in range(120):
@@ -161,7 +160,7 @@ def test_trie_equals_brute_force_over_many_ranges(spark, seed, monkeypatch):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
         for parts in (1, 3, 40):
             spark.conf.set("spark.sql.shuffle.partitions", parts)
-            assert trie_of(spark.createDataFrame(rows, TURNS)) == plain_trie([r[:4] for r in rows])
+            assert trie_of(spark.createDataFrame(rows, TURNS), piece=60) == plain_trie([r[:4] for r in rows])
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before[0])
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
