@@ -455,3 +455,55 @@ OLD_CONTRACT_TITLE = r"(?i)\([^)]*\bcontracts?\b[^)]*\)"
 OLD_PART_TIME, OLD_FULL_TIME = r"\bpart[\s-]?time\b", r"\bfull[\s-]?time\b"
 OLD_TEMPORARY, OLD_PERMANENT = r"\b(contractors?|temporary|temp position|fixed[\s-]?term)\b", r"\bpermanent\b"
 OLD_CONTRACT_ROLE = r"\bcontract\s+(position|role|basis|engagement|assignment)\b"
+
+#: Fixed values.  Contract work: part-time and temporary words, what excuses each near them, what states a contract outright, its roles, a title's brackets.
+CONTRACT_TITLE = r"(?i)\([^)]*\bcontracts?\b[^)]*\)"
+PART_TIME, PART_TIME_EXCUSES = r"\bpart[\s-]?time\b", r"\bfull[\s-]?time\b|\bopportunities\b"
+TEMPORARY, TEMPORARY_EXCUSES = r"\b(?:contractors?|temporary|temp position|fixed[\s-]?term)\b", r"\bpermanent\b|\b(?:eligible|will not)\b"
+CONTRACT_STATED = (
+    r"\b(?:employment|job|position)\s+type\s*:\s*[^.\n]{0,25}\b(?:contract|b2b|freelance|fixed[\s-]?term|temporary|temp)\b",
+    r"\bcontract\s+(?:length|duration|term)\s*:",
+    r"\bcontract\s*\(\s*b2b\s*\)",
+)
+CONTRACT_ROLE = r"\bcontract\s+(?:position|role|basis|engagement|assignment)\b"
+
+#: Fixed values.  Titles without a licence: those that end in such a role, and commercial words before a separator.
+UNLICENSED_ROLE = r"\b(?:representative|rep|executive|recruiter|salesperson|seller)\s*$"
+COMMERCIAL = r"\b(?:sales|account manager|account director|business development|territory|marketing|partnerships?|customer success)\b"
+
+#: Fixed values.  (pattern, level) in order of precedence, on lower-case titles.
+LEVELS = (
+    (r"\b(?:director|vp|vice president|head of|principal)\b", "Director"), (r"\bstaff\b", "Staff"), (r"\b(?:senior|sr|lead)\b", "Senior"),
+    (r"\b(?:intern|internship|co-?op)\b", "Internship"), (r"\b(?:entry|junior|jr|new grad|graduate|associate)\b", "Entry"),
+    (r"\b(?:engineer|analyst|specialist|developer|coordinator|manager)\s+[i1]\b", "Entry"),
+)
+
+#: Fixed values.  Pay ranges (the third in thousands), the words near one that confirm it, and those that doubt it.
+AMOUNT, PAY_DASH = r"([0-9]{2,3}(?:,[0-9]{3})+)", "[–—-]"
+PAY_SHAPES = (
+    rf"\$\s?{AMOUNT}\s?{PAY_DASH}\s?\$?\s?{AMOUNT}", rf"{AMOUNT}\s?{PAY_DASH}\s?{AMOUNT}\s?(?:USD|usd)\b",
+    rf"\$\s?([0-9]{{2,3}})[kK]\s?{PAY_DASH}\s?\$?\s?([0-9]{{2,3}})[kK]\b", rf"\$\s?{AMOUNT}\s+to\s+\$?\s?{AMOUNT}",
+)
+PAY_WORDS = r"(?i)\b(?:salary|compensation|pay range|base pay|annual salary|base salary|total compensation|salary range|/\s?year|per year)\b"
+MONEY_WORDS = r"(?i)\b(?:raised|funding|valuation|revenue|series [a-e]|investment|market size|arr|assets under management|aum)\b"
+
+#: Fixed values.  (years asked for, whether it is a range), the words near one that confirm it, and those that doubt it.
+YEAR_SHAPES = ((r"(?i)([0-9]{1,2})\s*-\s*([0-9]{1,2})\s*\+?\s*years?\b", True), (r"(?i)([0-9]{1,2})\+\s*years?\b", False), (r"(?i)(?:minimum|at least)\s*(?:of\s*)?([0-9]{1,2})\s*years?\b", False))
+YEAR_WORDS = r"(?i)\b(?:experience|exp\b|background|similar role|in this field|working in|industry experience|relevant experience)\b"
+AGE_WORDS = r"(?i)\b(?:founded|established|in business|company history|since [0-9]{4}|anniversary|celebrating|been around|has been|have been|for more than|for over)\b"
+
+#: Fixed values.  Signs of a resume: an address, a telephone number, a section, a range of dates.
+RESUME_SIGNS = (
+    r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}", r"(\+?[0-9]{1,3}[\s.-]?)?\(?[0-9]{3}\)?[\s.-]?[0-9]{3}[\s.-]?[0-9]{4}",
+    r"(?i)\b(?:experience|employment|work history|education|skills|projects|certifications|qualifications|professional summary|objective)\b",
+    r"(?i)\b(?:19|20)[0-9]{2}\s*[–—to-]+\s*(?:(?:19|20)[0-9]{2}|present|current)\b|\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+(?:19|20)[0-9]{2}\b",
+)
+
+#: Fixed values.  Credentials that are no skills: their words, codes, exams, and words shaped like a code.
+CREDENTIAL_WORDS = r"(?i)\b(?:certified|certification|certificate|credential|licen[sc]e|associate|practitioner|specialty)\b"
+CREDENTIAL_CODE = r"\b[A-Z]{2,4}-?[0-9]{2,3}\b"
+EXAMS = "PMP|CISSP|CISA|CISM|CCNA|CCNP|CCIE|CEH|CSM|CAPM|ITIL|PRINCE2|SAFE|OSCP|RHCE|RHCSA|MCSE|MCSA|VCP|VCAP|CKA|CKAD|CKS"
+CODE_SHAPED = r"\b(?:[A-Z]{2,3}CE|[A-Z]{4,6}|(?:AWS|AZ|GCP|MS|CCNA|CCNP|PMP|CISSP|CISA|CSM|SAA|DP|AI|DVA)[- ]?[0-9]{2,3})\b"
+
+#: Fixed values.  Words of a title that its stem leaves out.
+STEM_WORDS = r"\b(senior|sr\.?|junior|jr\.?|staff|lead|principal|associate|assistant|head of|director of|vp|vice president|manager of|i{1,3}|iv|[0-9]+)\b"

@@ -89,21 +89,16 @@ def window(x: str, at: str, length: str, before: int, after: int) -> str:
 def contract(d: Dialect, text: str, title: str) -> str:
     """Contract, temporary or part-time work."""
     t = f"lower(concat({or_empty(title)}, ' ', {or_empty(text)}))"
-    part, temp = r"\bpart[\s-]?time\b", r"\b(?:contractors?|temporary|temp position|fixed[\s-]?term)\b"
+    part, temp = rules.PART_TIME, rules.TEMPORARY
     around_part = window(t, d.at(t, part), f"length({d.group(t, part, 0)})", 25, 30)
     around_temp = window(t, d.at(t, temp), f"length({d.group(t, temp, 0)})", 60, 60)
-    stated = (
-        r"\b(?:employment|job|position)\s+type\s*:\s*[^.\n]{0,25}\b(?:contract|b2b|freelance|fixed[\s-]?term|temporary|temp)\b",
-        r"\bcontract\s+(?:length|duration|term)\s*:",
-        r"\bcontract\s*\(\s*b2b\s*\)",
-    )
     return (
-        f"case when {d.match(or_empty(title), r'(?i)\([^)]*\bcontracts?\b[^)]*\)')} then true "
-        f"when {d.match(t, part)} and not {d.match(around_part, r'\bfull[\s-]?time\b|\bopportunities\b')} then true "
-        f"when {d.any_match(t, stated)} then true "
+        f"case when {d.match(or_empty(title), rules.CONTRACT_TITLE)} then true "
+        f"when {d.match(t, part)} and not {d.match(around_part, rules.PART_TIME_EXCUSES)} then true "
+        f"when {d.any_match(t, rules.CONTRACT_STATED)} then true "
         f"when {d.any_match(t, rules.CONTRACT_EXCEPTIONS)} then false "
-        f"when {d.match(t, temp)} then not {d.match(around_temp, r'\bpermanent\b|\b(?:eligible|will not)\b')} "
-        f"else {d.match(t, r'\bcontract\s+(?:position|role|basis|engagement|assignment)\b')} end")
+        f"when {d.match(t, temp)} then not {d.match(around_temp, rules.TEMPORARY_EXCUSES)} "
+        f"else {d.match(t, rules.CONTRACT_ROLE)} end")
 
 
 def padded_title(d: Dialect, x: str) -> str:
@@ -121,21 +116,15 @@ def licence(d: Dialect, title: str) -> str:
     cut = d.at(raw, f"[{DASHES[1:]}(,|:/-]")
     head = padded_title(d, f"case when {cut} = 0 then {raw} else substring({raw}, 1, cast({cut} - 1 as int)) end")
     rest = padded_title(d, f"case when {cut} = 0 then '' else substring({raw}, cast({cut} + 1 as int)) end")
-    commercial = r"\b(?:sales|account manager|account director|business development|territory|marketing|partnerships?|customer success)\b"
     return (
-        f"case when {raw} = '' then false when {d.match(f'trim({head})', r'\b(?:representative|rep|executive|recruiter|salesperson|seller)\s*$')} then false "
-        f"when trim({rest}) <> '' and {d.match(head, commercial)} and not {d.any_match(head, rules.LICENSED)} then false "
+        f"case when {raw} = '' then false when {d.match(f'trim({head})', rules.UNLICENSED_ROLE)} then false "
+        f"when trim({rest}) <> '' and {d.match(head, rules.COMMERCIAL)} and not {d.any_match(head, rules.LICENSED)} then false "
         f"else {d.any_match(padded_title(d, title), rules.LICENSED)} end")
 
 
 def experience_level(d: Dialect, title: str) -> str:
     t = f"lower({or_empty(title)})"
-    levels = (
-        (r"\b(?:director|vp|vice president|head of|principal)\b", "Director"), (r"\bstaff\b", "Staff"), (r"\b(?:senior|sr|lead)\b", "Senior"),
-        (r"\b(?:intern|internship|co-?op)\b", "Internship"), (r"\b(?:entry|junior|jr|new grad|graduate|associate)\b", "Entry"),
-        (r"\b(?:engineer|analyst|specialist|developer|coordinator|manager)\s+[i1]\b", "Entry"),
-    )
-    return "case " + " ".join(f"when {d.match(t, p)} then '{v}'" for p, v in levels) + " else 'Mid' end"
+    return "case " + " ".join(f"when {d.match(t, p)} then '{v}'" for p, v in rules.LEVELS) + " else 'Mid' end"
 
 
 def work_type(d: Dialect, location: str, text: str) -> str:
@@ -227,20 +216,13 @@ def _number(x: str) -> str:
 
 def salary(d: Dialect, text: str, which: int) -> str:
     """The low (1) or high (2) end of the first pay range that passes its checks."""
-    x, amount = or_empty(text), r"([0-9]{2,3}(?:,[0-9]{3})+)"
-    dash = f"[{DASHES[1:]}-]"
-    shapes = (
-        rf"\$\s?{amount}\s?{dash}\s?\$?\s?{amount}", rf"{amount}\s?{dash}\s?{amount}\s?(?:USD|usd)\b",
-        rf"\$\s?([0-9]{{2,3}})[kK]\s?{dash}\s?\$?\s?([0-9]{{2,3}})[kK]\b", rf"\$\s?{amount}\s+to\s+\$?\s?{amount}",
-    )
-    pay = r"(?i)\b(?:salary|compensation|pay range|base pay|annual salary|base salary|total compensation|salary range|/\s?year|per year)\b"
-    other = r"(?i)\b(?:raised|funding|valuation|revenue|series [a-e]|investment|market size|arr|assets under management|aum)\b"
+    x = or_empty(text)
     parts = []
-    for i, shape in enumerate(shapes):
+    for i, shape in enumerate(rules.PAY_SHAPES):
         around = window(x, d.at(x, shape), f"length({d.group(x, shape, 0)})", 80, 80)
         times = 1000 if i == 2 else 1
         low, high = (f"({_number(d.group(x, shape, g))} * {times})" for g in (1, 2))
-        ok = f"{d.match(x, shape)} and not ({d.match(around, other)} and not {d.match(around, pay)}) and {low} >= 20000 and {high} <= 1000000 and {low} <= {high}"
+        ok = f"{d.match(x, shape)} and not ({d.match(around, rules.MONEY_WORDS)} and not {d.match(around, rules.PAY_WORDS)}) and {low} >= 20000 and {high} <= 1000000 and {low} <= {high}"
         parts.append(f"when {ok} then {(low, high)[which - 1]}")
     return f"case {' '.join(parts)} end"
 
@@ -248,15 +230,12 @@ def salary(d: Dialect, text: str, which: int) -> str:
 def years(d: Dialect, text: str, which: int) -> str:
     """The least (1) or most (2) years asked for; the most is null unless a range is given."""
     x = or_empty(text)
-    shapes = ((r"(?i)([0-9]{1,2})\s*-\s*([0-9]{1,2})\s*\+?\s*years?\b", True), (r"(?i)([0-9]{1,2})\+\s*years?\b", False), (r"(?i)(?:minimum|at least)\s*(?:of\s*)?([0-9]{1,2})\s*years?\b", False))
-    asked = r"(?i)\b(?:experience|exp\b|background|similar role|in this field|working in|industry experience|relevant experience)\b"
-    other = r"(?i)\b(?:founded|established|in business|company history|since [0-9]{4}|anniversary|celebrating|been around|has been|have been|for more than|for over)\b"
     parts = []
-    for shape, ranged in shapes:
+    for shape, ranged in rules.YEAR_SHAPES:
         around = window(x, d.at(x, shape), f"length({d.group(x, shape, 0)})", 60, 60)
         low = f"cast(nullif({d.group(x, shape, 1)}, '') as int)"
         high = f"cast(nullif({d.group(x, shape, 2)}, '') as int)" if ranged else low
-        ok = f"{d.match(x, shape)} and not ({d.match(around, other)} and not {d.match(around, asked)}) and {low} <= 15 and {high} <= 15"
+        ok = f"{d.match(x, shape)} and not ({d.match(around, rules.AGE_WORDS)} and not {d.match(around, rules.YEAR_WORDS)}) and {low} <= 15 and {high} <= 15"
         parts.append(f"when {ok} then {low if which == 1 else high if ranged else 'cast(null as int)'}")
     return f"case {' '.join(parts)} end"
 
@@ -302,12 +281,7 @@ def red_flags(d: Dialect, text: str) -> str:
 def resume_signs(d: Dialect, text: str) -> str:
     """How many of e-mail, phone, section word and date range a text has."""
     x = or_empty(text)
-    signs = (
-        r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}", r"(\+?[0-9]{1,3}[\s.-]?)?\(?[0-9]{3}\)?[\s.-]?[0-9]{3}[\s.-]?[0-9]{4}",
-        r"(?i)\b(?:experience|employment|work history|education|skills|projects|certifications|qualifications|professional summary|objective)\b",
-        r"(?i)\b(?:19|20)[0-9]{2}\s*[" + DASHES[1:] + r"to-]+\s*(?:(?:19|20)[0-9]{2}|present|current)\b|\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+(?:19|20)[0-9]{2}\b",
-    )
-    return "(" + " + ".join(f"case when {d.match(x, p)} then 1 else 0 end" for p in signs) + ")"
+    return "(" + " + ".join(f"case when {d.match(x, p)} then 1 else 0 end" for p in rules.RESUME_SIGNS) + ")"
 
 
 def extraction_status(d: Dialect, text: str, least: int = 200) -> str:
@@ -382,7 +356,7 @@ def short_location(d: Dialect, x: str) -> str:
 def title_stem(d: Dialect, x: str) -> str:
     out = d.sub(f"lower({or_empty(x)})", r"\(.*?\)", " ")
     out = d.sub(out, r"[#-]\s*[0-9]+.*$", " ")
-    out = d.sub(out, r"\b(senior|sr\.?|junior|jr\.?|staff|lead|principal|associate|assistant|head of|director of|vp|vice president|manager of|i{1,3}|iv|[0-9]+)\b", " ")
+    out = d.sub(out, rules.STEM_WORDS, " ")
     return f"trim({d.sub(d.sub(out, '[^a-z& ]', ' '), r'\s+', ' ')})"
 
 
@@ -410,12 +384,10 @@ def keep_skill(d: Dialect, x: str) -> str:
     s = stripped(d, x)
     bare = f"upper({d.sub(s, r'[-\s]', '')})"
     safe = ", ".join(d.text(c) for c in rules.SAFE_CODES)
-    exams = "PMP|CISSP|CISA|CISM|CCNA|CCNP|CCIE|CEH|CSM|CAPM|ITIL|PRINCE2|SAFE|OSCP|RHCE|RHCSA|MCSE|MCSA|VCP|VCAP|CKA|CKAD|CKS"
-    shaped = r"\b(?:[A-Z]{2,3}CE|[A-Z]{4,6}|(?:AWS|AZ|GCP|MS|CCNA|CCNP|PMP|CISSP|CISA|CSM|SAA|DP|AI|DVA)[- ]?[0-9]{2,3})\b"
     return (
-        f"case when {s} = '' then false when {d.match(s, r'(?i)\b(?:certified|certification|certificate|credential|licen[sc]e|associate|practitioner|specialty)\b')} then false "
-        f"when {d.match(s, r'\b[A-Z]{2,4}-?[0-9]{2,3}\b')} then false when {d.match(bare, f'^(?:{exams})$')} then false when {bare} in ({safe}) then true "
-        f"when not {d.match(s, r'\s')} and {d.match(s, shaped)} and {s} = upper({s}) then false else true end")
+        f"case when {s} = '' then false when {d.match(s, rules.CREDENTIAL_WORDS)} then false "
+        f"when {d.match(s, rules.CREDENTIAL_CODE)} then false when {d.match(bare, f'^(?:{rules.EXAMS})$')} then false when {bare} in ({safe}) then true "
+        f"when not {d.match(s, r'\s')} and {d.match(s, rules.CODE_SHAPED)} and {s} = upper({s}) then false else true end")
 
 
 def content_words(d: Dialect, x: str) -> str:

@@ -10,14 +10,16 @@ from ..functions import rules
 from . import documents, gates, staging
 from .documents import stripped
 
-#: Fixed values.  The patterns of dates, section lines, credential codes and line kinds.
+#: Fixed values.  Months and a range of dates.
 _MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
 DATE_RANGE = rf"(?i)\b(?:({_MONTHS})[a-z]*\.?\s+|(\d{{1,2}})[/-])?((?:19|20)\d{{2}})\s*[–—-]{{1,2}}\s*(?:(present|current|now)|(?:({_MONTHS})[a-z]*\.?\s+|(\d{{1,2}})[/-])?((?:19|20)\d{{2}}))"
+#: Fixed values.  Where the work history begins and ends, the summary, any title, the certificates.
 WORK_START = r"(?im)^\s*(?:PROFESSIONAL\s+|WORK\s+|RELEVANT\s+)?(?:EXPERIENCE|EMPLOYMENT(?:\s+HISTORY)?|CAREER\s+HISTORY)\s*:?\s*$"
 WORK_END = r"(?im)^\s*(?:[A-Z][A-Za-z]*\s+)?(PROJECTS|EDUCATION|CERTIFICATIONS?|SKILLS|AWARDS|PUBLICATIONS)\s*:?\s*$"
 SUMMARY_LINE = r"(?im)^[ \t]*(?:PROFESSIONAL\s+|EXECUTIVE\s+|CAREER\s+)?(?:SUMMARY|PROFILE|OBJECTIVE)[ \t]*:?[ \t]*$"
 TITLE_LINE = r"(?m)^[ \t]*[A-Z][A-Z\s&/]{2,39}:?[ \t]*$"
 CERT_LINE = r"(?im)^[ \t]*CERTIFICATIONS?[ \t]*:?[ \t]*$"
+#: Fixed values.  A credential code, two bullets in one line, a page mark, words that a draft must not have, a number.
 CERT_SHAPED = r"\b(?:[A-Z]{2,3}CE|[A-Z]{4,6}|(?:AWS|AZ|GCP|MS|CCNA|CCNP|PMP|CISSP|CISA|CSM|SAA|DP|AI|DVA)[- ]?\d{2,3})\b"
 MERGED = r"([a-z0-9][.)])\s*([•▪]\s*[A-Z])"
 PAGE_MARKER = r"(?m)^\s*--\s*\d+\s+of\s+\d+\s*--\s*$"

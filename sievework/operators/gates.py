@@ -23,8 +23,10 @@ SECTION_ALIASES = (
     (r"^(?:EDUCATION|ACADEMIC BACKGROUND|EDUCATION TRAINING)$", "EDUCATION"),
     (r"^(?:CERTIFICATIONS?|LICENSES?|CERTIFICATIONS LICENSES)$", "CERTIFICATIONS"),
 )
+#: Fixed values.  Words of a certificate, and its levels.
 CERT_WORD = r"(?i)\b(?:certified|certificate|certification|credential|aws|azure|gcp|google\s+cloud|databricks|comptia|cissp|pmp|scrum|snowflake|kubernetes|terraform|oracle|salesforce|tableau)\b"
 CERT_LEVEL = r"(?i)\b(?:associate|professional|expert|specialty|foundational|practitioner|fundamentals|advanced|architect|master)\b"
+#: Fixed values.  A role line, a line of tools, two bullets in one line.
 ROLE = r"\s\|\s[^|]*\|\s"
 ENVIRONMENT = r"(?i)^Environment\s*:"
 MERGED = r"[a-z0-9][.)]\s*[•▪]\s*[A-Z]"
