@@ -1,13 +1,15 @@
 """Queries of the ingest, each with SQL written by hand from the landed values, not from the projections."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import queries as Q
 from .functions import scalars as S
 from .functions.dialect import CHECK
-from .operators import ingest
+from .operators import ingest, staging
 from .plans import landing, postings as P
 from .sources import boards
 
@@ -33,13 +35,13 @@ case when n % 6 = 1 then 'Hybrid' when {_REMOTE} then 'Remote US' end as own_wor
 _ROW = ", ".join(c for c in boards.ROW if c not in ("own_work_type", "country", "listed", "detailed", "body"))
 
 
-def _judged(days: int = ingest.MAX_AGE_DAYS) -> str:
+def _judged(days: int = ingest.MAX_AGE_DAYS, boards_of: str = "k % 11 <> 3") -> str:
     """Gate by gate; the text is stripped where no cheap gate stopped the row."""
     kind = S.location_kind(CHECK, "place")
     return f"""(select *, case when stopped is not null then stopped when {S.disqualified(CHECK, "concat(title, ' ', text)")} then 'disqualified' when {S.contract(CHECK, 'text', 'title')} then 'contract' else 'saved' end as verdict
 from (select *, case when stopped is null then case when ats = 'ashby' then body else {S.strip_html(CHECK, 'body')} end end as text from (select *, case when not listed then 'delisted' when posted_at is null and ats <> 'greenhouse' then 'no_date'
 when posted_at < timestamp '{P.NOW}' - interval {days} day then 'old' when country <> 'us' or (place = '' and ats <> 'greenhouse') or (place <> '' and {kind} not in ('us', 'weak-us', 'ambiguous')) then 'non_us' when not detailed then 'detail_failed' end as stopped
-from (select * from {_GREENHOUSE} union all select * from {_ASHBY} union all select * from {_SMART}) where k % 11 <> 3)))"""
+from (select * from {_GREENHOUSE} union all select * from {_ASHBY} union all select * from {_SMART}) where {boards_of})))"""
 
 
 _ALL = _judged()
@@ -111,6 +113,44 @@ def ingest_rows(spark, sf):
     return ingest.saved(judged(spark, sf), P.NOW)
 
 
+# a run over what a run of five days ago left, which reached every board and kept postings of 35 days
+_BEFORE = f"(select id, ats, company, posted_at, k, timestamp '{P.NOW}' - interval 5 day as fetched_at from {_judged(35, 'true')} where verdict = 'saved')"
+_RUN = f"""with n as (select id, ats, company, posted_at, k, timestamp '{P.NOW}' as fetched_at from {_ALL} where verdict = 'saved'), m as (select * from n union all select * from {_BEFORE} where id not in (select id from n)),
+s as (select *, fetched_at < timestamp '{P.NOW}' and k % 11 <> 3 as stale from m), t as (select *, count(*) filter (stale) over (partition by ats) > 0.25 * count(*) over (partition by ats) as stopped from s),
+u as (select *, posted_at is not null and posted_at < timestamp '{P.NOW}' - interval {ingest.MAX_AGE_DAYS} day as old from t where not stale or stopped), v as (select *, count(*) filter (old) over () > 0.25 * count(*) over () as kept from u),
+w as (select * from v where not old or kept)"""
+
+
+def _whole_run(spark, sf):
+    table, log = ingest.stored(spark, f"{staging.folder(spark)}/sievework-{uuid.uuid4().hex}"), landing.fetch_log(spark, sf)
+    rows = lambda known: ingest.parsed(landing.greenhouse(spark, sf), landing.ashby(spark, sf), landing.smart(spark, sf), landing.smart_details(spark, sf), landing.names(spark, sf), known)
+    before = ingest.saved(ingest.judged(rows(log.withColumn("ok", F.lit(True))), P.NOW, 35), P.NOW)
+    table.create(before.withColumns({"fetched_at": F.expr(f"timestamp_ntz '{P.NOW}' - interval '5' day"), "closed": F.lit(False)}))
+    return table, rows(log), log
+
+
+@query("ingest_run", f"{_RUN} select id, ats, company, posted_at, fetched_at from w")
+def ingest_run(spark, sf):
+    """A run from landed rows to the stored table: gates, upsert, sweep and purge behind their guards."""
+    table, rows, log = _whole_run(spark, sf)
+    ingest.run(table, rows, log, P.NOW)
+    return table.read().select("id", "ats", "company", "posted_at", "fetched_at")
+
+
+@query("ingest_report", f"""{_RUN} select ats, verdict as measure, count(*) as n from {_ALL} group by ats, verdict union all select ats, 'stored', count(*) from w group by ats
+union all select ats, case when any_value(stopped) then 'sweep stopped' else 'swept' end, 1 from t group by ats union all select null, case when any_value(kept) then 'purge stopped' else 'purged' end, 1 from v""")
+def ingest_report(spark, sf):
+    table, rows, log = _whole_run(spark, sf)
+    return ingest.run(table, rows, log, P.NOW)
+
+
+@query("ingest_dry_run", f"select ats, verdict as measure, count(*) as n from {_ALL} group by ats, verdict")
+def ingest_dry_run(spark, sf):
+    """The counts of a run that writes nothing."""
+    table = ingest.stored(spark, f"{staging.folder(spark)}/sievework-{uuid.uuid4().hex}")
+    return ingest.run(table, parsed(spark, sf), landing.fetch_log(spark, sf), P.NOW, dry=True)
+
+
 @query("verdict_companies", f"select verdict, company, n from (select verdict, company, count(*) as n, row_number() over (partition by verdict order by count(*) desc, company) as place from {_ALL} group by verdict, company) where place <= 5")
 def verdict_companies(spark, sf):
     counts = judged(spark, sf).groupBy("verdict", "company").agg(F.count("*").alias("n"))

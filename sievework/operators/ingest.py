@@ -8,12 +8,14 @@ on text and title run after them, the extraction on what is saved.  Sources diff
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import column, scalars
 from ..functions.dialect import SPARK
 from ..sources import boards
+from . import staging
+from .store import Store
 
 MAX_AGE_DAYS = 30
 HEAD = 500
@@ -56,3 +58,38 @@ def saved(rows: DataFrame, now: str) -> DataFrame:
 
 def funnel(rows: DataFrame) -> DataFrame:
     return rows.groupBy("ats", "verdict").agg(F.count("*").alias("n"))
+
+
+#: The stored table: what a run writes, and a mark that only a live check sets.
+STORED = (
+    "id string, title string, company string, company_slug string, location string, is_remote boolean, description string, apply_url string, posted_at timestamp_ntz, sponsor_badge boolean, field string, needs_license boolean, "
+    "ats string, fetched_at timestamp_ntz, experience_level string, work_type string, state string, salary_min bigint, salary_max bigint, employment_type string, years_min int, years_max int, closed boolean")
+
+
+def stored(spark: SparkSession, path: str) -> Store:
+    return Store(spark, path, STORED, "id", "ats")
+
+
+def run(table: Store, rows: DataFrame, log: DataFrame, now: str, max_age_days: int = MAX_AGE_DAYS, dry: bool = False) -> DataFrame:
+    """A whole run over parsed rows; its report: ats, measure, n.
+
+    What passes is written over what is stored; then, source by source, stored rows of boards that answered and that this run
+    did not write go (closed, or no longer passing), and last all rows older than the limit, each behind its guard.  One cutoff
+    and one time hold for the whole run.  A dry run counts and writes nothing.
+    """
+    spark = rows.sparkSession
+    found = staging.written(judged(rows, now, max_age_days))
+    report = funnel(found).select("ats", F.col("verdict").alias("measure"), "n")
+    if dry:
+        return report
+    fresh = saved(found, now)
+    table.upsert(fresh, [c for c in fresh.columns if c not in ("id", "ats")])
+    answered = log.filter("ok").select(F.col("slug").alias("company_slug"), F.lit(True).alias("answered")).distinct()
+    begun, cutoff = F.expr(f"timestamp_ntz '{now}'"), F.expr(f"timestamp_ntz '{now}' - interval '{max_age_days}' day")
+    went = []
+    for source in sorted(r.ats for r in found.select("ats").distinct().collect()):
+        own = F.col("ats") == source
+        went.append((source, "swept" if table.delete(own & F.col("answered") & (F.col("fetched_at") < begun), own, helper=answered, on="company_slug") else "sweep stopped", 1))
+    went.append((None, "purged" if table.delete(F.col("posted_at") < cutoff, F.lit(True)) else "purge stopped", 1))
+    left = table.read().groupBy("ats").agg(F.lit("stored").alias("measure"), F.count("*").alias("n"))
+    return report.unionByName(left).unionByName(spark.createDataFrame(went, "ats string, measure string, n long"))
