@@ -155,6 +155,22 @@ def live_check(spark, sf):
     return probes.rechecked(P.postings(spark, sf), answers, boards_).select("id", "closed")
 
 
+_ONE = "case when n % 3 = 1 then case when n % 4 <> 0 then 200 end when n % 7 = 0 then 404 when n % 7 < 5 then 200 else 0 end"
+_LIVE = "case when n % 10 = 0 then '' when n % 10 = 1 then null else concat('&lt;p&gt;Live ', cast(n as varchar), ' &amp; open&lt;/p&gt;') end"
+
+
+@query("job_detail", f"""select id, coalesce(case when ats = 'greenhouse' then replace(replace(replace(nullif(live, ''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') when ats = 'ashby' and not ok then null else nullif(live, '') end, head) as description,
+coalesce(case when ats = 'ashby' then case when ok then coalesce(status, 0) <> 200 else closed end when status = 404 then true when status = 200 then false else closed end, false) as closed
+from (select id, ats, closed, substring({S.strip_html(CHECK, 'body')}, 1, 500) as head, cast(substring(slug, 3) as bigint) % 3 <> 0 as ok, {_ONE} as status, case when {_ONE} = 200 then {_LIVE} end as live from (select *, cast(substring(id, 5) as bigint) as n from {_P}))""")
+def job_detail(spark, sf):
+    """Every posting as a reader gets it: stored head or live text, and whether it is closed."""
+    rows = P.postings(spark, sf).withColumn("description", F.substring(column(S.strip_html, "body"), 1, 500)).drop("body")
+    text = _LIVE.replace("varchar", "string")
+    answers = _table(spark, sf, "orders").selectExpr("o_orderkey as n").selectExpr("concat('job_', n) as id", f"{_ONE} as status", f"{text} as live").filter("status is not null")
+    boards_ = _table(spark, sf, "customer").selectExpr("c_custkey % 97 as k").distinct().selectExpr("concat('co', k) as slug", "k % 3 <> 0 as ok")
+    return probes.job_details(rows, answers, boards_)
+
+
 _SHAPES = ("boards_api", "boards", "embed", "careers", "job_boards")
 _PROBES = f"(select slug, shape, case when (k + i) % 4 = 0 then 200 else 404 end as status from {_STATUS}, (select unnest([{', '.join(repr(s) for s in _SHAPES)}]) as shape, unnest([1, 2, 3, 4, 5]) as i) where (k * i) % 3 <> 1)"
 

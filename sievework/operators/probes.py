@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import column, scalars
+
 #: A share of recoveries (percent) that means the source was throttling.
 THROTTLED = 30
 
@@ -37,6 +39,17 @@ def rechecked(jobs: DataFrame, answers: DataFrame, boards: DataFrame) -> DataFra
     return out.withColumn("closed", F.coalesce(F.when(F.col("ats") == "ashby", board).otherwise(one), "closed")).drop("status", "board_ok")
 
 
+def job_details(jobs: DataFrame, answers: DataFrame, boards: DataFrame) -> DataFrame:
+    """id, description and closed as a reader of one posting gets them: the live text where the source gives one, else the stored
+    head; entities are decoded for the source that escapes its markup.  answers: id, status, live."""
+    told = rechecked(jobs, answers, boards).join(answers.filter("status = 200").select("id", F.nullif("live", F.lit("")).alias("live")), "id", "left")
+    live = F.when(F.col("ats") == "greenhouse", F.when(F.col("live").isNotNull(), column(scalars.decode_entities, "live"))).otherwise(F.col("live"))
+    # a board that did not answer gives no text
+    heard = F.when((F.col("ats") == "ashby") & ~F.coalesce("heard", F.lit(False)), F.lit(None)).otherwise(live)
+    told = told.join(boards.filter("ok").select("slug", F.lit(True).alias("heard")), "slug", "left")
+    return told.select("id", F.coalesce(heard, "description", F.lit("")).alias("description"), F.coalesce("closed", F.lit(False)).alias("closed"))
+
+
 def shapes(probes: DataFrame, names: list[str]) -> DataFrame:
     """slug, shape, status to one row a slug: whether each shape of its address answers, and whether any does."""
     out = probes.groupBy("slug").agg(*[F.coalesce(F.max(F.when(F.col("shape") == n, F.col("status") == 200)), F.lit(False)).alias(n) for n in names])

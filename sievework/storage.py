@@ -14,7 +14,7 @@ from .operators import drafts, marks, numbering, probes, staging, store
 from .plans import postings as P
 from .plans import resumes as R
 from .sources import boards, files, uploads
-from .streaming import asks
+from .streaming import asks, changes
 
 query = Q.query
 _P = Q._POSTINGS
@@ -132,8 +132,7 @@ def oversized_uploads(spark, sf):
 
 # streams over the events
 def _events(spark, sf):
-    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
+    return changes.events_stream(spark, f"{sf}/events.parquet*")
 
 
 _MICROS = "timestampdiff(MICROSECOND, timestamp_ntz '1970-01-01 00:00:00', ts)"
@@ -171,6 +170,26 @@ def ask_stream(spark, sf):
     return asks.run_to_end(asks.asked(_moves(_events(spark, sf)), 12 * asks.HOUR), f"{folder}-out", f"{folder}-state")
 
 
+@query("upsert_stream", "select user_id, user_id % 3 as part, arg_max(event_id, event_id) as event_id, arg_max(event_type, event_id) as event_type, arg_max(value, event_id) as value from events group by user_id")
+def upsert_stream(spark, sf):
+    """The last event of each user, kept in a stored table by a stream of batches."""
+    folder = _new(spark)
+    table = store.Store(spark, f"{folder}-table", "user_id long, part long, event_id long, event_type string, value double", "user_id", "part", 4)
+    table.truncate()
+    rows = _events(spark, sf).select("user_id", (F.col("user_id") % 3).alias("part"), "event_id", "event_type", "value")
+    changes.upsert_batches(rows, changes.latest_into(table, "user_id", ["event_id"], ["event_id", "event_type", "value"]), f"{folder}-state").awaitTermination()
+    return table.read()
+
+
+@query("ask_sessions", """with g as (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval 6 hour then 0 else 1 end as starts from events where event_type = 'click'), s as (select *, sum(starts) over (partition by user_id order by ts, event_id) as n from g)
+select user_id, min(ts) as started_at, max(ts) as left_at, count(*) as events from s group by user_id, n""")
+def ask_sessions(spark, sf):
+    """Sessions of clicks that six hours of silence end; the streaming form over a table."""
+    rows = _table(spark, sf, "events").filter("event_type = 'click'").withColumn("at", F.col("ts").cast("timestamp"))
+    out = changes.ask_sessions(rows, "user_id", "at", "6 hours")
+    return out.select("user_id", F.col("session.start").cast("timestamp_ntz").alias("started_at"), F.col("left_at").cast("timestamp_ntz").alias("left_at"), "events")
+
+
 # marks
 _SKILLS = ("SQL", "Spark SQL", "spark", "Python", "data", "data engineer", "tables", "C++")
 _ALTERNATIVES = r"(?i)data engineer|Spark SQL|Python|tables|spark|data|SQL|C\+\+"

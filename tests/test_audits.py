@@ -45,3 +45,38 @@ def test_contract_reason(spark, text, title, reason):
 ])
 def test_foreign_hint(spark, place, hint):
     assert _one(spark, (place,), audits.foreign_hint(F.col("c0"))) == (hint,)
+
+
+@pytest.mark.parametrize(("text", "rule", "context"), [
+    ("Engineer We cannot sponsor; must be a U.S. citizen with care", 5, "engineer we cannot sponsor; must be a us citizen with care"), ("x" * 100 + " no sponsorship " + "y" * 100, 32, "…" + "x" * 54 + " no sponsorship " + "y" * 54 + "…"), ("clean", None, None), ("", None, None),
+])
+def test_disqualifier_context(spark, text, rule, context):
+    hit = spark.createDataFrame([(text,)], "t string").select(F.expr(audits.disqualifier_hit("t")).alias("h")).first().h
+    assert (None if hit is None else (hit.rule, hit.context)) == (None if rule is None else (rule, context))
+
+
+def test_titles_are_classified_without_a_shuffle_of_texts(spark):
+    from sievework import queries as core
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.createDataFrame([(i, f"Data Engineer {i % 5}", "body") for i in range(50)], "id long, title string, body string")
+        for most in (10, 2):  # few titles are broadcast, many are classified in place
+            out = core.per_value(rows, "title", {"n": "length(title)"}, most)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert not [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "body" in line]
+            assert ("BroadcastHashJoin" in plan) == (most == 10) and out.filter("n = 15").count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_details_of_a_posting(spark):
+    from sievework.operators import probes
+
+    jobs = spark.createDataFrame([("g1", "greenhouse", "s", "head", True), ("g2", "greenhouse", "s", "head", None), ("g3", "greenhouse", "s", None, False), ("a1", "ashby", "up", "head", True), ("a2", "ashby", "up", "head", False), ("a3", "ashby", "down", "head", True), ("s1", "smartrecruiters", "s", "head", None)],
+                                 "id string, ats string, slug string, description string, closed boolean")
+    answers = spark.createDataFrame([("g1", 200, "&lt;b&gt;Live"), ("g2", 404, "gone"), ("g3", 0, None), ("a1", 200, "a &lt; b"), ("a3", 200, "old"), ("s1", 200, "")], "id string, status int, live string")
+    boards = spark.createDataFrame([("up", True), ("down", False)], "slug string, ok boolean")
+    got = {r.id: (r.description, r.closed) for r in probes.job_details(jobs, answers, boards).collect()}
+    assert got == {"g1": ("<b>Live", False), "g2": ("head", True), "g3": ("", False), "a1": ("a &lt; b", False), "a2": ("head", True), "a3": ("head", True), "s1": ("head", False)}

@@ -210,3 +210,22 @@ def test_rules_as_a_table(spark):
     table = spark.createDataFrame([(1, "^ab", "one"), (2, "b", "two"), (3, "zz", None)], "number int, pattern string, label string")
     got = {r.t: r.l for r in numbering.by_rules(spark.createDataFrame([("abc",), ("cb",), ("x",), ("abc",), (None,)], "t string"), "t", table, "l", "other").collect()}
     assert got == {"abc": "one", "cb": "two", "x": "other", None: "other"}
+
+
+def test_a_stream_of_upserts_can_be_replayed(spark, tmp_path):
+    from sievework.streaming import changes
+
+    schema = "user_id long, part long, event_id long, event_type string"
+    table = store.Store(spark, str(tmp_path / "t"), schema, "user_id", "part", 2)
+    table.truncate()
+    apply = changes.latest_into(table, "user_id", ["event_id"], ["event_id", "event_type"])
+    batch = spark.createDataFrame([(1, 1, 5, "a"), (1, 1, 7, None), (2, 0, 6, "c")], schema)
+    for number in (0, 0, 1):
+        apply(batch, number)
+    assert sorted(tuple(r) for r in table.read().collect()) == [(1, 1, 7, None), (2, 0, 6, "c")]
+    src = tmp_path / "in"
+    spark.createDataFrame([(2, 0, 9, "z"), (3, 0, 8, "n")], schema).write.parquet(str(src))
+    stream = spark.readStream.schema(schema).parquet(str(src))
+    for _ in range(2):
+        changes.upsert_batches(stream, apply, str(tmp_path / "c")).awaitTermination()
+    assert sorted(tuple(r) for r in table.read().collect()) == [(1, 1, 7, None), (2, 0, 9, "z"), (3, 0, 8, "n")]
