@@ -1,7 +1,7 @@
-"""Uploaded documents: the guard on name and size, and the text of Word files.
+"""Uploaded documents: the guard on name and size, and the text of Word and PDF files.
 
 Files come from the binary file source; the guard looks at path and length only, so what it refuses is never read.  A
-Word file is a zip of XML parts and is opened inside the task.
+Word file is a zip of XML parts and is opened inside the task; anything else is tried as a PDF.
 """
 from __future__ import annotations
 
@@ -16,9 +16,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import drafts
+from .pdf import pdf_text
 
 EXTENSIONS = ("pdf", "docx", "doc")
 LARGEST = 10 * 1024 * 1024
+#: Bytes that a Word file's text part may unpack to.
+LARGEST_INSIDE = 256 << 20
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _UNFIT = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ud800-\udfff￾￿]")
 
@@ -32,6 +35,8 @@ def word_text(content: bytes) -> str | None:
     """The paragraphs of a Word file with a blank line between them; None if it is none."""
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as parts, parts.open("word/document.xml") as body:
+            if parts.getinfo("word/document.xml").file_size > LARGEST_INSIDE:
+                return None
             out, own = [], []
             for event, node in ElementTree.iterparse(body, ("start", "end")):
                 if event == "start" and node.tag == f"{_W}p":
@@ -71,17 +76,24 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def extracted(files: DataFrame) -> DataFrame:
-    """path, text (tidied) and method of the uploads that are let in.  A Word file that cannot be read, and any other kind, has no text."""
+    """path, text (tidied), pages (of a PDF) and method of the uploads that are let in.  An unreadable file has no text; one
+    without text, such as a scan, has an empty one."""
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column("path").to_pylist()
-            word = [n.lower().endswith((".docx", ".doc")) for n in names]
-            found = [word_text(c.as_py()) if w else None for c, w in zip(batch.column("content"), word, strict=True)]
-            yield pa.record_batch([pa.array(names), pa.array(found, pa.string()), pa.array(["word" if w else "pdf" for w in word])], names=["path", "raw", "method"])
-
-    rows = files.filter(taken(F.col("path"), F.col("length"))).select("path", "content").mapInArrow(texts, "path string, raw string, method string")
-    return rows.select("path", F.when(F.col("raw").isNotNull(), drafts.tidied(F.col("raw"))).alias("text"), "method")
+            names, rows = batch.column("path").to_pylist(), []
+            for name, content in zip(names, batch.column("content"), strict=True):
+                if name.lower().endswith((".docx", ".doc")):
+                    rows.append((name, word_text(content.as_py()), None, "word"))
+                    continue
+                try:
+                    rows.append((name, *pdf_text(content.as_py()), "pdf"))
+                except (ValueError, TypeError, IndexError, OverflowError, RecursionError):  # whatever a broken file makes of its numbers and references
+                    rows.append((name, None, None, "pdf"))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32(), pa.string()), strict=True)] if rows else [pa.array([], t) for t in (pa.string(), pa.string(), pa.int32(), pa.string())], names=["path", "raw", "pages", "method"])
+
+    rows = files.filter(taken(F.col("path"), F.col("length"))).select("path", "content").mapInArrow(texts, "path string, raw string, pages int, method string")
+    return rows.select("path", F.when(F.col("raw").isNotNull(), drafts.tidied(F.col("raw"))).alias("text"), "pages", "method")
 
 
 def write_word_files(texts: DataFrame, folder: str) -> int:

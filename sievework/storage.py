@@ -111,12 +111,12 @@ _UNFIT = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{fffe}\x{ffff}]"
 _TIDY = r"regexp_replace(regexp_replace(regexp_replace(replace(replace(regexp_replace(RAW, '(?m)^\s*--\s*\d+\s+of\s+\d+\s*--\s*$', '', 'g'), chr(13) || chr(10), chr(10)), chr(160), ' '), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), 'ENDS', '', 'g')".replace("ENDS", S.ENDS)
 
 
-@query("upload_texts", f"select concat('doc_', cast(doc_id as varchar), '.docx') as name, {_TIDY.replace('RAW', f'''replace(regexp_replace(coalesce(text, ''), '{_UNFIT}', '', 'g'), chr(10), chr(10) || chr(10))''')} as text, 'word' as method from documents")
+@query("upload_texts", f"select concat('doc_', cast(doc_id as varchar), '.docx') as name, {_TIDY.replace('RAW', f'''replace(regexp_replace(coalesce(text, ''), '{_UNFIT}', '', 'g'), chr(10), chr(10) || chr(10))''')} as text, cast(null as int) as pages, 'word' as method from documents")
 def upload_texts(spark, sf):
     """Documents as Word files in a folder, found by the binary file source, let in by the guard and read inside the tasks."""
     folder = _new(spark)
     uploads.write_word_files(_table(spark, sf, "documents").selectExpr("concat('doc_', doc_id, '.docx') as name", "text"), folder)
-    return uploads.extracted(uploads.read(spark, folder)).select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "text", "method")
+    return uploads.extracted(uploads.read(spark, folder)).select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "text", "pages", "method")
 
 
 _UPLOAD = "concat('file_', cast(page_id as varchar), case page_id % 4 when 0 then '.PDF' when 1 then '.docx' when 2 then '.exe' else '' end)"
