@@ -15,7 +15,8 @@ from .literals import required
 SPACE_RE = "[\\s   ]+"
 DASHES = "-–—"
 #: White space of any kind at the ends of a text.
-ENDS = r"^[\s\x0b\x{a0}\x{feff}]+|[\s\x0b\x{a0}\x{feff}]+$"
+_WHITE = r"[\s\x0b\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
+ENDS = f"^{_WHITE}|{_WHITE}$"
 MARKS = "[\u0300-\u036f]+"
 
 

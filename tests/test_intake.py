@@ -43,6 +43,8 @@ def test_kinds_of_places(spark, place, kind):
 def test_white_space_at_the_ends(spark):
     blank = spark.createDataFrame([("\n\r\t\x0b ",), ("",), (None,), ("\t short \r\n",)], "t string")
     assert [r[0] for r in blank.select(column(S.extraction_status, "t")).collect()] == ["empty", "empty", "empty", "short"]
+    odd = "\u3000\u2003 \ufefftext\u00a0\u2028"
+    assert spark.createDataFrame([(odd,)], "t string").select(column(S.stripped, "t")).first()[0] == odd.strip("\u3000\u2003 \ufeff\u00a0\u2028") == "text"
     lines = spark.createDataFrame([(1, 0, "\tEXPERIENCE\r"), (1, 1, "\t- Built the loader of all tables\r"), (1, 2, " plain — dash\r")], "doc_id long, line_no int, line string")
     assert [tuple(r) for r in gates.experience_bullets(lines).collect()] == [(1, 1, "Built the loader of all tables")]
     assert [r.line for r in documents.dashed(lines).collect()] == ["plain — dash"]
