@@ -1,4 +1,6 @@
-"""Written intermediate tables: lineage ends there, and a lost executor costs no more than reading them again."""
+"""Written intermediate tables: lineage ends there, and a lost executor costs no more than reading them again.
+
+They stay until ``discard``, because frames that were made from them read them whenever they are used."""
 from __future__ import annotations
 
 import tempfile
@@ -18,7 +20,21 @@ def folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: What this driver has written and not discarded.
+_kept: list[str] = []
+
+
+def discard(spark: SparkSession) -> int:
+    """Deletes all intermediate tables that this driver has written, once their frames are no longer used; how many."""
+    n, fs = len(_kept), spark.sparkContext._jvm.org.apache.hadoop.fs
+    while _kept:
+        path = fs.Path(_kept.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def written(df: DataFrame) -> DataFrame:
     path = f"{folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    _kept.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -263,3 +263,13 @@ def test_pdf_texts(spark):
     rows = [(f"/{i}.pdf", len(x), x) for i, x in enumerate([plain, scan, *broken])]
     got = {r.path: (r.text, r.pages) for r in uploads.extracted(spark.createDataFrame(rows, "path string, length long, content binary")).collect()}
     assert len(got) == len(rows) and got["/0.pdf"][1] == 2 and got["/1.pdf"] == ("", 1) and got["/2.pdf"] == got["/3.pdf"] == got["/5.pdf"] == (None, None)
+
+
+def test_intermediate_tables_go_when_told(spark):
+    from sievework.operators import staging
+
+    staging.discard(spark)
+    kept = staging.written(spark.range(3))
+    place = Path(staging.folder(spark).removeprefix("file://"))
+    assert kept.count() == 3 and len(list(place.glob("staged-*"))) >= 1
+    assert staging.discard(spark) == 1 and not list(place.glob("staged-*")) and staging.discard(spark) == 0
