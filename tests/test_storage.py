@@ -269,7 +269,7 @@ def test_intermediate_tables_go_when_told(spark):
     from sievework.operators import staging
 
     staging.discard(spark)
-    kept = staging.written(spark.range(3))
     place = Path(staging.folder(spark).removeprefix("file://"))
-    assert kept.count() == 3 and len(list(place.glob("staged-*"))) >= 1
-    assert staging.discard(spark) == 1 and not list(place.glob("staged-*")) and staging.discard(spark) == 0
+    before = set(place.glob("staged-*"))
+    assert staging.written(spark.range(3)).count() == 3 and len(set(place.glob("staged-*")) - before) == 1
+    assert staging.discard(spark) == 1 and set(place.glob("staged-*")) == before and staging.discard(spark) == 0
