@@ -1,7 +1,7 @@
 """More named queries: tracker, probes, sources, whole drafts, audits and formats, each with SQL written by hand."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import queries as Q
@@ -9,7 +9,7 @@ from .functions import column, rules
 from .functions import scalars as S
 from .functions.dialect import CHECK
 from .operators import audits as audit_rules
-from .operators import drafts, gates, maintenance, numbering, probes, tracker
+from .operators import drafts, gates, numbering, probes, tracker
 from .plans import postings as P
 from .plans import resumes as R
 from .sources import boards

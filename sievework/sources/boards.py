@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import column, scalars
+from ..functions import scalars
 
 GREENHOUSE = "id BIGINT, title STRING, location STRUCT<name: STRING>, content STRING, absolute_url STRING, company_name STRING, first_published STRING, updated_at STRING"
 ASHBY = (
