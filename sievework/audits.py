@@ -87,7 +87,7 @@ def foreign_hints(spark, sf):
     return P.postings(spark, sf).select("id", audits.foreign_hint(F.col("location")).alias("hint"))
 
 
-@query("foreign_slips", f"select p.location, hint, count(*) as n from {_P} p join {_HINTS} h on p.location is not distinct from h.location where hint is not null and {S.location_kind(CHECK, 'p.location')} in ('us', 'weak-us', 'ambiguous') group by p.location, hint")
+@query("foreign_slips", f"select p.location, hint, n from (select location, count(*) as n from {_P} group by location) p join {_HINTS} h on p.location is not distinct from h.location where hint is not null and {S.location_kind(CHECK, 'p.location')} in ('us', 'weak-us', 'ambiguous')")
 def foreign_slips(spark, sf):
     """Places that pass as domestic but hint at another country."""
     rows = P.postings(spark, sf).groupBy("location").agg(F.count("*").alias("n")).withColumn("hint", audits.foreign_hint(F.col("location")))

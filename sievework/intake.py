@@ -30,8 +30,8 @@ _SPOT = "case when n % 4 in (0, 1) then place when place = '' then 'TX' else pla
 _REMOTE = r"((n % 5 = 0 and n % 10 <> 0) or regexp_matches(title, '(?i)\bremote\b'))"
 _SMART = f"""(select 'sr_' || {_N} as id, title, case when k % 5 = 0 then 'Known Name ' || {_K} else case k % 4 when 0 then 'base ten' when 1 then 'north wind labs' when 2 then 'Blue Sky' else 'co' end end as company, slug,
 {_SPOT} as place, {_SPOT} as shown, concat('About us.', chr(10), '<p>', body, chr(10), chr(10), 'Sponsorship&#xa0;is open.') as body, posted_at,
-case when n % 2 = 0 and n % 9 <> 4 then 'https://apply.example.org/' || {_N} else concat('https://jobs.smartrecruiters.com/', slug, '/', {_N}) end as apply_url, {_REMOTE} or contains(lower({_SPOT}), 'remote') as is_remote,
-case when n % 6 = 1 then 'Hybrid' when {_REMOTE} then 'Remote US' end as own_work_type, case n % 8 when 3 then 'ca' else 'us' end as country, true as listed, n % 9 <> 4 as detailed, ats, k from {_FLAT} where ats = 'smartrecruiters')"""
+case when n % 2 = 0 and n % 9 <> 5 then 'https://apply.example.org/' || {_N} else concat('https://jobs.smartrecruiters.com/', slug, '/', {_N}) end as apply_url, {_REMOTE} or contains(lower({_SPOT}), 'remote') as is_remote,
+case when n % 6 = 1 then 'Hybrid' when {_REMOTE} then 'Remote US' end as own_work_type, case n % 8 when 3 then 'ca' else 'us' end as country, true as listed, n % 9 <> 5 as detailed, ats, k from {_FLAT} where ats = 'smartrecruiters')"""
 _ROW = ", ".join(c for c in boards.ROW if c not in ("own_work_type", "country", "listed", "detailed", "body"))
 
 

@@ -236,7 +236,7 @@ def _pdf(objects, tail=b"trailer << /Root 1 0 R >>"):
     return b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (n, body) for n, body in objects.items()) + tail
 
 
-def _stream(content, head=b"", deflate=False):
+def _content(content, head=b"", deflate=False):
     import zlib
 
     data = zlib.compress(content) if deflate else content
@@ -248,15 +248,15 @@ def test_pdf_texts(spark):
 
     plain = _pdf({
         1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [4 0 R 3 0 R] /Count 2 >>", 3: b"<< /Type /Page /Parent 2 0 R /Contents 6 0 R >>", 4: b"<< /Type /Page /Contents [5 0 R 7 0 R] >>",
-        5: _stream(rb"BT /F1 12 Tf 72 700 Td (Jo \(Doe\) \101) Tj 0 -14 Td (caf\351) Tj T* [(Da) 20 (ta) -300 (engineer)] TJ ET", deflate=True), 6: _stream(b"BT (Page two) Tj (again) ' ET"), 7: _stream(b"BT 1 0 0 1 72 500 Tm <48692E> Tj 1 0 0 1 90 500 Tm ( there) Tj 1 0 0 1 72 480 Tm (below) Tj ET")})
+        5: _content(rb"BT /F1 12 Tf 72 700 Td (Jo \(Doe\) \101) Tj 0 -14 Td (caf\351) Tj T* [(Da) 20 (ta) -300 (engineer)] TJ ET", deflate=True), 6: _content(b"BT (Page two) Tj (again) ' ET"), 7: _content(b"BT 1 0 0 1 72 500 Tm <48692E> Tj 1 0 0 1 90 500 Tm ( there) Tj 1 0 0 1 72 480 Tm (below) Tj ET")})
     assert pdf.pdf_text(plain) == ("Jo (Doe) A\ncaf\u00e9\nData engineer\nHi. there\nbelow\n\nPage two\nagain", 2)
     cmap = b"1 beginbfchar <0001> <0041> endbfchar 2 beginbfrange <0002> <0004> <0062> <0010> <0011> [<4E2D> <6587>] endbfrange"
     inner = b"2 0 3 34 " + b"<< /Type /Pages /Kids [4 0 R] >>  ".ljust(34) + b"<< /Type /Font /Subtype /Type0 /ToUnicode 8 0 R >>"
     mapped = _pdf({
-        1: b"<< /Type /Catalog /Pages 2 0 R >>", 4: b"<< /Type /Page /Resources << /Font << /F9 3 0 R >> >> /Contents 5 0 R >>", 5: _stream(b"BT /F9 9 Tf <0001000200030004> Tj 0 -1 TD <00100011> Tj ET", deflate=True), 8: _stream(cmap, deflate=True),
-        9: _stream(inner, b"/Type /ObjStm /N 2 /First 9", deflate=True)})
+        1: b"<< /Type /Catalog /Pages 2 0 R >>", 4: b"<< /Type /Page /Resources << /Font << /F9 3 0 R >> >> /Contents 5 0 R >>", 5: _content(b"BT /F9 9 Tf <0001000200030004> Tj 0 -1 TD <00100011> Tj ET", deflate=True), 8: _content(cmap, deflate=True),
+        9: _content(inner, b"/Type /ObjStm /N 2 /First 9", deflate=True)})
     assert pdf.pdf_text(mapped) == ("Abcd\n\u4e2d\u6587", 1)
-    scan = _pdf({1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R] >>", 3: b"<< /Type /Page /Contents 4 0 R >>", 4: _stream(b"q 1 0 0 1 0 0 cm /Im1 Do Q")})
+    scan = _pdf({1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R] >>", 3: b"<< /Type /Page /Contents 4 0 R >>", 4: _content(b"q 1 0 0 1 0 0 cm /Im1 Do Q")})
     assert pdf.pdf_text(scan) == ("", 1)
     rng = random.Random(0)
     broken = [b"", b"%PDF", plain[: len(plain) // 2], scan + b"trailer << /Encrypt 9 0 R >>", b"%PDF" + bytes(rng.randrange(256) for _ in range(3000)), plain.replace(b"Tj", b"T("), plain.replace(b"4 0 R", b"2 0 R")]
