@@ -3,7 +3,8 @@
 The decoder reads prefix codes, back-references, the colour cache and entropy groups, and inverts the predictor,
 cross-colour, subtract-green and palette transforms.  The encoder writes palette images with back-references and prefix
 codes of varying length, or codes of fixed length where those take no more bits.  Two forms are read faster than the
-general one, with the same result: codes of fixed length as one array, and images of one varying channel as bytes.
+general one, with the same result: codes of fixed length as one array, and images of one varying channel by looking up
+the token at every bit of a stretch together and following the places where tokens begin.
 
 Null text is the empty text, stored as 64 zero bytes.  A payload beyond 1 MiB becomes several images, one after
 another.  Equal texts give equal media.  Only the key and the text are read from the input.
@@ -14,7 +15,8 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -68,13 +70,16 @@ class Code:
         self._used = used
         self._table: list[int] | None = None
 
-    def table(self) -> list[int]:
+    def array(self) -> np.ndarray:
         """16 * symbol + length for each value of the next bits; a lone symbol takes none."""
         if self.single is not None:
-            return [self.single << 4]
+            return np.array([self.single << 4], np.int32)
+        found = np.array([s << 4 | n for n, s in self._used], np.int32)
+        return np.repeat(found, 1 << (self.most - (found & 15)))[_mirrored(self.most)]
+
+    def table(self) -> list[int]:
         if self._table is None:
-            n, s = np.array(self._used).T
-            self._table = np.repeat(s << 4 | n, 1 << (self.most - n))[_mirrored(self.most)].tolist()
+            self._table = self.array().tolist()
         return self._table
 
     def next(self, bits: Bits) -> int:
@@ -85,10 +90,6 @@ class Code:
         return found >> 4
 
 
-def _mirror(value: int, n: int) -> int:
-    return int(f"{value:0{n}b}"[::-1], 2)
-
-
 @cache
 def _mirrored(n: int) -> np.ndarray:
     """The n-bit numbers with their bits in reverse."""
@@ -98,33 +99,53 @@ def _mirrored(n: int) -> np.ndarray:
     return out
 
 
-def _read_code(bits: Bits, size: int) -> Code:
+@cache
+def _mirrors(n: int) -> list[int]:
+    return _mirrored(n).tolist()
+
+
+@lru_cache(1024)
+def _simple_code(size: int, *symbols: int) -> Code:
     lengths = [0] * size
+    for s in symbols:
+        lengths[s] = 1
+    return Code(lengths)
+
+
+def _read_code(bits: Bits, size: int) -> Code:
     if bits.read(1):
         two = bits.read(1)
-        lengths[bits.read(8 if bits.read(1) else 1)] = 1
-        if two:
-            lengths[bits.read(8)] = 1
-        return Code(lengths)
+        first = bits.read(8 if bits.read(1) else 1)
+        return _simple_code(size, first, bits.read(8)) if two else _simple_code(size, first)
+    lengths = [0] * size
     inner = [0] * 19
     for k in range(4 + bits.read(4)):
         inner[_ORDER[k]] = bits.read(3)
     code = Code(inner)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     at, last = 0, 8
+    table, place = code.table(), bits.at
+    mask = len(table) - 1
     while at < size and left:
         left -= 1
-        s = code.next(bits)
+        held = int.from_bytes(bits.data[place >> 3 : (place >> 3) + 4], "little") >> (place & 7)
+        n = table[held & mask] & 15
+        s = table[held & mask] >> 4
+        place += n
         if s < 16:
             lengths[at] = s
             at += 1
             last = s or last
             continue
-        value, times = (last, 3 + bits.read(2)) if s == 16 else (0, 3 + bits.read(3)) if s == 17 else (0, 11 + bits.read(7))
+        held >>= n
+        value, times, n = (last, 3 + (held & 3), 2) if s == 16 else (0, 3 + (held & 7), 3) if s == 17 else (0, 11 + (held & 127), 7)
+        place += n
         if at + times > size:
             raise ValueError("code lengths beyond the alphabet")
         lengths[at : at + times] = [value] * times
         at += times
+    bits.at = place
+    bits.read(0)  # raises beyond the end
     return Code(lengths)
 
 
@@ -143,53 +164,93 @@ def _back(value: int, width: int) -> int:
     return max(1, x + y * width)
 
 
+#: Bytes of a stream whose bit positions are looked up at once.
+STRETCH = 4096
+_SHIFTS = np.arange(8, dtype=np.uint32)
+
+
+#: By prefix code, of lengths or distance values: the extra bits and the least value.
+_EXTRA = np.array([max(0, (c - 2) >> 1) for c in range(40)])
+_LEAST = np.array([c + 1 if c < 4 else ((2 + (c & 1)) << ((c - 2) >> 1)) + 1 for c in range(40)])
+_EXTRA_MASK = (1 << _EXTRA) - 1
+
+
+@lru_cache(64)
+def _nearest(width: int) -> np.ndarray:
+    """The pixels that the first 120 distance values go back."""
+    return np.array([0, *(_back(v, width) for v in range(1, 121))])
+
+
 def _one_channel(bits: Bits, total: int, width: int, green: Code, distance: Code) -> np.ndarray:
-    """The green values of an image whose other channels take no bits."""
-    near, far = green.table(), distance.table()
-    near_mask, far_mask = len(near) - 1, len(far) - 1
-    data, place = bits.data, bits.at >> 3
-    held, left = int.from_bytes(data[place : place + 24], "little") >> (bits.at & 7), 192 - (bits.at & 7)
-    place += 24
-    out = bytearray()
-    append = out.append
-    while len(out) < total:
-        if left < 64:  # a token takes 15 + 10 + 15 + 18 bits at most; zeros stand beyond the end
-            held |= int.from_bytes(data[place : place + 24], "little") << left
-            place += 24
-            left += 192
-        found = near[held & near_mask]
-        n = found & 15
-        held >>= n
-        left -= n
-        s = found >> 4
-        if s < 256:
-            append(s)
-            continue
-        length = s - 255
-        if length > 4:
-            n = (s - 258) >> 1
-            length = ((2 + (s & 1)) << n) + (held & ((1 << n) - 1)) + 1
-            held >>= n
-            left -= n
-        found = far[held & far_mask]
-        n = found & 15
-        held >>= n
-        left -= n
-        s = found >> 4
-        back = s + 1
-        if s > 3:
-            n = (s - 2) >> 1
-            back = ((2 + (s & 1)) << n) + (held & ((1 << n) - 1)) + 1
-            held >>= n
-            left -= n
-        back = back - 120 if back > 120 else _back(back, width)
-        start = len(out) - back
-        if start < 0 or len(out) + length > total:
-            raise ValueError("a back-reference beyond the image")
-        out += out[start : start + length] if back >= length else (out[start:] * (length // back + 1))[:length]
-    bits.at = 8 * place - left
+    """The green values of an image whose other channels take no bits.
+
+    The token that would begin at each bit of a stretch is looked up for all bits together; then the places where tokens
+    do begin are followed from one to the next, by fours.
+    """
+    if green.single is not None:
+        raise ValueError("a back-reference beyond the image")  # a lone literal was read before
+    near, far = green.array(), distance.array()
+    near_mask, far_mask = np.uint32(len(near) - 1), np.uint32(len(far) - 1)
+    begin, have, parts = bits.at, 0, []
+    while have < total:
+        byte = begin >> 3
+        n = min(STRETCH, len(bits.data) - 8 - byte)
+        if n <= 0:
+            raise ValueError("the bit stream is cut short")
+        end = 8 * n
+        # a token takes 58 bits at most, so it ends within the 8 bytes after its stretch; zeros stand beyond the end
+        words = np.ndarray((n + 12,), "<u4", bits.data[byte : byte + n + 16].ljust(n + 16, b"\0"), 0, (1,))
+        ahead = (words[:, None] >> _SHIFTS).reshape(-1)  # 25 bits at least
+        found = near[ahead[:end] & near_mask]
+        after = np.arange(end + 64)
+        after[:end] += found & 15
+        refs = np.flatnonzero(found >= 256 << 4)
+        code, at = (found[refs] >> 4) - 256, after[refs]
+        length = _LEAST[code] + (ahead[at] & _EXTRA_MASK[code])
+        at += _EXTRA[code]
+        code = far[ahead[at] & far_mask]
+        at += code & 15
+        code >>= 4
+        back = _LEAST[code] + (ahead[at] & _EXTRA_MASK[code])
+        after[refs] = at + _EXTRA[code]
+        two = after[after]
+        jump = memoryview(two[two])
+        steps, at = [], begin - 8 * byte
+        while at < end:
+            steps.append(at)
+            at = jump[at]
+        tokens = np.empty((len(steps), 4), np.int64)
+        tokens[:, 0] = steps
+        tokens[:, 1], tokens[:, 2] = after[tokens[:, 0]], two[tokens[:, 0]]
+        tokens[:, 3] = after[tokens[:, 2]]
+        tokens = tokens[tokens < end]
+        symbol, gain, far_back = found[tokens] >> 4, np.ones(len(tokens), np.int64), np.zeros(len(tokens), np.int64)
+        rows = np.flatnonzero(symbol >= 256)
+        places = np.searchsorted(refs, tokens[rows])
+        gain[rows], far_back[rows] = length[places], back[places]
+        reached = np.cumsum(gain) + have
+        used = int(np.searchsorted(reached, total)) + 1
+        if used <= len(tokens):
+            at = int(after[tokens[used - 1]])
+        have = int(reached[:used][-1])
+        parts.append((symbol[:used], gain[:used], far_back[:used]))
+        begin = 8 * byte + at
+    bits.at = begin
     bits.read(0)  # raises beyond the end
-    return np.frombuffer(out, np.uint8)
+    symbol, gain, back = (np.concatenate(x) for x in zip(*parts)) if len(parts) > 1 else parts[0]
+    rows = np.flatnonzero(back)
+    back[rows] = np.where(back[rows] > 120, back[rows] - 120, _nearest(width)[np.minimum(back[rows], 120)])
+    first = np.cumsum(gain) - gain
+    if have > total or (first < back).any():
+        raise ValueError("a back-reference beyond the image")
+    # every pixel takes what stands where it points, until all point at literals
+    source = np.arange(total) - np.repeat(back, gain)
+    while True:
+        nearer = source[source]
+        if np.array_equal(nearer, source):
+            break
+        source = nearer
+    return np.repeat(symbol.astype(np.uint8), gain)[source]
 
 
 def _image(bits: Bits, width: int, height: int, whole: bool) -> np.ndarray:
@@ -433,7 +494,7 @@ def _canonical(lengths: list[int]) -> dict[int, tuple[int, int]]:
     for n, s in used:
         code <<= n - last
         last = n
-        out[s] = (_mirror(code, n), n)
+        out[s] = (_mirrors(n)[code], n)
         code += 1
     return out
 
@@ -447,13 +508,9 @@ def put_code(w: Writer, lengths: list[int]) -> None:
         for s in used:
             w.put(s, 8)
         return
-    tokens, at = [], 0
-    while at < len(lengths):
-        run = 1
-        while at + run < len(lengths) and lengths[at + run] == lengths[at]:
-            run += 1
-        at, left = at + run, run
-        value = lengths[at - 1]
+    tokens = []
+    for value, run in groupby(lengths):
+        left = len(list(run))
         if value:
             tokens.append((value, 0, 0))
             left -= 1
@@ -527,24 +584,24 @@ MATCH, _LONGEST = 4, 4096
 def _matches(green: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, lengths and distances of the back-references: greedy, to the last place that began with the same pixels,
     going on while its neighbours' last places lie equally far back."""
-    wide = green.astype(np.uint32)
-    keys = wide[:-3] | wide[1:-2] << 8 | wide[2:-1] << 16 | wide[3:] << 24
-    order = np.argsort(keys, kind="stable")
-    sorted_keys = keys[order]
+    keys = np.ndarray((len(green) - MATCH + 1,), "<u4", green.astype(np.uint8).tobytes(), 0, (1,))
+    placed = keys.astype(np.uint64) << np.uint64(32) | np.arange(len(keys), dtype=np.uint64)
+    placed.sort()
+    sorted_keys = placed >> np.uint64(32)
     again = np.flatnonzero(sorted_keys[1:] == sorted_keys[:-1])
+    order = (placed & np.uint64(0xFFFFFFFF)).astype(np.int64)
     back = np.zeros(len(keys), np.int64)
     back[order[again + 1]] = order[again + 1] - order[again]
     bounds = np.append(np.flatnonzero(back[1:] != back[:-1]) + 1, len(keys))
-    here = np.arange(len(keys))
-    length = np.where(back > 0, np.minimum(np.repeat(bounds, np.diff(bounds, prepend=0)) - here + MATCH - 1, _LONGEST), 0)
-    following = (here + np.maximum(length, 1)).tolist()
-    steps, at, last = [], 0, len(keys)
+    could = np.flatnonzero(back)
+    length = np.minimum(bounds[np.searchsorted(bounds, could, "right")] - could + MATCH - 1, _LONGEST)
+    following = np.searchsorted(could, could + length).tolist()
+    steps, at, last = [], 0, len(could)
     while at < last:
         steps.append(at)
         at = following[at]
-    steps = np.array(steps)
-    starts = steps[back[steps] > 0]
-    return starts, length[starts], back[starts]
+    starts = could[steps] if steps else could
+    return starts, length[steps] if steps else length, back[starts]
 
 
 def _prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -584,13 +641,15 @@ def put_image(w: Writer, green: np.ndarray) -> None:
     symbol = symbol[tokens]
     own, own_bits, own_sizes = _coded(np.bincount(symbol, minlength=280))
     far_lengths, far_bits, far_sizes = _coded(np.bincount(far, minlength=40)) if len(far) else ([1] + [0] * 39, None, None)
-    # four fields a token: its code, and for a match the length's extra bits, the distance's code and its extra bits
-    value, size = np.zeros((len(tokens), 4), np.int64), np.zeros((len(tokens), 4), np.int64)
-    value[:, 0], size[:, 0] = own_bits[symbol], own_sizes[symbol]
+    # a token's code, and for a match the length's extra bits, the distance's code and its extra bits: 11 + 10 + 11 + 18 bits at most
+    value, size = own_bits[symbol], own_sizes[symbol]
     if len(far):
         rows = np.flatnonzero(symbol >= 256)
-        value[rows, 1:] = np.stack([extra, far_bits[far], far_extra], 1)
-        size[rows, 1:] = np.stack([n_extra, far_sizes[far], n_far], 1)
+        more = size[rows]
+        for field, n in ((extra, n_extra), (far_bits[far], far_sizes[far]), (far_extra, n_far)):
+            value[rows] |= field << more
+            more = more + n
+        size[rows] = more
     head = Writer()
     head.put(0, 2)
     put_code(head, own)
@@ -599,10 +658,17 @@ def put_image(w: Writer, green: np.ndarray) -> None:
     if head.n + int(size.sum()) >= flat:
         return put_flat_image(w, green, True)
     w.put(head.held, head.n)
-    value, size = value.reshape(-1), size.reshape(-1)
-    value, size = value[size > 0], size[size > 0]
-    began = np.cumsum(size) - size
-    w.array(((np.repeat(value, size) >> (np.arange(int(size.sum())) - np.repeat(began, size))) & 1).astype(np.uint8))
+    ends = np.cumsum(size)
+    began = ends - size
+    # a token's bits lie in three words of 32 bits at most; no two tokens share a bit, so sums put them together, exact as doubles
+    words, shift = np.zeros((int(ends[-1]) >> 5) + 4, np.int64), began & 31
+    low = (value & 0xFFFFFF) << shift
+    high = (value >> 24) << shift
+    for part, ahead in ((low & 0xFFFFFFFF, 0), (low >> 32, 1), ((high << 24) & 0xFFFFFFFF, 0)):
+        words += np.bincount((began >> 5) + ahead, part, len(words)).astype(np.int64)
+    for k in (1, 2):
+        words += np.bincount((began >> 5) + k, (high >> (32 * k - 24)) & 0xFFFFFFFF, len(words)).astype(np.int64)
+    w.array(np.unpackbits(words.astype("<u4").view(np.uint8), bitorder="little")[: ends[-1]])
 
 
 def riff(w: Writer) -> bytes:

@@ -3,6 +3,7 @@ import base64
 import hashlib
 import random
 import re
+import sys
 from collections import Counter
 
 import numpy as np
@@ -709,6 +710,38 @@ def test_webp_reads_back_references_and_prefix_codes_of_texts(docs, monkeypatch)
     assert sum(map(len, stored)) < 0.6 * sum(map(len, payloads))
 
 
+@pytest.mark.parametrize("stretch", [1, 7, 4096])
+def test_webp_tokens_across_stretches(monkeypatch, stretch):
+    """Tokens that begin in one stretch of the stream and end in the next, and copies of copies, are read like any others."""
+    monkeypatch.setattr(webp, "STRETCH", stretch)
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.integers(97, 123, n).tolist()) for n in rng.integers(2, 9, 60)]
+    for text in (b" ".join(words[i] for i in rng.integers(0, 60, 900)), b"ab" * 3000, rng.bytes(500) * 4, b"x" * 70000, bytes(range(256)) * 3):
+        payload = text + bytes(-len(text) % 64)
+        assert webp.samples_of(webp.pixel_arrays(webp.store(payload))).tobytes() == payload
+
+
+def test_webp_reads_without_a_call_for_each_token():
+    """A text is read back with far fewer calls than it has bytes: what a byte costs is not Python's."""
+    rng = np.random.default_rng(4)
+    words = [bytes(rng.integers(97, 123, n).tolist()) for n in rng.integers(2, 9, 400)]
+    payload = b" ".join(words[i] for i in rng.integers(0, 400, 4000))
+    payload += bytes(-len(payload) % 64)
+    media, calls = webp.store(payload), 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    webp.pixel_arrays(media)
+    sys.setprofile(count)
+    try:
+        webp.pixel_arrays(media)
+    finally:
+        sys.setprofile(None)
+    assert len(payload) > 20_000 and calls < len(payload) / 5
+
+
 def test_webp_cut_stream_raises():
     media = webp.store((b"a line that comes again and again, " * 30 + np.random.default_rng(1).bytes(100))[:1088])
     for n in range(30, len(media) - 2, 7):
