@@ -31,7 +31,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, that of the smallest id; rows of null id are in no group and stay."""
     its_key = fresh(docs, "key")
     kept = bottomk.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias(its_key))
-    named = docs.join(kept.distinct(), docs["doc_id"] == F.col(its_key), "left_semi")
+    # the ids are hashed, so texts are shuffled once but never sorted
+    named = docs.join(kept.distinct().hint("shuffle_hash"), docs["doc_id"] == F.col(its_key), "left_semi")
     return named.unionByName(docs.filter("doc_id is null"))
 
 

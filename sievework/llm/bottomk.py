@@ -38,6 +38,8 @@ LIST = 32
 #: Values of a crowded class whose long lists it enters.
 ENTERED = 10
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 400_000
+#: Texts that a task turns into sets at once.
+PIECE = 256
 #: The union-sketch estimate that a pair must reach to be verified.
 ESTIMATE = 0.4
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -68,50 +70,52 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique((code ^ (code >> np.uint64(32))).view(np.int64))
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of PIECE rows at most: what a task makes of a piece is small beside the batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PIECE):
+            yield batch.slice(at, PIECE)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *arrays]), pa.int64()))
+
+
 def signatures(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, print (128 bits of the whole set, null if empty) and sketch, one row per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t) for t in batch.column(1).to_pylist()]
-            prints = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            sketches = [s[:INDEX] for s in sets]
-            ends = np.cumsum([0, *map(len, sketches)]).astype(np.int32)
-            values = np.concatenate(sketches) if sketches else np.empty(0, np.int64)
-            yield pa.record_batch(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int64()))],
-                names=["key", "n_shingles", "print", "sketch"])
+        for batch in pieces(batches):
+            sizes, prints, sketches = [], [], []
+            for text in batch.column(1):
+                own = shingles(text.as_py())
+                sizes.append(len(own))
+                prints.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
+                sketches.append(own[:INDEX].copy())  # a view would hold the whole set
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), _lists(sketches)], names=["key", "n_shingles", "print", "sketch"])
 
     own = df.select(long_key(df, key).alias("key"), F.col(f"`{text}`").alias("t"))
     return own.mapInArrow(run, "key long, n_shingles long, print binary, sketch array<long>")
 
 
 def full_sets(df: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """rep, shingles (the full set as bytes) for the wanted ids (one column, rep)."""
+    """rep, shingles (the full set) for the wanted ids (one column, rep)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["rep", "shingles"])
+        for batch in pieces(batches):
+            yield pa.record_batch([batch.column(0), _lists([shingles(t.as_py()) for t in batch.column(1)])], names=["rep", "shingles"])
 
     own = df.select(long_key(df, key).alias("rep"), F.col(f"`{text}`").alias("t"))
-    return own.join(wanted, "rep", "left_semi").mapInArrow(run, "rep long, shingles binary").dropDuplicates(["rep"])
+    return own.join(wanted, "rep", "left_semi").mapInArrow(run, "rep long, shingles array<long>").dropDuplicates(["rep"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link on their full sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.record_batch([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
-
+    """The pairs (a, b) that link on their full sets; a pair at a time, so no batch of sets is held."""
     left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
-    full = left.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-    return full.mapInArrow(run, "a long, b long")
+    full = left.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return full.filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
 def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -157,7 +161,7 @@ def _crowded_links(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFra
     met = met.select("rep", "value", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
 
     def task(group: pa.Table) -> pa.Table:
-        links = forest(group.column("rep").to_numpy(), [np.frombuffer(s.as_buffer(), np.int64) for s in group.column("shingles")], percent)
+        links = forest(group.column("rep").to_numpy(), [s.values.to_numpy() for s in group.column("shingles")], percent)
         return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return met.join(sets, "rep").groupBy("value", "i", "j").applyInArrow(task, "a long, b long").distinct()

@@ -140,6 +140,14 @@ def test_near_duplicates_share_a_passage_with_many_documents(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_near_duplicates_verify_pairs_without_holding_batches(spark):
+    """Pairs are verified row by row: sets never gather in a batch beside the heap."""
+    sets = spark.createDataFrame([(1, list(range(100))), (2, list(range(14, 114))), (3, list(range(15, 115)))], "rep long, shingles array<long>")
+    linked = bottomk._verified(spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long"), sets, 75)
+    assert sorted(map(tuple, linked.collect())) == [(1, 2), (2, 3)]
+    assert "Arrow" not in linked._jdf.queryExecution().executedPlan().toString()
+
+
 def test_near_duplicates_keep_null_ids(spark):
     import corpus_pipeline
 
