@@ -5,10 +5,13 @@ equal sets form one class, and its smallest id stands for it.  Each retained val
 
 * Lists of up to LIST classes pair their members.  The union sketch of a pair is estimated on both whole sketches, the
   values of longer lists among them; pairs far below the threshold go, the others are verified on the full sets.
-* A class is *crowded* when its values in longer lists alone could reach the estimate.  Crowded classes meet within
-  each long list in blocks of bounded size: a task takes two blocks with their full sets, counts every intersection
-  exactly, and gives back the links that join its members, never all pairs.  Where one class of a pair is not crowded,
-  a pair that reaches the estimate shares more values than that class has in long lists, so one in a short list.
+* A class is *crowded* when its values in longer lists alone could reach the estimate.  Crowded classes of a long list
+  are dealt over blocks of bounded size, in each of which a few members of the list stand as pivots: a task takes a block
+  with its full sets, counts every intersection exactly, and gives back the links that join its members, never all pairs.
+  Members still outside the largest component of their list then meet all others of it, by blocks; members of one
+  component need no more links.  So only a crowd whose members do not link grows with its square.  Where one class of a
+  pair is not crowded, a pair that reaches the estimate shares more values than that class has in long lists, so one in
+  a short list.
 
 Links are those with 100 * intersection >= percent * union.  A pair just at the threshold shares none of the ten
 smallest values of its union with a probability of about 0.25^10, and its estimate falls short with one of about 1e-5;
@@ -38,6 +41,8 @@ LIST = 32
 #: Values of a crowded class whose long lists it enters.
 ENTERED = 10
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 400_000
+#: Members of a long list, about, that stand in all its blocks.
+PIVOTS = 16
 #: Texts that a task turns into sets at once.
 PIECE = 256
 #: The union-sketch estimate that a pair must reach to be verified.
@@ -118,8 +123,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect what the links among these sets connect, at most one fewer than the sets; all counts are exact."""
+def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int, groups: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect what the links among these sets connect, at most one fewer than the sets; all counts are exact.
+    With groups, only links between different groups count."""
     lengths = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), lengths)
     _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -135,6 +141,8 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[
         both += has @ has.T
     union = lengths[:, None] + lengths[None, :] - both
     linked = 100 * both >= percent * union
+    if groups is not None:
+        linked &= groups[:, None] != groups[None, :]
     free, out = np.ones(len(sets), bool), []
     for root in range(len(sets)):
         if not free[root]:
@@ -150,21 +158,52 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[
     return out
 
 
-def _crowded_links(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """crowded: rep, n, values (of long lists)."""
+def _dealt(crowded: DataFrame) -> DataFrame:
+    """rep, value, blocks, block: the long lists that crowded classes (rep, n, values) enter, each dealt over bounded blocks."""
     entered = crowded.select("rep", "n", F.explode(F.slice("values", 1, ENTERED)).alias("value"))
     sizes = entered.groupBy("value").agg(F.count("*").alias("members"), F.sum("n").alias("weight")).filter("members > 1")
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK_DOCS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
-    dealt = entered.join(sizes.select("value", blocks.alias("blocks")), "value")
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    met = dealt.withColumn("mine", mine).select("rep", "value", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"), "mine")
-    met = met.select("rep", "value", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    sizes = sizes.select("value", "members", blocks.alias("blocks"))
+    pivot = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("members")) < PIVOTS
+    return entered.join(sizes, "value").select("rep", "value", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), pivot.alias("pivot"))
+
+
+def _forests(met: DataFrame, sets: DataFrame, percent: int, by: list[str]) -> DataFrame:
+    """The links within each group of met (rep, component, the columns of by), between different components where they are not null."""
 
     def task(group: pa.Table) -> pa.Table:
-        links = forest(group.column("rep").to_numpy(), [s.values.to_numpy() for s in group.column("shingles")], percent)
+        found = group.column("component")
+        groups = None if found.null_count else found.to_numpy()
+        links = forest(group.column("rep").to_numpy(), [s.values.to_numpy() for s in group.column("shingles")], percent, groups)
         return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return met.join(sets, "rep").groupBy("value", "i", "j").applyInArrow(task, "a long, b long").distinct()
+    return met.join(sets, "rep").groupBy(*by).applyInArrow(task, "a long, b long").distinct()
+
+
+def _crowded_links(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links within every block, where the pivots of a list stand in all its blocks: a row a member, and few for the pivots."""
+    blocks = F.expr("explode(if(pivot, sequence(0, blocks - 1), array(block)))").alias("block")
+    return _forests(dealt.select("rep", "value", F.lit(None).cast("long").alias("component"), blocks), sets, percent, ["value", "block"])
+
+
+def _stray_links(dealt: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links that blocks and pivots may have missed: members of a list in different components and blocks.
+
+    The largest component of a list is its home.  Members outside it, its strays, meet the home's blocks and each other:
+    a home member has a row for each block of strays, a stray one for each block of either.  Lists of one block or of one
+    component, so far as links are known, are done.
+    """
+    where = dealt.filter("blocks > 1").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    sizes = where.groupBy("value", "component").agg(F.count("*").alias("members"))
+    lists = sizes.groupBy("value").agg(F.max_by("component", F.struct("members", "component")).alias("home"), (F.sum("members") - F.max("members")).alias("strays"), F.sum("members").alias("all"))
+    # as many blocks of strays as their share of the list
+    folds = F.greatest(F.lit(1), F.ceil(F.col("strays") * F.col("blocks") / F.col("all"))).cast("int")
+    open_lists = where.join(lists.filter("strays > 0"), "value").withColumn("folds", folds)
+    fold = F.pmod(F.xxhash64("rep", F.lit(11)), F.col("folds")).cast("int")
+    open_lists = open_lists.withColumn("fold", F.when(F.col("component") != F.col("home"), fold))
+    pairs = F.expr("""if(fold is null, transform(sequence(0, folds - 1), f -> struct(f as f, block as other)),
+        concat(transform(sequence(0, blocks - 1), o -> struct(fold as f, o as other)), transform(sequence(0, folds - 1), o -> struct(least(fold, o) as f, -1 - greatest(fold, o) as other))))""")
+    return _forests(open_lists.select("rep", "value", "component", F.inline(pairs)), sets, percent, ["value", "f", "other"])
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -205,8 +244,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
 
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(crowded.select("rep")).distinct()
     sets = materialise(full_sets(df, wanted, key, text))
-    links = _verified(pairs, sets, percent).unionByName(_crowded_links(crowded, sets, percent))
-    found = components(links)
+    dealt = materialise(_dealt(crowded))
+    found = components(_verified(pairs, sets, percent).unionByName(_crowded_links(dealt, sets, percent)))
+    if not dealt.filter("blocks > 1").isEmpty():
+        more = materialise(_stray_links(dealt, found, sets, percent))
+        if not more.isEmpty():
+            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     out = member.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("key").isNotNull(), F.coalesce("component", "rep", "key"))
     return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))

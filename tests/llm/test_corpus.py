@@ -140,6 +140,32 @@ def test_near_duplicates_share_a_passage_with_many_documents(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+@pytest.mark.parametrize("pivots", [0, 2])
+def test_near_duplicates_of_a_crowd_in_blocks(spark, monkeypatch, pivots):
+    """A crowd of near copies costs a row a member and list, not one for each pair of blocks; no link is lost, with no pivots either."""
+    monkeypatch.setattr(bottomk, "BLOCK_DOCS", 40)
+    monkeypatch.setattr(bottomk, "PIVOTS", pivots)
+    plain, counts = bottomk._forests, []
+
+    def counted(met, *rest):
+        counts.append((met.count(), met.select("rep", "value").distinct().count()))
+        return plain(met, *rest)
+
+    monkeypatch.setattr(bottomk, "_forests", counted)
+    # near copies that mostly link, and a crowd around one passage of which few link
+    rnd = random.Random(5)
+    rows = list(enumerate(near_copies(4, 400, 100, 2)))
+    rows += [(10_000 + i, t) for i, t in enumerate(near_copies(6, 160, 120, 5))]
+    shared = [f"s{rnd.randrange(10**6)}" for _ in range(60)]
+    rows += [(20_000 + i, " ".join(shared + [f"o{rnd.randrange(60)}" for _ in range(rnd.randrange(8, 40))])) for i in range(160)]
+    got = bottomk.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want, _ = brute_components(rows)
+    assert {r.doc_id: r.component_id for r in got} == want
+    met, entered = counts[0]
+    assert entered > 1000 and met <= (1.5 if pivots else 1) * entered
+    assert len(counts) == 2  # strays of the passage have met the others
+
+
 def test_near_duplicates_verify_pairs_without_holding_batches(spark):
     """Pairs are verified row by row: sets never gather in a batch beside the heap."""
     sets = spark.createDataFrame([(1, list(range(100))), (2, list(range(14, 114))), (3, list(range(15, 115)))], "rep long, shingles array<long>")
