@@ -8,10 +8,10 @@ equal sets form one class, and its smallest id stands for it.  Each retained val
 * A class is *crowded* when its values in longer lists alone could reach the estimate.  Crowded classes of a long list
   are dealt over blocks of bounded size, in each of which a few members of the list stand as pivots: a task takes a block
   with its full sets, counts every intersection exactly, and gives back the links that join its members, never all pairs.
-  Members still outside the largest component of their list then meet all others of it, by blocks; members of one
-  component need no more links.  So only a crowd whose members do not link grows with its square.  Where one class of a
-  pair is not crowded, a pair that reaches the estimate shares more values than that class has in long lists, so one in
-  a short list.
+  Members still outside the largest component of their list then meet its smallest set, and the others only where they
+  share a value outside that set which a prefix filter leaves (``_stray_links``): a crowd around one passage or one text
+  whose members do not link shares none.  Where one class of a pair is not crowded, a pair that reaches the estimate
+  shares more values than that class has in long lists, so one in a short list.
 
 Links are those with 100 * intersection >= percent * union.  A pair just at the threshold shares none of the ten
 smallest values of its union with a probability of about 0.25^10, and its estimate falls short with one of about 1e-5;
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import long_key, materialise
@@ -43,6 +43,8 @@ ENTERED = 10
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 400_000
 #: Members of a long list, about, that stand in all its blocks.
 PIVOTS = 16
+#: Members of a cluster, about, that show which values are frequent in it.
+SHOWN = 64
 #: Texts that a task turns into sets at once.
 PIECE = 256
 #: The union-sketch estimate that a pair must reach to be verified.
@@ -158,14 +160,17 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int, groups: np.nda
     return out
 
 
+def _blocks(members: Column, weight: Column) -> Column:
+    """How many blocks hold so many members of so many shingles in all."""
+    return F.greatest(F.ceil(members / BLOCK_DOCS), F.ceil(weight / BLOCK_SHINGLES)).cast("int")
+
+
 def _dealt(crowded: DataFrame) -> DataFrame:
-    """rep, value, blocks, block: the long lists that crowded classes (rep, n, values) enter, each dealt over bounded blocks."""
+    """rep, n, value, blocks, block, pivot: the long lists that crowded classes (rep, n, values) enter, each dealt over bounded blocks."""
     entered = crowded.select("rep", "n", F.explode(F.slice("values", 1, ENTERED)).alias("value"))
-    sizes = entered.groupBy("value").agg(F.count("*").alias("members"), F.sum("n").alias("weight")).filter("members > 1")
-    blocks = F.greatest(F.ceil(F.col("members") / BLOCK_DOCS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
-    sizes = sizes.select("value", "members", blocks.alias("blocks"))
+    sizes = entered.groupBy("value").agg(F.count("*").alias("members"), _blocks(F.count("*"), F.sum("n")).alias("blocks")).filter("members > 1")
     pivot = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("members")) < PIVOTS
-    return entered.join(sizes, "value").select("rep", "value", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), pivot.alias("pivot"))
+    return entered.join(sizes, "value").select("rep", "n", "value", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), pivot.alias("pivot"))
 
 
 def _forests(met: DataFrame, sets: DataFrame, percent: int, by: list[str]) -> DataFrame:
@@ -186,24 +191,70 @@ def _crowded_links(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return _forests(dealt.select("rep", "value", F.lit(None).cast("long").alias("component"), blocks), sets, percent, ["value", "block"])
 
 
+def _apart(percent: int):
+    """For a bounded part of a cluster's members and the cluster's base: the members' links with the base, and the keys of the rest."""
+
+    def task(members: pa.Table, bases: pa.Table) -> pa.Table:
+        (home,), (base,) = bases.column("cluster").to_pylist(), bases.column("base").to_pylist()
+        held, often, times = (bases.column(c)[0].values.to_numpy() for c in ("held", "often", "times"))
+        linked, rows, keys = [], [], []
+        for rep, component, s in zip(members.column("rep").to_pylist(), members.column("component").to_pylist(), members.column("shingles")):
+            own = s.values.to_numpy()
+            n, rest = len(own), own[~np.isin(own, held)]
+            both = n - len(rest)
+            if rep != base and 100 * both >= percent * (n + len(held) - both):
+                linked.append((rep, n, base))
+            # what a linked set of the cluster must share at least: it is no smaller than the base
+            need = -(-percent * (n + max(-(-percent * n // 100), len(held))) // (100 + percent))
+            at = np.searchsorted(often, rest)
+            known = np.append(often, 0)[at] == rest
+            rank = np.where(known & (at < len(often)), np.append(times, 0)[at], 0)
+            keys.append(rest[np.lexsort((rest, rank))[: n - need + 1]])
+            rows.append((rep, n, component, len(keys[-1])))
+        of = np.array(rows, np.int64)
+        of = np.concatenate([np.array(linked, np.int64).reshape(-1, 3), np.repeat(of[:, :3], of[:, 3], 0)])
+        value = pa.array(np.concatenate([np.zeros(len(linked), np.int64), *keys]), pa.int64(), mask=np.arange(len(of)) < len(linked))
+        return pa.table([pa.array(np.full(len(of), home)), *map(pa.array, of.T.copy()), value], names=["home", "rep", "n", "component", "value"])
+
+    return task
+
+
 def _stray_links(dealt: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links that blocks and pivots may have missed: members of a list in different components and blocks.
 
-    The largest component of a list is its home.  Members outside it, its strays, meet the home's blocks and each other:
-    a home member has a row for each block of strays, a stray one for each block of either.  Lists of one block or of one
-    component, so far as links are known, are done.
+    The largest component of a list is its home, and the lists of one home are a cluster.  The smallest set of a cluster
+    is its base.  If two members link, then both link with the base, or they share a value outside it: else their
+    intersection would be within the base's with either, and their union no smaller.  So each member meets the base, and
+    the others only by its keys, the values outside the base that a prefix filter leaves: all but as many as a linked pair
+    shares, less one, in one order for the cluster.  Values that a few members show to be frequent come last in it; any
+    order finds all pairs.  Lists of one block or of one component, so far as links are known, are done.
     """
     where = dealt.filter("blocks > 1").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     sizes = where.groupBy("value", "component").agg(F.count("*").alias("members"))
-    lists = sizes.groupBy("value").agg(F.max_by("component", F.struct("members", "component")).alias("home"), (F.sum("members") - F.max("members")).alias("strays"), F.sum("members").alias("all"))
-    # as many blocks of strays as their share of the list
+    lists = sizes.groupBy("value").agg(F.max_by("component", F.struct("members", "component")).alias("home"), (F.sum("members") - F.max("members")).alias("strays"))
+    members = materialise(where.join(lists.filter("strays > 0").select("value", "home"), "value").select("home", "rep", "n", "component").distinct())
+    heads = members.groupBy("home").agg(F.min(F.struct("n", "rep"))["rep"].alias("base"), F.count("*").alias("members"), _blocks(F.count("*"), F.sum("n")).alias("parts"))
+    some = members.join(heads, "home").filter(F.pmod(F.xxhash64("rep", F.lit(13)), F.col("members")) < SHOWN).select("home", "rep")
+    often = some.join(sets, "rep").select("home", F.explode("shingles").alias("value")).groupBy("home", "value").agg(F.count("*").alias("times")).filter("times > 1")
+    often = often.groupBy("home").agg(F.sort_array(F.collect_list(F.struct("value", "times"))).alias("often"))
+    bases = heads.join(sets.select(F.col("rep").alias("base"), F.col("shingles").alias("held")), "base").join(often, "home", "left")
+    bases = bases.select(F.col("home").alias("cluster"), "base", "held", F.expr("coalesce(often.value, array())").alias("often"), F.expr("coalesce(often.times, array())").alias("times"), F.expr("explode(sequence(0, parts - 1))").alias("slot"))
+    parted = members.join(heads.select("home", "parts"), "home").select(F.col("home").alias("home"), F.pmod(F.xxhash64("rep", F.lit(17)), F.col("parts")).cast("int").alias("part"), "rep", "component")
+    keyed = parted.join(sets, "rep").groupBy("home", "part").cogroup(bases.groupBy("cluster", "slot")).applyInArrow(_apart(percent), "home long, rep long, n long, component long, value long")
+    keyed = materialise(keyed)
+
+    # members that share a key: those of the home need not meet each other
+    own = keyed.filter("value is not null")
+    shared = own.groupBy("home", "value").agg(F.count("*").alias("all"), F.count_if(F.col("component") != F.col("home")).alias("strays"), (F.min("component") < F.max("component")).alias("apart"), _blocks(F.count("*"), F.sum("n")).alias("blocks"))
+    # as many blocks of strays as their share of the members
     folds = F.greatest(F.lit(1), F.ceil(F.col("strays") * F.col("blocks") / F.col("all"))).cast("int")
-    open_lists = where.join(lists.filter("strays > 0"), "value").withColumn("folds", folds)
-    fold = F.pmod(F.xxhash64("rep", F.lit(11)), F.col("folds")).cast("int")
-    open_lists = open_lists.withColumn("fold", F.when(F.col("component") != F.col("home"), fold))
-    pairs = F.expr("""if(fold is null, transform(sequence(0, folds - 1), f -> struct(f as f, block as other)),
-        concat(transform(sequence(0, blocks - 1), o -> struct(fold as f, o as other)), transform(sequence(0, folds - 1), o -> struct(least(fold, o) as f, -1 - greatest(fold, o) as other))))""")
-    return _forests(open_lists.select("rep", "value", "component", F.inline(pairs)), sets, percent, ["value", "f", "other"])
+    met = own.join(shared.filter("apart").select("home", "value", "blocks", folds.alias("folds")), ["home", "value"])
+    met = met.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    met = met.withColumn("fold", F.when(F.col("component") != F.col("home"), F.pmod(F.xxhash64("rep", F.lit(11)), F.col("folds")).cast("int")))
+    pairs = F.expr("""case when blocks = 1 then array(struct(0 as f, 0 as other)) when fold is null then transform(sequence(0, folds - 1), f -> struct(f as f, block as other))
+        else concat(transform(sequence(0, blocks - 1), o -> struct(fold as f, o as other)), transform(sequence(0, folds - 1), o -> struct(least(fold, o) as f, -1 - greatest(fold, o) as other))) end""")
+    links = _forests(met.select("home", "rep", "value", "component", F.inline(pairs)), sets, percent, ["home", "value", "f", "other"])
+    return links.unionByName(keyed.filter("value is null").select(F.col("rep").alias("a"), F.col("component").alias("b")))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
