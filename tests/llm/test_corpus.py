@@ -166,6 +166,35 @@ def test_near_duplicates_of_a_crowd_in_blocks(spark, monkeypatch, pivots):
     assert len(counts) == 2  # strays of the passage have met the others
 
 
+@pytest.mark.parametrize("shown", [0, 12])
+def test_near_duplicates_of_a_crowd_that_does_not_link(spark, monkeypatch, shown):
+    """Members around one text or one passage that do not link meet by what else they share, never all by all; the few links among them are found."""
+    monkeypatch.setattr(bottomk, "BLOCK_DOCS", 20)
+    monkeypatch.setattr(bottomk, "SHOWN", shown)
+    plain, counts = bottomk._forests, []
+
+    def counted(met, *rest):
+        counts.append((met.count(), met.select("rep").distinct().count()))
+        return plain(met, *rest)
+
+    monkeypatch.setattr(bottomk, "_forests", counted)
+    rnd = random.Random(9)
+    new = lambda n: [f"n{rnd.randrange(10**8)}" for _ in range(n)]
+    rows = list(enumerate(near_copies(12, 120, 110, 6)))
+    passage = new(70)
+    for i in range(240):
+        text = passage + new(rnd.randrange(20, 60))
+        rows.append((1000 + i, " ".join(text)))
+        if i % 12 == 0:  # a text of its own linked with this one, by more than the passage
+            rows.append((2000 + i, " ".join(text[:-2] + new(2))))
+    got = bottomk.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want, _ = brute_components(rows)
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert sum(want[2000 + i] == 1000 + i for i in range(0, 240, 12)) == 20
+    (_, members), (met, _) = counts
+    assert members > 300 and met <= 4 * members
+
+
 def test_near_duplicates_verify_pairs_without_holding_batches(spark):
     """Pairs are verified row by row: sets never gather in a batch beside the heap."""
     sets = spark.createDataFrame([(1, list(range(100))), (2, list(range(14, 114))), (3, list(range(15, 115)))], "rep long, shingles array<long>")
