@@ -185,7 +185,7 @@ def _one_channel(bits: Bits, total: int, width: int, green: Code, distance: Code
     """The green values of an image whose other channels take no bits.
 
     The token that would begin at each bit of a stretch is looked up for all bits together; then the places where tokens
-    do begin are followed from one to the next, by fours.
+    do begin are followed from one to the next, by eights.
     """
     if green.single is not None:
         raise ValueError("a back-reference beyond the image")  # a lone literal was read before
@@ -214,15 +214,17 @@ def _one_channel(bits: Bits, total: int, width: int, green: Code, distance: Code
         back = _LEAST[code] + (ahead[at] & _EXTRA_MASK[code])
         after[refs] = at + _EXTRA[code]
         two = after[after]
-        jump = memoryview(two[two])
+        four = two[two]
+        jump = memoryview(four[four])
         steps, at = [], begin - 8 * byte
         while at < end:
             steps.append(at)
             at = jump[at]
-        tokens = np.empty((len(steps), 4), np.int64)
+        tokens = np.empty((len(steps), 8), np.int64)
         tokens[:, 0] = steps
-        tokens[:, 1], tokens[:, 2] = after[tokens[:, 0]], two[tokens[:, 0]]
-        tokens[:, 3] = after[tokens[:, 2]]
+        tokens[:, 4] = four[tokens[:, 0]]
+        tokens[:, 2::4] = two[tokens[:, ::4]]
+        tokens[:, 1::2] = after[tokens[:, ::2]]
         tokens = tokens[tokens < end]
         symbol, gain, far_back = found[tokens] >> 4, np.ones(len(tokens), np.int64), np.zeros(len(tokens), np.int64)
         rows = np.flatnonzero(symbol >= 256)
@@ -592,16 +594,31 @@ def _matches(green: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = (placed & np.uint64(0xFFFFFFFF)).astype(np.int64)
     back = np.zeros(len(keys), np.int64)
     back[order[again + 1]] = order[again + 1] - order[again]
-    bounds = np.append(np.flatnonzero(back[1:] != back[:-1]) + 1, len(keys))
+    changed = back[1:] != back[:-1]
+    bounds = np.append(np.flatnonzero(changed) + 1, len(keys))
     could = np.flatnonzero(back)
-    length = np.minimum(bounds[np.searchsorted(bounds, could, "right")] - could + MATCH - 1, _LONGEST)
-    following = np.searchsorted(could, could + length).tolist()
-    steps, at, last = [], 0, len(could)
+    run = np.zeros(len(keys), np.int64)
+    np.cumsum(changed, out=run[1:])
+    length = np.minimum(bounds[run[could]] - could + MATCH - 1, _LONGEST)
+    # the first match at or after each one's end, as its number; followed by fours
+    last = len(could)
+    numbers = np.full(len(green) + 1, last)
+    numbers[0] = 0
+    np.cumsum(back > 0, out=numbers[1 : len(keys) + 1])
+    following = np.append(numbers[could + length], last)
+    two = following[following]
+    jump = memoryview(two[two])
+    fours, at = [], 0
     while at < last:
-        steps.append(at)
-        at = following[at]
-    starts = could[steps] if steps else could
-    return starts, length[steps] if steps else length, back[starts]
+        fours.append(at)
+        at = jump[at]
+    steps = np.empty((len(fours), 4), np.int64)
+    steps[:, 0] = fours
+    steps[:, 2] = two[steps[:, 0]]
+    steps[:, 1::2] = following[steps[:, ::2]]
+    steps = steps[steps < last]
+    starts = could[steps]
+    return starts, length[steps], back[starts]
 
 
 def _prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -726,6 +726,33 @@ def encode_fully(pixels, cache_bits=4, tile=2):
     return webp.riff(w)
 
 
+def test_webp_follows_matches_and_tokens_in_strides():
+    """One step in Python for four matches and for eight tokens; what is stored reads back."""
+    rnd = random.Random(21)
+    text = " ".join(rnd.choice(["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]) + str(rnd.randrange(30)) for _ in range(2000)).encode()
+    payload = text + bytes(-len(text) % 64)
+    calls = Counter()
+
+    def watch(frame, event, what):
+        if event == "c_call" and what.__name__ == "append" and frame.f_code.co_name in ("_matches", "_one_channel"):
+            calls[frame.f_code.co_name] += 1
+
+    sys.setprofile(watch)
+    try:
+        starts, lengths, back = webp._matches(np.frombuffer(payload, np.uint8))
+        matched = calls["_matches"]
+        media = webp.store(payload)
+        read = webp.samples_of(webp.pixel_arrays(media)).tobytes()
+    finally:
+        sys.setprofile(None)
+    assert read == payload
+    assert len(starts) > 500 and (starts[1:] >= (starts + lengths)[:-1]).all()
+    assert all(payload[a : a + n] == payload[a - b : a - b + n] for a, b, n in zip(starts, back, lengths))
+    assert matched <= len(starts) / 4 + 1
+    tokens = len(starts) + len(payload) - int(lengths.sum())
+    assert calls["_one_channel"] <= tokens / 8 + 10
+
+
 def test_webp_decodes_every_feature():
     rnd = np.random.default_rng(5)
     pixels = rnd.integers(0, 1 << 32, (23, 19), dtype=np.uint32)
