@@ -16,7 +16,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache, lru_cache
-from itertools import groupby
+from itertools import compress, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -38,48 +38,58 @@ class Bits:
     def __init__(self, data: bytes):
         self.data, self.at = data + bytes(8), 0
 
+        self.end = 8 * len(data)
+
     def peek(self, n: int) -> int:
         at = self.at
         return (int.from_bytes(self.data[at >> 3 : (at >> 3) + 5], "little") >> (at & 7)) & ((1 << n) - 1)
 
     def read(self, n: int) -> int:
-        value = self.peek(n)
-        self.at += n
-        if self.at > 8 * len(self.data) - 64:
+        at = self.at
+        self.at = after = at + n
+        if after > self.end:
             raise ValueError("the bit stream is cut short")
-        return value
+        return (int.from_bytes(self.data[at >> 3 : (at >> 3) + 5], "little") >> (at & 7)) & ((1 << n) - 1)
 
 
 class Code:
     """A canonical prefix code, by the lengths of its symbols."""
 
     def __init__(self, lengths: list[int]):
-        used = [(n, s) for s, n in enumerate(lengths) if n]
-        self.single = used[0][1] if len(used) == 1 else None
+        used = list(compress(range(len(lengths)), lengths))
+        self.single = used[0] if len(used) == 1 else None
         self.flat = 0
         if not used:
             raise ValueError("a prefix code without symbols")
         if self.single is not None:
             return
-        used.sort()
-        if sum(1 << (15 - n) for n, _ in used) != 1 << 15:
+        used.sort(key=lengths.__getitem__)
+        sizes = [lengths[s] for s in used]
+        self.most = sizes[-1]
+        if sum([32768 >> n for n in sizes]) != 32768:
             raise ValueError("a prefix code that is not complete")
-        self.most = used[-1][0]
-        if used[0][0] == self.most:
-            self.flat, self.symbols = self.most, np.array([s for _, s in used], np.int64)
-        self._used = used
+        if sizes[0] == self.most:
+            self.flat, self.symbols = self.most, np.array(used, np.int64)
+        self._used, self._sizes = used, sizes
         self._table: list[int] | None = None
 
     def array(self) -> np.ndarray:
         """16 * symbol + length for each value of the next bits; a lone symbol takes none."""
         if self.single is not None:
-            return np.array([self.single << 4], np.int32)
-        found = np.array([s << 4 | n for n, s in self._used], np.int32)
-        return np.repeat(found, 1 << (self.most - (found & 15)))[_mirrored(self.most)]
+            return np.array([self.single << 4], np.int64)
+        sizes = np.array(self._sizes, np.int64)
+        found = np.array(self._used, np.int64) << 4 | sizes
+        return found.repeat(1 << (self.most - sizes)).take(_mirrored(self.most))
 
     def table(self) -> list[int]:
         if self._table is None:
-            self._table = self.array().tolist()
+            if self.single is None and self.most <= 7:  # a small one is made faster without arrays
+                plain = []
+                for s, n in zip(self._used, self._sizes):
+                    plain += [s << 4 | n] * (1 << (self.most - n))
+                self._table = [plain[i] for i in _mirrors(self.most)]
+            else:
+                self._table = self.array().tolist()
         return self._table
 
     def next(self, bits: Bits) -> int:
@@ -113,36 +123,63 @@ def _simple_code(size: int, *symbols: int) -> Code:
 
 
 def _read_code(bits: Bits, size: int) -> Code:
-    if bits.read(1):
-        two = bits.read(1)
-        first = bits.read(8 if bits.read(1) else 1)
-        return _simple_code(size, first, bits.read(8)) if two else _simple_code(size, first)
+    held = bits.peek(19)
+    if held & 1:
+        if held & 4:
+            first, n = held >> 3 & 255, 11
+        else:
+            first, n = held >> 3 & 1, 4
+        if held & 2:
+            bits.read(n + 8)
+            return _simple_code(size, first, held >> n & 255)
+        bits.read(n)
+        return _simple_code(size, first)
     lengths = [0] * size
     inner = [0] * 19
-    for k in range(4 + bits.read(4)):
-        inner[_ORDER[k]] = bits.read(3)
+    n = 4 + (held >> 1 & 15)
+    place = bits.at + 5
+    held = int.from_bytes(bits.data[place >> 3 : (place >> 3) + 9], "little") >> (place & 7)
+    for s in _ORDER[:n]:
+        inner[s] = held & 7
+        held >>= 3
+    bits.at = place
+    bits.read(3 * n)
     code = Code(inner)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     at, last = 0, 8
     table, place = code.table(), bits.at
     mask = len(table) - 1
+    held = have = 0
     while at < size and left:
         left -= 1
-        held = int.from_bytes(bits.data[place >> 3 : (place >> 3) + 4], "little") >> (place & 7)
-        n = table[held & mask] & 15
-        s = table[held & mask] >> 4
-        place += n
+        if have < 14:  # a length takes 14 bits at most
+            held = int.from_bytes(bits.data[place >> 3 : (place >> 3) + 8], "little") >> (place & 7)
+            have = 64 - (place & 7)
+        s = table[held & mask]
+        n = s & 15
+        s >>= 4
+        held >>= n
         if s < 16:
+            place += n
+            have -= n
             lengths[at] = s
             at += 1
-            last = s or last
+            if s:
+                last = s
             continue
-        held >>= n
-        value, times, n = (last, 3 + (held & 3), 2) if s == 16 else (0, 3 + (held & 7), 3) if s == 17 else (0, 11 + (held & 127), 7)
-        place += n
+        if s == 16:
+            value, times, more = last, 3 + (held & 3), 2
+        elif s == 17:
+            value, times, more = 0, 3 + (held & 7), 3
+        else:
+            value, times, more = 0, 11 + (held & 127), 7
+        held >>= more
+        place += n + more
+        have -= n + more
         if at + times > size:
             raise ValueError("code lengths beyond the alphabet")
-        lengths[at : at + times] = [value] * times
+        if value:
+            lengths[at : at + times] = [value] * times
         at += times
     bits.at = place
     bits.read(0)  # raises beyond the end
@@ -164,15 +201,24 @@ def _back(value: int, width: int) -> int:
     return max(1, x + y * width)
 
 
-#: Bytes of a stream whose bit positions are looked up at once.
-STRETCH = 4096
-_SHIFTS = np.arange(8, dtype=np.uint32)
+#: Bytes of a stream whose bit positions are looked up at once: arrays of 8 bytes for each bit stay below the 128 KiB from
+#: which the C library asks the system for new pages.
+STRETCH = 1920
+
+
+@lru_cache(8)
+def _bit_places(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For all bits of n bytes: their places, and their places in their byte."""
+    places = np.arange(8 * n)
+    return places, places & 7
 
 
 #: By prefix code, of lengths or distance values: the extra bits and the least value.
 _EXTRA = np.array([max(0, (c - 2) >> 1) for c in range(40)])
 _LEAST = np.array([c + 1 if c < 4 else ((2 + (c & 1)) << ((c - 2) >> 1)) + 1 for c in range(40)])
 _EXTRA_MASK = (1 << _EXTRA) - 1
+#: By symbol of the green code: a literal takes no more bits than its code, a length its extra bits, marked by 64.
+_LITERAL_HOP = np.concatenate([np.zeros(256, np.int64), 64 + _EXTRA[:24]])
 
 
 @lru_cache(64)
@@ -190,7 +236,9 @@ def _one_channel(bits: Bits, total: int, width: int, green: Code, distance: Code
     if green.single is not None:
         raise ValueError("a back-reference beyond the image")  # a lone literal was read before
     near, far = green.array(), distance.array()
-    near_mask, far_mask = np.uint32(len(near) - 1), np.uint32(len(far) - 1)
+    near_mask, far_mask = len(near) - 1, len(far) - 1
+    # the bits from a token's beginning to the next token, or 64 more than to its distance's code, and from there to the next token
+    near_hop, far_hop = (near & 15) + _LITERAL_HOP.take(near >> 4), (far & 15) + _EXTRA.take(far >> 4)
     begin, have, parts = bits.at, 0, []
     while have < total:
         byte = begin >> 3
@@ -199,60 +247,69 @@ def _one_channel(bits: Bits, total: int, width: int, green: Code, distance: Code
             raise ValueError("the bit stream is cut short")
         end = 8 * n
         # a token takes 58 bits at most, so it ends within the 8 bytes after its stretch; zeros stand beyond the end
-        words = np.ndarray((n + 12,), "<u4", bits.data[byte : byte + n + 16].ljust(n + 16, b"\0"), 0, (1,))
-        ahead = (words[:, None] >> _SHIFTS).reshape(-1)  # 25 bits at least
-        found = near[ahead[:end] & near_mask]
-        after = np.arange(end + 64)
-        after[:end] += found & 15
-        refs = np.flatnonzero(found >= 256 << 4)
-        code, at = (found[refs] >> 4) - 256, after[refs]
-        length = _LEAST[code] + (ahead[at] & _EXTRA_MASK[code])
-        at += _EXTRA[code]
-        code = far[ahead[at] & far_mask]
-        at += code & 15
-        code >>= 4
-        back = _LEAST[code] + (ahead[at] & _EXTRA_MASK[code])
-        after[refs] = at + _EXTRA[code]
-        two = after[after]
-        four = two[two]
-        jump = memoryview(four[four])
+        words = np.ndarray((n + 8,), "<i8", bits.data[byte : byte + n + 16].ljust(n + 16, b"\0"), 0, (1,))
+        places, in_byte = _bit_places(STRETCH + 8)
+        ahead = words.repeat(8)
+        ahead >>= in_byte[: len(ahead)]  # 57 bits
+        hop = near_hop.take(ahead[:end] & near_mask)
+        refs = (hop >= 64).nonzero()[0]
+        after = places[: end + 64].copy()
+        after[:end] += hop
+        at = after.take(refs) - 64
+        after[refs] = at + far_hop.take(ahead.take(at) & far_mask)
+        two = after.take(after)
+        four = two.take(two)
+        jump = memoryview(four.take(four))
         steps, at = [], begin - 8 * byte
         while at < end:
             steps.append(at)
             at = jump[at]
         tokens = np.empty((len(steps), 8), np.int64)
         tokens[:, 0] = steps
-        tokens[:, 4] = four[tokens[:, 0]]
-        tokens[:, 2::4] = two[tokens[:, ::4]]
-        tokens[:, 1::2] = after[tokens[:, ::2]]
+        tokens[:, 4] = four.take(tokens[:, 0])
+        tokens[:, 2::4] = two.take(tokens[:, ::4])
+        tokens[:, 1::2] = after.take(tokens[:, ::2])
         tokens = tokens[tokens < end]
-        symbol, gain, far_back = found[tokens] >> 4, np.ones(len(tokens), np.int64), np.zeros(len(tokens), np.int64)
-        rows = np.flatnonzero(symbol >= 256)
-        places = np.searchsorted(refs, tokens[rows])
-        gain[rows], far_back[rows] = length[places], back[places]
-        reached = np.cumsum(gain) + have
-        used = int(np.searchsorted(reached, total)) + 1
+        found = near.take(ahead.take(tokens) & near_mask)
+        symbol, gain, back = found >> 4, np.ones(len(tokens), np.int64), np.zeros(len(tokens), np.int64)
+        rows = (symbol >= 256).nonzero()[0]
+        found = found.take(rows)
+        at, code = tokens.take(rows) + (found & 15), (found >> 4) - 256
+        gain[rows] = _LEAST.take(code) + (ahead.take(at) & _EXTRA_MASK.take(code))
+        at += _EXTRA.take(code)
+        held = ahead.take(at)
+        code = far.take(held & far_mask)
+        held >>= code & 15
+        code >>= 4
+        back[rows] = _LEAST.take(code) + (held & _EXTRA_MASK.take(code))
+        reached = gain.cumsum() + have
+        used = int(reached.searchsorted(total)) + 1
         if used <= len(tokens):
             at = int(after[tokens[used - 1]])
-        have = int(reached[:used][-1])
-        parts.append((symbol[:used], gain[:used], far_back[:used]))
+            have = int(reached[used - 1])
+            parts.append((symbol[:used], gain[:used], back[:used]))
+        else:
+            at = int(after[tokens[-1]])
+            have = int(reached[-1])
+            parts.append((symbol, gain, back))
         begin = 8 * byte + at
     bits.at = begin
     bits.read(0)  # raises beyond the end
     symbol, gain, back = (np.concatenate(x) for x in zip(*parts)) if len(parts) > 1 else parts[0]
-    rows = np.flatnonzero(back)
-    back[rows] = np.where(back[rows] > 120, back[rows] - 120, _nearest(width)[np.minimum(back[rows], 120)])
-    first = np.cumsum(gain) - gain
+    rows = back.nonzero()[0]
+    value = back.take(rows)
+    back[rows] = np.where(value > 120, value - 120, _nearest(width).take(np.minimum(value, 120)))
+    first = gain.cumsum() - gain
     if have > total or (first < back).any():
         raise ValueError("a back-reference beyond the image")
     # every pixel takes what stands where it points, until all point at literals
-    source = np.arange(total) - np.repeat(back, gain)
+    source = np.arange(total) - back.repeat(gain)
     while True:
-        nearer = source[source]
-        if np.array_equal(nearer, source):
+        nearer = source.take(source)
+        source = nearer.take(nearer)
+        if (nearer == source).all():
             break
-        source = nearer
-    return np.repeat(symbol.astype(np.uint8), gain)[source]
+    return symbol.astype(np.uint8).repeat(gain).take(source)
 
 
 def _image(bits: Bits, width: int, height: int, whole: bool) -> np.ndarray:
@@ -389,13 +446,13 @@ def _bundle(colours: int) -> int:
 
 def _coloured(argb: np.ndarray, width: int, height: int, palette: np.ndarray) -> np.ndarray:
     share = _bundle(len(palette))
-    index = ((argb >> 8) & 255).astype(np.uint8).reshape(height, -(-width >> share))
+    index = (argb >> 8).astype(np.uint8).reshape(height, -(-width >> share))
     if share:
         each = 8 >> share
         index = ((index[:, :, None] >> (np.arange(1 << share) * each).astype(np.uint8)) & ((1 << each) - 1)).reshape(height, -1)[:, :width]
     full = np.zeros(256, np.uint32)
     full[: len(palette)] = palette
-    return full[index].reshape(-1)
+    return full.take(index).reshape(-1)
 
 
 def decode(data: bytes) -> tuple[np.ndarray, int]:
@@ -422,7 +479,8 @@ def decode(data: bytes) -> tuple[np.ndarray, int]:
             undo.append((_green, (1,)))
         else:
             colours = bits.read(8) + 1
-            palette = _values(np.cumsum(_channels(_image(bits, colours, 1, False)), 0) & 255)
+            steps = _image(bits, colours, 1, False).astype("<u4").view(np.uint8).reshape(-1, 4)
+            palette = steps.cumsum(0, np.uint8).view("<u4").reshape(-1)
             undo.append((_coloured, (inner_width, height, palette)))
             inner_width = -(-inner_width >> _bundle(colours))
     pixels = _image(bits, inner_width, height, True)
@@ -432,77 +490,85 @@ def decode(data: bytes) -> tuple[np.ndarray, int]:
 
 
 class Writer:
-    """Writes little-endian bit fields: the small ones into one integer, long runs as arrays of bits."""
+    """Writes little-endian bit fields, all into one integer."""
 
     def __init__(self):
-        self.parts: list[np.ndarray] = []
         self.held, self.n = 0, 0
 
     def put(self, value: int, n: int) -> None:
         self.held |= value << self.n
         self.n += n
 
-    def _flush(self) -> None:
-        if self.n:
-            raw = np.frombuffer(self.held.to_bytes(-(-self.n // 8), "little"), np.uint8)
-            self.parts.append(np.unpackbits(raw, bitorder="little")[: self.n])
-            self.held, self.n = 0, 0
-
     def array(self, bits: np.ndarray) -> None:
-        self._flush()
-        self.parts.append(bits)
+        self.put(int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little"), len(bits))
 
     def bytes(self) -> bytes:
-        self._flush()
-        return np.packbits(np.concatenate(self.parts), bitorder="little").tobytes()
+        return self.held.to_bytes(-(-self.n // 8), "little")
 
 
 def code_lengths(counts: list[int], most: int = 15) -> list[int]:
     """Lengths of an optimal prefix code; rare symbols count as more until no length is beyond ``most``."""
     floor = 1
+    used = list(compress(range(len(counts)), counts))
+    n = len(used)
+    beyond = (sum(counts) + 1) << 15
     while True:
-        leaves = sorted((max(c, floor), s) for s, c in enumerate(counts) if c)
-        n = len(leaves)
-        # nodes by weight: the leaves, then the joined ones in the order they were made
-        weight, parent = [c for c, _ in leaves], [0] * (2 * n - 1)
-        leaf, joined = 0, n
-        for made in range(n, 2 * n - 1):
-            total = 0
-            for _ in range(2):
-                if leaf < n and (joined == made or weight[leaf] <= weight[joined]):
-                    least, leaf = leaf, leaf + 1
-                else:
-                    least, joined = joined, joined + 1
-                parent[least] = made
-                total += weight[least]
-            weight.append(total)
+        heavy = counts if floor == 1 else [max(c, floor) for c in counts]
+        order = sorted(used, key=heavy.__getitem__)
+        # nodes by weight: the leaves, then the joined ones in the order they were made; one that is not there weighs most
+        weight, sums = [heavy[s] for s in order], [beyond] * n
+        weight.append(beyond)
+        parent = [0] * (2 * n - 1)
+        leaf = joined = 0
+        for made in range(n - 1):
+            node = n + made
+            if weight[leaf] <= sums[joined]:
+                total = weight[leaf]
+                parent[leaf] = node
+                leaf += 1
+            else:
+                total = sums[joined]
+                parent[n + joined] = node
+                joined += 1
+            if weight[leaf] <= sums[joined]:
+                total += weight[leaf]
+                parent[leaf] = node
+                leaf += 1
+            else:
+                total += sums[joined]
+                parent[n + joined] = node
+                joined += 1
+            sums[made] = total
         depth = [0] * (2 * n - 1)
         for node in range(2 * n - 3, -1, -1):
             depth[node] = depth[parent[node]] + 1
-        lengths = [0] * len(counts)
-        for (_, s), d in zip(leaves, depth):
-            lengths[s] = d or 1
-        if max(lengths) <= most:
+        if max(depth, default=0) <= most:
+            lengths = [0] * len(counts)
+            for s, d in zip(order, depth):
+                lengths[s] = d or 1
             return lengths
         floor = 2 * floor + 1
 
 
 def _canonical(lengths: list[int]) -> dict[int, tuple[int, int]]:
     """symbol: (mirrored code, length); a lone symbol takes no bits."""
-    used = sorted((n, s) for s, n in enumerate(lengths) if n)
+    used = list(compress(range(len(lengths)), lengths))
     if len(used) == 1:
-        return {used[0][1]: (0, 0)}
-    out, code, last = {}, 0, used[0][0]
-    for n, s in used:
-        code <<= n - last
-        last = n
-        out[s] = (_mirrors(n)[code], n)
+        return {used[0]: (0, 0)}
+    used.sort(key=lengths.__getitem__)
+    out, code, last = {}, 0, 0
+    for s in used:
+        n = lengths[s]
+        if n != last:
+            code <<= n - last
+            last, mirrored = n, _mirrors(n)
+        out[s] = (mirrored[code], n)
         code += 1
     return out
 
 
 def put_code(w: Writer, lengths: list[int]) -> None:
-    used = [s for s, n in enumerate(lengths) if n]
+    used = list(compress(range(len(lengths)), lengths))
     if len(used) <= 2 and max(used) < 256:
         w.put(1, 1)
         w.put(len(used) - 1, 1)
@@ -531,16 +597,18 @@ def put_code(w: Writer, lengths: list[int]) -> None:
     for t, _, _ in tokens:
         counts[t] += 1
     inner = code_lengths(counts, 7)
-    w.put(0, 1)
     n = max(i + 1 for i, s in enumerate(_ORDER) if inner[s] or i < 4)
-    w.put(n - 4, 4)
+    held, at = n - 4 << 1, 5
     for s in _ORDER[:n]:
-        w.put(inner[s], 3)
-    w.put(0, 1)
+        held |= inner[s] << at
+        at += 3
+    at += 1
     codes = _canonical(inner)
     for t, extra, k in tokens:
-        w.put(*codes[t])
-        w.put(extra, k)
+        code, size = codes[t]
+        held |= (extra << size | code) << at
+        at += size + k
+    w.put(held, at)
 
 
 @cache
@@ -586,43 +654,65 @@ MATCH, _LONGEST = 4, 4096
 def _matches(green: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, lengths and distances of the back-references: greedy, to the last place that began with the same pixels,
     going on while its neighbours' last places lie equally far back."""
-    keys = np.ndarray((len(green) - MATCH + 1,), "<u4", green.astype(np.uint8).tobytes(), 0, (1,))
-    placed = keys.astype(np.uint64) << np.uint64(32) | np.arange(len(keys), dtype=np.uint64)
+    n = len(green) - MATCH + 1
+    placed = np.ndarray((n,), "<u4", green.astype(np.uint8).tobytes(), 0, (1,)).astype(np.uint64)
+    placed <<= np.uint64(32)
+    placed |= np.arange(n, dtype=np.uint64)
     placed.sort()
-    sorted_keys = placed >> np.uint64(32)
-    again = np.flatnonzero(sorted_keys[1:] == sorted_keys[:-1])
-    order = (placed & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    back = np.zeros(len(keys), np.int64)
-    back[order[again + 1]] = order[again + 1] - order[again]
+    again = ((placed[1:] ^ placed[:-1]) <= 0xFFFFFFFF).nonzero()[0]
+    order = (placed & np.uint64(0xFFFFFFFF)).view(np.int64)
+    later = order[1:].take(again)
+    back = np.zeros(n, np.int64)
+    back[later] = later - order.take(again)
+    # runs of neighbours whose last places lie equally far back, or that have none; the first has none
     changed = back[1:] != back[:-1]
-    bounds = np.append(np.flatnonzero(changed) + 1, len(keys))
-    could = np.flatnonzero(back)
-    run = np.zeros(len(keys), np.int64)
-    np.cumsum(changed, out=run[1:])
-    length = np.minimum(bounds[run[could]] - could + MATCH - 1, _LONGEST)
-    # the first match at or after each one's end, as its number; followed by fours
-    last = len(could)
-    numbers = np.full(len(green) + 1, last)
-    numbers[0] = 0
-    np.cumsum(back > 0, out=numbers[1 : len(keys) + 1])
-    following = np.append(numbers[could + length], last)
-    two = following[following]
-    jump = memoryview(two[two])
-    fours, at = [], 0
+    ends = _with(changed.nonzero()[0] + 1, n)
+    if n > (most := _LONGEST - MATCH + 1):  # a run may be too long for one match
+        sizes = np.diff(ends, prepend=0)
+        within = np.arange(n) - (ends - sizes).repeat(sizes)
+        changed |= ((within % most == 0) & (back > 0))[1:]
+        ends = _with(changed.nonzero()[0] + 1, n)
+    far, last = _with(back.take(ends - 1), 1), len(ends)
+    run = np.zeros(n + MATCH, np.int64)
+    np.cumsum(changed, out=run[1:n])
+    run[n:] = last
+    # the first match at or after each run's end, and its run; followed by fours
+    stop = ends + (MATCH - 1)
+    following = run.take(stop)
+    without = far.take(following) == 0
+    following += without
+    place = np.where(without, ends.take(following - 1), stop)
+    following = _with(following, last)
+    two = following.take(following)
+    jump = memoryview(two.take(two))
+    fours, at = [], 1
     while at < last:
         fours.append(at)
         at = jump[at]
     steps = np.empty((len(fours), 4), np.int64)
     steps[:, 0] = fours
-    steps[:, 2] = two[steps[:, 0]]
-    steps[:, 1::2] = following[steps[:, ::2]]
+    steps[:, 2] = two.take(steps[:, 0])
+    steps[:, 1::2] = following.take(steps[:, ::2])
     steps = steps[steps < last]
-    starts = could[steps]
-    return starts, length[steps], back[starts]
+    starts = np.empty(len(steps), np.int64)
+    starts[:1] = ends[0]
+    starts[1:] = place.take(steps[:-1])
+    return starts, stop.take(steps) - starts, far.take(steps)
 
 
-def _prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Prefix codes, extra bits and their number, of lengths or distance values."""
+def _with(values: np.ndarray, last: int) -> np.ndarray:
+    """The values and one more."""
+    out = np.empty(len(values) + 1, np.int64)
+    out[:-1] = values
+    out[-1] = last
+    return out
+
+
+#: Values whose prefix codes are looked up.
+_LOOKED_UP = 1 << 14
+
+
+def _prefix_of(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     v = value - 1
     high = np.frexp(v.astype(np.float64))[1].astype(np.int64) - 1
     extra = np.maximum(high - 1, 0)
@@ -630,13 +720,27 @@ def _prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code, v & ((1 << extra) - 1), extra
 
 
-def _coded(counts: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Lengths of a prefix code, and by symbol its bits and the bits' number."""
+@cache
+def _prefixes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    code, held, extra = _prefix_of(np.arange(1, _LOOKED_UP + 1))
+    return tuple(np.concatenate([[0], x]) for x in (code, held, extra))
+
+
+def _prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix codes, extra bits and their number, of lengths or distance values."""
+    if not len(value) or value.max() > _LOOKED_UP:
+        return _prefix_of(value)
+    code, held, extra = _prefixes()
+    return code.take(value), held.take(value), extra.take(value)
+
+
+def _coded(counts: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """Lengths of a prefix code, and by symbol 16 * bits + their number."""
     lengths = code_lengths(counts.tolist(), 11)
-    bits, sizes = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+    both = [0] * len(lengths)
     for s, (code, n) in _canonical(lengths).items():
-        bits[s], sizes[s] = code, n
-    return lengths, bits, sizes
+        both[s] = code << 4 | n
+    return lengths, np.array(both, np.int64)
 
 
 def put_image(w: Writer, green: np.ndarray) -> None:
@@ -652,40 +756,44 @@ def put_image(w: Writer, green: np.ndarray) -> None:
     inside = np.zeros(len(green) + 1, np.int64)
     inside[starts + 1] += 1  # matches share no pixel, but one may begin where another ends
     inside[starts + lengths] -= 1
-    kept = np.cumsum(inside[:-1]) == 0
+    kept = inside[:-1].cumsum() == 0
     kept[starts] = True
-    tokens = np.flatnonzero(kept)
-    symbol = symbol[tokens]
-    own, own_bits, own_sizes = _coded(np.bincount(symbol, minlength=280))
-    far_lengths, far_bits, far_sizes = _coded(np.bincount(far, minlength=40)) if len(far) else ([1] + [0] * 39, None, None)
+    symbol = symbol[kept]
+    own, own_bits = _coded(np.bincount(symbol, minlength=280))
+    far_lengths, far_bits = _coded(np.bincount(far, minlength=40)) if len(far) else ([1] + [0] * 39, None)
     # a token's code, and for a match the length's extra bits, the distance's code and its extra bits: 11 + 10 + 11 + 18 bits at most
-    value, size = own_bits[symbol], own_sizes[symbol]
+    value = own_bits.take(symbol)
+    size = value & 15
+    value >>= 4
     if len(far):
-        rows = np.flatnonzero(symbol >= 256)
-        more = size[rows]
-        for field, n in ((extra, n_extra), (far_bits[far], far_sizes[far]), (far_extra, n_far)):
-            value[rows] |= field << more
-            more = more + n
-        size[rows] = more
+        rows = (symbol >= 256).nonzero()[0]
+        far_code = far_bits.take(far)
+        held, more = value.take(rows), size.take(rows)
+        held |= extra << more
+        more += n_extra
+        held |= far_code >> 4 << more
+        more += far_code & 15
+        held |= far_extra << more
+        more += n_far
+        value[rows], size[rows] = held, more
     head = Writer()
     head.put(0, 2)
     put_code(head, own)
     head.put(*_lone_codes(0, 0, 255))
     put_code(head, far_lengths)
-    if head.n + int(size.sum()) >= flat:
+    ends = size.cumsum()
+    if head.n + int(ends[-1]) >= flat:
         return put_flat_image(w, green, True)
     w.put(head.held, head.n)
-    ends = np.cumsum(size)
+    # no two tokens share a bit, so sums put the tokens that begin in a word of 64 bits together; the last may reach into the next
     began = ends - size
-    # a token's bits lie in three words of 32 bits at most; no two tokens share a bit, so sums put them together, exact as doubles
-    words, shift = np.zeros((int(ends[-1]) >> 5) + 4, np.int64), began & 31
-    low = (value & 0xFFFFFF) << shift
-    high = (value >> 24) << shift
-    for part, ahead in ((low & 0xFFFFFFFF, 0), (low >> 32, 1), ((high << 24) & 0xFFFFFFFF, 0)):
-        words += np.bincount((began >> 5) + ahead, part, len(words)).astype(np.int64)
-    for k in (1, 2):
-        words += np.bincount((began >> 5) + k, (high >> (32 * k - 24)) & 0xFFFFFFFF, len(words)).astype(np.int64)
-    w.array(np.unpackbits(words.astype("<u4").view(np.uint8), bitorder="little")[: ends[-1]])
+    word, shift = began >> 6, began & 63
+    lasts = _with((word[1:] != word[:-1]).nonzero()[0], len(word) - 1)
+    words = np.zeros(int(ends[-1] >> 6) + 2, np.int64)
+    word = word.take(lasts)
+    words[word] = np.add.reduceat(value << shift, np.concatenate([[0], lasts[:-1] + 1]))
+    words[word + 1] |= value.take(lasts) >> 1 >> (63 - shift.take(lasts))
+    w.put(int.from_bytes(words.astype("<i8").tobytes(), "little"), int(ends[-1]))
 
 
 def riff(w: Writer) -> bytes:
@@ -709,17 +817,19 @@ def encode_samples(samples: np.ndarray) -> bytes:
     w.put(1, 1)
     w.put(3, 2)
     w.put(len(present) - 1, 8)
-    put_flat_image(w, np.diff(present, prepend=0), False, alpha=0)
+    steps = present.copy()
+    steps[1:] -= present[:-1]
+    put_flat_image(w, steps, False, alpha=0)
     w.put(0, 1)
     place = np.zeros(256, np.uint8)
     place[present] = np.arange(len(present))
-    index, share = place[samples], _bundle(len(present))
+    index, share = np.frombuffer(samples.tobytes().translate(place.tobytes()), np.uint8).reshape(height, width), _bundle(len(present))
     if share:
         each = 8 >> share
         padded = np.zeros((height, -(-width >> share) << share), np.uint8)
         padded[:, :width] = index
         index = (padded.reshape(height, -1, 1 << share) << (np.arange(1 << share) * each).astype(np.uint8)).sum(2).astype(np.uint8)
-    put_image(w, index.reshape(-1).astype(np.uint8))
+    put_image(w, index.reshape(-1))
     return riff(w)
 
 
@@ -740,7 +850,7 @@ def pixel_arrays(media: bytes) -> list[np.ndarray]:
 
 
 def samples_of(arrays: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate([((a >> 8) & 255).astype(np.uint8).reshape(-1) for a in arrays])
+    return np.concatenate([(a >> 8).astype(np.uint8).reshape(-1) for a in arrays])
 
 
 def feature_text(samples: np.ndarray) -> str:

@@ -832,6 +832,47 @@ def test_webp_reads_without_a_call_for_each_token():
     assert len(payload) > 20_000 and calls < len(payload) / 5
 
 
+def test_webp_of_a_short_text_takes_few_calls():
+    """What a short text costs is mostly the codes' descriptions and single calls: 1,872 before, 877 when written."""
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("etaoinshrdlucm") for _ in range(rnd.randrange(2, 9))) if rnd.random() < 0.5 else rnd.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(500)]
+    payload = " ".join(words).encode()
+    payload += bytes(-len(payload) % 64)
+    webp.pixel_arrays(webp.store(payload))
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        read = webp.samples_of(webp.pixel_arrays(webp.store(payload)))
+    finally:
+        sys.setprofile(None)
+    assert read.tobytes() == payload and calls < 1200
+
+
+@pytest.mark.parametrize("raw", [b"abcabcabd" * 9, b"x" * 9000, b"one line of many; " * 700 + b"and more, " * 500, np.random.default_rng(6).integers(0, 3, 4000).astype(np.uint8).tobytes(), np.random.default_rng(7).bytes(5000) * 2, bytes(range(200))])
+def test_webp_matches_are_greedy(raw):
+    """Each match is the first that begins at or after the last one's end, to the last place that began with the same pixels,
+    as long as the places after it point equally far back; none is beyond the format's longest."""
+    last, back = {}, []
+    for i in range(len(raw) - webp.MATCH + 1):
+        key = raw[i : i + webp.MATCH]
+        back.append(i - last[key] if key in last else 0)
+        last[key] = i
+    starts, lengths, far = (x.tolist() for x in webp._matches(np.frombuffer(raw, np.uint8)))
+    at = 0
+    for start, n, b in zip(starts, lengths, far, strict=True):
+        assert not any(back[at:start]) and back[start] == b > 0 and n <= 4096
+        assert set(back[start : start + n - webp.MATCH + 1]) == {b} and raw[start : start + n] == raw[start - b : start - b + n]
+        following = start + n - webp.MATCH + 1
+        assert n > 3000 or following == len(back) or back[following] != b
+        at = start + n
+    assert not any(back[at:])
+
+
 def test_webp_cut_stream_raises():
     media = webp.store((b"a line that comes again and again, " * 30 + np.random.default_rng(1).bytes(100))[:1088])
     for n in range(30, len(media) - 2, 7):
