@@ -72,8 +72,11 @@ def fresh_cache(rows: DataFrame, now: str, days: int = 30) -> DataFrame:
 
 
 def next_open(rows: DataFrame, order: list[Column], usable: Column, partition: str) -> DataFrame:
-    """The id a reader moves on to from each row: the next usable one below, else the nearest above."""
-    down = Window.partitionBy(partition).orderBy(*order)
-    ahead = F.first(F.when(usable, F.col("id")), ignorenulls=True).over(down.rowsBetween(1, Window.unboundedFollowing))
-    above = F.last(F.when(usable, F.col("id")), ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("next_id", F.coalesce(ahead, above))
+    """The id a reader moves on to from each row: the next usable one below, else the nearest above.
+
+    Both directions are running frames, one step a row; a frame from a row to the end would be gone through again for each
+    row.  The second goes by the places of the first, so that rows of equal order stand alike in both."""
+    down, up = Window.partitionBy(partition).orderBy(*order), Window.partitionBy(partition).orderBy(F.desc("_sw_place"))
+    nearest = lambda way: F.last(F.when(usable, F.col("id")), ignorenulls=True).over(way.rowsBetween(Window.unboundedPreceding, -1))
+    placed = rows.withColumns({"_sw_above": nearest(down), "_sw_place": F.row_number().over(down)})
+    return placed.withColumn("next_id", F.coalesce(nearest(up), F.col("_sw_above"))).drop("_sw_above", "_sw_place")

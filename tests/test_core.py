@@ -182,6 +182,21 @@ def test_application_fold(spark):
     assert set(direct) == {1, 2} and direct[1].title == "Last" and not direct[2].resume_was_sent and direct[2].resume is None
 
 
+def test_next_open_takes_one_step_a_row(spark):
+    from pyspark.sql import functions as F
+
+    from sievework.operators import tracker
+
+    # rows 3 and 4 stand alike; in group b nothing is usable below the last two, in c nothing at all
+    rows = [("a", 9, 1, True), ("a", 8, 2, False), ("a", 7, 3, True), ("a", 7, 3, True), ("a", None, 5, True), ("b", 3, 6, True), ("b", 2, 7, False), ("b", 1, 8, None), ("c", 1, 9, False)]
+    df = spark.createDataFrame(rows, "slug string, at int, id int, usable boolean")
+    out = tracker.next_open(df, [F.desc_nulls_last("at"), F.asc("id")], F.coalesce("usable", F.lit(False)), "slug")
+    assert sorted(out.select("id", "next_id").collect(), key=repr) == sorted([(1, 3), (2, 3), (3, 3), (3, 5), (5, 3), (6, None), (7, 6), (8, 6), (9, None)], key=repr)
+    assert out.columns == [*df.columns, "next_id"]
+    # a frame that reaches from a row to the end is gone through again for each row
+    assert "unboundedfollowing" not in core.QUERIES["next_job"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 @pytest.mark.parametrize(("text", "months"), [
     ("EXPERIENCE\nA | Jan 2020 - Dec 2020\nB | 03/2019 – Present\nEDUCATION:\nBS | 2010 - 2014", 12 + 30), ("WORK EXPERIENCE:\nA | 2018 - 2019", 24), ("EDUCATION\nBS | 2018 - 2022", None), ("EXPERIENCE\nnone", None), ("EXPERIENCE\nX Mar 2021 - Jan 2021", None),
 ])
