@@ -124,21 +124,29 @@ def facts(lines: DataFrame, mend: bool = False, skills: Sequence[str] = ()) -> D
 
 def _gates(share: float = 0.4, least: int = 4) -> dict[str, Column]:
     """The gates by name, on the columns of a draft's facts and of its original's (o_...)."""
-    a, b = F.size(summary_sentences(F.col("o_text"))), F.size(summary_sentences(F.col("text")))
+    a, b = F.col("o_told"), F.col("told")
     known = lambda w: F.size(F.filter(w, lambda x: F.array_contains("o_words", x)))
     return {
         "invented": F.exists("bullets", lambda x: (F.size(x["words"]) >= least) & (known(x["words"]) < share * F.size(x["words"]))), "dashes": F.col("dashes") > 0, "past_tense": F.col("past") > 0, "stray": F.size("stray") > 0,
-        "sections": F.size(_new_sections()) > 0, "lost": (F.col("o_points") >= 8) & (F.col("points") < F.col("o_points") * 0.75), "summary": (a >= 2) & (b >= 0) & (a != b),
-        "environment": F.exists("o_environment", lambda e: ~F.contains(F.lower("text"), F.lower(F.substring(e["t"], 1, 40)))), "certs": F.size(stray_certs(F.col("o_text"), F.col("text"))) > 0, "merged": F.col("merged") > 0}
+        "sections": F.size("added") > 0, "lost": (F.col("o_points") >= 8) & (F.col("points") < F.col("o_points") * 0.75), "summary": (a >= 2) & (b >= 0) & (a != b),
+        "environment": F.exists("o_environment", lambda e: ~F.contains("low", F.lower(F.substring(e["t"], 1, 40)))), "certs": F.size("codes") > 0, "merged": F.col("merged") > 0}
 
 
-def _new_sections() -> Column:
-    return F.array_sort(F.array_except("sections", "o_sections"))
+#: What the gates ask of an original.
+COMPARED = ("text", "sections", "environment", "words", "points")
 
 
 def _judged(of_original: DataFrame, draft: DataFrame, skills: Sequence[str]) -> DataFrame:
-    """A draft's facts, its original's (o_...) and failed (an array of names).  A draft without an original fails no gate that compares."""
-    both = facts(draft, True, skills).join(of_original.select("doc_id", *[F.col(c).alias(f"o_{c}") for c in ("text", "sections", "environment", "words", "points")]), "doc_id", "left")
+    """A draft's facts, its original's (o_...), the sections and codes it added, the summaries' sentences and failed (an array of
+    names).  A draft without an original fails no gate that compares.  What several gates and repairs ask is a column, found once.
+
+    Originals are never broadcast: their lines are alike, so a written table of them is many times smaller than its rows in
+    memory, and Spark would go by the size of its files."""
+    theirs = of_original.select("doc_id", *[F.col(c).alias(f"o_{c}") for c in COMPARED]).hint("merge")
+    both = facts(draft, True, skills).join(theirs, "doc_id", "left")
+    both = both.withColumns({
+        "added": F.array_sort(F.array_except("sections", "o_sections")), "codes": stray_certs(F.col("o_text"), F.col("text")), "low": F.lower("text"),
+        "told": F.size(summary_sentences(F.col("text"))), "o_told": F.size(summary_sentences(F.col("o_text")))})
     named = F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in sorted(_gates().items())])
     return both.withColumn("failed", F.filter(named, lambda x: x.isNotNull()))
 
@@ -171,8 +179,8 @@ def _repair() -> Column:
     """A judged draft's text after the repairs that need no writer: prose behind the last section and invented sections go,
     merged bullets part, credential codes that the original lacks go."""
     plain = F.aggregate(F.transform("stray", lambda x: x["t"]), F.col("text"), _without)
-    cut = F.aggregate(F.coalesce(_new_sections(), F.array().cast("array<string>")), plain, _without_section)
-    return repaired(cut, F.coalesce(stray_certs(F.col("o_text"), F.col("text")), F.array().cast("array<string>")))
+    cut = F.aggregate(F.coalesce("added", F.array().cast("array<string>")), plain, _without_section)
+    return repaired(cut, F.coalesce("codes", F.array().cast("array<string>")))
 
 
 #: The gates whose faults a repair can mend.
@@ -194,7 +202,7 @@ def repaired_drafts(original: DataFrame, draft: DataFrame, rounds: int = 4, skil
     The state is written to the shared folder after each round, so plans do not grow and a lost executor costs one round.
     Writers' faults (invented work, tense, lost bullets) stay and are named.
     """
-    of_original = staging.written(facts(original, False, skills))
+    of_original = staging.written(facts(original, False, skills).select("doc_id", *COMPARED))
     open_ = draft.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
     done = None
     for n in range(1, rounds + 2):

@@ -3,7 +3,7 @@ import pytest
 
 from sievework import catalogue
 from sievework import queries as core
-from sievework.operators import drafts, gates
+from sievework.operators import drafts, gates, staging
 from sievework.plans import resumes
 
 SF = "/root/testdata/sf0.001"
@@ -64,6 +64,14 @@ def test_the_joint_verdict_reads_each_version_once(spark):
     assert initial.count("FileScan") == 2 and initial.count("Exchange hashpartitioning") <= 4
 
 
+def test_originals_are_never_broadcast(spark):
+    """A written table of originals is a few kilobytes of equal lines, its rows are not."""
+    of_original = staging.written(drafts.facts(_lines(spark, {d: ORIGINAL for d in range(200)})))
+    judged = drafts.repair_round(of_original, drafts.whole(_lines(spark, {d: [*ORIGINAL, NOTE] for d in range(200)})))
+    assert "Broadcast" not in judged._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in judged.groupBy("text", "failed").count().collect()] == [("\n".join(ORIGINAL), ["stray"], 200)]
+
+
 @pytest.mark.parametrize("text", ["", "no titles here", "AWARDS"])
 def test_texts_without_lines_to_cut(spark, text):
     lines = spark.createDataFrame([(1, 0, text)], "doc_id long, line_no int, line string")
