@@ -1,13 +1,15 @@
 """Uploaded documents: the guard on name and size, and the text of Word and PDF files.
 
-Files come from the binary file source; the guard looks at path and length only, so what it refuses is never read.  A
-Word file is a zip of XML parts and is opened inside the task; anything else is tried as a PDF.
+Folders are listed inside the tasks, so the driver never holds the files' names; the guard looks at path and length only,
+so what it refuses is never read.  A Word file is a zip of XML parts and is opened inside the task; anything else is tried
+as a PDF.
 """
 from __future__ import annotations
 
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -15,13 +17,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import drafts
+from ..operators import drafts, staging
 from .pdf import pdf_text
 
 EXTENSIONS = ("pdf", "docx", "doc")
 LARGEST = 10 * 1024 * 1024
 #: Bytes that a Word file's text part may unpack to.
 LARGEST_INSIDE = 256 << 20
+#: Folders that written files are dealt over by their names.
+FOLDERS = 4096
+#: Files and bytes that a task reads, about.
+_FILES, _BYTES = 2000, 64 << 20
+#: Characters and rows after which a task passes on what it has.
+_ENOUGH, _ROWS = 8 << 20, 10_000
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _UNFIT = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ud800-\udfff￾￿]")
 
@@ -70,45 +78,107 @@ def word_file(text: str) -> bytes:
     return buffer.getvalue()
 
 
+def _root(path: str):
+    """The file store of a path, and the path inside it as it is written: names of uploads are no URIs, and may hold % or spaces."""
+    from .files import _files
+
+    if "://" not in path:
+        return _files(path)
+    scheme, _, rest = path.partition("://")
+    host, _, place = rest.partition("/")
+    store, top = _files(f"{scheme}://{host}/")
+    return store, f"{top.rstrip('/')}/{place}"
+
+
+def _hidden(name: str) -> bool:
+    """What Spark's readers pass over."""
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """path, length and content of every upload below a folder."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", "content")
+    """path and length of every upload below a folder, dealt over tasks by path.
+
+    A level of folders is listed in one job and written down; the entries of one folder pass through one task."""
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                store, place = _root(path)
+                inside = [x for x in store.get_file_info(fs.FileSelector(place)) if not _hidden(x.base_name)]
+                for i in range(0, len(inside), _ROWS):
+                    some = inside[i : i + _ROWS]
+                    yield pa.record_batch([pa.array([f"{path.rstrip('/')}/{x.base_name}" for x in some], pa.string()), pa.array([x.size for x in some], pa.int64()), pa.array([x.type == fs.FileType.Directory for x in some], pa.bool_())], names=["path", "length", "is_folder"])
+
+    at_once = spark.sparkContext.defaultParallelism
+    level, found = spark.createDataFrame([(folder,)], "path string"), None
+    while found is None or not level.isEmpty():
+        seen = staging.written(level.repartition(at_once, "path").mapInArrow(entries, "path string, length long, is_folder boolean"))
+        files = seen.filter("not is_folder").select("path", "length")
+        level, found = seen.filter("is_folder").select("path"), files if found is None else found.unionByName(files)
+    n, size = found.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    return found.repartition(max(at_once, n // _FILES, size // _BYTES), "path")
 
 
 def extracted(files: DataFrame) -> DataFrame:
     """path, text (tidied), pages (of a PDF) and method of the uploads that are let in.  An unreadable file has no text; one
-    without text, such as a scan, has an empty one."""
+    without text, such as a scan, has an empty one.
+
+    files: path, length and perhaps content; without it the tasks open what is let in."""
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.string())
+    held = [c for c in ("content",) if c in files.columns]
+
+    def batch_of(rows: list) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ((),) * len(kinds), kinds, strict=True)], names=["path", "raw", "pages", "method"])
+
+    def text_of(name: str, content: bytes) -> tuple:
+        if name.lower().endswith((".docx", ".doc")):
+            return name, word_text(content), None, "word"
+        try:
+            return name, *pdf_text(content), "pdf"
+        except (ValueError, TypeError, IndexError, OverflowError, RecursionError):  # whatever a broken file makes of its numbers and references
+            return name, None, None, "pdf"
+
+    def opened(name: str) -> bytes:
+        store, place = _root(name)
+        with store.open_input_stream(place, compression=None) as file:
+            return file.read()
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, rows = batch.column("path").to_pylist(), []
-            for name, content in zip(names, batch.column("content"), strict=True):
-                if name.lower().endswith((".docx", ".doc")):
-                    rows.append((name, word_text(content.as_py()), None, "word"))
-                    continue
-                try:
-                    rows.append((name, *pdf_text(content.as_py()), "pdf"))
-                except (ValueError, TypeError, IndexError, OverflowError, RecursionError):  # whatever a broken file makes of its numbers and references
-                    rows.append((name, None, None, "pdf"))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32(), pa.string()), strict=True)] if rows else [pa.array([], t) for t in (pa.string(), pa.string(), pa.int32(), pa.string())], names=["path", "raw", "pages", "method"])
-
-    rows = files.filter(taken(F.col("path"), F.col("length"))).select("path", "content").mapInArrow(texts, "path string, raw string, pages int, method string")
+            rows, size = [], 0
+            for i, name in enumerate(batch.column("path").to_pylist()):
+                rows.append(text_of(name, batch.column("content")[i].as_py() if held else opened(name)))
+                size += len(rows[-1][1] or "")
+                if size > _ENOUGH:
+                    yield batch_of(rows)
+                    rows, size = [], 0
+            yield batch_of(rows)
+
+    rows = files.filter(taken(F.col("path"), F.col("length"))).select("path", *held).mapInArrow(texts, "path string, raw string, pages int, method string")
     return rows.select("path", F.when(F.col("raw").isNotNull(), drafts.tidied(F.col("raw"))).alias("text"), "pages", "method")
 
 
 def write_word_files(texts: DataFrame, folder: str) -> int:
-    """name, text: one file each, written by the tasks into a folder that all share; how many."""
+    """name, text: one file each, written by the tasks into a folder that all share; how many.
+
+    A file's folder in there goes by its name, so a task that runs again writes over its own files, and no folder holds many."""
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .files import _files
 
         store, path = _files(folder)
+        made = set()
         store.create_dir(path, recursive=True)
         for batch in batches:
             sizes = []
             for name, text in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                data = word_file(text or "")
-                with store.open_output_stream(f"{path}/{name}", compression=None) as out:
+                data, own = word_file(text or ""), f"{path}/{zlib.crc32(name.encode()) % FOLDERS:03x}"
+                if own not in made:
+                    store.create_dir(own, recursive=True)
+                    made.add(own)
+                with store.open_output_stream(f"{own}/{name}", compression=None) as out:
                     out.write(data)
                 sizes.append(len(data))
             yield pa.record_batch([pa.array(sizes, pa.int64())], names=["size"])

@@ -113,7 +113,7 @@ _TIDY = r"regexp_replace(regexp_replace(regexp_replace(replace(replace(regexp_re
 
 @query("upload_texts", f"select concat('doc_', cast(doc_id as varchar), '.docx') as name, {_TIDY.replace('RAW', f'''replace(regexp_replace(coalesce(text, ''), '{_UNFIT}', '', 'g'), chr(10), chr(10) || chr(10))''')} as text, cast(null as int) as pages, 'word' as method from documents")
 def upload_texts(spark, sf):
-    """Documents as Word files in a folder, found by the binary file source, let in by the guard and read inside the tasks."""
+    """Documents as Word files in folders, which are listed, let in by the guard and read inside the tasks."""
     folder = _new(spark)
     uploads.write_word_files(_table(spark, sf, "documents").selectExpr("concat('doc_', doc_id, '.docx') as name", "text"), folder)
     return uploads.extracted(uploads.read(spark, folder)).select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "text", "pages", "method")

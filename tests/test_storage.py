@@ -243,6 +243,29 @@ def _content(content, head=b"", deflate=False):
     return b"<< /Length %d %s%s >>\nstream\n%s\nendstream" % (len(data), b"/Filter /FlateDecode " if deflate else b"", head, data)
 
 
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_uploads_are_listed_by_tasks(spark, tmp_path, scheme):
+    """The driver has no name of a file in any frame's list; folders in folders, odd names and what readers pass over."""
+    folder, size = f"{scheme}{tmp_path}/up", len(uploads.word_file("x"))
+    names = [*(f"doc {i}.docx" for i in range(300)), "50%25 of it?.docx", "\u00e9#1.docx"]
+    assert uploads.write_word_files(spark.createDataFrame([(n, f"text of {n}") for n in names], "name string, text string"), folder) == len(names)
+    (deep := tmp_path / "up" / "a b" / "c").mkdir(parents=True)
+    for name in ("deep.docx", "_half.docx", ".hidden.docx"):
+        (deep / name).write_bytes(uploads.word_file("x"))
+    (tmp_path / "up" / "_temporary").mkdir()
+    (tmp_path / "up" / "_temporary" / "part.docx").write_bytes(b"")
+    (tmp_path / "up" / "empty").mkdir()
+    (tmp_path / "up" / "large.docx").write_bytes(bytes(uploads.LARGEST + 1))
+    listed = uploads.read(spark, folder)
+    assert not [x for x in listed.inputFiles() if "docx" in x]
+    sizes = {r.path.removeprefix(f"{folder}/"): r.length for r in listed.select("path", "length").collect()}
+    assert len(sizes) == len(names) + 2 and sizes["a b/c/deep.docx"] == size and sizes["large.docx"] == uploads.LARGEST + 1
+    got = {r.path.rsplit("/", 1)[1]: r.text for r in uploads.extracted(listed).collect()}
+    assert got == {n: f"text of {n}" for n in names} | {"deep.docx": "x"}
+    (tmp_path / "none").mkdir()
+    assert uploads.extracted(uploads.read(spark, f"{scheme}{tmp_path}/none")).collect() == []
+
+
 def test_pdf_texts(spark):
     from sievework.sources import pdf
 
